@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from pactlake.llm import exact_dedup, near_dup, packing, quality, warc
+from pactlake.llm import exact_dedup, near_dup, packing, quality, url_filter, warc
 
-MODULES = (exact_dedup, near_dup, packing, quality, warc)
+MODULES = (exact_dedup, near_dup, packing, quality, url_filter, warc)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
