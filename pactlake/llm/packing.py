@@ -16,6 +16,7 @@ give no rows; further columns are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,24 +33,21 @@ LENGTH, SEPARATOR = 2048, 0
 PLAN_ROWS = 1_000_000
 
 
-def public_encoder(name: str = "byte_bpe_50k") -> Callable[[], Callable[[str], list[int]]]:
-    """A tokenizer of the installed public vocabulary files, loaded once a worker.
+@functools.lru_cache
+def public_encoder(name: str = "byte_bpe_50k") -> Callable[[str], list[int]]:
+    """A tokenizer of the installed public vocabulary files, loaded once in a worker process.
 
     The .tiktoken file has the same vocabulary and merge order as the .json file and gives the same ids several times faster;
     special-token strings in a text are ordinary text.
     """
+    import base64
 
-    def load() -> Callable[[str], list[int]]:
-        import base64
+    import public_tokenizers
+    import tiktoken
 
-        import public_tokenizers
-        import tiktoken
-
-        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    return load
+    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def cut(n: int, length: int) -> Iterator[tuple[int, int]]:
@@ -60,13 +58,12 @@ def cut(n: int, length: int) -> Iterator[tuple[int, int]]:
         yield start, length
 
 
-def token_pieces(docs: DataFrame, encoder=None, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[str], list[int]]] = public_encoder, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
     """(doc_id, text) -> doc_id, piece, start, length, ids_crc32 and, if asked, ids (little-endian unsigned 32-bit)."""
-    load = encoder or public_encoder()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, names = load(), [c.split()[0] for c in schema.split(", ")]
+        encode, names = encoder(), [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
