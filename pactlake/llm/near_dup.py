@@ -15,6 +15,7 @@ id; no rows give no rows; further columns are ignored (decisions) or carried alo
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -26,12 +27,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import bounded_batches, settle, text_of, unused
+from pactlake.llm import exact_dedup
+from pactlake.llm.common import bounded_batches, join_small, settle, text_of, unused
 from pactlake.llm.graph import connected_components
+from pactlake.llm.sketch import with_sketch
 
 #: Children of a node; (query, node) pairs that a task holds at once; fingerprints of a segment that one task searches.
 FANOUT, FRONT, SEGMENT = 8, 2_000_000, 2_000_000
 CHUNK = 1 << 16
+#: Similar documents: bits between their fingerprints at most; words of the shingles on which they are verified, similarity from
+#: which they are similar, and smallest shingle hashes by which it is estimated (exact for shorter texts).
+SIMILAR_BITS, SIMILAR_WORDS, SIMILAR, BOTTOM = 11, 5, 0.8, 256
 
 
 def simhash(text: str | None, width: int = 3) -> int:
@@ -135,7 +141,19 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def segment_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links with distances -> for each end its nearest partner, and the smallest code that it reaches here (distance 64)."""
+    if not len(a):
+        return a, b, d
+    x, y, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+    order = np.lexsort((y, far, x))
+    x, y, far = x[order], y[order], far[order]
+    first = np.append(True, x[1:] != x[:-1])
+    node, root = stars(a, b)
+    return np.concatenate([x[first], node]), np.concatenate([y[first], root]), np.concatenate([far[first], np.full(len(node), 64)])
+
+
+def segment_links(batches: Iterator[pa.RecordBatch], distance: int, near: bool = False) -> Iterator[pa.RecordBatch]:
     """Links among rows (segment, code, asks) that arrive by segment and Gray rank; the last segment of a batch waits."""
 
     def links(seg: np.ndarray, code: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
@@ -143,12 +161,15 @@ def segment_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[
         tree, at = GrayTree(code[own]), seg[own]
         first, last = np.searchsorted(at, seg, "left"), np.searchsorted(at, seg, "right")
         first[own] = np.arange(len(own)) + 1  # a pair in a segment is met once
-        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        a, b, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        shrink = nearest if near else lambda a, b, d: (*stars(a, b), d[:0])
         for q, place in tree.search(code, first, last, distance):
-            a, b = np.concatenate([a, code[q].view(np.int64)]), np.concatenate([b, code[own][place].view(np.int64)])
+            one, two = code[q], code[own][place]
+            a, b = np.concatenate([a, one.view(np.int64)]), np.concatenate([b, two.view(np.int64)])
+            d = np.concatenate([d, np.bitwise_count(one ^ two).astype(np.int64)])
             if len(a) > FRONT:
-                a, b = stars(a, b)
-        a, b = stars(a, b)
+                a, b, d = shrink(a, b, d)
+        a, b, d = shrink(a, b, d)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     held: list[tuple] = []
@@ -168,15 +189,18 @@ def segment_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[
 
 def _segments(codes: DataFrame, distance: int) -> DataFrame:
     """(seg, code, asks): the segments of each code, and those that it asks (each pair of segments in one direction)."""
-    near = [sum(1 << i for i in bits) for r in range(distance // 4 + 1) for bits in combinations(range(16), r)]
-    places = []
-    for block in range(4):
-        value = F.shiftrightunsigned("code", 48 - 16 * block).bitwiseAND(0xFFFF)
-        places.append(F.array(F.struct((F.lit(block << 16) + value).cast("long").alias("seg"), F.lit(False).alias("asks"))))
-        if len(near) > 1:
-            asked = F.filter(F.transform(F.array(*map(F.lit, near[1:])), lambda m, v=value: v.bitwiseXOR(m.cast("long"))), lambda x, v=value: x < v)
-            places.append(F.transform(asked, lambda x, block=block: F.struct((F.lit(block << 16) + x).cast("long").alias("seg"), F.lit(True).alias("asks"))))
-    return codes.select("code", F.explode(F.concat(*places)).alias("p")).select("code", "p.seg", "p.asks")
+    near = [sum(1 << i for i in bits) for r in range(1, distance // 4 + 1) for bits in combinations(range(16), r)]
+
+    def places(block: int) -> Column:
+        value = F.shiftrightunsigned("code", 48 - 16 * block).bitwiseAND(F.lit(0xFFFF))
+        place = lambda v, asks: F.struct((F.lit(block << 16) + v).cast("long").alias("seg"), F.lit(asks).alias("asks"))
+        own = F.array(place(value, False))
+        if not near:
+            return own
+        asked = F.filter(F.transform(F.array(*map(F.lit, near)), lambda m: value.bitwiseXOR(m.cast("long"))), lambda v: v < value)
+        return F.concat(own, F.transform(asked, lambda v: place(v, True)))
+
+    return codes.select("code", F.explode(F.concat(*map(places, range(4)))).alias("p")).select("code", "p.seg", "p.asks")
 
 
 def _deal_large(rows: DataFrame, distance: int, most: int) -> DataFrame:
@@ -196,15 +220,18 @@ def _deal_large(rows: DataFrame, distance: int, most: int) -> DataFrame:
     return marked.select("code", "asks", F.explode(keys).alias("seg"))
 
 
-def fingerprint_links(codes: DataFrame, distance: int = 3, most: int = SEGMENT) -> DataFrame:
-    """Distinct (code) -> stars (a, b) that connect all codes within the distance of each other."""
+def fingerprint_links(codes: DataFrame, distance: int = 3, most: int = SEGMENT, near: bool = False) -> DataFrame:
+    """Distinct (code) -> stars (a, b) that connect all codes within the distance of each other.
+
+    With `near` each code is tied to the nearest and to the smallest one that it reaches in each of its segments.
+    """
     spark = codes.sparkSession
     rows = _segments(codes, distance)
     if distance < 4:
         rows = _deal_large(rows, distance, most)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "seg").sortWithinPartitions("seg", gray_rank(F.col("code"))).select("seg", "code", "asks")
-    return rows.mapInArrow(partial(segment_links, distance=distance), "a long, b long")
+    return rows.mapInArrow(partial(segment_links, distance=distance, near=near), "a long, b long")
 
 
 def components(prints: DataFrame, distance: int = 3) -> DataFrame:
@@ -224,6 +251,56 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _bottom(docs: DataFrame) -> DataFrame:
+    """(th, text) -> (th, low): the BOTTOM smallest hashes of the text's five-word shingles."""
+    return with_sketch(docs, F.col("text"), "low", SIMILAR_WORDS, 1).select("th", F.slice("low", 1, BOTTOM).alias("low"))
+
+
+def _verified(ties: DataFrame, low: DataFrame) -> DataFrame:
+    """Ties (a, b) whose texts' five-word shingles have an estimated Jaccard similarity of SIMILAR or more."""
+    both = ties.join(low.select(F.col("th").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("th").alias("b"), F.col("low").alias("lb")), "b")
+    union = F.slice(F.array_sort(F.array_union("la", "lb")), 1, BOTTOM)
+    shared = F.size(F.array_intersect(union, F.array_intersect("la", "lb")))
+    return both.where((F.size(union) > 0) & (shared >= SIMILAR * F.size(union))).select("a", "b")
+
+
+def similar_texts(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
+    """(text) -> (th): hashes of the texts that go, so that no two that stay were found similar.
+
+    Rounds: fingerprints are tied to the nearest within the distance, ties are verified on five-word shingles, and of each
+    component of verified ties one text stays. The next round works on texts that had a tie and stay, until none is verified.
+    A round at least halves each component, so even thousands of copies take few rounds.
+    """
+    texts = settle(docs.select(F.xxhash64("text").alias("th"), simhash_column(F.col("text")).alias("fp")).distinct(), "texts")
+    active, low, gone = texts, None, []
+    while True:
+        reps = settle(active.groupBy("fp").agg(F.min("th").alias("rep")), "reps")
+        ties = settle(fingerprint_links(reps.select(F.col("fp").alias("code")), distance, near=True).distinct(), "ties")
+        named = ties.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+        same = active.join(reps, "fp").where("th <> rep").select(F.col("th").alias("a"), F.col("rep").alias("b"))
+        pairs = named.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(same)
+        pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "ends")
+        if low is None:  # later rounds' texts are among these
+            low = settle(_bottom(join_small(docs.select(F.xxhash64("text").alias("th"), "text"), ends, "th", "left_semi")).dropDuplicates(["th"]), "low")
+        parts = settle(connected_components(_verified(pairs, low)), "parts")
+        gone.append(parts.where("node <> root").select(F.col("node").alias("th")))
+        if not gone[-1].limit(1).count():
+            break
+        active = settle(active.join(ends, "th", "left_semi").join(gone[-1], "th", "left_anti"), "active")
+    return settle(functools.reduce(DataFrame.unionByName, gone), "gone")
+
+
+def survivors(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
+    """The documents that stay, with all their columns: one of each group of similar texts, and one of equal texts."""
+    bounded_batches(docs.sparkSession)
+    th = unused(docs, "th")
+    gone = similar_texts(docs.select(text_of().alias("text")), distance).select(F.col("th").alias(th))
+    left = join_small(docs.withColumn(th, F.xxhash64(text_of())), gone, th, "left_anti").drop(th)
+    repeated = docs.select(F.xxhash64(text_of()).alias("th")).groupBy("th").count().where("count > 1").limit(1).count()
+    return exact_dedup.survivors(left) if repeated else left
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

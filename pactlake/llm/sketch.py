@@ -31,15 +31,16 @@ def _retained(hashes: Column, width: int, scale: int) -> Column:
     n = F.size(hashes)
     last = F.greatest(n - width, F.lit(0))
     every = F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(width))))).otherwise(F.array().cast("array<bigint>"))
-    return F.array_sort(F.array_distinct(F.filter(every, lambda h: h < -(2**63) + 2**64 // scale)))
+    below = F.filter(every, lambda h: h < -(2**63) + 2**64 // scale) if scale > 1 else every
+    return F.array_sort(F.array_distinct(below))
 
 
-def with_sketch(rows: DataFrame, text: Column, name: str) -> DataFrame:
+def with_sketch(rows: DataFrame, text: Column, name: str, width: int = WIDTH, scale: int = SCALE) -> DataFrame:
     """rows with the text's sketch; word hashes stand in a generator, so that they are made once."""
     spaced = F.translate(F.lower(text), "\t\n\x0b\f\r", "     ")
     words = F.transform(F.split(spaced, " "), lambda w: F.when(w != "", F.xxhash64(w)))
     held = rows.select("*", F.explode(F.array(F.array_compact(words))).alias("_hashes"))
-    return held.select(*rows.columns, F.explode(F.array(_retained(F.col("_hashes"), WIDTH, SCALE))).alias(name))
+    return held.select(*rows.columns, F.explode(F.array(_retained(F.col("_hashes"), width, scale))).alias(name))
 
 
 def containment(a: Column, b: Column, same_text: Column) -> Column:
