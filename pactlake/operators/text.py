@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +77,11 @@ def hashed_sample(df: DataFrame, key: str, n: int = 200, seed: int = 42) -> Data
 
 def embed(df: DataFrame, text_col: str, provider, batch: int = 256) -> DataFrame:
     """df with an embedding by a provider(list of texts) -> list of vectors; called in batches in Python workers."""
-    import pandas as pd
 
-    @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
         out: list = []
         for i in range(0, len(texts), batch):
             out += provider(texts.iloc[i : i + batch].fillna("").tolist())
         return pd.Series(out)
 
-    return df.withColumn("embedding", run(F.col(text_col)))
+    return df.withColumn("embedding", F.pandas_udf(run, "array<double>")(F.col(text_col)))
