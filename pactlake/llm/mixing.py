@@ -3,9 +3,9 @@
 A classifier that is fitted on a labelled table gives each document a posterior over domains, so a document belongs to
 several domains in part. Projected gradient descent then fits a nonnegative rate for each document, the number of times it
 is to be seen, so that the expected tokens of each domain, the sum of rate x tokens x posterior, match target weights. A step
-is one aggregation over a slim table; a document's rate is an expression of its posterior, and only one number a
-domain goes to the driver. A domain's residual is taken relative to its own tokens (weighted least squares), which makes the
-step matrix row-stochastic and a step of 1 stable.
+is one aggregation over a slim table; a document's rate is an expression of its posterior, and only the domains' totals and
+second moments go to the driver. The gradient of a step is scaled by the inverse second moments of the documents whose rates
+are not at zero, so without projection one step is exact, and with it a few are.
 
 Defined cases: null text counts as empty and has no tokens; such rows have a posterior and a rate, but weigh nothing; a
 domain without labelled rows or tokens can't be matched and is left out; with fewer than two labelled domains all rates
@@ -15,6 +15,7 @@ further columns are carried along (`mixed`) or ignored (`rates`), whatever their
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -25,8 +26,8 @@ from pactlake.llm.common import settle, text_of
 
 #: The fit: labelled rows that are used at most (the first by hash of the id), hashed features, ridge penalty.
 SAMPLE, FEATURES, PENALTY = 10_000, 1 << 14, 0.01
-#: Gradient steps at most, their size, the relative error that ends them, steps between written states.
-STEPS, SIZE, CLOSE, WRITE = 200, 1.0, 1e-4, 25
+#: Gradient steps at most, the relative error that ends them, ridge of a step's scaling as a share of its trace.
+STEPS, CLOSE, RIDGE = 40, 1e-4, 1e-9
 #: Target weights of the query; the anchor keeps its expected tokens, so the others are scaled against it.
 TARGETS, ANCHOR = {"clean": 0.96, "junk": 0.02, "toxic": 0.02}, "clean"
 
@@ -78,32 +79,42 @@ def rate_of(moves: list[dict[int, float]], p: str, rate: Column | None = None) -
 
 
 def fit_moves(rows: DataFrame, names: list[str], targets: dict[str, float], anchor: str) -> tuple[list[dict[int, float]], dict[str, tuple[float, float]]]:
-    """Settled rows (tokens, p) -> the moves of all steps, by domain; and each matched domain's (target, reached) tokens."""
+    """Settled rows (tokens, p) -> the moves of all steps, by domain; and each matched domain's (target, reached) tokens.
 
-    def totals(df: DataFrame, rate: Column) -> list[float]:
-        sums = [F.sum(rate * F.col("tokens") * F.get("p", F.lit(i))) for i in range(len(names))]
-        return [float(x or 0) for x in df.agg(*sums).first()]
-
-    if len(names) < 2:
+    One aggregation a step brings the reached totals and the domains' second moments over the documents whose rate isn't
+    at zero: a few numbers, whatever the size of the corpus.
+    """
+    k = len(names)
+    if k < 2:
         return [], {}
-    start = reached = totals(rows, F.lit(1.0))
-    live = [i for i, d in enumerate(names) if start[i] > 0 and d in targets]
+    p = [F.get("p", F.lit(i)) for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def state(rate: Column) -> tuple[np.ndarray, np.ndarray]:
+        free = F.when(rate > 0, F.col("tokens"))
+        row = rows.agg(*(F.sum(rate * F.col("tokens") * p[i]) for i in range(k)), *(F.sum(free * p[i] * p[j]) for i, j in pairs)).first()
+        numbers = np.array([float(x or 0) for x in row])
+        moments = np.zeros((k, k))
+        for (i, j), v in zip(pairs, numbers[k:]):
+            moments[i, j] = moments[j, i] = v
+        return numbers[:k], moments
+
+    reached, moments = state(F.lit(1.0))
+    live = [i for i, d in enumerate(names) if reached[i] > 0 and d in targets]
     if len(live) < 2 or anchor not in [names[i] for i in live]:
         return [], {}
-    whole = start[names.index(anchor)] / targets[anchor]
-    goal = {i: whole * targets[names[i]] for i in live}
+    goal = reached[names.index(anchor)] / targets[anchor] * np.array([targets.get(d, 0.0) for d in names])
+    start = reached
     moves: list[dict[int, float]] = []
-    state, written = rows.withColumn("rate", F.lit(1.0)), 0
-    while len(moves) < STEPS:
-        error = {i: (goal[i] - reached[i]) / start[i] for i in live}
-        if max(map(abs, error.values())) < CLOSE:
+    for _ in range(STEPS):
+        error = (goal - reached)[live]
+        if np.max(np.abs(error) / start[live]) < CLOSE:
             break
-        moves.append({i: SIZE * e for i, e in error.items()})
-        rate = rate_of(moves[written:], "p", F.col("rate"))
-        if len(moves) - written == WRITE:
-            state, written, rate = settle(state.withColumn("rate", rate), "rates"), len(moves), F.col("rate")
-        reached = totals(state, rate)
-    return moves, {names[i]: (goal[i], reached[i]) for i in live}
+        scale = moments[np.ix_(live, live)]
+        step = np.linalg.solve(scale + np.eye(len(live)) * RIDGE * max(np.trace(scale), 1e-9), error)
+        moves.append({i: float(m) for i, m in zip(live, step)})
+        reached, moments = state(rate_of(moves, "p"))
+    return moves, {names[i]: (float(goal[i]), float(reached[i])) for i in live}
 
 
 def copies(rate: Column, *key: Column | str) -> Column:
