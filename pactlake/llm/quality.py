@@ -41,7 +41,7 @@ def statistics(docs: DataFrame, text: Column, prefix: str) -> tuple[DataFrame, l
         "digits": F.regexp_count(text, F.lit("[0-9]")),
         "capitals": F.regexp_count(text, F.lit(r"\p{Lu}")),
     }
-    p = f"{prefix}_part"
+    p, s = unused(docs, f"{prefix}_part"), unused(docs, f"{prefix}_stats")
     out = docs.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in part.items())))).alias(p))
     words, n, chars = F.col(f"{p}.words"), F.greatest(F.size(f"{p}.words"), F.lit(1)), F.greatest(F.col(f"{p}.chars"), F.lit(1))
     stats = {
@@ -53,7 +53,6 @@ def statistics(docs: DataFrame, text: Column, prefix: str) -> tuple[DataFrame, l
         "repeated_lines": 1 - F.size(F.array_distinct(f"{p}.lines")) / F.size(f"{p}.lines"),
         **{c: F.col(f"{p}.{c}") / chars for c in ("symbols", "marks", "digits", "capitals")},
     }
-    s = f"{prefix}_stats"
     out = out.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array(F.struct(*(c.cast("double").alias(k) for k, c in stats.items())))).alias(s))
     return out, [f"{s}.{k}" for k in stats]
 
@@ -144,7 +143,7 @@ def decisions(docs: DataFrame, rules: Rules) -> DataFrame:
 
 def keep(docs: DataFrame, rules: Rules) -> DataFrame:
     """The documents that are accepted, with all their columns."""
-    rows, names = statistics(docs, text_of(), unused(docs, "q"))
+    rows, names = statistics(docs, text_of(), "q")
     return rows.where(rules.score(names) >= ACCEPT).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -200,7 +200,8 @@ def reshard(docs: DataFrame, old: Column, folder: str, shards: int = SHARDS) ->
     Affected shards are written to folder as shard=<n>/ and read back; other rows stay in their files.
     """
     spark = docs.sparkSession
-    keyed = _keyed(docs.withColumn("_shard", old.cast("int")))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "doc_id", "text", old.cast("int").alias("_shard"))
+    keyed = _keyed(packed)
     slim = settle(keyed.select("_shard", "_hash", "_small", "_size"), "sizes")
     steps, sizes, affected = plan(slim, shards)
 
@@ -219,7 +220,7 @@ def reshard(docs: DataFrame, old: Column, folder: str, shards: int = SHARDS) ->
     placed = assigned(keyed).withColumn("_piece", piece).repartition(parts, "_shard", "_piece")
     order = Window.partitionBy("_shard", "_piece").orderBy("_hash", "doc_id")
     slotted = join_small(placed.withColumn("_at", F.row_number().over(order) - 1), offsets, ["_shard", "_piece"], "inner")
-    ready = slotted.select(*(F.col(f"`{c}`") for c in docs.columns), (F.col("_before") + F.col("_at")).cast("long").alias("slot"), F.col("_shard").alias("shard"))
+    ready = slotted.select("_doc.*", (F.col("_before") + F.col("_at")).cast("long").alias("slot"), F.col("_shard").alias("shard"))
     changed = F.col("shard").isin(sorted(affected)) if affected else F.lit(False)
     ready.where(changed).write.partitionBy("shard").parquet(folder)
     back = spark.read.schema(ready.schema).parquet(folder)
