@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pactlake.llm.common import settle, text_of
 
 #: The fit: labelled rows that are used at most (the first by hash of the id), hashed features, ridge penalty.
-SAMPLE, FEATURES, PENALTY = 10_000, 1 << 14, 0.01
+SAMPLE, FEATURES, PENALTY = 20_000, 1 << 14, 3e-4
 #: Gradient steps at most, the relative error that ends them, ridge of a step's scaling as a share of its trace.
 STEPS, CLOSE, RIDGE = 40, 1e-4, 1e-9
 #: Target weights of the query; the anchor keeps its expected tokens, so the others are scaled against it.
