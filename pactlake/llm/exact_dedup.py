@@ -124,7 +124,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     groups = join_small(slim, heavy, "fp", "left_semi").groupBy("fp", "text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
     # Two texts with one SHA-256 are not known to exist; a row that met them would not be told apart below, so it fails loudly.
     checked = groups.join(verified, ["fp", "text_sha256"]).withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256")).cast("long")))
-    joined = slim.join(checked.drop("texts"), ["fp", "text_sha256"], "left")
+    joined = join_small(slim, settle(checked.drop("texts"), "groups"), ["fp", "text_sha256"], "left")
     return joined.select(
         "doc_id",
         F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
