@@ -66,6 +66,11 @@ def numeric(df: DataFrame, columns: list[str] | None = None, exact: bool = True,
     return row.select(F.explode(cells).alias("r")).select("r.*")
 
 
+def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value) of the distinct values as strings, without nulls. One plan for all who need it, so its shuffle is reused."""
+    return unpivot(df, columns, "string").where("value IS NOT NULL").distinct()
+
+
 def cardinality(df: DataFrame, columns: list[str] | None = None, exact: bool = True, error: float = 0.01) -> DataFrame:
     """column, distinct values (nulls excluded).
 
@@ -74,8 +79,7 @@ def cardinality(df: DataFrame, columns: list[str] | None = None, exact: bool = T
     """
     columns = columns or df.columns
     if exact:
-        pairs = unpivot(df, columns, "string").where("value IS NOT NULL").groupBy("column", "value").agg(F.lit(1).alias("one"))
-        return pairs.groupBy("column").agg(F.count("*").alias("cardinality"))
+        return distinct_values(df, columns).groupBy("column").agg(F.count("*").alias("cardinality"))
     row = df.agg(*(F.approx_count_distinct(F.col(f"`{c}`"), error).alias(f"c{i}") for i, c in enumerate(columns)))
     return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("cardinality")) for i, c in enumerate(columns)))).alias("r")).select("r.*")
 
@@ -84,16 +88,32 @@ def samples(df: DataFrame, columns: list[str] | None = None, n: int = 5) -> Data
     """column, sample_values: the n smallest distinct values as strings, in order; memory is bounded by n a column."""
     from pyspark.sql import Window
 
-    pairs = unpivot(df, columns or df.columns, "string").where("value IS NOT NULL").distinct()
+    pairs = distinct_values(df, columns or df.columns)
     ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("r") <= n)
     return ranked.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x.value).alias("sample_values"))
 
 
-def profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """One row per column: dtype, null fraction, cardinality, sample values and, for numbers, the statistics."""
+def _cheap_samples(df: DataFrame, names: list[str], counts: DataFrame, few: int) -> DataFrame:
+    low = [r.column for r in counts.where(F.col("cardinality") <= few).collect()]
+    ends = [c for c in names if c not in low]
+    row = df.agg(*(F.array_compact(F.array_distinct(F.array(F.min(v), F.max(v)))).alias(f"s{i}") for i, v in enumerate(_present(df, c).cast("string") for c in ends)))
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("sample_values")) for i, c in enumerate(ends)))
+    out = row.select(F.explode(cells).alias("r")).select("r.*") if ends else None
+    some = samples(df, low) if low else None
+    return some.unionByName(out) if some and out else some or out
+
+
+def profile(df: DataFrame, exact: bool = True, few: int = 1000) -> DataFrame:
+    """One row per column: dtype, null fraction, cardinality, sample values and, for numbers, the statistics.
+
+    exact=False needs two scans and shuffles only values of columns with about `few` distinct ones at most; the others'
+    samples are their least and greatest value.
+    """
     names = df.columns
     kinds = F.create_map(*(F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())))
-    out = nulls(df, names).join(cardinality(df, names, exact), "column", "left").join(samples(df, names), "column", "left")
+    counts = cardinality(df, names, exact)
+    held = samples(df, names) if exact else _cheap_samples(df, names, counts, few)
+    out = nulls(df, names).join(counts, "column", "left").join(held, "column", "left")
     numbers = numeric_columns(df)
     stats = numeric(df, numbers, exact) if numbers else None
     out = out.withColumn("dtype", F.element_at(kinds, F.col("column"))).withColumn("cardinality", F.coalesce("cardinality", F.lit(0)))

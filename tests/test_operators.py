@@ -60,6 +60,8 @@ def test_profile_of_nan_nulls_and_one_value(spark):
     got = {r.column: r for r in profile.profile(df).collect()}
     assert got["x"].null_fraction == pytest.approx(2 / 3) and got["x"].mean == 1.0 and got["x"].stddev == 0.0 and got["x"].cardinality == 1
     assert got["y"].sample_values == ["3"]
+    cheap = {r.column: r for r in profile.profile(spark.range(5000).selectExpr("id", "id % 2 AS half"), exact=False).collect()}
+    assert cheap["half"].sample_values == ["0", "1"] and len(cheap["id"].sample_values) == 2 and abs(cheap["id"].cardinality - 5000) < 250
     empty = profile.numeric(df.limit(0)).collect()
     assert [r.mean for r in empty] == [None, None]
 
