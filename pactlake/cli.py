@@ -20,6 +20,10 @@ from pactlake.operators import blame, checks, evolution, flatten, hooks, infer,
 from pactlake.sources import readers, sinks
 
 
+#: Fewer clauses than this make a contract suspicious.
+FEW_CLAUSES = 6
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("pactlake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
@@ -45,6 +49,8 @@ def cmd_infer(a) -> int:
         down = [{"id": r.subscriber_id, "fields_consumed": list(r.fields_consumed or [])} for r in subs.collect()]
         contract = Contract(**{**contract.__dict__, "lineage": {"downstream": down}})
     contract = hooks.annotate(contract, None)
+    if len(contract.schema) < FEW_CLAUSES:
+        print(f"only {len(contract.schema)} clauses were inferred", file=sys.stderr)
     print(sinks.contract_yaml(contract, a.out), sinks.dbt_schema(contract, a.out))
     if a.snapshots:
         sinks.schema_snapshot(contract, a.snapshots)
@@ -80,6 +86,11 @@ def _clause_frame(spark: SparkSession, snapshot: dict) -> DataFrame:
 
 
 def cmd_diff(a) -> int:
+    """One contract, or every contract that has snapshots, each into its own file of the folder --out."""
+    if a.id is None:
+        for name in sorted(d for d in os.listdir(a.snapshots) if len(readers.snapshot_paths(a.snapshots, d)) > 1):
+            cmd_diff(argparse.Namespace(**{**vars(a), "id": name, "out": os.path.join(a.out, f"schema_evolution_{name}.json")}))
+        return 0
     spark = session()
     old, new = (a.old, a.new) if a.old else _pair(a)
     rows = evolution.changes(_clause_frame(spark, readers.snapshot(old)), _clause_frame(spark, readers.snapshot(new))).cache()
@@ -176,7 +187,7 @@ def main(argv: list[str] | None = None) -> int:
 
     command(cmd_infer, "data", "id", "out", registry=None, snapshots=None, approximate=False)
     command(cmd_validate, "contract", "data", "out", mode="AUDIT", baselines=None, samples=5, report_id=None, fail_on_error=False)
-    command(cmd_diff, "id", "out", snapshots=None, old=None, new=None, since=None, registry=None)
+    command(cmd_diff, "out", id=None, snapshots=None, old=None, new=None, since=None, registry=None)
     command(cmd_attribute, "report", "registry", "log", lineage=None)
     command(cmd_ai, "data", "out", mode="all", array=None, text="text", preview="content_preview", verdicts=None, quarantine=None)
     command(cmd_report, "reports", "out", ai=None)

@@ -86,13 +86,13 @@ class Plan:
         if c not in self.kinds:
             if clause.required:
                 n = F.col("n")
-                self.rows.append(_row(cid, c, "required", "required.present", F.lit("CRITICAL"), F.lit("column missing entirely"), "column present with 0 nulls", F.lit("CRITICAL"), n, F.lit(f"Required column '{c}' is missing from data."), i))
+                self.rows.append(_row(cid, c, "required", "required.present", F.lit("CRITICAL"), F.lit("column missing entirely"), "column present with 0 nulls", F.lit("CRITICAL"), n, F.lit(f"{c}: required, but the data has no such column."), i))
             return
         nulls = self._metric(f"nulls:{c}", F.count_if(self._missing(c)))
         if clause.required:
             status = _two_way(nulls, "CRITICAL")
             actual = F.when(nulls > 0, text("%d nulls (%.1f%%)", nulls, F.try_divide(nulls, F.col("n")) * 100)).otherwise("0 nulls")
-            said = F.when(nulls > 0, text(f"Required field '{c}' has %d null values.", nulls)).otherwise(f"Required field '{c}' has no nulls.")
+            said = F.when(nulls > 0, text(f"{c}: required, but null in %d rows.", nulls)).otherwise(f"{c}: present in every row.")
             self.rows.append(_row(cid, c, "required", "required.no_nulls", status, actual, "null_count = 0", status, nulls, said, i))
         if clause.type:
             some, none = inferred_dtype(self.kinds[c], True), inferred_dtype(self.kinds[c], False)
@@ -100,18 +100,18 @@ class Plan:
             ok = dtype.isin(*allowed) if allowed else F.lit(True)
             status = F.when(ok, "PASS").otherwise("CRITICAL")
             expected = F.when(ok, f"type={clause.type}").otherwise(f"type={clause.type} (one of {list(allowed)})")
-            said = F.when(ok, f"Column '{c}' dtype matches contract type '{clause.type}'.").otherwise(text(f"Column '{c}' dtype is '%s', expected type '{clause.type}'.", dtype))
+            said = F.when(ok, f"{c}: stored as {clause.type}, as agreed.").otherwise(text(f"{c}: stored as %s where {clause.type} is agreed.", dtype))
             self.rows.append(_row(cid, c, "type_match", "type_match", status, F.concat(F.lit("dtype="), dtype), expected, status, F.when(ok, F.lit(0)).otherwise(F.col("n")), said, i))
         if clause.enum is not None:
             bad = ~self._missing(c) & ~self._col(c).cast("string").isin(*clause.enum)
-            self._counted(i, c, "enum", "enum_conformance", bad, "%d non-conforming values", "all values conforming", f"all values in {list(clause.enum)}", f"Column '{c}' has %d values outside enum.", f"Column '{c}' all values within enum.")
+            self._counted(i, c, "enum", "enum_conformance", bad, "%d non-conforming values", "all values conforming", f"all values in {list(clause.enum)}", f"{c}: %d values are not in the agreed list.", f"{c}: only agreed values.")
         if clause.format == "uuid":
             bad = ~self._missing(c) & ~is_uuid(self._col(c))
-            self._counted(i, c, "uuid_pattern", "uuid_pattern", bad, "%d values fail UUID regex", "all values match UUID pattern", "UUID format", f"Column '{c}' has %d values that are not valid UUIDs.", f"Column '{c}' all values are valid UUIDs.")
+            self._counted(i, c, "uuid_pattern", "uuid_pattern", bad, "%d values fail UUID regex", "all values match UUID pattern", "UUID format", f"{c}: %d values are no UUIDs.", f"{c}: only UUIDs.")
         if clause.format == "date-time":
             native = isinstance(self.kinds[c], (T.TimestampType, T.TimestampNTZType, T.DateType))
             bad = F.lit(False) if native else ~self._missing(c) & ~is_iso_datetime(self._col(c))
-            self._counted(i, c, "datetime_format", "datetime_format", bad, "%d unparseable values", "all values parse as ISO 8601", "ISO 8601 date-time", f"Column '{c}' has %d values that are not valid ISO 8601 datetimes.", f"Column '{c}' all values are valid ISO 8601 datetimes.")
+            self._counted(i, c, "datetime_format", "datetime_format", bad, "%d unparseable values", "all values parse as ISO 8601", "ISO 8601 date-time", f"{c}: %d values are no ISO 8601 times.", f"{c}: only ISO 8601 times.")
         if is_numeric(self.kinds[c]) and (clause.minimum is not None or clause.maximum is not None):
             self._range(i, c, clause)
 
@@ -130,7 +130,7 @@ class Plan:
         status = _two_way(bad, "HIGH")
         bound = lambda b, none: none if b is None else str(b)
         expected = f"min>={bound(clause.minimum, '-inf')}, max<={bound(clause.maximum, '+inf')}"
-        said = F.when(bad > 0, F.format_string(f"Range violation on '{c}': %d values outside the contract.", bad)).otherwise(f"Column '{c}' values within contract range.")
+        said = F.when(bad > 0, F.format_string(f"{c}: %d values lie beyond the agreed bounds.", bad)).otherwise(f"{c}: all values lie within bounds.")
         row = _row(self.contract.id, c, "range", "range", status, F.format_string("min=%.4f, max=%.4f", low, high), expected, status, bad, said, i)
         self.failing.append((f"{self.contract.id}.{c}.range", c, F.coalesce(below | above, F.lit(False))))
         self.rows.append(F.when(low.isNotNull(), row))
@@ -141,12 +141,12 @@ class Plan:
         mean, sd = self._metric(f"mean:{c}", F.avg(v)), self._metric(f"stddev:{c}", F.stddev_samp(v))
         base = self.baselines.get(c)
         if base is None:
-            row = _row(self.contract.id, c, "statistical_drift", "statistical_drift", F.lit("PASS"), F.format_string("mean=%.4f, stddev=%.4f", mean, sd), "baseline established (first run)", F.lit("PASS"), F.lit(0), F.lit(f"No baseline for '{c}': baseline recorded for future runs."), i)
+            row = _row(self.contract.id, c, "statistical_drift", "statistical_drift", F.lit("PASS"), F.format_string("mean=%.4f, stddev=%.4f", mean, sd), "baseline established (first run)", F.lit("PASS"), F.lit(0), F.lit(f"{c}: first run, so there is nothing to compare with."), i)
         else:
             z = z_score(mean, F.lit(float(base["mean"])), F.lit(float(base["stddev"])))
             status = drift_status(z)
             actual = F.concat(F.format_string("mean=%.4f, z_score=", mean), F.round(z, 2).cast("string"))
-            said = F.when(status == "PASS", "Within baseline.").otherwise(F.format_string(f"{c} mean drifted %.1f stddev from baseline", z))
+            said = F.when(status == "PASS", f"{c}: the mean is where it was.").otherwise(F.format_string(f"{c}: the mean moved by %.1f standard deviations.", z))
             row = _row(self.contract.id, c, "statistical_drift", "statistical_drift", status, actual, f"z_score <= 2 (baseline mean={base['mean']:.4f})", status, F.when(status == "PASS", F.lit(0)).otherwise(count), said, i)
         self.rows.append(F.when(count >= 2, row))
 
@@ -219,5 +219,5 @@ def blocks(mode: Column, critical: Column, high: Column, errored: Column | None
 
 def load_failure(spark, contract_id: str, error: str) -> DataFrame:
     """The single result row of a data file that can't be read."""
-    row = (0, f"{contract_id}.__file__.load", "__file__", "load", "ERROR", error[:200], "readable data file", "CRITICAL", 0, f"Could not load data: {error[:200]}")
+    row = (0, f"{contract_id}.__file__.load", "__file__", "load", "ERROR", error[:200], "readable data file", "CRITICAL", 0, f"The data can't be read: {error[:200]}")
     return spark.createDataFrame([row], "check_order int, check_id string, column_name string, check_type string, status string, actual_value string, expected string, severity string, records_failing bigint, message string")

@@ -36,12 +36,12 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     added = F.array_except(c("n.enum"), c("o.enum"))
     joined = lambda a: F.array_join(F.array_sort(a), ",")
     rules = [
-        _change(c("o.type") != c("n.type"), "type_changed", "BREAKING", "Type change breaks all consumers that parse this field.", c("o.type"), c("n.type")),
+        _change(c("o.type") != c("n.type"), "type_changed", "BREAKING", "Readers of the old type can't parse the new one.", c("o.type"), c("n.type")),
         _change(c("o.required") != c("n.required"), "required_changed", F.when(c("n.required"), "BREAKING").otherwise("COMPATIBLE"), F.when(c("n.required"), "Producers that omit the field now fail.").otherwise("A field that may be missing was always present before."), c("o.required"), c("n.required")),
-        _change(F.size(removed) > 0, "enum_values_removed", "BREAKING", "Removing enum values breaks consumers that send or receive those values.", joined(removed)),
-        _change(F.size(added) > 0, "enum_values_added", "COMPATIBLE", "Adding enum values is compatible if consumers handle unknown values.", None, joined(added)),
-        _change(c("o.enum").isNotNull() & c("n.enum").isNull(), "enum_removed", "BREAKING", "Removing the enum drops a guarantee for all consumers.", joined(c("o.enum"))),
-        _change(c("o.enum").isNull() & c("n.enum").isNotNull(), "enum_added", "BREAKING", "An enum on an existing field breaks values outside it.", None, joined(c("n.enum"))),
+        _change(F.size(removed) > 0, "enum_values_removed", "BREAKING", "Values that consumers know are no longer allowed.", joined(removed)),
+        _change(F.size(added) > 0, "enum_values_added", "COMPATIBLE", "Consumers meet values that are new to them.", None, joined(added)),
+        _change(c("o.enum").isNotNull() & c("n.enum").isNull(), "enum_removed", "BREAKING", "Consumers can no longer rely on the list of values.", joined(c("o.enum"))),
+        _change(c("o.enum").isNull() & c("n.enum").isNotNull(), "enum_added", "BREAKING", "Values outside the new list were fine before.", None, joined(c("n.enum"))),
         _change(~c("o.format").eqNullSafe(c("n.format")), "format_changed", F.when(c("o.format").isNull(), "BREAKING").otherwise("COMPATIBLE"), F.when(c("o.format").isNull(), "A new format rejects values that passed before.").otherwise("A format was dropped or replaced."), c("o.format"), c("n.format")),
     ]
     for bound in ("minimum", "maximum"):

@@ -64,3 +64,9 @@ def verdict_of_score(score: Column) -> Column:
 
 def severity(status: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in SEVERITY.items() for x in p)), status), F.lit("LOW"))
+
+
+def status_line(check: Column, status: Column, rate: Column) -> Column:
+    """An outcome in plain words."""
+    said = F.when(status == "PASS", "holds").when(status == "SKIP", "was skipped").when(status == "WARN", "needs a look").otherwise("fails")
+    return F.concat(check, F.lit(" "), said, F.coalesce(F.when(rate.isNotNull(), F.format_string(" (%.2f%%)", rate * 100)), F.lit("")), F.lit("."))

@@ -26,6 +26,17 @@ def health(reports: DataFrame, ai_fails: int = 0) -> DataFrame:
     return out.withColumn("score", score).withColumn("grade", grade(F.col("score")))
 
 
+def totals(reports: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row over reports not named violated*, and changes: contracts, checks, passed, critical, high, breaking changes.
+
+    Unlike the health score it counts reports of *_violated files, as the summary always did.
+    """
+    own = reports.where(F.col("total_checks").isNotNull() & ~F.element_at(F.split("data_path", "/"), -1).startswith("violated"))
+    s = lambda c: F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))), F.lit(0)).alias(c)
+    breaking = changes.agg(F.count_if(F.col("classification").isin("BREAKING", "CRITICAL"))).scalar()
+    return own.agg(F.count_distinct("contract_id").alias("contracts"), *map(s, ("total_checks", "passed", "critical", "high"))).withColumn("breaking", breaking)
+
+
 def last_reports(reports: DataFrame, key: str = "contract_id", order: str = "file_name") -> DataFrame:
     """The last report of each contract by file name."""
     return reports.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("r = 1").drop("r")
@@ -48,10 +59,10 @@ def recommendations(results: DataFrame, diffs: DataFrame, subscriptions: DataFra
     pick = lambda df, priority, text, *order: df.select(F.lit(priority).alias("priority"), F.concat_ws(":", *order).alias("seq"), text.alias("action"))
     say = F.format_string
     parts = [
-        pick(results.where("status = 'HIGH' AND check_type = 'range'"), 1, say("Fix range violation in '%s' field '%s': values changed scale.", "contract_id", "column_name"), F.lit("a"), "contract_id", "column_name"),
-        pick(results.where("status = 'CRITICAL'"), 1, say("Fix CRITICAL violation in '%s' on field '%s'.", "contract_id", "column_name"), F.lit("b"), "contract_id", "column_name"),
-        pick(diffs.where("classification = 'BREAKING'").groupBy("contract_id").agg(F.array_join(F.array_sort(F.collect_set("field")), ", ").alias("fields")), 2, say("Bump the version of '%s' before deploying: breaking changes to %s.", "contract_id", "fields"), F.lit("c"), "contract_id"),
-        pick(subscriptions.where("validation_mode = 'ENFORCE'").agg(F.array_join(F.array_sort(F.collect_set("contract_id")), ", ").alias("ids"), F.count("*").alias("n")).where("n > 0"), 3, say("Validate in ENFORCE mode before production: %s.", "ids"), F.lit("d")),
+        pick(results.where("status = 'HIGH' AND check_type = 'range'"), 1, say("'%s': values of '%s' left their range; look for a change of scale.", "contract_id", "column_name"), F.lit("a"), "contract_id", "column_name"),
+        pick(results.where("status = 'CRITICAL'"), 1, say("'%s': '%s' breaks the contract; repair its producer first.", "contract_id", "column_name"), F.lit("b"), "contract_id", "column_name"),
+        pick(diffs.where("classification = 'BREAKING'").groupBy("contract_id").agg(F.array_join(F.array_sort(F.collect_set("field")), ", ").alias("fields")), 2, say("'%s': release a new version, as %s changed incompatibly.", "contract_id", "fields"), F.lit("c"), "contract_id"),
+        pick(subscriptions.where("validation_mode = 'ENFORCE'").agg(F.array_join(F.array_sort(F.collect_set("contract_id")), ", ").alias("ids"), F.count("*").alias("n")).where("n > 0"), 3, say("Gate production on these contracts: %s.", "ids"), F.lit("d")),
         pick(ai.where("check_name = 'embedding_drift' AND status = 'WARN'"), 3, F.lit("Investigate text drift."), F.lit("e")),
         pick(ai.where("check_name = 'output_rate' AND (status = 'WARN' OR trend = 'rising')"), 2, F.lit("Review recent prompt changes: output violations rise."), F.lit("f")),
     ]

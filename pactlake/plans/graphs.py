@@ -260,6 +260,33 @@ def health_score(spark, d):
     return report.health(values(spark, REPORTS, REPORT_NAMES), ai_fails=1)
 
 
+@query(f"""
+    WITH {cte("r", REPORTS, REPORT_NAMES)} SELECT count(DISTINCT contract_id) AS contracts, sum(total_checks)::BIGINT AS total_checks, sum(passed)::BIGINT AS passed, sum(critical)::BIGINT AS critical, sum(coalesce(high, 0))::BIGINT AS high,
+        (SELECT count(*) FILTER (classification <> 'COMPATIBLE') FROM ({CHANGES_SQL})) AS breaking
+    FROM r WHERE total_checks IS NOT NULL AND NOT starts_with(split_part(data_path, '/', -1), 'violated')
+""")
+def summary_totals(spark, d):
+    return report.totals(values(spark, REPORTS, REPORT_NAMES), _changes(spark))
+
+
+@query("""
+    SELECT * FROM (VALUES ('drift', 'PASS', 'drift holds.'), ('prompt', 'WARN', 'prompt needs a look (5.00%).'), ('rate', 'FAIL', 'rate fails (12.50%).'), ('text', 'SKIP', 'text was skipped.')) t("check", status, said)
+""")
+def status_lines(spark, d):
+    rows = values(spark, [("drift", "PASS", None), ("prompt", "WARN", 0.05), ("rate", "FAIL", 0.125), ("text", "SKIP", None)], "check, status, rate")
+    return rows.select("check", "status", prompts.status_line(F.col("check"), F.col("status"), F.col("rate").cast("double")).alias("said"))
+
+
+@query(f"""
+    WITH f AS ({BLAST_SQL}), w AS (SELECT field, array_to_string(list_sort(list(DISTINCT subscriber_id))[1:3], ', ') AS who FROM f WHERE contract_id = 'docs' GROUP BY field)
+    SELECT 'docs' AS contract_id, c AS column_name, format('The range check of ''{{}}'' failed for {{}} records (HIGH).{{}}', c, n, coalesce(' It reaches ' || who || '.', '')) AS said
+    FROM (VALUES ('fact_confidence', 7), ('other', 9)) t(c, n) LEFT JOIN w ON w.field = c
+""")
+def violation_texts(spark, d):
+    results = values(spark, [("docs", "fact_confidence", "range", "HIGH", "HIGH", 7), ("docs", "other", "range", "HIGH", "HIGH", 9), ("docs", "fine", "range", "PASS", "PASS", 0)], "contract_id, column_name, check_type, status, severity, records_failing")
+    return report.violation_text(results, registry.blast_radius(values(spark, FAILING, "contract_id, field"), _subs(spark)))
+
+
 DIFFS = [("docs", "BREAKING"), ("trace", "COMPATIBLE")]
 
 
@@ -281,7 +308,7 @@ AI = [("embedding_drift", "WARN", "unknown"), ("output_rate", "PASS", "rising")]
 
 
 @query("""
-    SELECT * FROM (VALUES (1, 'Fix range violation in ''docs'' field ''conf'': values changed scale.'), (1, 'Fix CRITICAL violation in ''docs'' on field ''id''.'), (2, 'Bump the version of ''docs'' before deploying: breaking changes to a, b.')) t(priority, action)
+    SELECT * FROM (VALUES (1, '''docs'': values of ''conf'' left their range; look for a change of scale.'), (1, '''docs'': ''id'' breaks the contract; repair its producer first.'), (2, '''docs'': release a new version, as a, b changed incompatibly.')) t(priority, action)
 """)
 def recommendations(spark, d):
     v = lambda rows, names: values(spark, rows, names)

@@ -93,3 +93,8 @@ def snapshot_table(clauses: DataFrame, contract_id: str, ts: str, path: str) ->
 
 def records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def centroid_cache(centroid: DataFrame, path: str) -> None:
+    """A centroid kept from its first run; later runs leave it as it is."""
+    centroid.write.mode("ignore").parquet(path)

@@ -31,6 +31,12 @@ def test_chain(spark, tmp_path):
     assert cli.main(["report", "--reports", t("r"), "--out", t("summary.json"), "--ai", t("ai.json")]) == 0
     assert cli.main(["diff", "--id", "docs", "--out", t("d.json"), "--old", t("c", "docs.yaml"), "--new", t("c", "docs.yaml")]) == 0
     assert json.loads(tmp_path.joinpath("d.json").read_text())["changes"] == []
+    assert cli.main(["infer", "--data", t("bad.jsonl"), "--id", "docs", "--out", t("c2")]) == 0
+    import shutil
+
+    shutil.copy(t("c2", "docs.yaml"), t("snap", "docs", "99990101T000000Z.yaml"))
+    assert cli.main(["diff", "--out", t("diffs"), "--snapshots", t("snap")]) == 0
+    assert json.loads(tmp_path.joinpath("diffs", "schema_evolution_docs.json").read_text())["summary"]["total"] == 0
 
 
 def test_hooks_fall_back():
