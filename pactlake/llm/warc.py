@@ -96,12 +96,13 @@ def read_archive(stream) -> Iterator[bytes]:
     kept = b""
     while True:
         frame = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj() if dictionary else zstandard.ZstdDecompressor().decompressobj()
-        out = io.BytesIO()
+        out, begun = io.BytesIO(), False
         while not frame.eof:
             if not (kept := kept or stream.read(1 << 20)):
-                if out.tell():
+                if begun:
                     raise ValueError("the archive ends within a record")
                 return
+            begun = True
             out.write(frame.decompress(kept))
             kept = frame.unused_data if frame.eof else b""
         yield out.getvalue()
@@ -118,8 +119,10 @@ def with_first(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, level: int = LEVEL, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """(page_id, url, payload binary) -> archives in folder (a URI of any store that pyarrow opens), and their manifest (path, records)."""
-    order = F.xxhash64("page_id", "url"), F.sha2("payload", 256)
-    samples = pages.where("payload IS NOT NULL").orderBy(*order).limit(SAMPLE_RECORDS).select(F.substring("payload", 1, SAMPLE_BYTES)).collect()
+    # The sample's largest hash is found first, on hashes alone, so that only the sample's payloads go to the driver.
+    draw = F.xxhash64("page_id", F.sha2("payload", 256))
+    last = pages.select(draw.alias("h")).orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
+    samples = [] if last is None else pages.where(draw <= last).limit(SAMPLE_RECORDS).select(F.substring("payload", 1, SAMPLE_BYTES)).collect()
     trained = train_dictionary([bytes(r[0]) for r in samples])
     lead = leading_frame(trained)
 
@@ -129,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, level: int = L
         name, n, out = f"{uuid.uuid4().hex}.warc.zst", 0, None
         pack = zstandard.ZstdCompressor(level=level, dict_data=dictionary_of(trained))
         for batch in batches:
-            out = out or store.open_output_stream(f"{base}/{name}")
+            out = out or store.open_output_stream(f"{base}/{name}", compression=None)  # else it is compressed once more, by its name
             n or out.write(lead)
             for page_id, url, payload, first in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 out.write(pack.compress(record(page_id, url, payload, first, date)))
@@ -162,7 +165,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for path, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 store, name = open_store(path)
                 held, size, seen = [], 0, 0
-                with store.open_input_stream(name) as stream:
+                with store.open_input_stream(name, compression=None) as stream:
                     for raw in read_archive(stream):
                         held.append(rows(raw))
                         size, seen = size + len(raw), seen + 1
