@@ -86,28 +86,32 @@ def bucket_map(keys: DataFrame, size: int = BUCKET) -> Column:
 
 
 def with_next(docs: DataFrame, size: int = BUCKET) -> DataFrame:
-    """(doc_id, text, sketch) plus next_text and next_sketch of the document that follows by descending id."""
+    """(doc_id, text) plus its sketch, and next_text and next_sketch of the document that follows by descending id.
+
+    Passes over ids alone read no texts, and only the lent heads are sketched twice.
+    """
     spark = docs.sparkSession
-    keyed = docs.withColumn("k", _order_key("doc_id"))
-    bucket = bucket_map(docs.select(_order_key("doc_id").alias("k")), size)
-    heads = docs.select(_order_key("doc_id").alias("k")).groupBy(bucket.alias("bucket")).agg(F.max("k").alias("k"))  # BUCKETS rows at most
+    keys = docs.select(_order_key("doc_id").alias("k"))
+    bucket = bucket_map(keys, size)
+    heads = keys.groupBy(bucket.alias("bucket")).agg(F.max("k").alias("k"))  # BUCKETS rows at most
     before = F.lag("bucket").over(Window.orderBy("bucket"))
     lent = settle(heads.select("k", F.coalesce(before, F.max("bucket").over(Window.partitionBy())).alias("bucket")), "heads")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = keyed.withColumn("bucket", bucket).withColumn("lent", F.lit(False))
-    guests = keyed.join(F.broadcast(lent), "k").withColumn("lent", F.lit(True)).select(*own.columns)
-    rows = own.unionByName(guests).repartition(parts, "bucket")
+    keyed = docs.withColumn("k", _order_key("doc_id"))
+    own = keyed.select("doc_id", "text", "k", bucket.alias("bucket"), F.lit(False).alias("lent"))
+    guests = keyed.join(F.broadcast(lent), "k").select("doc_id", "text", "k", "bucket", F.lit(True).alias("lent"))
+    sketched = [with_sketch(rows, F.col("text"), "sketch") for rows in (own, guests)]
+    rows = sketched[0].unionByName(sketched[1]).repartition(parts, "bucket")
     order = Window.partitionBy("bucket").orderBy("lent", F.col("k").desc(), "text")
     return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "sketch")}).where("NOT lent").drop("lent", "bucket", "k")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One row per document with its fingerprint, that of its edited text, and likenesses, as the query returns them."""
-    rows = with_sketch(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), F.col("text"), "sketch")
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
-    rows = with_next(rows, bucket).withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
+    rows = with_next(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), bucket).withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
     rows = with_sketch(rows.select("doc_id", "n_chars", "text", "sketch", "edited", F.sha2("edited", 256).alias("edited_sha256"), "next_sketch", (F.col("text") == F.col("next_text")).alias("same_next"), (F.col("text") == F.col("edited")).alias("same_edited")), F.col("edited"), "edited_sketch")
     return rows.select(
         "doc_id",
