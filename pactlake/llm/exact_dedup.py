@@ -102,7 +102,7 @@ def repeated_fingerprints(prints: DataFrame) -> DataFrame:
     spark = prints.sparkSession
     filters = prints.select("fp").mapInArrow(build_filters, "block int, runs binary, remainders binary, counters binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = filters.repartitionByRange(parts, "block").sortWithinPartitions("block").mapInArrow(merge_filters, "fp long, n long")
+    merged = filters.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(merge_filters, "fp long, n long")
     return settle(merged, "repeated")
 
 

@@ -33,11 +33,11 @@ from pactlake.llm.graph import connected_components
 from pactlake.llm.sketch import with_sketch
 
 #: Children of a node; (query, node) pairs that a task holds at once; fingerprints of a segment that one task searches.
-FANOUT, FRONT, SEGMENT = 8, 2_000_000, 2_000_000
+FANOUT, FRONT, SEGMENT = 8, 500_000, 2_000_000
 CHUNK = 1 << 16
-#: Similar documents: bits between their fingerprints at most; words of the shingles on which they are verified, similarity from
-#: which they are similar, and smallest shingle hashes by which it is estimated (exact for shorter texts).
-SIMILAR_BITS, SIMILAR_WORDS, SIMILAR, BOTTOM = 11, 5, 0.8, 256
+#: Similar documents: words of the shingles of their fingerprints, bits between these at most; words of the shingles on which they
+#: are verified, similarity from which they are similar, and smallest shingle hashes by which it is estimated (exact for shorter texts).
+SIMILAR_WIDTH, SIMILAR_BITS, SIMILAR_WORDS, SIMILAR, BOTTOM = 2, 7, 5, 0.8, 256
 
 
 def simhash(text: str | None, width: int = 3) -> int:
@@ -170,7 +170,7 @@ def segment_links(batches: Iterator[pa.RecordBatch], distance: int, near: bool =
             if len(a) > FRONT:
                 a, b, d = shrink(a, b, d)
         a, b, d = shrink(a, b, d)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)][: 2 + near], names=["a", "b", "d"][: 2 + near])
 
     held: list[tuple] = []
     for batch in batches:
@@ -231,7 +231,7 @@ def fingerprint_links(codes: DataFrame, distance: int = 3, most: int = SEGMENT,
         rows = _deal_large(rows, distance, most)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "seg").sortWithinPartitions("seg", gray_rank(F.col("code"))).select("seg", "code", "asks")
-    return rows.mapInArrow(partial(segment_links, distance=distance, near=near), "a long, b long")
+    return rows.mapInArrow(partial(segment_links, distance=distance, near=near), "a long, b long" + ", d long" * near)
 
 
 def components(prints: DataFrame, distance: int = 3) -> DataFrame:
@@ -247,7 +247,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     bounded_batches(docs.sparkSession)
     prints = settle(docs.select(F.col(id_col).alias("doc_id"), simhash_column(text_of(text_col), width).alias("fp")), "prints")
-    joined = prints.join(components(prints, distance), "fp")
+    joined = join_small(prints, settle(components(prints, distance), "components"), "fp", "inner")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -267,27 +267,30 @@ def _verified(ties: DataFrame, low: DataFrame) -> DataFrame:
 def similar_texts(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
     """(text) -> (th): hashes of the texts that go, so that no two that stay were found similar.
 
-    Rounds: fingerprints are tied to the nearest within the distance, ties are verified on five-word shingles, and of each
-    component of verified ties one text stays. The next round works on texts that had a tie and stay, until none is verified.
-    A round at least halves each component, so even thousands of copies take few rounds.
+    Rounds: fingerprints are tied to the nearest and the smallest within the distance, ties are verified on five-word shingles,
+    and the greater text of a verified tie goes, so from each text that goes verified ties lead down to one that stays. The next
+    round works on the texts that stay and were tied to one that went, as only their ties can have changed; a round without
+    verified ties ends it.
     """
-    texts = settle(docs.select(F.xxhash64("text").alias("th"), simhash_column(F.col("text")).alias("fp")).distinct(), "texts")
+    texts = settle(docs.select(F.xxhash64("text").alias("th"), simhash_column(F.col("text"), SIMILAR_WIDTH).alias("fp")).distinct(), "texts")
     active, low, gone = texts, None, []
     while True:
         reps = settle(active.groupBy("fp").agg(F.min("th").alias("rep")), "reps")
-        ties = settle(fingerprint_links(reps.select(F.col("fp").alias("code")), distance, near=True).distinct(), "ties")
+        reached = fingerprint_links(reps.select(F.col("fp").alias("code")), distance, near=True)
+        ties = reached.groupBy("a").agg(F.array_distinct(F.array(F.min_by("b", F.struct("d", "b")), F.min("b"))).alias("b"))
+        ties = ties.select("a", F.explode("b").alias("b")).where("a <> b")
         named = ties.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
         same = active.join(reps, "fp").where("th <> rep").select(F.col("th").alias("a"), F.col("rep").alias("b"))
         pairs = named.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(same)
         pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "ends")
         if low is None:  # later rounds' texts are among these
+            ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "ends")
             low = settle(_bottom(join_small(docs.select(F.xxhash64("text").alias("th"), "text"), ends, "th", "left_semi")).dropDuplicates(["th"]), "low")
-        parts = settle(connected_components(_verified(pairs, low)), "parts")
-        gone.append(parts.where("node <> root").select(F.col("node").alias("th")))
+        gone.append(settle(_verified(pairs, low).select(F.col("b").alias("th")).distinct(), "gone"))  # b is the greater of a tie
         if not gone[-1].limit(1).count():
             break
-        active = settle(active.join(ends, "th", "left_semi").join(gone[-1], "th", "left_anti"), "active")
+        touched = pairs.join(gone[-1].select(F.col("th").alias("a")), "a").select(F.col("b").alias("th")).unionByName(pairs.join(gone[-1].select(F.col("th").alias("b")), "b").select(F.col("a").alias("th")))
+        active = settle(active.join(touched.distinct(), "th", "left_semi").join(gone[-1], "th", "left_anti"), "active")
     return settle(functools.reduce(DataFrame.unionByName, gone), "gone")
 
 

@@ -162,7 +162,8 @@ def _ddl(df: DataFrame) -> str:
 def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """Pieces (with column length) -> the same with sequence_id and offset."""
     spark = pieces.sparkSession
-    numbered = ranked(pieces)
+    # Written first, so that tokenizing and numbering never hold two Python workers in one task.
+    numbered = ranked(settle(pieces, "pieces"))
     counts = {r["length"]: r["n"] for r in numbered.groupBy("length").agg((F.max("rank") + 1).alias("n")).collect()}  # at most `length` rows
     runs = pd.DataFrame(plan(counts, length), columns=["length", "lo", "hi", "first", "each", "at"]).astype("int64")
     table = spark.createDataFrame(runs) if len(runs) else spark.createDataFrame([], "length long, lo long, hi long, first long, each long, at long")

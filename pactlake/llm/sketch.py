@@ -10,7 +10,7 @@ lent to the bucket before it. So whole texts are shuffled once, and no task sees
 
 Defined cases: null text counts as empty; a text of one to four words is one shingle; a text without words has an empty
 sketch; two empty sketches are alike (1) if their texts are equal and else not (0), an empty and another one are not;
-equal texts have equal fingerprints; rows with one id follow each other by text; null ids come after all others; a
+equal texts have equal fingerprints; rows with one id follow each other by text, in one bucket; null ids come after all others; a
 single document is followed by itself; no rows give no rows; further columns are ignored.
 """
 
