@@ -269,8 +269,8 @@ def similar_texts(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
 
     Rounds: fingerprints are tied to the nearest and the smallest within the distance, ties are verified on five-word shingles,
     and the greater text of a verified tie goes, so from each text that goes verified ties lead down to one that stays. The next
-    round works on the texts that stay and were tied to one that went, as only their ties can have changed; a round without
-    verified ties ends it.
+    round works on all texts that stay, as a text whose tie went may be nearest to one that had none; a round without verified
+    ties ends it.
     """
     texts = settle(docs.select(F.xxhash64("text").alias("th"), simhash_column(F.col("text"), SIMILAR_WIDTH).alias("fp")).distinct(), "texts")
     active, low, gone = texts, None, []
@@ -283,15 +283,18 @@ def similar_texts(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
         same = active.join(reps, "fp").where("th <> rep").select(F.col("th").alias("a"), F.col("rep").alias("b"))
         pairs = named.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(same)
         pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        if low is None:  # later rounds' texts are among these
-            ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "ends")
-            low = settle(_bottom(join_small(docs.select(F.xxhash64("text").alias("th"), "text"), ends, "th", "left_semi")).dropDuplicates(["th"]), "low")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+        new = settle(ends if low is None else ends.join(low, "th", "left_anti"), "ends")
+        if new.limit(1).count():
+            more = settle(_bottom(join_small(docs.select(F.xxhash64("text").alias("th"), "text"), new, "th", "left_semi")).dropDuplicates(["th"]), "low")
+            low = more if low is None else low.unionByName(more)
+        if low is None:
+            break
         gone.append(settle(_verified(pairs, low).select(F.col("b").alias("th")).distinct(), "gone"))  # b is the greater of a tie
         if not gone[-1].limit(1).count():
             break
-        touched = pairs.join(gone[-1].select(F.col("th").alias("a")), "a").select(F.col("b").alias("th")).unionByName(pairs.join(gone[-1].select(F.col("th").alias("b")), "b").select(F.col("a").alias("th")))
-        active = settle(active.join(touched.distinct(), "th", "left_semi").join(gone[-1], "th", "left_anti"), "active")
-    return settle(functools.reduce(DataFrame.unionByName, gone), "gone")
+        active = settle(active.join(gone[-1], "th", "left_anti"), "active")
+    return settle(functools.reduce(DataFrame.unionByName, gone), "gone") if gone else pairs.select(F.col("b").alias("th"))
 
 
 def survivors(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
