@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactlake.llm import exact_dedup
@@ -38,6 +38,10 @@ CHUNK = 1 << 16
 #: Similar documents: words of the shingles of their fingerprints, bits between these at most; words of the shingles on which they
 #: are verified, similarity from which they are similar, and smallest shingle hashes by which it is estimated (exact for shorter texts).
 SIMILAR_WIDTH, SIMILAR_BITS, SIMILAR_WORDS, SIMILAR, BOTTOM = 2, 7, 5, 0.8, 256
+#: Untested partners that a text is given in a round: at least, and at most when few texts still ask (as many pairs as in round one).
+PARTNERS, MOST_PARTNERS = 8, 4096
+#: Cursors of a text that has tested no partner and of one that has tested all.
+START, DONE = -(2**63), 2**63 - 1
 
 
 def simhash(text: str | None, width: int = 3) -> int:
@@ -141,54 +145,80 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links with distances -> for each end its nearest partner, and the smallest code that it reaches here (distance 64)."""
-    if not len(a):
-        return a, b, d
-    x, y, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
-    order = np.lexsort((y, far, x))
-    x, y, far = x[order], y[order], far[order]
-    first = np.append(True, x[1:] != x[:-1])
-    node, root = stars(a, b)
-    return np.concatenate([x[first], node]), np.concatenate([y[first], root]), np.concatenate([far[first], np.full(len(node), 64)])
+def least_partners(hi: np.ndarray, lo: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct links, of each greater end the `count` smallest partners."""
+    if not len(hi):
+        return hi, lo
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    new = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))
+    hi, lo = hi[new], lo[new]
+    first = np.flatnonzero(np.append(True, hi[1:] != hi[:-1]))
+    rank = np.arange(len(hi)) - np.repeat(first, np.diff(np.append(first, len(hi))))
+    return hi[rank < count], lo[rank < count]
 
 
-def segment_links(batches: Iterator[pa.RecordBatch], distance: int, near: bool = False) -> Iterator[pa.RecordBatch]:
-    """Links among rows (segment, code, asks) that arrive by segment and Gray rank; the last segment of a batch waits."""
-
-    def links(seg: np.ndarray, code: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
-        own = np.flatnonzero(~asks)
-        tree, at = GrayTree(code[own]), seg[own]
-        first, last = np.searchsorted(at, seg, "left"), np.searchsorted(at, seg, "right")
-        first[own] = np.arange(len(own)) + 1  # a pair in a segment is met once
-        a, b, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        shrink = nearest if near else lambda a, b, d: (*stars(a, b), d[:0])
-        for q, place in tree.search(code, first, last, distance):
-            one, two = code[q], code[own][place]
-            a, b = np.concatenate([a, one.view(np.int64)]), np.concatenate([b, two.view(np.int64)])
-            d = np.concatenate([d, np.bitwise_count(one ^ two).astype(np.int64)])
-            if len(a) > FRONT:
-                a, b, d = shrink(a, b, d)
-        a, b, d = shrink(a, b, d)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)][: 2 + near], names=["a", "b", "d"][: 2 + near])
-
+def whole_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns (segment, code, ...) of rows that arrive by segment and Gray rank; the last segment of a batch waits."""
     held: list[tuple] = []
     for batch in batches:
-        new = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        new = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if len(new[0]):
-            held.append((new[0], new[1].astype(np.int64).view(np.uint64), new[2]))
+            held.append((new[0], new[1].astype(np.int64).view(np.uint64), *new[2:]))
         if sum(len(x[0]) for x in held) < CHUNK or held[-1][0][-1] == held[0][0][0]:
             continue
         rows = tuple(np.concatenate(c) for c in zip(*held))
         cut = int(np.searchsorted(rows[0], rows[0][-1]))
-        yield links(*(c[:cut] for c in rows))
+        yield tuple(c[:cut] for c in rows)
         held = [tuple(c[cut:] for c in rows)]
     if held:
-        yield links(*(np.concatenate(c) for c in zip(*held)))
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def segment_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Stars of the links among rows (segment, code, asks)."""
+    for seg, code, asks in whole_segments(batches):
+        own = np.flatnonzero(~asks)
+        tree, at = GrayTree(code[own]), seg[own]
+        first, last = np.searchsorted(at, seg, "left"), np.searchsorted(at, seg, "right")
+        first[own] = np.arange(len(own)) + 1  # a pair in a segment is met once
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        for q, place in tree.search(code, first, last, distance):
+            a, b = np.concatenate([a, code[q].view(np.int64)]), np.concatenate([b, code[own][place].view(np.int64)])
+            if len(a) > FRONT:
+                a, b = stars(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(a, b)], names=["a", "b"])
 
 
-def _segments(codes: DataFrame, distance: int) -> DataFrame:
-    """(seg, code, asks): the segments of each code, and those that it asks (each pair of segments in one direction)."""
+def segment_partners(batches: Iterator[pa.RecordBatch], distance: int, count: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) among rows (segment, code, asks, th, after): of each text b the `count` smallest texts a < b beyond its cursor."""
+    for seg, code, asks, th, after in whole_segments(batches):
+        own = np.flatnonzero(~asks)
+        tree, at = GrayTree(code[own]), seg[own]
+        first, last = np.searchsorted(at, seg, "left"), np.searchsorted(at, seg, "right")
+        if (after < DONE).all():
+            first[own] = np.arange(len(own)) + 1  # a pair in a segment is met once
+        else:
+            last[after == DONE] = 0  # those that are done are only found
+        hi, lo, full = np.empty(0, np.int64), np.empty(0, np.int64), FRONT
+        for q, place in tree.search(code, first, last, distance):
+            y = own[place]
+            greater = th[q] > th[y]
+            b, a = np.where(greater, q, y), np.where(greater, y, q)
+            fresh = (th[a] < th[b]) & (th[a] > after[b])
+            hi, lo = np.concatenate([hi, th[b[fresh]]]), np.concatenate([lo, th[a[fresh]]])
+            if len(hi) > full:
+                hi, lo = least_partners(hi, lo, count)
+                full = max(FRONT, 2 * len(hi))
+        hi, lo = least_partners(hi, lo, count)
+        yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+
+
+def _segments(codes: DataFrame, distance: int, every: Column | None = None) -> DataFrame:
+    """codes with (seg, asks): the segments of each code, and those that it asks.
+
+    Each pair of segments is asked in one direction, or with `every` in both, by the rows for which that holds.
+    """
     near = [sum(1 << i for i in bits) for r in range(1, distance // 4 + 1) for bits in combinations(range(16), r)]
 
     def places(block: int) -> Column:
@@ -197,10 +227,11 @@ def _segments(codes: DataFrame, distance: int) -> DataFrame:
         own = F.array(place(value, False))
         if not near:
             return own
-        asked = F.filter(F.transform(F.array(*map(F.lit, near)), lambda m: value.bitwiseXOR(m.cast("long"))), lambda v: v < value)
+        others = F.transform(F.array(*map(F.lit, near)), lambda m: value.bitwiseXOR(m.cast("long")))
+        asked = F.filter(others, lambda v: v < value) if every is None else F.filter(others, lambda v: every)
         return F.concat(own, F.transform(asked, lambda v: place(v, True)))
 
-    return codes.select("code", F.explode(F.concat(*map(places, range(4)))).alias("p")).select("code", "p.seg", "p.asks")
+    return codes.select("*", F.explode(F.concat(*map(places, range(4)))).alias("p")).select(*codes.columns, "p.seg", "p.asks")
 
 
 def _deal_large(rows: DataFrame, distance: int, most: int) -> DataFrame:
@@ -220,18 +251,26 @@ def _deal_large(rows: DataFrame, distance: int, most: int) -> DataFrame:
     return marked.select("code", "asks", F.explode(keys).alias("seg"))
 
 
-def fingerprint_links(codes: DataFrame, distance: int = 3, most: int = SEGMENT, near: bool = False) -> DataFrame:
-    """Distinct (code) -> stars (a, b) that connect all codes within the distance of each other.
-
-    With `near` each code is tied to the nearest and to the smallest one that it reaches in each of its segments.
-    """
-    spark = codes.sparkSession
+def fingerprint_links(codes: DataFrame, distance: int = 3, most: int = SEGMENT) -> DataFrame:
+    """Distinct (code) -> stars (a, b) that connect all codes within the distance of each other."""
     rows = _segments(codes, distance)
     if distance < 4:
         rows = _deal_large(rows, distance, most)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "seg").sortWithinPartitions("seg", gray_rank(F.col("code"))).select("seg", "code", "asks")
-    return rows.mapInArrow(partial(segment_links, distance=distance, near=near), "a long, b long" + ", d long" * near)
+    return _by_segment(rows, "seg", "code", "asks").mapInArrow(partial(segment_links, distance=distance), "a long, b long")
+
+
+def _by_segment(rows: DataFrame, *columns: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "seg").sortWithinPartitions("seg", gray_rank(F.col("code"))).select(*columns)
+
+
+def partners(texts: DataFrame, distance: int, count: int, first: bool) -> DataFrame:
+    """(th, fp, after) -> distinct (a, b, n): of each text b the `count` smallest texts a < b within the distance and beyond
+    b's cursor, numbered from one. With `first` all texts are known to ask."""
+    rows = _segments(texts.withColumnRenamed("fp", "code"), distance, None if first else F.col("after") < DONE)
+    found = _by_segment(rows, "seg", "code", "asks", "th", "after").mapInArrow(partial(segment_partners, distance=distance, count=count), "a long, b long")
+    ranked = found.distinct().withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("a")))
+    return ranked.where(F.col("n") <= count)
 
 
 def components(prints: DataFrame, distance: int = 3) -> DataFrame:
@@ -265,36 +304,32 @@ def _verified(ties: DataFrame, low: DataFrame) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
-    """(text) -> (th): hashes of the texts that go, so that no two that stay were found similar.
+    """(text) -> (th): hashes of the texts that go, so that no two that stay are similar and within the distance.
 
-    Rounds: fingerprints are tied to the nearest and the smallest within the distance, ties are verified on five-word shingles,
-    and the greater text of a verified tie goes, so from each text that goes verified ties lead down to one that stays. The next
-    round works on all texts that stay, as a text whose tie went may be nearest to one that had none; a round without verified
-    ties ends it.
+    A link is tested by its greater text, which goes if the link is verified on five-word shingles; so from each text that goes
+    verified links lead down to one that stays. In a round each text tests its smallest partners beyond a cursor, at least
+    PARTNERS of them, and if it stays and there may be more, it asks again with its cursor at the last one. So pairs of a round
+    grow with the texts however dense a group is, and at the end each link was verified, refused or had an end that went. All
+    texts that stay are indexed in each round; those that have tested all their partners are only found.
     """
-    texts = settle(docs.select(F.xxhash64("text").alias("th"), simhash_column(F.col("text"), SIMILAR_WIDTH).alias("fp")).distinct(), "texts")
-    active, low, gone = texts, None, []
-    while True:
-        reps = settle(active.groupBy("fp").agg(F.min("th").alias("rep")), "reps")
-        reached = fingerprint_links(reps.select(F.col("fp").alias("code")), distance, near=True)
-        ties = reached.groupBy("a").agg(F.array_distinct(F.array(F.min_by("b", F.struct("d", "b")), F.min("b"))).alias("b"))
-        ties = ties.select("a", F.explode("b").alias("b")).where("a <> b")
-        named = ties.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-        same = active.join(reps, "fp").where("th <> rep").select(F.col("th").alias("a"), F.col("rep").alias("b"))
-        pairs = named.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(same)
-        pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    texts = docs.select(F.xxhash64("text").alias("th"), simhash_column(F.col("text"), SIMILAR_WIDTH).alias("fp")).distinct()
+    texts = settle(texts.withColumn("after", F.lit(START)), "texts")
+    total = asking = texts.count()
+    low, gone = None, [texts.select("th").limit(0)]
+    while asking:
+        count = min(MOST_PARTNERS, max(PARTNERS, PARTNERS * total // asking))
+        pairs = settle(partners(texts, distance, count, low is None), "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-        new = settle(ends if low is None else ends.join(low, "th", "left_anti"), "ends")
-        if new.limit(1).count():
-            more = settle(_bottom(join_small(docs.select(F.xxhash64("text").alias("th"), "text"), new, "th", "left_semi")).dropDuplicates(["th"]), "low")
-            low = more if low is None else low.unionByName(more)
-        if low is None:
-            break
-        gone.append(settle(_verified(pairs, low).select(F.col("b").alias("th")).distinct(), "gone"))  # b is the greater of a tie
-        if not gone[-1].limit(1).count():
-            break
-        active = settle(active.join(gone[-1], "th", "left_anti"), "active")
-    return settle(functools.reduce(DataFrame.unionByName, gone), "gone") if gone else pairs.select(F.col("b").alias("th"))
+        ends = settle(ends if low is None else ends.join(low, "th", "left_anti"), "ends")
+        if low is None or ends.limit(1).count():
+            new = settle(_bottom(join_small(docs.select(F.xxhash64("text").alias("th"), "text"), ends, "th", "left_semi")).dropDuplicates(["th"]), "low")
+            low = new if low is None else low.unionByName(new)
+        gone.append(settle(_verified(pairs.select("a", "b"), low).select(F.col("b").alias("th")).distinct(), "gone"))
+        more = settle(pairs.where(F.col("n") == count).select(F.col("b").alias("th"), F.col("a").alias("last")).join(gone[-1], "th", "left_anti"), "more")
+        if asking := more.count():
+            left = join_small(texts.select("th", "fp"), gone[-1], "th", "left_anti")
+            texts = settle(join_small(left, more, "th", "left").select("th", "fp", F.coalesce("last", F.lit(DONE)).alias("after")), "texts")
+    return settle(functools.reduce(DataFrame.unionByName, gone), "gone")
 
 
 def survivors(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:

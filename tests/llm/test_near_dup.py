@@ -109,3 +109,54 @@ def test_similar_documents(spark):
     assert sorted(k // 10 for k in kept if k < 40) + [k for k in kept if k == 103] in ([0, 1, 2, 3], [1, 2, 3, 103])
     assert {101, 102} <= set(kept) and len({100, 104} & set(kept)) == 1
     assert nd.survivors(df.limit(0)).count() == 0
+
+
+def crowds(groups, size, words, edits, seed=5):
+    """Texts in groups about one base each: edits of runs of words, so that likenesses lie on both sides of 0.8."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    out = []
+    for _ in range(groups):
+        base = [word() for _ in range(words)]
+        for _ in range(size):
+            edited = list(base)
+            for at in rng.choice(words, rng.integers(0, edits + 1), replace=False):
+                edited[at] = word()
+            out.append(" ".join(edited))
+    return out
+
+
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b)
+
+
+def similar_left(kept, distance=nd.SIMILAR_BITS):
+    """Pairs of kept texts within the distance whose five-word Jaccard similarity is 0.8 or more, by brute force."""
+    codes = np.array([nd.simhash(t, nd.SIMILAR_WIDTH) for t in kept]).view(np.uint64)
+    sets = list(map(shingles, kept))
+    near = np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= distance, 1)
+    return [(i, j) for i, j in zip(*np.nonzero(near)) if likeness(sets[i], sets[j]) >= 0.8]
+
+
+def test_each_link_is_settled(spark, monkeypatch):
+    """No similar texts stay within the distance, in crowded groups with chains, in one round or in many with one partner each."""
+    texts = crowds(120, 12, 120, 4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert similar_left([r.text for r in nd.survivors(df).collect()]) == []
+    monkeypatch.setattr(nd, "PARTNERS", 1)
+    monkeypatch.setattr(nd, "MOST_PARTNERS", 1)
+    texts = crowds(12, 8, 120, 5, seed=6)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert similar_left([r.text for r in nd.survivors(df).collect()]) == []
+
+
+def test_least_partners():
+    rng = np.random.default_rng(7)
+    hi, lo = rng.integers(0, 20, 900), rng.integers(0, 200, 900)
+    want = {(h, x) for h in set(hi.tolist()) for x in sorted({b for a, b in zip(hi.tolist(), lo.tolist()) if a == h})[:5]}
+    assert sorted(zip(*(c.tolist() for c in nd.least_partners(hi, lo, 5)))) == sorted(want)
