@@ -36,8 +36,9 @@ from pactlake.llm.sketch import with_sketch
 FANOUT, FRONT, SEGMENT = 8, 500_000, 2_000_000
 CHUNK = 1 << 16
 #: Similar documents: words of the shingles of their fingerprints, bits between these at most; words of the shingles on which they
-#: are verified, similarity from which they are similar, and smallest shingle hashes by which it is estimated (exact for shorter texts).
-SIMILAR_WIDTH, SIMILAR_BITS, SIMILAR_WORDS, SIMILAR, BOTTOM = 2, 7, 5, 0.8, 256
+#: are verified, similarity from which they are similar, and smallest shingle hashes by which long pairs that are clearly less are
+#: refused (estimates below CLEAR, six standard errors away); all others are decided on all their shingles.
+SIMILAR_WIDTH, SIMILAR_BITS, SIMILAR_WORDS, SIMILAR, BOTTOM, CLEAR = 2, 7, 5, 0.8, 256, 0.65
 #: Untested partners that a text is given in a round: at least, and at most when few texts still ask (as many pairs as in round one).
 PARTNERS, MOST_PARTNERS = 8, 4096
 #: Cursors of a text that has tested no partner and of one that has tested all.
@@ -291,16 +292,36 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 
 def _bottom(docs: DataFrame) -> DataFrame:
-    """(th, text) -> (th, low): the BOTTOM smallest hashes of the text's five-word shingles."""
-    return with_sketch(docs, F.col("text"), "low", SIMILAR_WORDS, 1).select("th", F.slice("low", 1, BOTTOM).alias("low"))
+    """(th, text) -> (th, low, n): the BOTTOM smallest hashes of the text's five-word shingles, and how many there are."""
+    return with_sketch(docs, F.col("text"), "low", SIMILAR_WORDS, 1).select("th", F.slice("low", 1, BOTTOM).alias("low"), F.size("low").alias("n"))
 
 
-def _verified(ties: DataFrame, low: DataFrame) -> DataFrame:
-    """Ties (a, b) whose texts' five-word shingles have an estimated Jaccard similarity of SIMILAR or more."""
-    both = ties.join(low.select(F.col("th").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("th").alias("b"), F.col("low").alias("lb")), "b")
+def _alike(shared: Column, union: Column) -> Column:
+    return (union > 0) & (shared >= SIMILAR * union - 1e-6)
+
+
+def _verified(ties: DataFrame, low: DataFrame, docs: DataFrame) -> DataFrame:
+    """Ties (a, b) whose texts' five-word shingles have a Jaccard similarity of SIMILAR or more.
+
+    Pairs of short texts are decided on the hashes at hand. Of the others those go that can't be similar by their sizes or clearly
+    aren't by estimate; the rest are decided by counts of (pair, hash), so that no row holds two whole texts.
+    """
+    side = lambda end: low.select(F.col("th").alias(end), F.col("low").alias(f"l{end}"), F.col("n").alias(f"n{end}"))
+    both = ties.join(side("a"), "a").join(side("b"), "b").where(_alike(F.least("na", "nb"), F.greatest("na", "nb")))
     union = F.slice(F.array_sort(F.array_union("la", "lb")), 1, BOTTOM)
-    shared = F.size(F.array_intersect(union, F.array_intersect("la", "lb")))
-    return both.where((F.size(union) > 0) & (shared >= SIMILAR * F.size(union))).select("a", "b")
+    shared = F.size(F.array_intersect("la", "lb"))
+    short = F.greatest("na", "nb") <= BOTTOM
+    likeness = F.when(short, shared / (F.col("na") + F.col("nb") - shared)).otherwise(F.size(F.array_intersect(union, F.array_intersect("la", "lb"))) / F.size(union))
+    judged = settle(both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), short.alias("short"), likeness.alias("likeness")).where(F.col("likeness") >= F.when(F.col("short"), SIMILAR - 1e-9).otherwise(CLEAR)), "judged")
+    exact, open_ = judged.where("short").select("a", "b"), judged.where("NOT short").select("a", "b", "n")
+    ends = settle(open_.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "ends")
+    if not ends.limit(1).count():
+        return exact
+    texts = join_small(docs.select(F.xxhash64("text").alias("th"), "text"), ends, "th", "left_semi").dropDuplicates(["th"])
+    hashes = settle(with_sketch(texts, F.col("text"), "all", SIMILAR_WORDS, 1).select("th", F.explode("all").alias("h")), "hashes")
+    sides = open_.select("a", "b", "n", F.explode(F.array("a", "b")).alias("th"))
+    common = sides.join(hashes, "th").groupBy("a", "b", "n", "h").count().where("count = 2").groupBy("a", "b", "n").count()
+    return exact.unionByName(common.where(_alike(F.col("count"), F.col("n") - F.col("count"))).select("a", "b"))
 
 
 def similar_texts(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
@@ -324,7 +345,7 @@ def similar_texts(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
         if low is None or ends.limit(1).count():
             new = settle(_bottom(join_small(docs.select(F.xxhash64("text").alias("th"), "text"), ends, "th", "left_semi")).dropDuplicates(["th"]), "low")
             low = new if low is None else low.unionByName(new)
-        gone.append(settle(_verified(pairs.select("a", "b"), low).select(F.col("b").alias("th")).distinct(), "gone"))
+        gone.append(settle(_verified(pairs.select("a", "b"), low, docs).select(F.col("b").alias("th")).distinct(), "gone"))
         more = settle(pairs.where(F.col("n") == count).select(F.col("b").alias("th"), F.col("a").alias("last")).join(gone[-1], "th", "left_anti"), "more")
         if asking := more.count():
             left = join_small(texts.select("th", "fp"), gone[-1], "th", "left_anti")

@@ -160,3 +160,26 @@ def test_least_partners():
     hi, lo = rng.integers(0, 20, 900), rng.integers(0, 200, 900)
     want = {(h, x) for h in set(hi.tolist()) for x in sorted({b for a, b in zip(hi.tolist(), lo.tolist()) if a == h})[:5]}
     assert sorted(zip(*(c.tolist() for c in nd.least_partners(hi, lo, 5)))) == sorted(want)
+
+
+def test_long_pairs_are_decided_exactly(spark):
+    """Pairs of long texts on both sides of 0.8 and exactly at it: 1000 shingles each, of which k are shared."""
+    rows, ties, want = [], [], set()
+    for g in range(24):
+        shared = 8000 // 9 + [-2, -1, 0, 1, 2, 12][g % 6]  # 889 of 1111 is the first at 0.8 or more
+        words = [f"g{g}w{i}" for i in range(1004)]
+        other = words[: shared + 4] + [f"x{g}w{i}" for i in range(1000 - shared)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+        ties.append((2 * g, 2 * g + 1))
+        if likeness(shingles(rows[-2][1]), shingles(rows[-1][1])) >= 0.8:
+            want.add(ties[-1])
+    rows += [(100, " ".join(f"e{i}" for i in range(904))), (101, " ".join(f"e{i}" for i in range(1129)))]  # 900 of 1125: 0.8
+    ties.append((100, 101))
+    want.add((100, 101))
+    docs = spark.createDataFrame(rows, "id long, text string").select(F.xxhash64("text").alias("th"), "text", "id")
+    name = {r.th: r.id for r in docs.collect()}
+    th = {i: t for t, i in name.items()}
+    low = nd._bottom(docs.select("th", "text"))
+    pairs = spark.createDataFrame([(th[a], th[b]) for a, b in ties], "a long, b long")
+    got = {(name[r.a], name[r.b]) for r in nd._verified(pairs, low, docs.select("text")).collect()}
+    assert got == want and 0 < len(want) < len(ties)
