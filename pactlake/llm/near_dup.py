@@ -39,6 +39,8 @@ CHUNK = 1 << 16
 #: are verified, similarity from which they are similar, and smallest shingle hashes by which long pairs that are clearly less are
 #: refused (estimates below CLEAR, six standard errors away); all others are decided on all their shingles.
 SIMILAR_WIDTH, SIMILAR_BITS, SIMILAR_WORDS, SIMILAR, BOTTOM, CLEAR = 2, 7, 5, 0.8, 256, 0.65
+#: Independent fingerprints of a text; a pair is linked if any two of one number are within the distance.
+PRINTS = 4
 #: Untested partners that a text is given in a round: at least, and at most when few texts still ask (as many pairs as in round one).
 PARTNERS, MOST_PARTNERS = 8, 4096
 #: Cursors of a text that has tested no partner and of one that has tested all.
@@ -47,17 +49,35 @@ START, DONE = -(2**63), 2**63 - 1
 
 def simhash(text: str | None, width: int = 3) -> int:
     """64-bit SimHash, as a signed long, of the ASCII-lower-cased text's word shingles (repeats count)."""
+    return simhashes(text, width, 1)[0]
+
+
+def simhashes(text: str | None, width: int, prints: int) -> list[int]:
+    """The SimHash and further ones over remixed hashes of the same shingles."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: lower() and split() touch ASCII only
     if not words:
-        return 0
+        return [0] * prints
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else iter([b" ".join(words)])
     n = max(1, len(words) - width + 1)
     hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, CHUNK):
-        part = hashes[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">i8")[0])
+    found = []
+    for k in range(prints):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, n, CHUNK):
+            part = remixed(hashes[i : i + CHUNK], k).astype(">u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+        found.append(int(np.packbits(2 * ones > n).view(">i8")[0]))
+    return found
+
+
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of independent hashes made from hashes (SplitMix64); the 0-th are the hashes themselves."""
+    if not k:
+        return hashes
+    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def simhash_column(text: Column, width: int = 3) -> Column:
@@ -68,6 +88,14 @@ def simhash_column(text: Column, width: int = 3) -> Column:
     return fingerprint(text)
 
 
+def simhashes_column(text: Column, width: int, prints: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def fingerprints(texts: pd.Series) -> pd.Series:
+        return pd.Series([simhashes(t, width, prints) for t in texts], dtype=object)
+
+    return fingerprints(text)
+
+
 def gray_rank(code: Column) -> Column:
     """Place of a 64-bit code in the reflected Gray sequence, as a long that sorts like the unsigned rank."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -266,9 +294,11 @@ def _by_segment(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def partners(texts: DataFrame, distance: int, count: int, first: bool) -> DataFrame:
-    """(th, fp, after) -> distinct (a, b, n): of each text b the `count` smallest texts a < b within the distance and beyond
-    b's cursor, numbered from one. With `first` all texts are known to ask."""
-    rows = _segments(texts.withColumnRenamed("fp", "code"), distance, None if first else F.col("after") < DONE)
+    """(th, fps, after) -> distinct (a, b, n): of each text b the `count` smallest texts a < b that have a fingerprint within the
+    distance and are beyond b's cursor, numbered from one. With `first` all texts are known to ask."""
+    prints = texts.select("th", "after", F.posexplode("fps").alias("print", "code"))
+    rows = _segments(prints, distance, None if first else F.col("after") < DONE)
+    rows = rows.withColumn("seg", F.shiftleft(F.col("print").cast("long"), 18) + F.col("seg"))
     found = _by_segment(rows, "seg", "code", "asks", "th", "after").mapInArrow(partial(segment_partners, distance=distance, count=count), "a long, b long")
     ranked = found.distinct().withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("a")))
     return ranked.where(F.col("n") <= count)
@@ -333,7 +363,7 @@ def similar_texts(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
     grow with the texts however dense a group is, and at the end each link was verified, refused or had an end that went. All
     texts that stay are indexed in each round; those that have tested all their partners are only found.
     """
-    texts = docs.select(F.xxhash64("text").alias("th"), simhash_column(F.col("text"), SIMILAR_WIDTH).alias("fp")).distinct()
+    texts = docs.select(F.xxhash64("text").alias("th"), simhashes_column(F.col("text"), SIMILAR_WIDTH, PRINTS).alias("fps")).dropDuplicates(["th"])
     texts = settle(texts.withColumn("after", F.lit(START)), "texts")
     total = asking = texts.count()
     low, gone = None, [texts.select("th").limit(0)]
@@ -348,8 +378,8 @@ def similar_texts(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
         gone.append(settle(_verified(pairs.select("a", "b"), low, docs).select(F.col("b").alias("th")).distinct(), "gone"))
         more = settle(pairs.where(F.col("n") == count).select(F.col("b").alias("th"), F.col("a").alias("last")).join(gone[-1], "th", "left_anti"), "more")
         if asking := more.count():
-            left = join_small(texts.select("th", "fp"), gone[-1], "th", "left_anti")
-            texts = settle(join_small(left, more, "th", "left").select("th", "fp", F.coalesce("last", F.lit(DONE)).alias("after")), "texts")
+            left = join_small(texts.select("th", "fps"), gone[-1], "th", "left_anti")
+            texts = settle(join_small(left, more, "th", "left").select("th", "fps", F.coalesce("last", F.lit(DONE)).alias("after")), "texts")
     return settle(functools.reduce(DataFrame.unionByName, gone), "gone")
 
 

@@ -183,3 +183,20 @@ def test_long_pairs_are_decided_exactly(spark):
     pairs = spark.createDataFrame([(th[a], th[b]) for a, b in ties], "a long, b long")
     got = {(name[r.a], name[r.b]) for r in nd._verified(pairs, low, docs.select("text")).collect()}
     assert got == want and 0 < len(want) < len(ties)
+
+
+def test_several_fingerprints_find_what_one_misses(spark):
+    """Pairs at 0.8 and more with one run of words replaced, which put one fingerprint's distance about the limit."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    pairs = []
+    for _ in range(150):
+        base = [word() for _ in range(200)]
+        pairs.append((" ".join(base), " ".join(base[:100] + [word() for _ in range(15)] + base[115:])))
+    assert all(likeness(shingles(a), shingles(b)) >= 0.8 for a, b in pairs)
+    codes = [[np.uint64(c % 2**64) for c in nd.simhashes(t, nd.SIMILAR_WIDTH, nd.PRINTS)] for pair in pairs for t in pair]
+    far = np.array([[np.bitwise_count(x ^ y) for x, y in zip(a, b)] for a, b in zip(codes[::2], codes[1::2])])
+    df = spark.createDataFrame(list(enumerate(t for pair in pairs for t in pair)), "doc_id long, text string")
+    kept = nd.survivors(df).count()
+    assert kept == 300 - int((far.min(axis=1) <= nd.SIMILAR_BITS).sum())
+    assert (far[:, 0] <= nd.SIMILAR_BITS).sum() < 0.9 * (300 - kept)
