@@ -4,8 +4,10 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers in whole te
 holds a digit or an @ sign: its own shape and words around it, its neighbours (chain), and distant tokens that repeat it or
 resemble it (skip links) share potentials. Loopy message passing over a document's links makes labels agree, with the
 pattern's finds as evidence, so that a number which is a phone number in one place is one in another place where no pattern fits.
-Equal tokens are linked one to the next, so links grow with the tokens, not with their square. The field is fitted by
-pseudo-likelihood on a bounded sample of documents, labelled by the patterns, and by agreement with what the patterns found.
+Repeats are linked to the first of them, so links grow with the tokens, not with their square, and evidence is two hops away
+however many repeats there are; messages run until they settle. Runs of neighbouring short numbers, as in numbers written with
+blanks, are linked by their joined digits. The field is fitted by pseudo-likelihood on a bounded sample of documents, labelled
+by the patterns, and by agreement with what the patterns found.
 
 Defined cases: null text counts as empty and has no spans; offsets are code points; texts of any length are scanned whole, in
 linear time; equal texts and repeated rows have equal spans; without documents to fit on the field adds nothing; no rows give
@@ -29,8 +31,11 @@ from pactlake.llm.common import bounded_batches, text_of
 KINDS = ("email", "ip", "card", "phone")
 #: The fit: documents sampled at most (by hash of the id), token rows of them, hashed features, passes, rate, penalty.
 SAMPLE_DOCS, SAMPLE_TOKENS, FEATURES, PASSES, RATE, PENALTY = 4_000, 200_000, 1 << 13, 150, 0.5, 1e-4
-#: Message passing: rounds, share of an old message that is kept, belief from which a token becomes a span.
-ROUNDS, DAMPING, SURE = 8, 0.3, 0.9
+#: Message passing: rounds at most, change below which a document has settled, share of an old message that is kept, belief from
+#: which a token becomes a span.
+ROUNDS, SETTLED, DAMPING, SURE = 200, 1e-4, 0.3, 0.9
+#: Numbers in several tokens: tokens at most, digits at least and at most.
+PIECES, LEAST_DIGITS, MOST_DIGITS = 8, 7, 15
 
 # Each is leftmost, with possessive runs and a look-behind that only skip places where no match can start.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -116,10 +121,26 @@ def _keys(token: str) -> list[str]:
     return keys + (["l" + token.lower().partition("@")[0]] if "@" in token else [])
 
 
+def _numbers(run: list[tuple[int, str]], node: int, digits: str) -> Iterator[tuple[str, list[int]]]:
+    """(digits, its tokens) of the numbers that end at a token: a long one by itself, or runs of short ones."""
+    if len(digits) >= LEAST_DIGITS:
+        yield from ((d, [node]) for d in {digits, digits[-10:]})
+    joined = ""
+    for i in range(len(run) - 1, -1, -1):
+        joined = run[i][1] + joined
+        if len(joined) > MOST_DIGITS:
+            return
+        if len(joined) >= LEAST_DIGITS:
+            yield joined, [n for n, _ in run[i:]]
+
+
 def tokens_of(texts: list[str], spans: list[list[tuple[str, int, int]]]) -> Tokens:
     out = Tokens([], [], [], [], [], [])
     for d, (text, own) in enumerate(zip(texts, spans)):
         last_end, last, seen, at = -9, -1, {}, 0
+        run: list[tuple[int, str]] = []
+        numbers: dict[str, list[int]] = {}
+        pairs: set[tuple[int, int]] = set()
         for m in _TOKEN.finditer(text) if _ANY.search(text) else ():
             token = m.group().rstrip(".-")
             if not _ANY.search(token):
@@ -138,9 +159,22 @@ def tokens_of(texts: list[str], spans: list[list[tuple[str, int, int]]]) -> Toke
             if last >= 0 and start - last_end <= 3:
                 out.chain.append((last, node))
             for key in _keys(token):
-                if key in seen:
-                    out.skip.append((seen[key], node))
-                seen[key] = node
+                if (hub := seen.setdefault(key, node)) != node:
+                    out.skip.append((hub, node))
+                    pairs.add((hub, node))
+            near = start - last_end <= 3 and not text[last_end:start].strip(" ().-+") if last >= 0 else False
+            short = 0 < len(digits) < LEAST_DIGITS and not token.strip("0123456789+.-")
+            run = [*(run if near and short else []), (node, digits)][-PIECES:] if short else []
+            for key, nodes in _numbers(run, node, digits):
+                if key not in numbers:
+                    numbers[key] = nodes
+                    continue
+                first = numbers[key]
+                for other in [*first[1:], *nodes]:
+                    if other != first[0] and (pair := (first[0], other)) not in pairs:
+                        out.skip.append(pair)
+                        pairs.add(pair)
+                numbers[key] = first[:1]
             last_end, last = end, node
     return out
 
@@ -180,15 +214,22 @@ class Field:
         back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
         message = np.zeros((2 * e, k))
         total = local.copy()
-        for _ in range(ROUNDS if e else 0):
-            free = total[src] - message[back]
-            sent = free[:, :, None] + weights
+        doc = np.array(t.doc, dtype=np.int64)
+        live = np.arange(e)
+        for _ in range(ROUNDS):
+            if not len(live):
+                break
+            at = np.concatenate([live, live + e])
+            sent = (total[src[at]] - message[back[at]])[:, :, None] + weights[at]
             top = sent.max(axis=1, keepdims=True)
             new = np.log(np.exp(sent - top).sum(axis=1)) + top[:, 0]
             new -= new.max(axis=1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
-            total = local.copy()
-            np.add.at(total, dst, message)
+            step = (1 - DAMPING) * (new - message[at])
+            message[at] += step
+            np.add.at(total, dst[at], step)
+            moving = np.zeros(doc.max() + 1, bool)
+            moving[doc[src[at]][np.abs(step).max(axis=1) > SETTLED]] = True
+            live = live[moving[doc[links[live, 0]]]]
         total -= total.max(axis=1, keepdims=True)
         p = np.exp(total)
         return p / p.sum(axis=1, keepdims=True)

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -116,3 +117,20 @@ def test_scans_are_linear(text):
     begun = time.process_time()
     pii.base_spans(text)
     assert time.process_time() - begun < 5
+
+
+def test_evidence_reaches_all_repeats(spark):
+    """A number given once with its prefix, then fifty times without; and numbers written with blanks."""
+    field = trained(spark)[1]
+    text = "Reach us: +1 (415) 555-2671. " + "Then the number 415-555-2671 is open at night. " * 50
+    t = pii.tokens_of([text], [pii.base_spans(text)])
+    p = field.beliefs(t)
+    again = [i for i, s in enumerate(t.span) if text[slice(*s)] == "415-555-2671"]
+    assert len(again) == 50 and p[again, 4].min() >= pii.SURE
+    assert np.ptp(p[again[1:-1], 4]) < 1e-3  # as near to the evidence, wherever they stand
+    text = "Reach us: +1 415 555 2671. Room 12 415 555 2671 again"
+    t = pii.tokens_of([text], [pii.base_spans(text)])
+    linked = {i for pair in t.skip for i in pair}
+    said = [text[slice(*t.span[i])] for i in sorted(linked)]
+    assert said == ["415", "555", "2671", "415", "555", "2671"]
+    assert {t.label[i] for i in sorted(linked)[:3]} == {4}
