@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pactlake.llm.common import bounded_batches, settle, text_of
 
 LENGTH, SEPARATOR = 2048, 0
+#: The special tokens of the public vocabularies, which a text may hold.
+SPECIAL = {"byte_bpe_50k": {"<|endoftext|>": 50256}}
 #: Rows of a plan that are sent to every executor; a plan beyond it is shuffled.
 PLAN_ROWS = 1_000_000
 
@@ -38,7 +40,7 @@ def public_encoder(name: str = "byte_bpe_50k") -> Callable[[str], list[int]]:
     """A tokenizer of the installed public vocabulary files, loaded once in a worker process.
 
     The .tiktoken file has the same vocabulary and merge order as the .json file and gives the same ids several times faster;
-    special-token strings in a text are ordinary text.
+    it lists no special tokens, so they are added: their strings in a text get their ids, as by the .json file.
     """
     import base64
 
@@ -47,7 +49,13 @@ def public_encoder(name: str = "byte_bpe_50k") -> Callable[[str], list[int]]:
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    special = SPECIAL.get(name, {})
+    held = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> list[int]:
+        return held.encode(text, allowed_special="all") if any(s in text for s in special) else held.encode_ordinary(text)
+
+    return encode
 
 
 def cut(n: int, length: int) -> Iterator[tuple[int, int]]:

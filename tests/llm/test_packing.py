@@ -13,7 +13,6 @@ from tests.conftest import SF
 
 def ids_of(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [[*e.ids, 0] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -49,12 +48,12 @@ def test_query_reconstructs_documents_and_packs_tightly(spark):
 
 
 def test_encoders_agree():
-    texts = ["", " ", "a\n\n b  c", "Élan vital 123,456 <|endoftext|>", "日本語 🙂", "x" * 5000, "\u200b\ufeff\x00"]
+    texts = ["", " ", "a\n\n b  c", "Élan vital 123,456 <|endoftext|>", "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>\n c  <|endoftext|>  ", "<|endoftext| >", "日本語 🙂", "x" * 5000, "\u200b\ufeff\x00"]
     assert [[*pk.public_encoder()(t), 0] for t in texts] == ids_of(texts)
 
 
 def test_odd_rows(spark):
-    rows = [(1, None), (2, ""), (2, ""), (None, "null id"), (3, "word " * 9000), (4, "a b")]
+    rows = [(1, None), (2, ""), (2, ""), (None, "null id"), (3, "word " * 9000), (4, "a b"), (5, "x<|endoftext|> y " * 700)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS piece", "1 AS length")
     got = pk.pack(pk.token_pieces(df)).collect()
     check(got, list(zip([r[0] for r in rows], ids_of([r[1] or "" for r in rows]))))
