@@ -45,6 +45,8 @@ PRINTS = 4
 PARTNERS, MOST_PARTNERS = 8, 4096
 #: Cursors of a text that has tested no partner and of one that has tested all.
 START, DONE = -(2**63), 2**63 - 1
+#: Texts with one 64-bit hash but other bytes that are told apart (some are expected beyond 10^9 texts); more of them are an error.
+CLASHES = 1000
 
 
 def simhash(text: str | None, width: int = 3) -> int:
@@ -347,24 +349,48 @@ def _verified(ties: DataFrame, low: DataFrame, docs: DataFrame) -> DataFrame:
     ends = settle(open_.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "ends")
     if not ends.limit(1).count():
         return exact
-    texts = join_small(docs.select(F.xxhash64("text").alias("th"), "text"), ends, "th", "left_semi").dropDuplicates(["th"])
+    texts = join_small(docs, ends, "th", "left_semi").dropDuplicates(["th"])
     hashes = settle(with_sketch(texts, F.col("text"), "all", SIMILAR_WORDS, 1).select("th", F.explode("all").alias("h")), "hashes")
     sides = open_.select("a", "b", "n", F.explode(F.array("a", "b")).alias("th"))
     common = sides.join(hashes, "th").groupBy("a", "b", "n", "h").count().where("count = 2").groupBy("a", "b", "n").count()
     return exact.unionByName(common.where(_alike(F.col("count"), F.col("n") - F.col("count"))).select("a", "b"))
 
 
-def similar_texts(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
-    """(text) -> (th): hashes of the texts that go, so that no two that stay are similar and within the distance.
+def text_key(text: Column, clashes: list[list[int]], bits: int = 64) -> Column:
+    """A long that names a text: its hash, or where that is known to clash, the next of other hashes."""
+    key = F.xxhash64(text) if bits == 64 else F.shiftrightunsigned(F.xxhash64(text), 64 - bits)
+    for salt, clashing in enumerate(clashes):
+        key = F.when(key.isin(clashing), F.xxhash64(F.lit(salt), text)).otherwise(key)
+    return key
+
+
+def distinct_texts(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, list[list[int]]]:
+    """(text) -> settled (th, fps), one row a distinct text, and the hashes that clash. Bytes are told apart by SHA-256."""
+    clashes: list[list[int]] = []
+    while True:
+        each = docs.select(text_key(F.col("text"), clashes, bits).alias("th"), F.unhex(F.sha2("text", 256)).alias("sha"), simhashes_column(F.col("text"), SIMILAR_WIDTH, PRINTS).alias("fps"))
+        texts = settle(each.groupBy("th").agg(F.first("fps").alias("fps"), F.min("sha").alias("least"), F.max("sha").alias("most")), "texts")
+        found = [r.th for r in texts.where("least <> most").select("th").limit(CLASHES + 1).collect()]
+        if not found:
+            return texts.select("th", "fps"), clashes
+        if len(found) > CLASHES:
+            raise ValueError("too many texts share a hash")
+        clashes.append(found)
+
+
+def similar_texts(docs: DataFrame, distance: int = SIMILAR_BITS, bits: int = 64) -> tuple[DataFrame, list[list[int]]]:
+    """(text) -> (th): keys of the texts that go, so that no two that stay are similar and within the distance; and the hashes that clash.
 
     A link is tested by its greater text, which goes if the link is verified on five-word shingles; so from each text that goes
     verified links lead down to one that stays. In a round each text tests its smallest partners beyond a cursor, at least
     PARTNERS of them, and if it stays and there may be more, it asks again with its cursor at the last one. So pairs of a round
     grow with the texts however dense a group is, and at the end each link was verified, refused or had an end that went. All
-    texts that stay are indexed in each round; those that have tested all their partners are only found.
+    texts that stay are indexed in each round; those that have tested all their partners are only found. The rounds end, as each
+    asking text's cursor rises; there are about as many as the most partners of a text / PARTNERS, and fewer as askers grow few.
     """
-    texts = docs.select(F.xxhash64("text").alias("th"), simhashes_column(F.col("text"), SIMILAR_WIDTH, PRINTS).alias("fps")).dropDuplicates(["th"])
-    texts = settle(texts.withColumn("after", F.lit(START)), "texts")
+    texts, clashes = distinct_texts(docs, bits)
+    docs = docs.select(text_key(F.col("text"), clashes, bits).alias("th"), "text")
+    texts = texts.withColumn("after", F.lit(START))
     total = asking = texts.count()
     low, gone = None, [texts.select("th").limit(0)]
     while asking:
@@ -373,23 +399,24 @@ def similar_texts(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
         ends = settle(ends if low is None else ends.join(low, "th", "left_anti"), "ends")
         if low is None or ends.limit(1).count():
-            new = settle(_bottom(join_small(docs.select(F.xxhash64("text").alias("th"), "text"), ends, "th", "left_semi")).dropDuplicates(["th"]), "low")
+            new = settle(_bottom(join_small(docs, ends, "th", "left_semi").dropDuplicates(["th"])), "low")
             low = new if low is None else low.unionByName(new)
         gone.append(settle(_verified(pairs.select("a", "b"), low, docs).select(F.col("b").alias("th")).distinct(), "gone"))
         more = settle(pairs.where(F.col("n") == count).select(F.col("b").alias("th"), F.col("a").alias("last")).join(gone[-1], "th", "left_anti"), "more")
         if asking := more.count():
             left = join_small(texts.select("th", "fps"), gone[-1], "th", "left_anti")
             texts = settle(join_small(left, more, "th", "left").select("th", "fps", F.coalesce("last", F.lit(DONE)).alias("after")), "texts")
-    return settle(functools.reduce(DataFrame.unionByName, gone), "gone")
+    return settle(functools.reduce(DataFrame.unionByName, gone), "gone"), clashes
 
 
-def survivors(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
+def survivors(docs: DataFrame, distance: int = SIMILAR_BITS, bits: int = 64) -> DataFrame:
     """The documents that stay, with all their columns: one of each group of similar texts, and one of equal texts."""
     bounded_batches(docs.sparkSession)
     th = unused(docs, "th")
-    gone = similar_texts(docs.select(text_of().alias("text")), distance).select(F.col("th").alias(th))
-    left = join_small(docs.withColumn(th, F.xxhash64(text_of())), gone, th, "left_anti").drop(th)
-    repeated = docs.select(F.xxhash64(text_of()).alias("th")).groupBy("th").count().where("count > 1").limit(1).count()
+    gone, clashes = similar_texts(docs.select(text_of().alias("text")), distance, bits)
+    key = text_key(text_of(), clashes, bits)
+    left = join_small(docs.withColumn(th, key), gone.select(F.col("th").alias(th)), th, "left_anti").drop(th)
+    repeated = docs.select(key.alias("th")).groupBy("th").count().where("count > 1").limit(1).count()
     return exact_dedup.survivors(left) if repeated else left
 
 

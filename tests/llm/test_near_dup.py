@@ -155,6 +155,57 @@ def test_each_link_is_settled(spark, monkeypatch):
     assert similar_left([r.text for r in nd.survivors(df).collect()]) == []
 
 
+def test_texts_with_one_hash_are_told_apart(spark):
+    """With hashes of 16 bits many texts clash; what stays is then decided on bytes as before."""
+    texts = crowds(100, 8, 120, 4, seed=8)
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, texts[0])], "doc_id long, text string")
+    found, clashes = nd.distinct_texts(df.select("text"), 16)
+    assert clashes and clashes[0] and found.count() == len(set(texts))
+    kept = [r.text for r in nd.survivors(df, bits=16).collect()]
+    assert similar_left(kept) == [] and len(kept) == len(set(kept))
+
+
+def shingle_sets(texts):
+    """Five-word shingles of ASCII-lower-cased texts as sets of hashes."""
+    out = []
+    for t in texts:
+        words = t.encode("utf-8", "replace").lower().split()
+        out.append({xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def similar_pairs(texts, least=0.8):
+    """All pairs of different texts at `least` or more, exactly: such a pair shares one of either text's rarest shingles."""
+    sets = shingle_sets(texts)
+    often = {}
+    for s in sets:
+        for h in s:
+            often[h] = often.get(h, 0) + 1
+    index, found = {}, []
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        n = len(sets[i])
+        near = set()
+        for h in sorted(sets[i], key=lambda h: (often[h], h))[: n - int(np.ceil(least * n - 1e-9)) + 1]:
+            if often[h] > 1:
+                near.update(index.get(h, ()))
+                index.setdefault(h, []).append(i)
+        found += [(i, j) for j in near if likeness(sets[i], sets[j]) >= least - 1e-9]
+    return found
+
+
+def test_recall_of_similar_pairs(spark):
+    """Of all pairs of different documents at 0.8 or more, at least 0.9 no longer stand side by side; all that went had such a pair."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = sorted({r.text or "" for r in docs.select("text").collect()})
+    pairs = similar_pairs(texts)
+    assert len(pairs) > 20
+    kept = [r.text or "" for r in nd.survivors(docs).collect()]
+    stay = set(kept)
+    left = [p for p in pairs if texts[p[0]] in stay and texts[p[1]] in stay]
+    assert len(kept) == len(stay) and 1 - len(left) / len(pairs) >= 0.9
+    assert set(texts) - stay <= {texts[i] for p in pairs for i in p}
+
+
 def test_least_partners():
     rng = np.random.default_rng(7)
     hi, lo = rng.integers(0, 20, 900), rng.integers(0, 200, 900)
@@ -181,7 +232,7 @@ def test_long_pairs_are_decided_exactly(spark):
     th = {i: t for t, i in name.items()}
     low = nd._bottom(docs.select("th", "text"))
     pairs = spark.createDataFrame([(th[a], th[b]) for a, b in ties], "a long, b long")
-    got = {(name[r.a], name[r.b]) for r in nd._verified(pairs, low, docs.select("text")).collect()}
+    got = {(name[r.a], name[r.b]) for r in nd._verified(pairs, low, docs.select("th", "text")).collect()}
     assert got == want and 0 < len(want) < len(ties)
 
 
