@@ -41,6 +41,10 @@ CHUNK = 1 << 16
 SIMILAR_WIDTH, SIMILAR_BITS, SIMILAR_WORDS, SIMILAR, BOTTOM, CLEAR = 2, 7, 5, 0.8, 256, 0.65
 #: Independent fingerprints of a text; a pair is linked if any two of one number are within the distance.
 PRINTS = 4
+#: Min-hashes of a text's five-word shingles, of each of which two bits are kept; a pair at SIMILAR differs in 38 of them on average,
+#: with a standard error of 5.7, so one that differs in more than FAR (four errors away) is refused without a test.
+MINHASHES, FAR = 256, 62
+_ODD = np.random.default_rng(11).integers(0, 2**63, (2, MINHASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Untested partners that a text is given in a round: at least, and at most when few texts still ask (as many pairs as in round one).
 PARTNERS, MOST_PARTNERS = 8, 4096
 #: Cursors of a text that has tested no partner and of one that has tested all.
@@ -54,24 +58,57 @@ def simhash(text: str | None, width: int = 3) -> int:
     return simhashes(text, width, 1)[0]
 
 
-def simhashes(text: str | None, width: int, prints: int) -> list[int]:
-    """The SimHash and further ones over remixed hashes of the same shingles."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: lower() and split() touch ASCII only
-    if not words:
-        return [0] * prints
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of the words' shingles; fewer words than a shingle's are one shingle."""
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else iter([b" ".join(words)])
-    n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64, n)
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64, max(1, len(words) - width + 1))
+
+
+def _majorities(hashes: np.ndarray, prints: int) -> list[int]:
     found = []
     for k in range(prints):
         ones = np.zeros(64, np.int64)
-        for i in range(0, n, CHUNK):
+        for i in range(0, len(hashes), CHUNK):
             part = remixed(hashes[i : i + CHUNK], k).astype(">u8").view(np.uint8).reshape(-1, 8)
             ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-        found.append(int(np.packbits(2 * ones > n).view(">i8")[0]))
+        found.append(int(np.packbits(2 * ones > len(hashes)).view(">i8")[0]))
     return found
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()  # bytes: lower() and split() touch ASCII only
+
+
+def simhashes(text: str | None, width: int, prints: int) -> list[int]:
+    """The SimHash and further ones over remixed hashes of the same shingles."""
+    words = _words(text)
+    return _majorities(_hashes(words, width), prints) if words else [0] * prints
+
+
+def minhashes(shingles: np.ndarray) -> list[int]:
+    """Two bits each of MINHASHES min-hashes of the shingles' hashes, as longs."""
+    shingles = np.unique(shingles)
+    least = np.full(MINHASHES, 2**64 - 1, np.uint64)
+    for i in range(0, len(shingles), 512):
+        least = np.minimum(least, (shingles[i : i + 512, None] * _ODD[0] + _ODD[1]).min(axis=0))
+    pairs = (remixed(least, 1) & np.uint64(3)) << np.tile(np.arange(0, 64, 2, dtype=np.uint64), MINHASHES // 32)
+    return np.bitwise_or.reduce(pairs.reshape(-1, 32), axis=1).view(np.int64).tolist()
+
+
+def marks(text: str | None) -> tuple[list[int], list[int]]:
+    """The SimHashes by which similar texts are found, and the min-hashes by which pairs that clearly aren't similar are refused."""
+    words = _words(text)
+    if not words:
+        return [0] * PRINTS, [0] * (MINHASHES // 32)
+    two = _hashes(words, SIMILAR_WIDTH)
+    if len(words) < SIMILAR_WORDS:
+        five = _hashes(words, SIMILAR_WORDS)
+    else:  # a shingle of five words is one of the first two, the next two and the last two
+        n, odd = len(words) - SIMILAR_WORDS + 1, _ODD[0]
+        five = remixed(two[:n] * odd[0] + two[2 : 2 + n] * odd[1] + two[3 : 3 + n] * odd[2], 1)
+    return _majorities(two, PRINTS), minhashes(five)
+
+
 def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
     """The k-th of independent hashes made from hashes (SplitMix64); the 0-th are the hashes themselves."""
     if not k:
@@ -90,12 +127,12 @@ def simhash_column(text: Column, width: int = 3) -> Column:
     return fingerprint(text)
 
 
-def simhashes_column(text: Column, width: int, prints: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def fingerprints(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhashes(t, width, prints) for t in texts], dtype=object)
+def marks_column(text: Column) -> Column:
+    @F.pandas_udf("fps array<long>, low array<long>")
+    def marked(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([marks(t) for t in texts], columns=["fps", "low"])
 
-    return fingerprints(text)
+    return marked(text)
 
 
 def gray_rank(code: Column) -> Column:
@@ -222,21 +259,28 @@ def segment_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[
 
 
 def segment_partners(batches: Iterator[pa.RecordBatch], distance: int, count: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) among rows (segment, code, asks, th, after): of each text b the `count` smallest texts a < b beyond its cursor."""
-    for seg, code, asks, th, after in whole_segments(batches):
+    """(a, b) among rows (segment, code, asks, th) and, where not all ask, (after, min-hashes...): of each text b the `count`
+    smallest texts a < b beyond its cursor; pairs whose min-hashes are far apart are left out."""
+    for seg, code, asks, th, *more in whole_segments(batches):
         own = np.flatnonzero(~asks)
         tree, at = GrayTree(code[own]), seg[own]
         first, last = np.searchsorted(at, seg, "left"), np.searchsorted(at, seg, "right")
-        if (after < DONE).all():
+        if not more:
             first[own] = np.arange(len(own)) + 1  # a pair in a segment is met once
         else:
+            after, low = more[0], np.stack(more[1:], axis=1).view(np.uint64)
             last[after == DONE] = 0  # those that are done are only found
         hi, lo, full = np.empty(0, np.int64), np.empty(0, np.int64), FRONT
         for q, place in tree.search(code, first, last, distance):
             y = own[place]
             greater = th[q] > th[y]
             b, a = np.where(greater, q, y), np.where(greater, y, q)
-            fresh = (th[a] < th[b]) & (th[a] > after[b])
+            fresh = th[a] < th[b]
+            if more:
+                fresh &= th[a] > after[b]
+                a, b = a[fresh], b[fresh]
+                x = low[a] ^ low[b]
+                fresh = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64) <= FAR
             hi, lo = np.concatenate([hi, th[b[fresh]]]), np.concatenate([lo, th[a[fresh]]])
             if len(hi) > full:
                 hi, lo = least_partners(hi, lo, count)
@@ -296,12 +340,15 @@ def _by_segment(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def partners(texts: DataFrame, distance: int, count: int, first: bool) -> DataFrame:
-    """(th, fps, after) -> distinct (a, b, n): of each text b the `count` smallest texts a < b that have a fingerprint within the
-    distance and are beyond b's cursor, numbered from one. With `first` all texts are known to ask."""
-    prints = texts.select("th", "after", F.posexplode("fps").alias("print", "code"))
+    """(th, fps, low, after) -> distinct (a, b, n): of each text b the `count` smallest texts a < b that have a fingerprint within the
+    distance and are beyond b's cursor, numbered from one. With `first` all texts ask, from the start; later, when those that ask
+    stand in crowds, their min-hashes are compared too before a pair is returned."""
+    more = [] if first else ["after", *(f"l{i}" for i in range(MINHASHES // 32))]
+    known = texts if first else texts.select("*", *(F.get("low", F.lit(i)).alias(c) for i, c in enumerate(more[1:])))
+    prints = known.select("th", *more, F.posexplode("fps").alias("print", "code"))
     rows = _segments(prints, distance, None if first else F.col("after") < DONE)
     rows = rows.withColumn("seg", F.shiftleft(F.col("print").cast("long"), 18) + F.col("seg"))
-    found = _by_segment(rows, "seg", "code", "asks", "th", "after").mapInArrow(partial(segment_partners, distance=distance, count=count), "a long, b long")
+    found = _by_segment(rows, "seg", "code", "asks", "th", *more).mapInArrow(partial(segment_partners, distance=distance, count=count), "a long, b long")
     ranked = found.distinct().withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("a")))
     return ranked.where(F.col("n") <= count)
 
@@ -365,14 +412,14 @@ def text_key(text: Column, clashes: list[list[int]], bits: int = 64) -> Column:
 
 
 def distinct_texts(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, list[list[int]]]:
-    """(text) -> settled (th, fps), one row a distinct text, and the hashes that clash. Bytes are told apart by SHA-256."""
+    """(text) -> settled (th, fps, low), one row a distinct text, and the hashes that clash. Bytes are told apart by SHA-256."""
     clashes: list[list[int]] = []
     while True:
-        each = docs.select(text_key(F.col("text"), clashes, bits).alias("th"), F.unhex(F.sha2("text", 256)).alias("sha"), simhashes_column(F.col("text"), SIMILAR_WIDTH, PRINTS).alias("fps"))
-        texts = settle(each.groupBy("th").agg(F.first("fps").alias("fps"), F.min("sha").alias("least"), F.max("sha").alias("most")), "texts")
+        each = docs.select(text_key(F.col("text"), clashes, bits).alias("th"), F.unhex(F.sha2("text", 256)).alias("sha"), marks_column(F.col("text")).alias("marks"))
+        texts = settle(each.groupBy("th").agg(F.first("marks").alias("marks"), F.min("sha").alias("least"), F.max("sha").alias("most")), "texts")
         found = [r.th for r in texts.where("least <> most").select("th").limit(CLASHES + 1).collect()]
         if not found:
-            return texts.select("th", "fps"), clashes
+            return texts.select("th", "marks.fps", "marks.low"), clashes
         if len(found) > CLASHES:
             raise ValueError("too many texts share a hash")
         clashes.append(found)
@@ -404,8 +451,8 @@ def similar_texts(docs: DataFrame, distance: int = SIMILAR_BITS, bits: int = 64)
         gone.append(settle(_verified(pairs.select("a", "b"), low, docs).select(F.col("b").alias("th")).distinct(), "gone"))
         more = settle(pairs.where(F.col("n") == count).select(F.col("b").alias("th"), F.col("a").alias("last")).join(gone[-1], "th", "left_anti"), "more")
         if asking := more.count():
-            left = join_small(texts.select("th", "fps"), gone[-1], "th", "left_anti")
-            texts = settle(join_small(left, more, "th", "left").select("th", "fps", F.coalesce("last", F.lit(DONE)).alias("after")), "texts")
+            left = join_small(texts.drop("after"), gone[-1], "th", "left_anti")
+            texts = settle(join_small(left, more, "th", "left").select("th", "fps", "low", F.coalesce("last", F.lit(DONE)).alias("after")), "texts")
     return settle(functools.reduce(DataFrame.unionByName, gone), "gone"), clashes
 
 

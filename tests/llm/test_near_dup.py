@@ -206,6 +206,22 @@ def test_recall_of_similar_pairs(spark):
     assert set(texts) - stay <= {texts[i] for p in pairs for i in p}
 
 
+def test_minhashes_refuse_only_what_is_clearly_less():
+    """Bits differ as the estimate says: never beyond FAR at 0.8 and more, mostly beyond it at 0.5 and less."""
+    rng = np.random.default_rng(10)
+    far = {0.8: [], 0.5: []}
+    for n, likes in ((1600, 0.8), (1500, 0.5)):
+        shared = round(likes * n)
+        for _ in range(300):
+            h = rng.integers(0, 2**63, n, dtype=np.uint64)
+            half = (n - shared) // 2
+            a, b = (np.array(nd.minhashes(x)).view(np.uint64) for x in (h[: shared + half], np.append(h[:shared], h[shared + half :])))
+            x = a ^ b
+            far[likes].append(int(np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum()))
+    assert max(far[0.8]) <= nd.FAR and np.mean(np.array(far[0.5]) > nd.FAR) > 0.95
+    assert abs(np.mean(far[0.8]) - 0.75 * 0.2 * nd.MINHASHES) < 1
+
+
 def test_least_partners():
     rng = np.random.default_rng(7)
     hi, lo = rng.integers(0, 20, 900), rng.integers(0, 200, 900)
