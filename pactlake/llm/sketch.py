@@ -4,14 +4,16 @@ A sketch holds every five-word shingle's hash that lies below a fixed fraction o
 document, the sketch of a union is the union of the sketches, and the share of a sketch that another one holds estimates
 containment without bias, however unequal the two documents are. All of it is expressions inside Spark.
 
-Each document is also held against its successor in a total order. Ids are dealt to buckets of about equal size by a
-piecewise linear map over a histogram of the ids; a bucket is one small window, and the first row of each bucket is
-lent to the bucket before it. So whole texts are shuffled once, and no task sees more than a few buckets.
+Each document is also held against its successor in a total order, by id and then by text hash. The order is cut into buckets of
+about equal size at quantiles of a bounded sample of these keys, so that neither outlying nor repeated nor null ids crowd a
+bucket; a bucket is one small window, and a copy of the first row of each bucket is lent to the bucket before it. So
+whole texts are shuffled once, and no task sees more than a few buckets. Of more than BUCKETS x BUCKET rows buckets grow in proportion.
 
 Defined cases: null text counts as empty; a text of one to four words is one shingle; a text without words has an empty
 sketch; two empty sketches are alike (1) if their texts are equal and else not (0), an empty and another one are not;
-equal texts have equal fingerprints; rows with one id follow each other by text, in one bucket; null ids come after all others; a
-single document is followed by itself; no rows give no rows; further columns are ignored.
+equal texts have equal fingerprints; rows with one id follow each other by their texts' hashes; null ids come after all others;
+rows that repeat both id and text stand in one bucket; a single document is followed by itself; no rows give no rows; further columns
+are ignored. At this scale 10 of the 1,000 documents of sf0.01, of up to 229 characters, have an empty sketch.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pactlake.llm.common import settle, text_of
 
 #: Words of a shingle; a shingle stays if its unsigned hash is below 2**64 / SCALE.
 WIDTH, SCALE = 5, 4
-#: Documents of a bucket about, cells of the histogram of ids, buckets at most.
-BUCKET, CELLS, BUCKETS = 4096, 4096, 65_536
+#: Documents of a bucket about, buckets at most, sampled keys a bucket and in all at most, cuts that a row is compared with at once.
+BUCKET, BUCKETS, POINTS, SAMPLE, FANOUT = 1024, 65_536, 64, 1 << 20, 256
 
 
 def _retained(hashes: Column, width: int, scale: int) -> Column:
@@ -53,57 +55,61 @@ def fingerprint(hashes: Column) -> Column:
     return F.lower(F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
-def _order_key(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-
-
-def bucket_map(keys: DataFrame, size: int = BUCKET) -> Column:
-    """A column that maps `k` (long) to buckets that ascend as k descends, with about `size` rows each."""
-    low, high, n = keys.where(F.col("k") > -(2**63)).agg(F.min("k"), F.max("k"), F.count("*")).first()
-    if not n:
-        return F.lit(0).cast("long")
-    size = max(size, -(-2 * n // BUCKETS))
-    width = (high - low + 1) / CELLS
-    place = (F.lit(float(high)) - F.col("k").cast("double")) / F.lit(float(max(width, 1e-9)))
-    cell = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(CELLS - 1)).cast("int")
-    counts = dict(keys.where(F.col("k") > -(2**63)).groupBy(cell.alias("cell")).count().collect())  # at most CELLS rows
-    shares, base = [], [0]
-    for i in range(CELLS):
-        shares.append(max(1, round(counts.get(i, 0) / size)) if counts.get(i, 0) >= size else 1)
-    # Cells with few rows are joined into one bucket until it is full.
-    held = 0
-    for i in range(CELLS):
-        held += counts.get(i, 0)
-        if held >= size or (i + 1 < CELLS and shares[i + 1] > 1):
-            base.append(base[-1] + shares[i])
-            held = 0
-        else:
-            base.append(base[-1])
-    first = F.get(F.lit(base[:-1]), cell)
-    inner = F.floor((place - cell) * F.get(F.lit(shares), cell))
-    within = F.least(F.greatest(inner, F.lit(0)), F.get(F.lit(shares), cell) - 1)
-    return F.when(F.col("k") == -(2**63), F.lit(base[-1] + 1)).otherwise(first + within).cast("long")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with k, which ascends as ids descend (null ids last), and h, the text's hash."""
+    return docs.withColumn("k", F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))).withColumn("h", F.xxhash64("text"))
+
+
+def bucket_cuts(keys: DataFrame, size: int = BUCKET) -> list[tuple[int, int]]:
+    """Settled keys (k, h) -> the keys at which buckets of about `size` rows begin, by a sample of at most SAMPLE keys."""
+    n = keys.count()
+    buckets = min(BUCKETS, -(-n // size))
+    if buckets < 2:
+        return []
+    drawn = sorted(map(tuple, keys.orderBy(F.xxhash64(F.lit(0), "k", "h")).limit(min(n, SAMPLE, POINTS * buckets)).collect()))
+    return sorted({drawn[i * len(drawn) // buckets] for i in range(1, buckets)})
+
+
+def _passed(ks: Column, hs: Column) -> Column:
+    """How many of the cuts, given as two arrays, lie at or before the row's key."""
+    return F.size(F.filter(ks, lambda k, i: (k < F.col("k")) | ((k == F.col("k")) & (F.get(hs, i) <= F.col("h")))))
+
+
+def with_bucket(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """rows (k, h, ...) with their bucket: the number of cuts passed, found in two steps if there are many."""
+    array = lambda values: F.lit(list(values)).cast("array<bigint>") if values else F.array().cast("array<bigint>")
+    if len(cuts) <= FANOUT:
+        return rows.withColumn("bucket", _passed(array([k for k, _ in cuts]), array([h for _, h in cuts])))
+    groups = [cuts[i : i + FANOUT] for i in range(0, len(cuts), FANOUT)]
+    heads = [g[0] for g in groups]
+    table = rows.sparkSession.createDataFrame([(i + 1, [k for k, _ in g], [h for _, h in g]) for i, g in enumerate(groups)], "_group int, _ks array<bigint>, _hs array<bigint>")
+    found = rows.withColumn("_group", _passed(array([k for k, _ in heads]), array([h for _, h in heads])))
+    joined = found.join(F.broadcast(table), "_group", "left")  # at most BUCKETS cuts in all
+    inner = F.when(F.col("_group") > 0, (F.col("_group") - 1) * FANOUT + _passed(F.col("_ks"), F.col("_hs"))).otherwise(0)
+    return joined.withColumn("bucket", inner.cast("int")).drop("_group", "_ks", "_hs")
 
 
 def with_next(docs: DataFrame, size: int = BUCKET) -> DataFrame:
     """(doc_id, text) plus its sketch, and next_text and next_sketch of the document that follows by descending id.
 
-    Passes over ids alone read no texts, and only the lent heads are sketched twice.
+    One pass brings the slim keys, one sketches all rows, and one finds the lent heads, which alone are sketched twice.
     """
     spark = docs.sparkSession
-    keys = docs.select(_order_key("doc_id").alias("k"))
-    bucket = bucket_map(keys, size)
-    heads = keys.groupBy(bucket.alias("bucket")).agg(F.max("k").alias("k"))  # BUCKETS rows at most
+    keyed = _keyed(docs)
+    keys = settle(keyed.select("k", "h"), "keys")
+    cuts = bucket_cuts(keys, size)
+    heads = with_bucket(keys, cuts).groupBy("bucket").agg(F.min(F.struct("k", "h")).alias("head"))  # BUCKETS rows at most
     before = F.lag("bucket").over(Window.orderBy("bucket"))
-    lent = settle(heads.select("k", F.coalesce(before, F.max("bucket").over(Window.partitionBy())).alias("bucket")), "heads")
+    lent = settle(heads.select("head.k", "head.h", F.coalesce(before, F.max("bucket").over(Window.partitionBy())).alias("bucket")), "heads")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.withColumn("k", _order_key("doc_id"))
-    own = keyed.select("doc_id", "text", "k", bucket.alias("bucket"), F.lit(False).alias("lent"))
-    guests = keyed.join(F.broadcast(lent), "k").select("doc_id", "text", "k", "bucket", F.lit(True).alias("lent"))
+    own = with_bucket(keyed, cuts).select("doc_id", "text", "k", "h", "bucket", F.lit(False).alias("lent"))
+    # Rows that repeat a head are one guest.
+    guests = keyed.join(F.broadcast(lent), ["k", "h"]).groupBy("bucket").agg(F.first(F.struct("doc_id", "text", "k", "h")).alias("row"))
+    guests = guests.select("row.*", "bucket", F.lit(True).alias("lent"))
     sketched = [with_sketch(rows, F.col("text"), "sketch") for rows in (own, guests)]
     rows = sketched[0].unionByName(sketched[1]).repartition(parts, "bucket")
-    order = Window.partitionBy("bucket").orderBy("lent", F.col("k").desc(), "text")
-    return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "sketch")}).where("NOT lent").drop("lent", "bucket", "k")
+    order = Window.partitionBy("bucket").orderBy("lent", "k", "h")
+    return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "sketch")}).where("NOT lent").drop("lent", "bucket", "k", "h")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:

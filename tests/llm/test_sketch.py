@@ -25,9 +25,10 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket", [4096, 7])
-def test_equals_brute_force(spark, bucket):
-    """Also over many buckets, where heads are lent."""
+@pytest.mark.parametrize("bucket,fanout", [(4096, 256), (7, 256), (3, 4)])
+def test_equals_brute_force(spark, bucket, fanout, monkeypatch):
+    """Also over many buckets, where heads are lent, and with more cuts than are compared at once."""
+    monkeypatch.setattr(sk, "FANOUT", fanout)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute(sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True))
     got = {r.doc_id: r for r in sk.decisions(docs, bucket=bucket).collect()}
@@ -46,6 +47,16 @@ def test_ids_of_any_spread(spark):
     assert got == {i: w[:2] for i, w in want.items()}
 
 
+@pytest.mark.parametrize("kind", ["outlier", "null", "repeated"])
+def test_no_bucket_is_crowded(spark, kind):
+    """An outlying id, null ids and one repeated id don't gather rows in one bucket."""
+    id_col = {"outlier": "CASE WHEN id = 5 THEN 1L << 60 ELSE id END", "null": "CASE WHEN id % 3 > 0 THEN id END", "repeated": "CASE WHEN id % 3 > 0 THEN id ELSE 7 END"}[kind]
+    df = spark.range(60_000).selectExpr(f"{id_col} AS doc_id", "concat('text ', id) AS text")
+    keys = sk.settle(sk._keyed(df).select("k", "h"))
+    largest = sk.with_bucket(keys, sk.bucket_cuts(keys)).groupBy("bucket").count().agg(F.max("count"), F.count("*")).first()
+    assert largest[0] <= 2 * sk.BUCKET and largest[1] >= 40
+
+
 def test_odd_rows(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (2, None), (1, ""), (None, "x"), (4, "W " * 200_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS k", "2 AS bucket", "'x' AS sketch")
