@@ -3,27 +3,35 @@
 Old shards supply their bytes, new shards take up to their capacities, staying costs nothing and a moved byte its cost, so
 the cheapest flow moves the fewest bytes. The flow is between shards and is solved from their sizes alone; it is carried out
 in blocks, runs of rows by a hash of the row, whose bounds are found by radix selection: each level counts bytes by the
-next bits of the keys near a bound, so no shard is sorted or gathered anywhere. As a bound falls between rows, further flows over
-what is left over and short move the smallest rows, until sizes are equal to a few bytes. Only shards that gain or
-lose rows are written again.
+next bits of the keys near a bound, so no shard is sorted or gathered anywhere. As a bound falls between rows, repairing flows over
+what is left over and short move rows that have left their old shard already, which costs nothing more, and others only
+where a shard has no such rows; the smallest rows go first. They end when no shard is off by more than OVERHEAD bytes or
+a flow makes nothing better, and the result must then be within twice the largest row of equal, else it is an error. Only shards
+that gain or lose rows are written again.
+
+The driver holds one number an old shard (a file), never rows or names. With equal costs any pairing of surplus and room is a
+cheapest flow, so the query's is solved in one pass over the shards; a cost makes it successive shortest paths.
 
 Law: `bytes`. Defined cases: null text has no bytes, and like every row costs OVERHEAD; rows repeated with one id and text
 move together; rows with null ids are told apart by their texts; with fewer rows than shards, or a row larger than a
-shard's share, sizes are as near as whole rows allow; no rows give no rows; further columns are carried into the files.
+shard's share, sizes are as near as whole rows allow; no rows give no rows; further columns are carried into the files; where a
+column is named shard or slot, the new ones have a leading underscore.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import join_small, new_path, settle, text_of
+from pactlake.llm.common import join_small, new_path, settle, text_of, unused
 
 SHARDS, OVERHEAD = 40, 16
-#: Bits of a key, bits that one level of the selection tells apart, rows of a written piece about, repairing flows at most.
-KEY_BITS, LEVEL_BITS, PIECE_ROWS, REPAIRS = 62, 8, 20_000, 4
+#: Bits that one level of the selection tells apart, rows of a written piece about.
+LEVEL_BITS, PIECE_ROWS = 8, 20_000
 
 
 def flow(sizes: dict[int, int], capacity: dict[int, int], cost=None) -> list[tuple[int, int, int]]:
@@ -33,19 +41,19 @@ def flow(sizes: dict[int, int], capacity: dict[int, int], cost=None) -> list[tup
     With cost(from, to) it is solved by successive shortest paths.
     """
     if cost is None:
-        moves, surplus = [], []
+        moves, surplus = [], deque()
         for i, size in sorted(sizes.items()):
             stay = min(size, capacity.get(i, 0))
             moves += [(i, i, stay)] * bool(stay)
-            surplus += [[i, size - stay]] * (size > stay)
-        room = [[j, c - min(c, sizes.get(j, 0))] for j, c in sorted(capacity.items()) if c > sizes.get(j, 0)]
+            surplus.extend([[i, size - stay]] * (size > stay))
+        room = deque([j, c - min(c, sizes.get(j, 0))] for j, c in sorted(capacity.items()) if c > sizes.get(j, 0))
         while surplus and room:
             n = min(surplus[0][1], room[0][1])
             moves.append((surplus[0][0], room[0][0], n))
             for side in (surplus, room):
                 side[0][1] -= n
                 if not side[0][1]:
-                    side.pop(0)
+                    side.popleft()
         return moves
     # Residual graph: "s" -> ("o", i) -> ("n", j) -> "t".
     graph: dict = {}
@@ -99,9 +107,9 @@ def select_keys(rows: DataFrame, cuts: dict[int, list[int]]) -> dict[int, list[i
         part = rows
         if done:
             table = spark.createDataFrame(near, "grp int, prefix long")
-            part = rows.withColumn("prefix", F.shiftrightunsigned("key", bits - done)).join(F.broadcast(table), ["grp", "prefix"])
+            part = join_small(rows.withColumn("prefix", F.shiftrightunsigned("key", bits - done)), table, ["grp", "prefix"], "inner")
         else:
-            part = part.where(F.col("grp").isin([g for g, _ in near]))
+            part = join_small(rows, spark.createDataFrame([(g,) for g in cuts], "grp int"), "grp", "inner")
         counts: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for g, child, size, n in part.groupBy("grp", F.shiftrightunsigned("key", bits - done - step).alias("child")).agg(F.sum("size"), F.count("*")).collect():
             counts.setdefault((g, child >> step), []).append((child, size, n))
@@ -133,9 +141,9 @@ class Moves:
     dests: dict[int, list[int]]
 
     def apply(self, rows: DataFrame, shard: str, key: str) -> DataFrame:
-        """rows with `shard` replaced by where the row's block goes; the table has one row a shard."""
+        """rows with `shard` replaced by where the row's block goes; the table has one row a shard that loses rows."""
         table = rows.sparkSession.createDataFrame([(g, b, self.dests[g]) for g, b in self.bounds.items()], f"{shard} int, _bounds array<long>, _dests array<int>")
-        joined = rows.join(F.broadcast(table), shard, "left")
+        joined = join_small(rows, table, shard, "left")
         block = F.size(F.filter("_bounds", lambda b: b <= F.col(key)))
         return joined.withColumn(shard, F.when(F.col("_bounds").isNull(), F.col(shard)).otherwise(F.get("_dests", block))).drop("_bounds", "_dests")
 
@@ -156,90 +164,106 @@ def moves_for(rows: DataFrame, arcs: list[tuple[int, int, int]], stay_first: boo
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _size, _hash (62 bits), and _small, a key by which smaller rows come first."""
+    """docs (_shard, ...) with _size, _hash (62 bits), _small, a key by which smaller rows come first, and _old, the shard it comes from."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD
     mixed = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.crc32(text_of())), 2)
-    out = docs.withColumn("_size", size).withColumn("_hash", mixed)
-    return out.withColumn("_small", F.shiftleft(F.least("_size", F.lit((1 << 31) - 1)), 31).bitwiseOR(F.shiftrightunsigned("_hash", 31)))
+    out = docs.withColumn("_size", size).withColumn("_hash", mixed).withColumn("_old", F.col("_shard"))
+    return out.withColumn("_small", F.shiftleft(F.least("_size", F.lit((1 << 30) - 1)), 31).bitwiseOR(F.shiftrightunsigned("_hash", 31)))
+
+
+#: Key of the repairs: rows that have left their old shard come first, then small ones.
+_REPAIR = "_small + CASE WHEN _shard = _old THEN shiftleft(1L, 61) ELSE 0L END"
 
 
 def equal_capacity(total: int, shards: int) -> dict[int, int]:
     return {j: total // shards + (j < total % shards) for j in range(shards)}
 
 
-def plan(slim: DataFrame, shards: int = SHARDS) -> tuple[list[tuple[str, Moves]], dict[int, int], set[int]]:
-    """Settled rows (_shard, _hash, _small, _size) -> the moves in turn (key column, moves), final sizes, affected shards."""
-    sizes_of = lambda rows: {s: n for s, n in rows.groupBy("_shard").agg(F.sum("_size")).collect()}
-    view = lambda rows, key: rows.select(F.col("_shard").alias("grp"), F.col(key).alias("key"), F.col("_size").alias("size"))
+def plan(slim: DataFrame, shards: int = SHARDS, cost: Callable[[int, int], float] | None = None) -> tuple[list[tuple[str, Moves]], dict[int, int], set[int]]:
+    """Settled rows (_shard, _old, _hash, _small, _size) -> the moves in turn (key, moves), final sizes, affected shards."""
+    sizes_of = lambda rows: {s: n for s, n in rows.groupBy("_shard").agg(F.sum("_size")).collect()}  # noqa: E731  one row a shard
     sizes = sizes_of(slim)
     capacity = equal_capacity(sum(sizes.values()), shards)
+    worst = lambda s: max(abs(s.get(j, 0) - capacity.get(j, 0)) for j in {*s, *capacity})
     steps: list[tuple[str, Moves]] = []
     affected: set[int] = set()
     rows = slim
-    for turn in range(1 + REPAIRS):
-        spread = {j: sizes.get(j, 0) - c for j, c in capacity.items()}
-        if set(sizes) <= set(capacity) and max(map(abs, spread.values())) <= OVERHEAD:
-            break
-        arcs = flow(sizes, capacity)
-        key = "_small" if turn else "_hash"
-        moves = moves_for(view(rows, key), arcs, stay_first=not turn)
-        moved = settle(moves.apply(rows, "_shard", key), "assigned")
+    while worst(sizes) > OVERHEAD:
+        arcs = flow(sizes, capacity, cost)
+        key = _REPAIR if steps else "_hash"
+        moves = moves_for(rows.select(F.col("_shard").alias("grp"), F.expr(key).alias("key"), F.col("_size").alias("size")), arcs, stay_first=not steps)
+        moved = settle(moves.apply(rows.withColumn("_key", F.expr(key)), "_shard", "_key").drop("_key"), "assigned")
         new = sizes_of(moved)
-        worst = lambda s: max(abs(s.get(j, 0) - c) for j, c in capacity.items())
-        if turn and worst(new) >= worst(sizes):
+        if steps and worst(new) >= worst(sizes):
             break
         affected |= {x for i, j, _ in arcs if i != j for x in (i, j)}
         steps.append((key, moves))
         rows, sizes = moved, new
+    if sizes and worst(sizes) > (bound := 2 * slim.agg(F.max("_size")).first()[0]):
+        raise ValueError(f"a shard is off by {worst(sizes)} bytes, more than {bound}")
     return steps, sizes, affected
 
 
-def reshard(docs: DataFrame, old: Column, folder: str, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+def reshard(docs: DataFrame, old: Column, folder: str, shards: int = SHARDS, cost: Callable[[int, int], float] | None = None, old_slot: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text, ...) and their old shard (int) -> rows of the new layout with shard and slot, and its sizes.
 
-    Affected shards are written to folder as shard=<n>/ and read back; other rows stay in their files.
+    Affected shards are written to folder as shard=<n>/ and read back; other rows stay in their files, and in their places if
+    those are given by old_slot.
     """
     spark = docs.sparkSession
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "doc_id", "text", old.cast("int").alias("_shard"))
+    shard, slot = unused(docs, "shard"), unused(docs, "slot")
+    given = F.lit(None).cast("long") if old_slot is None else old_slot.cast("long")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "doc_id", "text", old.cast("int").alias("_shard"), given.alias("_place"))
     keyed = _keyed(packed)
-    slim = settle(keyed.select("_shard", "_hash", "_small", "_size"), "sizes")
-    steps, sizes, affected = plan(slim, shards)
+    slim = settle(keyed.select("_shard", "_old", "_hash", "_small", "_size"), "sizes")
+    steps, sizes, affected = plan(slim, shards, cost)
 
     def assigned(rows: DataFrame) -> DataFrame:
         for key, moves in steps:
-            rows = moves.apply(rows, "_shard", key)
+            rows = moves.apply(rows.withColumn("_key", F.expr(key)), "_shard", "_key").drop("_key")
         return rows
 
-    final = assigned(slim)
-    most = final.groupBy("_shard").count().agg(F.max("count")).first()[0] or 0
-    piece = F.pmod("_hash", F.lit(max(1, -(-most // PIECE_ROWS)))).cast("int")
-    counts = final.groupBy("_shard", piece.alias("_piece")).count()
-    before = Window.partitionBy("_shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = settle(counts.select("_shard", "_piece", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long").alias("_before")), "offsets")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = assigned(keyed).withColumn("_piece", piece).repartition(parts, "_shard", "_piece")
-    order = Window.partitionBy("_shard", "_piece").orderBy("_hash", "doc_id")
-    slotted = join_small(placed.withColumn("_at", F.row_number().over(order) - 1), offsets, ["_shard", "_piece"], "inner")
-    ready = slotted.select("_doc.*", (F.col("_before") + F.col("_at")).cast("long").alias("slot"), F.col("_shard").alias("shard"))
-    changed = F.col("shard").isin(sorted(affected)) if affected else F.lit(False)
-    ready.where(changed).write.partitionBy("shard").parquet(folder)
+    def numbered(rows: DataFrame, slim_rows: DataFrame) -> DataFrame:
+        """rows with slots: counts by shard and piece are made on the slim table, and each piece is numbered in a small window."""
+        most = slim_rows.groupBy("_shard").count().agg(F.max("count")).first()[0] or 0
+        piece = F.pmod("_hash", F.lit(max(1, -(-most // PIECE_ROWS)))).cast("int")
+        counts = slim_rows.groupBy("_shard", piece.alias("_piece")).count()
+        before = Window.partitionBy("_shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = settle(counts.select("_shard", "_piece", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long").alias("_before")), "offsets")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = rows.withColumn("_piece", piece).repartition(parts, "_shard", "_piece")
+        order = Window.partitionBy("_shard", "_piece").orderBy("_hash", "doc_id")
+        slotted = join_small(placed.withColumn("_at", F.row_number().over(order) - 1), offsets, ["_shard", "_piece"], "inner")
+        return slotted.select("_doc.*", (F.col("_before") + F.col("_at")).cast("long").alias(slot), F.col("_shard").alias(shard))
+
+    listed = spark.createDataFrame([(s,) for s in sorted(affected)], "_shard int")
+    part = lambda rows, how: join_small(assigned(rows), listed, "_shard", how)
+    ready = numbered(part(keyed, "left_semi"), part(slim, "left_semi"))
+    ready.write.partitionBy(shard).parquet(folder)
     back = spark.read.schema(ready.schema).parquet(folder)
     if set(sizes) - affected:
-        back = back.unionByName(ready.where(~changed))
+        stay = part(keyed, "left_anti")
+        stay = numbered(stay, part(slim, "left_anti")) if old_slot is None else stay.select("_doc.*", F.col("_place").alias(slot), F.col("_shard").alias(shard))
+        back = back.unionByName(stay)
     return back, spark.createDataFrame(sorted(sizes.items()), "shard int, bytes long")
 
 
-def file_shards(docs: DataFrame) -> tuple[DataFrame, Column]:
-    """docs with _file; and the place of a row's file among the table's files in order, the old shard."""
-    with_file = docs.withColumn("_file", F.col("_metadata.file_path"))
-    names = [r[0] for r in with_file.select("_file").distinct().orderBy("_file").collect()]  # one short string a file
-    table = docs.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "_file string, _old int")
-    return join_small(with_file, table, "_file", "left").drop("_file"), F.col("_old")
+def file_shards(docs: DataFrame) -> DataFrame:
+    """docs (with _metadata) plus _old, the place of a row's file among the table's files in order, and _place, the row's place in it.
+
+    Files are numbered where they are sorted, by offsets of the sorted parts, so the driver has no list of them.
+    """
+    with_file = docs.withColumn("_file", F.col("_metadata.file_path")).withColumn("_place", F.col("_metadata.row_index"))
+    names = settle(with_file.select("_file").distinct().orderBy("_file").select("_file", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "files")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = names.groupBy("_part").agg(F.count("*").alias("n")).select("_part", before.alias("_before"))  # one row a sorted part
+    table = settle(names.join(offsets, "_part").select("_file", (F.col("_before") + F.col("_at")).cast("int").alias("_old")), "numbers")
+    return join_small(with_file, table, "_file", "left").drop("_file", "_metadata")
 
 
 def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, old = file_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "_metadata"))
-    rows, _ = reshard(docs.select("doc_id", "text", "_old"), old, new_path(spark, "shards"))
+    docs = file_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "_metadata"))
+    rows, _ = reshard(docs, F.col("_old"), new_path(spark, "shards"), old_slot=F.col("_place"))
     return rows.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD).alias("size"),

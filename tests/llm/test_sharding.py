@@ -61,6 +61,38 @@ def test_only_affected_shards_are_written(spark, tmp_path):
     assert sorted(out.columns) == sorted(["doc_id", "text", "old", "slotted", "slot", "shard"])
 
 
+def test_moved_bytes_are_about_the_fewest(spark, tmp_path):
+    """Sixty old shards of whole documents to forty: sizes as near as rows allow, and hardly more moved than the cheapest flow needs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text", "cast(pmod(xxhash64(doc_id), 60) AS int) AS old")
+    out, sizes = sh.reshard(docs, F.col("old"), f"file://{tmp_path}/out", 40)
+    rows = [(r.old, r.shard, len((r.text or "").encode()) + 16) for r in out.collect()]
+    old = {i: sum(n for o, _, n in rows if o == i) for i in range(60)}
+    need = sum(n for i, j, n in sh.flow(old, sh.equal_capacity(sum(old.values()), 40), lambda i, j: 1) if i != j)
+    moved = sum(n for i, j, n in rows if i != j)
+    share, largest = sum(old.values()) / 40, max(n for _, _, n in rows)
+    assert all(abs(b - share) <= 2 * largest for _, b in sizes.collect())
+    assert need * 0.98 <= moved <= 1.04 * need
+
+
+def test_names_that_clash_and_places_that_stay(spark, tmp_path):
+    rows = [(i, "x" * 84, i % 4, 50 + i // 4, "mine", i) for i in range(40)] + [(100 + i, "x" * 84, 4, i, "mine", i) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, old int, place long, slot string, Shard int")
+    out, _ = sh.reshard(df, F.col("old"), f"file://{tmp_path}/out", 6, old_slot=F.col("place"))
+    got = out.collect()
+    assert out.columns == [*df.columns, "_slot", "_shard"] and {r.slot for r in got} == {"mine"}
+    assert all((r._shard, r._slot) == (r.old, r.place) for r in got if r.old < 4)  # unaffected rows stay in their places
+    assert sorted((r._shard, r._slot) for r in got if r.old == 4) == [(s, k) for s in (4, 5) for k in range(10)]
+
+
+def test_files_are_numbered_in_order(spark, tmp_path):
+    path = f"file://{tmp_path}/many"
+    spark.range(300).selectExpr("id AS doc_id", "cast(id AS string) AS text").repartition(37, "doc_id").write.parquet(path)
+    got = sh.file_shards(spark.read.parquet(path).select("doc_id", "text", "_metadata", F.col("_metadata.file_path").alias("at"))).collect()
+    names = sorted({r.at for r in got})
+    assert len(got) == 300 and all(names[r._old] == r.at for r in got)
+    assert all(sorted(r._place for r in got if r._old == i) == list(range(sum(r._old == i for r in got))) for i in range(len(names)))
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(1, None, 0), (1, None, 0), (None, "q", 0), (2, "", 0), (3, "é" * 100_000, 9), (4, "x", 9)]
     out, sizes = reshard(spark, tmp_path, rows, 3)
