@@ -5,15 +5,18 @@ listed ones that pass the second by a third; and so on, until a level passes not
 universe of keys the cascade then answers membership exactly, and each row is judged by bit tests alone, without a join.
 
 The first level is sized so that its false positives are about as many as the listed keys, so all levels together follow
-the list and the logarithm of the universe. A level is one row, an array of 64-bit words, that is read as a scalar subquery.
+the listed keys that occur in the corpus and the logarithm of the universe. A level is an array of 64-bit words that is read as a
+scalar subquery. Its size is bounded and checked: a list that needs more than MAX_BITS in a level (128 MB; 40 million keys that
+occur, or more) is joined with the keys instead, with the same result.
 
 Rules (host, path) are listed as host + path and fit a host, all its subdomains and every path that starts with theirs; the
-longest wins. Their keys in the universe are each page's host suffixes joined with the path's prefixes of the rules' lengths.
-Hosts without a rule are judged by a second list, of blocked hosts.
+longest wins. Hosts without a rule are judged by a second list, of blocked hosts, which takes in their subdomains. A page's keys are the
+suffixes of its host with as many labels as a listed host has, for rules joined with the path's prefixes of the rules' lengths;
+so keys a page are bounded by the lists, however many labels a host has.
 
-Defined cases: a null url, or one without ://, has an empty host and path, no rule, and is allowed unless the empty host is
-listed; equal urls and repeated rows are judged alike; empty lists fit nothing; no rows give no rows; further columns are
-ignored.
+Defined cases: a null url, or one without ://, has an empty host and path, no rule, and is allowed; urls of any length are read
+whole; equal urls and repeated rows are judged alike; null and empty hosts in the lists fit nothing, as do empty lists; no rows give
+no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from pactlake.llm.common import settle, text_of
 HASHES, LATER_BITS, LEVELS = 4, 6, 64
 #: Rules of the query: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Blocked hosts of the query are those with a label that starts so.
-BLOCKED_LABEL = "spam"
+#: Blocked hosts of the query where no list is given.
+BLOCKED = tuple(f"{name}.example.{top}" for name in ("adult-x", "casino-win", "cheap-pills", "free-bets") for top in ("com", "net", "org"))
+#: Bits of a level at most.
+MAX_BITS = 1 << 30
 
 
 def _bits(key: Column, level: int, size: int) -> Column:
@@ -49,13 +54,17 @@ def _level(keys: DataFrame, level: int, size: int) -> DataFrame:
 class Cascade:
     """Exact membership of the listed keys over a universe of keys (both: one column `key`, distinct, settled)."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame) -> None:
+    def __init__(self, listed: DataFrame, universe: DataFrame, most: int = MAX_BITS) -> None:
         self.levels: list[tuple[DataFrame, int]] = []
-        inside = universe.join(listed, "key", "left_semi")  # listed keys that never occur need no bits
-        outside = universe.join(listed, "key", "left_anti")
-        inside, outside = settle(inside, "inside"), settle(outside, "outside")
-        n, others = inside.count(), outside.count()
+        self.joined: DataFrame | None = None
+        # Listed keys that never occur need no bits.
+        keys = settle(universe.join(listed.withColumn("_in", F.lit(True)), "key", "left").select("key", F.col("_in").isNotNull().alias("inside")), "keys")
+        n, others = (int(x or 0) for x in keys.agg(F.sum(F.col("inside").cast("long")), F.sum((~F.col("inside")).cast("long"))).first())
+        inside, outside = keys.where("inside").select("key"), keys.where("NOT inside").select("key")
         per_key = max(LATER_BITS, math.ceil(1.44 * math.log2(max(2, others / max(1, n)))))
+        if n * per_key > most:
+            self.joined = inside.withColumn("_in", F.lit(True))
+            return
         while n and len(self.levels) < LEVELS:
             size = 64 * math.ceil(max(64, n * per_key) / 64)
             words = _level(inside, len(self.levels), size)
@@ -75,12 +84,14 @@ class Cascade:
             test = hit if test is None else test & hit
         return test
 
-    def has(self, key: Column) -> Column:
-        """Whether a key of the universe is listed: the first level that it fails tells by its place."""
+    def marked(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows (key, ...) with a boolean: whether the key, one of the universe, is listed. The first level that it fails tells by its place."""
+        if self.joined is not None:
+            return rows.join(self.joined, "key", "left").withColumn(name, F.col("_in").isNotNull()).drop("_in")
         answer = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
-            answer = F.when(~self._passes(level, key), F.lit(level % 2 == 1)).otherwise(answer)
-        return answer
+            answer = F.when(~self._passes(level, F.col("key")), F.lit(level % 2 == 1)).otherwise(answer)
+        return rows.withColumn(name, answer)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -92,40 +103,54 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Array of the rule keys that could fit: each suffix of the host at a dot, joined with each prefix of the path."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)), lambda p: p.isNotNull())
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(keys)
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
-def decisions(pages: DataFrame, rules: DataFrame, blocked_hosts: DataFrame, id_col: str = "page_id") -> DataFrame:
+def suffixes(host: Column, counts: list[int]) -> Column:
+    """Array of the host's suffixes with so many labels, as far as it has them."""
+    return F.filter(F.array(*(F.when((_labels(host) >= n) & (host != ""), F.substring_index(host, ".", -n)) for n in counts)).cast("array<string>"), lambda s: s.isNotNull())
+
+
+def rule_keys(host: Column, path: Column, counts: list[int], lengths: list[int]) -> Column:
+    """Array of the rule keys that could fit: suffixes of the host, joined with each prefix of the path."""
+    prefixes = F.filter(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)).cast("array<string>"), lambda p: p.isNotNull())
+    return F.flatten(F.transform(suffixes(host, counts), lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+
+
+def decisions(pages: DataFrame, rules: DataFrame, blocked_hosts: DataFrame, id_col: str = "page_id", most: int = MAX_BITS) -> DataFrame:
     """pages (id, url), rules (host, path, verdict), blocked_hosts (host) -> id, host, path, rule, verdict."""
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # as many as there are lengths of rule paths
     host, path = host_and_path(F.col("url"))
     parts = pages.select(id_col, host.alias("host"), path.alias("path"))
-    listed = settle(rules.select(F.concat(F.lower("host"), "path").alias("key"), "verdict"), "rules")
-    keyed = parts.select(F.explode(rule_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
-    universe = settle(keyed.groupBy("key").count().select("key"), "universe")
-    by_verdict = {v: Cascade(listed.where(F.col("verdict") == v).select("key").distinct(), universe) for v in ("allow", "block")}
-    hosts = settle(parts.groupBy("host").count().select("host").select(F.col("host").alias("key")), "hosts")
-    blocked = Cascade(settle(blocked_hosts.select(F.lower("host").alias("key")).distinct(), "blocked"), hosts)
+    listed = settle(rules.where("host <> ''").select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").select(F.concat("host", "path").alias("key"), "verdict", _labels(F.col("host")).alias("labels"), F.length("path").alias("length")), "rules")
+    hosts = settle(blocked_hosts.where("host <> ''").select(F.lower("host").alias("key")).distinct().withColumn("labels", _labels(F.col("key"))), "blocked")
+    distinct = lambda table, c: sorted(r[0] for r in table.select(c).distinct().collect())  # noqa: E731  a few small numbers
+    keys = {
+        "rule": rule_keys(F.col("host"), F.col("path"), distinct(listed, "labels"), distinct(listed, "length")),
+        "host": suffixes(F.col("host"), distinct(hosts, "labels")),
+    }
+    universe = {kind: settle(parts.select(F.explode(array).alias("key")).groupBy("key").count().select("key"), "universe") for kind, array in keys.items()}
     # A page's keys are tested as rows of one task; the partial aggregate joins them again, so one row a page is shuffled.
-    tried = parts.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.explode_outer(rule_keys(F.col("host"), F.col("path"), lengths)))
-    verdict = F.when(by_verdict["allow"].has(F.col("key")), "allow").when(by_verdict["block"].has(F.col("key")), "block")
-    best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), "verdict")))
-    judged = tried.withColumn("verdict", verdict).groupBy("row", id_col, "host", "path").agg(best.alias("best"))
-    other = F.when(blocked.has(F.col("host")), "block").otherwise("allow")
+    tag = lambda kind: lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    tagged = F.concat(*(F.transform(array, tag(kind)) for kind, array in keys.items()))
+    tried = parts.withColumn("row", F.monotonically_increasing_id()).withColumn("_key", F.explode_outer(tagged)).select("row", id_col, "host", "path", "_key.kind", "_key.key")
+    for verdict in ("allow", "block"):
+        tried = Cascade(listed.where(F.col("verdict") == verdict).select("key").distinct(), universe["rule"], most).marked(tried, f"_{verdict}")
+    tried = Cascade(hosts.select("key"), universe["host"], most).marked(tried, "_listed")
+    fits = (F.col("kind") == "rule") & (F.col("_allow") | F.col("_block"))
+    best = F.max(F.when(fits, F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), F.when(F.col("_allow"), "allow").otherwise("block").alias("verdict"))))
+    judged = tried.groupBy("row", id_col, "host", "path").agg(best.alias("best"), F.max((F.col("kind") == "host") & F.col("_listed")).alias("listed"))
+    other = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", other).alias("verdict"))
 
 
-def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_url_filter(spark: SparkSession, sf_dir: str, blocked: DataFrame | None = None) -> DataFrame:
+    """Judges pages by RULES and a table of blocked hosts (host); BLOCKED where none is given."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text_of("url").alias("url"))
     rules = spark.sql("SELECT inline(array(" + ", ".join(f"struct('{h}' AS host, '{p}' AS path, '{v}' AS verdict)" for h, p, v in RULES) + "))")
-    hosts = pages.select(host_and_path(F.col("url"))[0].alias("host")).where(F.col("host").rlike(rf"(^|\.){BLOCKED_LABEL}"))
-    return decisions(pages, rules, hosts.distinct())
+    if blocked is None:
+        blocked = spark.sql("SELECT explode(array(" + ", ".join(f"'{h}'" for h in BLOCKED) + ")) AS host")
+    return decisions(pages, rules, blocked)
 
 
 QUERIES = {"op5_url_filter": op5_url_filter}
@@ -138,6 +163,8 @@ SQL = {
                    regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM rest
         ), rules(rule_host, rule_path, rule_verdict) AS (
             VALUES {", ".join(str(r) for r in RULES)}
+        ), blocked(blocked_host) AS (
+            VALUES {", ".join(f"('{h}')" for h in BLOCKED)}
         ), fits AS (
             SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
                    arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
@@ -145,7 +172,7 @@ SQL = {
             GROUP BY page_id
         )
         SELECT page_id, host, path, rule,
-               coalesce(rule_verdict, CASE WHEN regexp_matches(host, '(^|\.){BLOCKED_LABEL}') THEN 'block' ELSE 'allow' END) AS verdict
+               coalesce(rule_verdict, CASE WHEN EXISTS (SELECT 1 FROM blocked WHERE host = blocked_host OR ends_with(host, '.' || blocked_host)) THEN 'block' ELSE 'allow' END) AS verdict
         FROM parts LEFT JOIN fits USING (page_id)
     """
 }
