@@ -2,10 +2,13 @@
 
 A classifier that is fitted on a labelled table gives each document a posterior over domains, so a document belongs to
 several domains in part. Projected gradient descent then fits a nonnegative rate for each document, the number of times it
-is to be seen, so that the expected tokens of each domain, the sum of rate x tokens x posterior, match target weights. A step
-is one aggregation over a slim table; a document's rate is an expression of its posterior, and only the domains' totals and
-second moments go to the driver. The gradient of a step is scaled by the inverse second moments of the documents whose rates
-are not at zero, so without projection one step is exact, and with it a few are.
+is to be seen, so that the expected tokens of each domain, the sum of rate x tokens x posterior, match target weights with
+the least squared error (and, by a small ridge, the least change of rates from 1). The gradient of a document's rate is its posterior times
+the domains' errors, so the summed steps are one number a domain, and a rate is 1 plus posterior x these numbers, projected
+to nonnegative values. A step is one aggregation over a slim table, and only the domains' totals and second moments go to the
+driver. A step is scaled by the inverse second moments of the documents whose rates aren't at zero, and halved until it
+gains; so without projection one step is exact, and with it a few are. Steps end where the gradient vanishes; if it doesn't within
+STEPS it is an error, and targets that nonnegative rates can't meet are reported in a warning.
 
 Defined cases: null text counts as empty and has no tokens; such rows have a posterior and a rate, but weigh nothing; a
 domain without labelled rows or tokens can't be matched and is left out; with fewer than two labelled domains all rates
@@ -15,6 +18,8 @@ further columns are carried along (`mixed`) or ignored (`rates`), whatever their
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
@@ -26,8 +31,9 @@ from pactlake.llm.common import settle, text_of
 
 #: The fit: labelled rows that are used at most (the first by hash of the id), hashed features, ridge penalty.
 SAMPLE, FEATURES, PENALTY = 20_000, 1 << 14, 3e-4
-#: Gradient steps at most, the relative error that ends them, ridge of a step's scaling as a share of its trace.
-STEPS, CLOSE, RIDGE = 40, 1e-4, 1e-9
+#: Gradient steps and halvings of a step at most, relative gradient that ends them, relative error from which missed targets are
+#: reported, the ridge.
+STEPS, HALVINGS, CLOSE, REPORTED, RIDGE = 100, 30, 1e-5, 0.01, 1e-6
 #: Target weights of the query; the anchor keeps its expected tokens, so the others are scaled against it.
 TARGETS, ANCHOR = {"clean": 0.96, "junk": 0.02, "toxic": 0.02}, "clean"
 
@@ -67,54 +73,59 @@ class Domains:
         return scored.withColumn("_p", vector_to_array("_probability")).drop("_features", "_probability")
 
 
-def rate_of(moves: list[dict[int, float]], p: str, rate: Column | None = None) -> Column:
-    """The rate after the moves: each adds posterior x move and is projected to nonnegative values."""
-    rate = F.lit(1.0) if rate is None else rate
-    for move in moves:
-        step = F.lit(0.0)
-        for i, m in move.items():
-            step = step + F.get(p, F.lit(i)) * m
-        rate = F.greatest(F.lit(0.0), rate + step)
-    return rate
+def rate_of(moves: dict[int, float], p: str) -> Column:
+    """The rate after steps that sum to the moves: 1 plus posterior x move, projected to nonnegative values."""
+    return F.greatest(F.lit(0.0), sum((F.get(p, F.lit(i)) * F.lit(float(m)) for i, m in moves.items()), F.lit(1.0)))
 
 
-def fit_moves(rows: DataFrame, names: list[str], targets: dict[str, float], anchor: str) -> tuple[list[dict[int, float]], dict[str, tuple[float, float]]]:
-    """Settled rows (tokens, p) -> the moves of all steps, by domain; and each matched domain's (target, reached) tokens.
+def fit_moves(rows: DataFrame, names: list[str], targets: dict[str, float], anchor: str) -> tuple[dict[int, float], dict[str, tuple[float, float]]]:
+    """Settled rows (tokens, p) -> the sum of all steps, by domain; and each matched domain's (target, reached) tokens.
 
-    One aggregation a step brings the reached totals and the domains' second moments over the documents whose rate isn't
-    at zero: a few numbers, whatever the size of the corpus.
+    One aggregation a step brings a few numbers, whatever the size of the corpus.
     """
     k = len(names)
     if k < 2:
-        return [], {}
+        return {}, {}
     p = [F.get("p", F.lit(i)) for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def state(rate: Column) -> tuple[np.ndarray, np.ndarray]:
+    def state(moves: dict[int, float]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Reached tokens, second moments over the documents whose rate isn't at zero, and half the sum of tokens x rate^2."""
+        rate = F.col("rate")
         free = F.when(rate > 0, F.col("tokens"))
-        row = rows.agg(*(F.sum(rate * F.col("tokens") * p[i]) for i in range(k)), *(F.sum(free * p[i] * p[j]) for i, j in pairs)).first()
+        row = rows.withColumn("rate", rate_of(moves, "p")).agg(*(F.sum(rate * F.col("tokens") * p[i]) for i in range(k)), *(F.sum(free * p[i] * p[j]) for i, j in pairs), F.sum(F.col("tokens") * rate * rate)).first()
         numbers = np.array([float(x or 0) for x in row])
         moments = np.zeros((k, k))
-        for (i, j), v in zip(pairs, numbers[k:]):
+        for (i, j), v in zip(pairs, numbers[k:-1]):
             moments[i, j] = moments[j, i] = v
-        return numbers[:k], moments
+        return numbers[:k], moments, numbers[-1] / 2
 
-    reached, moments = state(F.lit(1.0))
-    live = [i for i, d in enumerate(names) if reached[i] > 0 and d in targets]
+    start, moments, squares = state({})
+    live = [i for i, d in enumerate(names) if start[i] > 0 and d in targets]
     if len(live) < 2 or anchor not in [names[i] for i in live]:
-        return [], {}
-    goal = reached[names.index(anchor)] / targets[anchor] * np.array([targets.get(d, 0.0) for d in names])
-    start = reached
-    moves: list[dict[int, float]] = []
+        return {}, {}
+    goal = (start[names.index(anchor)] / targets[anchor] * np.array([targets.get(d, 0.0) for d in names]))[live]
+    reached, start = start[live], start[live]
+    ridge = RIDGE * start**2 / start.max()
+    total = np.zeros(len(live))
+    loss = lambda total, squares: ridge @ total**2 / 2 + squares - goal @ total
     for _ in range(STEPS):
-        error = (goal - reached)[live]
-        if np.max(np.abs(error) / start[live]) < CLOSE:
+        gradient = ridge * total - (goal - reached)
+        if np.max(np.abs(gradient) / start) < CLOSE:
             break
-        scale = moments[np.ix_(live, live)]
-        step = np.linalg.solve(scale + np.eye(len(live)) * RIDGE * max(np.trace(scale), 1e-9), error)
-        moves.append({i: float(m) for i, m in zip(live, step)})
-        reached, moments = state(rate_of(moves, "p"))
-    return moves, {names[i]: (float(goal[i]), float(reached[i])) for i in live}
+        step = -np.linalg.solve(np.diag(ridge) + moments[np.ix_(live, live)], gradient)
+        for _ in range(HALVINGS):
+            new, new_moments, new_squares = state(dict(zip(live, total + step)))
+            if loss(total + step, new_squares) <= loss(total, squares) + 1e-4 * gradient @ step:
+                break
+            step = step / 2
+        total, reached, moments, squares = total + step, new[live], new_moments, new_squares
+    else:
+        raise ValueError(f"rates haven't settled after {STEPS} steps")
+    outcome = {names[i]: (float(g), float(r)) for i, g, r in zip(live, goal, reached)}
+    if np.max(np.abs(goal - reached) / start) > REPORTED:
+        warnings.warn(f"targets that can't be met, as (target, reached) tokens: {outcome}", stacklevel=2)
+    return dict(zip(live, map(float, total))), outcome
 
 
 def copies(rate: Column, *key: Column | str) -> Column:
@@ -137,7 +148,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     """The documents, each as often as its copies say, with all their columns.
 
     The fitted rate is a function of a document's posterior alone, so it is computed again while the documents are read,
-    from the steps' history, and whole texts are never shuffled.
+    from the sum of the steps, and whole texts are never shuffled.
     """
     domains = Domains(docs, labelled)
     slim = settle(domains.posteriors(docs.select(text_of().alias("text")), F.col("text")).select(F.col("_tokens").alias("tokens"), F.col("_p").alias("p")), "posteriors")

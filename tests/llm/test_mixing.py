@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,31 @@ def test_projection_holds_rates_at_zero(spark):
     rates = [r[0] for r in rows.select(mx.rate_of(moves, "p")).collect()]
     assert min(rates) == 0.0
     assert reached["a"][1] == pytest.approx(reached["a"][0], rel=0.05)
+    with pytest.warns(UserWarning, match="can't be met"):
+        mx.fit_moves(rows.where("p[0] < 0.95"), ["a", "b"], {"a": 0.999, "b": 0.001}, "a")
+
+
+@pytest.mark.parametrize("targets", [(0.6, 0.3, 0.1), (0.98, 0.01, 0.01), (0.3, 0.69, 0.01)])
+def test_least_squares_equal_brute_force(spark, targets):
+    """The squared errors are as small as those of many plain projected gradient steps over all rates, with targets in and out of reach."""
+    rng = np.random.default_rng(12)
+    p = rng.dirichlet([0.7, 0.5, 0.4], 80)
+    tokens = rng.integers(1, 50, 80)
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p)], "tokens long, p array<double>")
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        _, got = mx.fit_moves(rows, ["a", "b", "c"], dict(zip("abc", targets)), "a")
+    start = tokens @ p
+    goal = start[0] / targets[0] * np.array(targets)
+    a = (p * tokens[:, None]).T / start[:, None]
+    rate = np.ones(80)
+    for _ in range(50_000):
+        rate = np.maximum(0, rate - (a.T @ (a @ rate - goal / start)) / np.linalg.norm(a, 2) ** 2)
+    best = ((a @ rate - goal / start) ** 2).sum()
+    mine = sum(((got[d][1] - got[d][0]) / s) ** 2 for d, s in zip("abc", start))
+    assert mine <= best + 1e-3
 
 
 def test_query_keeps_clean_documents(spark):
