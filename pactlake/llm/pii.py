@@ -10,7 +10,8 @@ blanks, are linked by their joined digits. The field is fitted by pseudo-likelih
 by the patterns, and by agreement with what the patterns found.
 
 Defined cases: null text counts as empty and has no spans; offsets are code points; texts of any length are scanned whole, in
-linear time; equal texts and repeated rows have equal spans; without documents to fit on the field adds nothing; no rows give
+linear time (only a fit takes a run of LONGEST tokens from a document that has more, at a place by its hash); messages of a document
+that don't settle in ROUNDS rounds stand as they are; equal texts and repeated rows have equal spans; without documents to fit on the field adds nothing; no rows give
 no rows; further columns are ignored.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from pactlake.llm.common import bounded_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: The fit: documents sampled at most (by hash of the id), token rows of them, hashed features, passes, rate, penalty.
-SAMPLE_DOCS, SAMPLE_TOKENS, FEATURES, PASSES, RATE, PENALTY = 4_000, 200_000, 1 << 13, 150, 0.5, 1e-4
+#: The fit: documents sampled at most (by hash of the id), tokens of a document and in all, hashed features, passes, rate, penalty.
+SAMPLE_DOCS, LONGEST, SAMPLE_TOKENS, FEATURES, PASSES, RATE, PENALTY = 4_000, 2_000, 200_000, 1 << 13, 150, 0.5, 1e-4
 #: Message passing: rounds at most, change below which a document has settled, share of an old message that is kept, belief from
 #: which a token becomes a span.
 ROUNDS, SETTLED, DAMPING, SURE = 200, 1e-4, 0.3, 0.9
@@ -179,6 +181,21 @@ def tokens_of(texts: list[str], spans: list[list[tuple[str, int, int]]]) -> Toke
     return out
 
 
+def run_of(t: Tokens, start: int, many: int) -> Tokens:
+    """The tokens of one document from start on, many at most, with the links among them."""
+    end = min(len(t.doc), start + many)
+    inside = lambda links: [(a - start, b - start) for a, b in links if start <= min(a, b) and max(a, b) < end]
+    return Tokens(t.doc[start:end], t.span[start:end], t.features[start:end], t.label[start:end], inside(t.chain), inside(t.skip))
+
+
+def not_in(added: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Those of the added spans that overlap none of the base spans, which are in order of their starts."""
+    starts, reach = [s[1] for s in base], [0]
+    for _, _, end in base:
+        reach.append(max(reach[-1], end))
+    return [s for s in added if reach[bisect_left(starts, s[2])] <= s[1]]
+
+
 def agreed(t: Tokens) -> list[int]:
     """Labels to fit on: a token that no pattern labels takes the label of a token that resembles it in the document."""
     label = list(t.label)
@@ -308,13 +325,17 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             rows = []
             for text in batch.column(0).to_pylist():
                 t = tokens_of([text], [base_spans(text)])
+                label = agreed(t)
+                if len(t.doc) > LONGEST:
+                    start = zlib.crc32(text.encode("utf-8", "replace")) % (len(t.doc) - LONGEST + 1)
+                    t, label = run_of(t, start, LONGEST), label[start : start + LONGEST]
                 links = lambda x: [v for pair in x for v in pair]
-                rows.append((len(t.doc), [f for fs in t.features for f in fs], agreed(t), links(t.chain), links(t.skip)))
+                rows.append((len(t.doc), [f for fs in t.features for f in fs], label, links(t.chain), links(t.skip)))
             kinds = [pa.int64(), *[pa.list_(pa.int32())] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["n", "features", "label", "chain", "skip"])
 
     schema = "n long, features array<int>, label array<int>, chain array<int>, skip array<int>"
-    found = likely.where(draw <= last).select("text").mapInArrow(extract, schema).where(f"n BETWEEN 1 AND {SAMPLE_TOKENS // 100}").limit(SAMPLE_DOCS).collect()
+    found = likely.where(draw <= last).select("text").mapInArrow(extract, schema).where("n > 0").limit(SAMPLE_DOCS).collect()
     parts, total = [], 0
     for r in found:
         if (total := total + r.n) > SAMPLE_TOKENS:
@@ -337,8 +358,7 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
             added = added_spans(tokens_of(texts, base), field, len(texts))
             rows = []
             for own, more in zip(base, added):
-                free = [s for s in more if not any(a < s[2] and s[1] < b for _, a, b in own)]
-                every = [(s, True) for s in own] + [(s, False) for s in free]
+                every = [(s, True) for s in own] + [(s, False) for s in not_in(more, own)]
                 every.sort(key=lambda x: (x[0][1], KINDS.index(x[0][0])))
                 rows.append([{"kind": k, "start": a, "end": b, "base": is_base} for (k, a, b), is_base in every])
             columns = [batch.column(0), pa.array(rows, kind)]
