@@ -31,18 +31,26 @@ def is_uuid(c: Column) -> Column:
 
 
 def is_iso_datetime(c: Column) -> Column:
-    """Whether a text is an ISO 8601 date or date-time with a real calendar date and time of day."""
+    """Whether a text is an ISO 8601 date or date-time with a real calendar or week date, time of day and offset."""
     text = c.cast("string")
     compact = text.rlike(r"^\d{8}")
     date = F.when(compact, F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))).otherwise(F.substring(text, 1, 10))
     week = text.rlike(r"^\d{4}-?W")
-    week_no = F.regexp_extract(text, r"^\d{4}-?W(\d{2})", 1)
-    week_ok = week_no.between("01", "53") & (F.regexp_extract(text, r"^\d{4}-?W\d{2}-?(\d)?(?:\D|$|\d{2})", 1).isin("", "1", "2", "3", "4", "5", "6", "7"))
-    rest = F.when(compact, F.substring(text, 10, 100)).when(week, F.lit("")).otherwise(F.substring(text, 12, 100))
-    digits = F.regexp_replace(F.regexp_replace(rest, r"(Z|[+-].*)$", ""), ":", "")
-    hour, minute, second = (F.substring(digits, i, 2) for i in (1, 3, 5))
-    time_ok = ((hour == "") | (hour <= "23")) & ((minute == "") | (minute <= "59")) & ((second == "") | (second <= "59"))
-    return text.rlike(ISO_PATTERN) & F.when(week, week_ok).otherwise(F.try_to_date(date, "yyyy-MM-dd").isNotNull() & time_ok)
+    year = F.substring(text, 1, 4).try_cast("int")
+    # A year has 53 weeks if it ends on a Thursday or the year before ends on a Wednesday.
+    ends_on = lambda y: (y + F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400)) % 7
+    weeks = F.when((ends_on(year) == 4) | (ends_on(year - 1) == 3), "53").otherwise("52")
+    week_day = F.regexp_extract(text, r"^\d{4}-?W\d{2}-?(\d)?(?:\D|$|\d{2})", 1)
+    week_ok = F.regexp_extract(text, r"^\d{4}-?W(\d{2})", 1).between(F.lit("01"), weeks) & week_day.isin("", "1", "2", "3", "4", "5", "6", "7")
+    after_week = F.regexp_extract(text, r"^\d{4}-?W\d{2}(?:-?\d)?+[\s\S](.*)$", 1)
+    rest = F.when(compact, F.substring(text, 10, 100)).when(week, after_week).otherwise(F.substring(text, 12, 100))
+
+    parts = lambda said: [F.coalesce(F.substring(F.replace(said, F.lit(":"), F.lit("")), i, 2).try_cast("int"), F.lit(0)) for i in (1, 3, 5)]
+    hour, minute, second = parts(F.regexp_replace(rest, r"(Z|[+-].*)$", ""))
+    hours, minutes, seconds = parts(F.regexp_extract(rest, r"[+-](.*)$", 1))
+    clocks = (hour <= 23) & (minute <= 59) & (second <= 59) & (hours * 3600 + minutes * 60 + seconds < 86_400)
+    real = F.when(week, week_ok).otherwise(F.try_to_date(date, "yyyy-MM-dd").isNotNull())
+    return text.rlike(ISO_PATTERN) & F.coalesce((year > 0) & real & clocks, F.lit(False))
 
 
 def iso_from_postgres(c: Column) -> Column:

@@ -67,8 +67,8 @@ def dbt_tests(clauses: DataFrame) -> DataFrame:
 
 
 def soda_checks(clauses: DataFrame) -> DataFrame:
-    """Clause rows -> check texts: no missing values for required columns, no duplicates for ids."""
-    said = F.array_compact(F.array(F.when(F.col("required"), F.format_string("missing_count(%s) = 0", "column")), F.when(F.col("format") == "uuid", F.format_string("duplicate_count(%s) = 0", "column"))))
+    """Clause rows -> check texts: no missing values for required columns, no duplicates for required ids."""
+    said = F.array_compact(F.array(F.when(F.col("required"), F.format_string("missing_count(%s) = 0", "column")), F.when((F.col("format") == "uuid") & F.col("required"), F.format_string("duplicate_count(%s) = 0", "column"))))
     return clauses.select("column", F.explode(said).alias("check"))
 
 
@@ -90,7 +90,7 @@ def to_contract(contract_id: str, clauses: DataFrame, warned: DataFrame | None =
     for r in clauses.collect():
         stats = {s: r[s] for s in STATISTICS} if r["mean"] is not None else None
         schema[r["column"]] = Clause(r["type"], r["required"], r["minimum"], r["maximum"], r["format"], r["pattern"], tuple(r["enum"]) if r["enum"] is not None else None, baseline_statistics=stats, distribution_warnings=tuple(notes.get(r["column"], ())))
-    soda = [f"missing_count({c}) = 0" for c, k in schema.items() if k.required] + [f"duplicate_count({c}) = 0" for c, k in schema.items() if k.format == "uuid"]
+    soda = [f"missing_count({c}) = 0" for c, k in schema.items() if k.required] + [f"duplicate_count({c}) = 0" for c, k in schema.items() if k.format == "uuid" and k.required]
     title = re.sub(r"[-_]+", " ", contract_id).title()
     return Contract(contract_id, schema, info={"title": title}, quality={"type": "SodaChecks", "checks": soda}, lineage={"downstream": downstream or []})
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: the text of a risk that a subscriber hasn't declared.
+UNVERIFIED = "Field '%s' is consumed but not declared in breaking_fields — unverified risk."
 PREFIX = r"^(fact|node|edge|event|item)_"
 
 
@@ -24,14 +26,22 @@ def _related(changed: Column, breaking: Column) -> Column:
 
 
 def consumer_impact(changes: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Changes (contract_id, field) x subscriptions -> who is hit, by the first matching breaking field, else as unverified risk."""
+    """Changes (contract_id, field) x subscriptions -> who is hit, by the first matching breaking field, else as unverified risk.
+
+    Only a declared breaking field blocks, and only where the subscriber enforces. Further columns of the subscriptions (tier,
+    contact) are carried along.
+    """
+    told = [c for c in subscriptions.columns if c not in ("contract_id", "subscriber_id", "breaking_fields", "fields_consumed")]
     rows = breaking_rows(subscriptions).drop("fields_consumed")
     hit = changes.join(rows, "contract_id").where(_related(F.col("field"), F.col("breaking_field")))
     first = hit.withColumn("r", F.row_number().over(Window.partitionBy("contract_id", "field", "subscriber_id").orderBy("position"))).where("r = 1")
-    declared = first.select("contract_id", "field", "subscriber_id", "validation_mode", "breaking_field", F.lit("declared").alias("risk"))
-    used = changes.join(subscriptions, "contract_id").where(F.array_contains("fields_consumed", F.col("field")))
-    rest = used.join(declared, ["contract_id", "field", "subscriber_id"], "left_anti").select("contract_id", "field", "subscriber_id", "validation_mode", F.lit(None).cast("string").alias("breaking_field"), F.lit("unverified").alias("risk"))
-    return declared.unionByName(rest).withColumn("will_block_pipeline", F.col("validation_mode") == "ENFORCE")
+    keys = ["contract_id", "field", "subscriber_id"]
+    blocks = F.coalesce(F.col("validation_mode") == "ENFORCE", F.lit(False))
+    declared = first.select(*keys, *told, "breaking_field", F.lit("declared").alias("risk"), F.coalesce("reason", F.lit("")).alias("failure_mechanism"), blocks.alias("will_block_pipeline"))
+    used = changes.join(subscriptions, "contract_id").where(F.array_contains("fields_consumed", F.col("field"))).join(declared.select(*keys), keys, "left_anti")
+    said = F.format_string(UNVERIFIED, "field")
+    rest = used.select(*keys, *told, F.lit(None).cast("string").alias("breaking_field"), F.lit("unverified").alias("risk"), said.alias("failure_mechanism"), F.lit(False).alias("will_block_pipeline"))
+    return declared.unionByName(rest)
 
 
 def bare(field: Column) -> Column:

@@ -120,7 +120,7 @@ SUB_NAMES = "contract_id, subscriber_id, validation_mode, tier, breaking, consum
 
 def _subs(spark):
     rows = values(spark, SUBS, SUB_NAMES)
-    return rows.select("contract_id", "subscriber_id", "validation_mode", "tier", F.transform(F.split("breaking", ","), lambda b: F.struct(b.alias("field"), F.lit("").alias("reason"))).alias("breaking_fields"), F.split("consumed", ",").alias("fields_consumed"))
+    return rows.select("contract_id", "subscriber_id", "validation_mode", "tier", F.transform(F.split("breaking", ","), lambda b: F.struct(b.alias("field"), F.concat(F.lit("breaks on "), b).alias("reason"))).alias("breaking_fields"), F.split("consumed", ",").alias("fields_consumed"))
 
 
 CHANGED = [("docs", "facts"), ("docs", "facts.confidence.value"), ("docs", "model"), ("docs", "doc_id"), ("graph", "nodes.id"), ("graph", "edges")]
@@ -129,10 +129,10 @@ CHANGED = [("docs", "facts"), ("docs", "facts.confidence.value"), ("docs", "mode
 @query(f"""
     WITH {cte("s", SUBS, SUB_NAMES)}, {cte("ch", CHANGED, "contract_id, field")},
     b AS (SELECT s.*, unnest(string_split(breaking, ',')) AS bf, generate_subscripts(string_split(breaking, ','), 1) AS pos FROM s),
-    hit AS (SELECT ch.contract_id, field, subscriber_id, validation_mode, arg_min(bf, pos) AS breaking_field FROM ch JOIN b USING (contract_id)
+    hit AS (SELECT ch.contract_id, field, subscriber_id, validation_mode, tier, arg_min(bf, pos) AS breaking_field FROM ch JOIN b USING (contract_id)
             WHERE field = bf OR starts_with(field, bf || '.') OR starts_with(bf, field || '.') GROUP BY ALL)
-    SELECT contract_id, field, subscriber_id, validation_mode, breaking_field, 'declared' AS risk, validation_mode = 'ENFORCE' AS will_block_pipeline FROM hit
-    UNION ALL SELECT ch.contract_id, ch.field, s.subscriber_id, s.validation_mode, NULL, 'unverified', s.validation_mode = 'ENFORCE' FROM ch JOIN s USING (contract_id)
+    SELECT contract_id, field, subscriber_id, validation_mode, tier, breaking_field, 'declared' AS risk, 'breaks on ' || breaking_field AS failure_mechanism, validation_mode = 'ENFORCE' AS will_block_pipeline FROM hit
+    UNION ALL SELECT ch.contract_id, ch.field, s.subscriber_id, s.validation_mode, s.tier, NULL, 'unverified', 'Field ''' || ch.field || ''' is consumed but not declared in breaking_fields — unverified risk.', FALSE FROM ch JOIN s USING (contract_id)
     WHERE list_contains(string_split(consumed, ','), ch.field) AND (ch.contract_id, ch.field, s.subscriber_id) NOT IN (SELECT (contract_id, field, subscriber_id) FROM hit)
 """)
 def consumer_impact(spark, d):
@@ -315,12 +315,14 @@ def recommendations(spark, d):
     return report.recommendations(v(RESULTS, "contract_id, column_name, check_type, status"), v(BREAKS, "contract_id, field, change_type, classification"), _subs(spark), v(AI, "check_name, status, trend"))
 
 
-@query("SELECT conv_id, turn, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM conversations QUALIFY step <> 1")
+@query("""
+    SELECT * FROM (SELECT o_custkey, o_orderkey, o_orderkey - lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step FROM orders) WHERE step <> 1
+""")
 def seq_gaps(spark, d):
     from pyspark.sql import Window
 
-    step = F.col("turn") - F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, d, "conversations").select("conv_id", "turn", step.alias("step")).where("step <> 1")
+    step = F.col("o_orderkey") - F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", step.alias("step")).where("step <> 1")
 
 
 @query("SELECT o_custkey, o_orderkey, round(coalesce(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS starts_at FROM orders")

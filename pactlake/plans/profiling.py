@@ -138,12 +138,12 @@ def _clauses(spark):
 CLAUSE_CTE = f"""WITH t("column", required, enum, format) AS (VALUES {CLAUSES.format(s="VARCHAR")})"""
 
 
-@query(f"""{CLAUSE_CTE} SELECT "column", 'not_null' AS test FROM t WHERE required UNION ALL SELECT "column", 'accepted_values' FROM t WHERE enum IS NOT NULL UNION ALL SELECT "column", 'unique' FROM t WHERE format = 'uuid'""")
+@query(f"""{CLAUSE_CTE} SELECT "column", 'not_null' AS test FROM t WHERE required UNION ALL SELECT "column", 'accepted_values' FROM t WHERE enum IS NOT NULL UNION ALL SELECT "column", 'unique' FROM t WHERE format = 'uuid' AND required""")
 def dbt_tests(spark, d):
     return infer.dbt_tests(_clauses(spark))
 
 
-@query(f"""{CLAUSE_CTE} SELECT "column", 'missing_count(' || "column" || ') = 0' AS "check" FROM t WHERE required UNION ALL SELECT "column", 'duplicate_count(' || "column" || ') = 0' FROM t WHERE format = 'uuid'""")
+@query(f"""{CLAUSE_CTE} SELECT "column", 'missing_count(' || "column" || ') = 0' AS "check" FROM t WHERE required UNION ALL SELECT "column", 'duplicate_count(' || "column" || ') = 0' FROM t WHERE format = 'uuid' AND required""")
 def soda_checks(spark, d):
     return infer.soda_checks(_clauses(spark))
 

@@ -34,6 +34,8 @@ def test_uuid5_equals_python(spark):
 
 def test_iso_agrees_with_python(spark):
     texts = ["2024-02-29", "2023-02-29", "2024-01-01T23:59:59.123+05:30", "2024-01-01T23:59:60", "2024-13-01", "20240229T1010", "2024-W05", "2024-W60", "", "2024-01-01T10:00Z"]
+    texts += ["2023-W53-1", "2020-W53-7", "2026-W53", "2024-W01-1T25:00", "2024-W01-1T23:00", "2024W011T10", "2024-W00-1", "2024-W01-8", "0000-01-01", "x"]
+    texts += ["2024-01-01T10:00+25:00", "2024-01-01T10:00+23:59", "2024-01-01T10:00-00:60", "2024-01-01T10:00+05:30:15", "20240101T1010+2400"]
 
     def ok(t):
         try:
@@ -46,6 +48,30 @@ def test_iso_agrees_with_python(spark):
     assert got == {t: ok(t) for t in texts}
 
 
+def test_only_declared_enforcing_consumers_block(spark):
+    from pactlake.operators import registry
+
+    subs = spark.createDataFrame(
+        [("c", "s1", "ENFORCE", 1, "x@y", [("a.b", "sums it")], ["a.b", "z"]), ("c", "s2", "ENFORCE", 2, None, [("q", None)], ["z"]), ("c", "s3", "AUDIT", 3, "m", [("z", "shows it")], [])],
+        "contract_id string, subscriber_id string, validation_mode string, tier int, contact string, breaking_fields array<struct<field string, reason string>>, fields_consumed array<string>",
+    )
+    got = registry.consumer_impact(spark.createDataFrame([("c", "a"), ("c", "z")], "contract_id string, field string"), subs)
+    unverified = "Field 'z' is consumed but not declared in breaking_fields — unverified risk."
+    assert sorted((r.field, r.subscriber_id, r.tier, r.contact, r.failure_mechanism, r.will_block_pipeline) for r in got.collect()) == [
+        ("a", "s1", 1, "x@y", "sums it", True),
+        ("z", "s1", 1, "x@y", unverified, False),
+        ("z", "s2", 2, None, unverified, False),
+        ("z", "s3", 3, "m", "shows it", False),
+    ]
+
+
+def test_only_required_ids_are_checked_for_duplicates(spark):
+    from pactlake.operators import infer
+
+    clauses = spark.createDataFrame([("a", True, "uuid"), ("b", False, "uuid"), ("c", True, None)], "column string, required boolean, format string")
+    assert sorted(r.check for r in infer.soda_checks(clauses).collect()) == ["duplicate_count(a) = 0", "missing_count(a) = 0", "missing_count(c) = 0"]
+
+
 def test_flatten_keeps_empty_arrays_and_prefixes(spark):
     df = spark.createDataFrame([("d1", "p", [{"text": "a", "k": 1}, {"text": "b", "k": None}], "m"), ("d2", "q", [], None)], "doc_id string, fact_text string, extracted_facts array<struct<text string, k int>>, _meta string")
     out = flatten.flatten(df)
