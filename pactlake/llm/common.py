@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: Folders of the settled tables of this process that haven't been released.
+_SETTLED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a fresh one where none is set (local tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; in local mode a fresh one where none is set."""
     sc = spark.sparkContext
     if not (path := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(path := "file://" + tempfile.mkdtemp(prefix="pactlake-"))
     return path.rstrip("/")
 
@@ -28,9 +34,25 @@ def settle(df: DataFrame, what: str = "table") -> DataFrame:
     """Write df into the shared folder and read it again: computed once, lineage cut, sizes known, safe when executors are lost."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
+    _SETTLED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled() -> list[str]:
+    """Folders of all settled tables of this process that haven't been released."""
+    return list(_SETTLED)
+
+
+def release(spark: SparkSession, folders: list[str]) -> None:
+    """Delete settled tables on which no result depends any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        if folder in _SETTLED:
+            _SETTLED.remove(folder)
+
+
 def join_small(df: DataFrame, small: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a settled table that is broadcast only if its row count is within the limit; else Spark's shuffled join (AQE splits hot keys)."""
     return df.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)

@@ -7,7 +7,7 @@ each fingerprint over the corpus. Texts whose fingerprint counts one are unique;
 grouping by the whole text.
 
 Defined cases: null text counts as empty, and empty texts are equal; of equal texts the row with the largest id stays
-(null ids count as smallest); of rows repeated with the same id and text one stays; no rows give no rows; further columns
+(null ids count as smallest); of rows with the same id and text one stays, the greatest by its other columns, nested ones by their JSON; no rows give no rows; further columns
 are carried along, whatever their names.
 """
 
@@ -141,7 +141,9 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     heavy = repeated_fingerprints(docs.select(F.xxhash64(text_of(text_col)).alias("fp"))).select(F.col("fp").alias(fp))
     docs_fp = docs.withColumn(fp, F.xxhash64(text_of(text_col)))
     single = join_small(docs_fp, heavy, fp, "left_anti").drop(fp)
-    ordered = F.struct(F.col(id_col), *(F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in (id_col, text_col) and f.dataType.typeName() not in ("map", "variant", "struct", "array")))
+    nested = ("map", "variant", "struct", "array")
+    others = [(F.col(f"`{f.name}`"), f.dataType.typeName() in nested) for f in docs.schema.fields if f.name not in (id_col, text_col)]
+    ordered = F.struct(F.col(id_col), *(F.to_json(F.struct(c)) if is_nested else c for c, is_nested in others))
     shared = join_small(docs_fp, heavy, fp, "left_semi").groupBy(text_of(text_col).alias(key)).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), ordered).alias(row))
     return single.unionByName(shared.select(f"{row}.*"))
 

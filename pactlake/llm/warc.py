@@ -1,15 +1,15 @@
 """WARC archives, one Zstandard frame a record, with a shared dictionary in a leading skippable frame.
 
 A file is a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself a Zstandard frame, then one frame a record
-compressed with it, so that any record can be read alone. The dictionary is trained on a bounded, documented sample of the
-records that are archived. Records whose payload is equal to that of a record with a smaller id are revisits that refer to it.
+compressed with it, so that any record can be read alone. The dictionary is trained on a bounded sample of the records that are
+archived: SAMPLE_RECORDS of them by hash, of each the headers and the first SAMPLE_BYTES of the payload. Records whose payload is equal to that of a record with a smaller id are revisits that refer to it.
 
 A task writes its own file under a fresh name and returns it in a manifest; only files in the manifest are archives, so a
 task that is run again, or twice at once, does no harm.
 
 Defined cases: null payloads count as empty; empty payloads are equal and revisit the first of them (down to a
-minimum size, 0 here); rows repeated with one id and payload are one record and all responses; null urls and
-ids are written as empty headers and read back as null; no rows give no archives and no rows.
+minimum size, 0 here); rows repeated with one id and payload are one record and all responses, under one record id; null urls are
+written as empty headers, null ids as random record ids, and both are read back as null; no rows give no archives and no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: int | No
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if first is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>" if page_id is None else f"WARC-Record-ID: <urn:page:{page_id}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
@@ -122,8 +122,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, level: int = L
     # The sample's largest hash is found first, on hashes alone, so that only the sample's payloads go to the driver.
     draw = F.xxhash64("page_id", F.sha2("payload", 256))
     last = pages.select(draw.alias("h")).orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
-    samples = [] if last is None else pages.where(draw <= last).limit(SAMPLE_RECORDS).select(F.substring("payload", 1, SAMPLE_BYTES)).collect()
-    trained = train_dictionary([bytes(r[0]) for r in samples])
+    samples = [] if last is None else pages.where(draw <= last).limit(SAMPLE_RECORDS).select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES)).collect()
+    trained = train_dictionary([record(page_id, url, bytes(payload), None, date) for page_id, url, payload in samples])
     lead = leading_frame(trained)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +132,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, level: int = L
         name, n, out = f"{uuid.uuid4().hex}.warc.zst", 0, None
         pack = zstandard.ZstdCompressor(level=level, dict_data=dictionary_of(trained))
         for batch in batches:
-            out = out or store.open_output_stream(f"{base}/{name}", compression=None)  # else it is compressed once more, by its name
-            n or out.write(lead)
+            if out is None:
+                out = store.open_output_stream(f"{base}/{name}", compression=None)  # else it is compressed once more, by its name
+                out.write(lead)
             for page_id, url, payload, first in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 out.write(pack.compress(record(page_id, url, payload, first, date)))
                 n += 1
@@ -150,7 +151,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
     types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     names = [c.split()[0] for c in schema.split(", ")]
-    number = lambda urn: int(urn[10:-1]) if urn[10:-1] else None
+    number = lambda urn: int(urn[10:-1]) if urn.startswith("<urn:page:") else None
 
     def rows(raw: bytes) -> tuple:
         head, payload = parse(raw)
@@ -189,4 +190,20 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_warc": op8_warc}
-SQL: dict[str, str] = {}
+#: A SHA-1 digest has 40 hex digits; each five of them are four base32 digits.
+SQL = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+        ), d AS (
+            SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first FROM p
+        ), n AS (
+            SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, (i * 5 + 1)::INT, 5))::INT) AS fives FROM d
+        )
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((fives[(k // 4 + 1)::INT] >> (15 - 5 * (k % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM n
+    """
+}

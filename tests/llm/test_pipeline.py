@@ -30,3 +30,28 @@ def test_empty_table(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_run_leaves_only_what_its_result_needs(spark):
+    from pactlake.llm.common import settled
+
+    before = settled()
+    out = cp.run(spark, SF)
+    assert out.columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"] and out.count() > 0
+    left = [p.rsplit("/", 1)[1].split("-")[1] for p in settled() if p not in before]
+    assert left[0] == "mixing" and not {"quality", "exact_dedup", "near_dedup", "texts", "posteriors"} & set(left)
+
+
+def test_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and clashing names go through every stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None), (900_001, None), (900_002, ""), (900_003, "word " * 100_000), (900_004, "tie"), (900_004, "tie")], "doc_id long, text string")
+    docs = docs.unionByName(odd, allowMissingColumns=True).selectExpr("*", "'x' AS th", "1 AS shard", "2 AS _doc", "'y' AS key", "struct(doc_id AS a) AS row")
+    for name, stage in cp.STAGES:
+        columns = docs.columns
+        docs = stage(spark, docs, SF).cache() if name == "packing" else cp.settle(stage(spark, docs, SF), name)
+        if name != "packing":
+            assert docs.columns == columns
+        if name in ("exact_dedup", "near_dedup"):
+            assert docs.where("coalesce(text, '') = ''").count() <= 1 and docs.where("text = 'tie'").count() <= 1
+    assert docs.count() > 0

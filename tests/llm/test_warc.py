@@ -6,7 +6,7 @@ import pytest
 import zstandard
 
 from pactlake.llm import warc
-from tests.conftest import SF
+from tests.conftest import SF, canonical
 
 
 def want(rows):
@@ -58,3 +58,9 @@ def test_small_samples_and_empty_tables(spark, tmp_path):
     manifest = archive(spark, tmp_path, [])
     assert manifest.count() == 0 and warc.read_archives(manifest).count() == 0
     assert zstandard.ZstdDecompressor().decompress(warc.leading_frame(b"abc")[8:]) == b"abc"
+
+
+def test_query_equals_sql(spark, duck):
+    got = warc.op8_warc(spark, SF)
+    want = duck.execute(warc.SQL["op8_warc"])
+    assert canonical(got.columns, [tuple(r) for r in got.collect()]) == canonical([c[0] for c in want.description], want.fetchall())
