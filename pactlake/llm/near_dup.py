@@ -46,7 +46,7 @@ PRINTS = 4
 MINHASHES, FAR = 256, 62
 _ODD = np.random.default_rng(11).integers(0, 2**63, (2, MINHASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Untested partners that a text is given in a round: at least, and at most when few texts still ask (as many pairs as in round one).
-PARTNERS, MOST_PARTNERS = 8, 4096
+PARTNERS, MOST_PARTNERS = 2, 4096
 #: Cursors of a text that has tested no partner and of one that has tested all.
 START, DONE = -(2**63), 2**63 - 1
 #: Texts with one 64-bit hash but other bytes that are told apart (some are expected beyond 10^9 texts); more of them are an error.
@@ -260,7 +260,8 @@ def segment_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[
 
 def segment_partners(batches: Iterator[pa.RecordBatch], distance: int, count: int) -> Iterator[pa.RecordBatch]:
     """(a, b) among rows (segment, code, asks, th) and, where not all ask, (after, min-hashes...): of each text b the `count`
-    smallest texts a < b beyond its cursor; pairs whose min-hashes are far apart are left out."""
+    smallest texts a < b beyond its cursor; pairs whose min-hashes are far apart are left out. A pair comes from the first block of a
+    fingerprint in which it is near, and by its greater text, so that it isn't returned again for each other block."""
     for seg, code, asks, th, *more in whole_segments(batches):
         own = np.flatnonzero(~asks)
         tree, at = GrayTree(code[own]), seg[own]
@@ -273,6 +274,13 @@ def segment_partners(batches: Iterator[pa.RecordBatch], distance: int, count: in
         hi, lo, full = np.empty(0, np.int64), np.empty(0, np.int64), FRONT
         for q, place in tree.search(code, first, last, distance):
             y = own[place]
+            x, block, first_block = code[q] ^ code[y], seg[q] >> 16 & 3, np.ones(len(q), bool)
+            for i in range(3):
+                near = np.bitwise_count(x >> np.uint64(48 - 16 * i) & np.uint64(0xFFFF)) <= distance // 4
+                first_block &= ~near | (block <= i)
+            if more:  # a text that tests asks by itself
+                first_block &= th[q] > th[y]
+            q, y = q[first_block], y[first_block]
             greater = th[q] > th[y]
             b, a = np.where(greater, q, y), np.where(greater, y, q)
             fresh = th[a] < th[b]
