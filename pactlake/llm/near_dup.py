@@ -46,7 +46,7 @@ PRINTS = 4
 MINHASHES, FAR = 256, 62
 _ODD = np.random.default_rng(11).integers(0, 2**63, (2, MINHASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Untested partners that a text is given in a round: at least, and at most when few texts still ask (as many pairs as in round one).
-PARTNERS, MOST_PARTNERS = 2, 4096
+PARTNERS, MOST_PARTNERS = 4, 4096
 #: Cursors of a text that has tested no partner and of one that has tested all.
 START, DONE = -(2**63), 2**63 - 1
 #: Texts with one 64-bit hash but other bytes that are told apart (some are expected beyond 10^9 texts); more of them are an error.
