@@ -259,10 +259,11 @@ def segment_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[
 
 
 def segment_partners(batches: Iterator[pa.RecordBatch], distance: int, count: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) among rows (segment, code, asks, th) and, where not all ask, (after, min-hashes...): of each text b the `count`
-    smallest texts a < b beyond its cursor; pairs whose min-hashes are far apart are left out. A pair comes from the first block of a
-    fingerprint in which it is near, and by its greater text, so that it isn't returned again for each other block."""
+    """(a, b) among rows (segment, code, asks, th, earlier fingerprints...) and, where not all ask, (after, min-hashes...): of each
+    text b the `count` smallest texts a < b beyond its cursor; pairs whose min-hashes are far apart are left out. A pair comes from
+    the first fingerprint in which it is near, there from the first near block, and by its greater text, so that it is returned once."""
     for seg, code, asks, th, *more in whole_segments(batches):
+        earlier, more = [c.astype(np.int64).view(np.uint64) for c in more[: PRINTS - 1]], more[PRINTS - 1 :]
         own = np.flatnonzero(~asks)
         tree, at = GrayTree(code[own]), seg[own]
         first, last = np.searchsorted(at, seg, "left"), np.searchsorted(at, seg, "right")
@@ -278,6 +279,8 @@ def segment_partners(batches: Iterator[pa.RecordBatch], distance: int, count: in
             for i in range(3):
                 near = np.bitwise_count(x >> np.uint64(48 - 16 * i) & np.uint64(0xFFFF)) <= distance // 4
                 first_block &= ~near | (block <= i)
+            for k, prints in enumerate(earlier):
+                first_block &= (seg[q] >> 18 <= k) | (np.bitwise_count(prints[q] ^ prints[y]) > distance)
             if more:  # a text that tests asks by itself
                 first_block &= th[q] > th[y]
             q, y = q[first_block], y[first_block]
@@ -353,10 +356,12 @@ def partners(texts: DataFrame, distance: int, count: int, first: bool) -> DataFr
     stand in crowds, their min-hashes are compared too before a pair is returned."""
     more = [] if first else ["after", *(f"l{i}" for i in range(MINHASHES // 32))]
     known = texts if first else texts.select("*", *(F.get("low", F.lit(i)).alias(c) for i, c in enumerate(more[1:])))
-    prints = known.select("th", *more, F.posexplode("fps").alias("print", "code"))
+    prints = known.select("th", "fps", *more, F.posexplode("fps").alias("print", "code"))
+    earlier = [f"p{k}" for k in range(PRINTS - 1)]
+    prints = prints.select("th", "print", "code", *(F.when(F.col("print") > k, F.get("fps", F.lit(k))).otherwise(0).alias(c) for k, c in enumerate(earlier)), *more)
     rows = _segments(prints, distance, None if first else F.col("after") < DONE)
     rows = rows.withColumn("seg", F.shiftleft(F.col("print").cast("long"), 18) + F.col("seg"))
-    found = _by_segment(rows, "seg", "code", "asks", "th", *more).mapInArrow(partial(segment_partners, distance=distance, count=count), "a long, b long")
+    found = _by_segment(rows, "seg", "code", "asks", "th", *earlier, *more).mapInArrow(partial(segment_partners, distance=distance, count=count), "a long, b long")
     ranked = found.distinct().withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("a")))
     return ranked.where(F.col("n") <= count)
 
