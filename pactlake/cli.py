@@ -7,11 +7,14 @@ python -m pactlake.cli validate --contract contracts/orders.yaml --data d.jsonl
 from __future__ import annotations
 
 import argparse
+import functools
+import glob
 import json
 import os
 import sys
 from datetime import datetime, timezone
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,13 +71,17 @@ def cmd_validate(a) -> int:
     base = {k.removeprefix(prefix): v for k, v in stored.items() if k.startswith(prefix)}
     try:
         rows = load(spark, a.data)
+        rows.agg(F.count("*")).collect()  # a file that can't be read fails here, an error in a check below
+    except PySparkException as e:
+        rows, results = None, checks.load_failure(spark, contract.id, str(e))
+    if rows is None:
+        doc = sinks.report(results, header, a.out)
+    else:
         results = checks.validate(rows, contract, base, samples=a.samples)
         doc = sinks.report(results, header, a.out)
         if a.baselines:
             fresh = {prefix + r.column: r.asDict() for r in profile.numeric(rows).collect()}
             sinks.merge_baselines(a.baselines, fresh)
-    except Exception as e:  # an unreadable file is a result, not a crash
-        doc = sinks.report(checks.load_failure(spark, contract.id, str(e)), header, a.out)
     stop = {"AUDIT": False, "WARN": doc["critical"] > 0, "ENFORCE": doc["critical"] + doc["high"] > 0}[a.mode] or (a.fail_on_error and doc["errored"] > 0)
     print({k: doc[k] for k in ("total_checks", "passed", "warned", "high", "critical", "errored")}, "blocked" if stop else "passes")
     return int(stop)
@@ -117,23 +124,38 @@ def _pair(a) -> tuple[str, str]:
     return (before[-1], after[-1]) if before and after else (paths[0], paths[-1])
 
 
+def _commits(spark: SparkSession, files: list[tuple[str, int]], root: str) -> DataFrame:
+    """Commits of a few files (path, depth), newest first within each."""
+    found = [readers.commits(spark, path, root).withColumns({"seq": F.col("seq") + i * 1_000_000, "file_path": F.lit(path), "depth": F.lit(depth)}) for i, (path, depth) in enumerate(files)]
+    none = spark.createDataFrame([], readers.COMMIT_DDL + ", file_path string, depth int")
+    return blame.rank_commits(functools.reduce(DataFrame.unionByName, found, none), F.current_date())
+
+
 def cmd_attribute(a) -> int:
+    """Failing checks -> log entries with blame chain and blast radius."""
     spark = session()
     doc = readers.json_or(a.report, {})
     failing = [r for r in doc.get("results", []) if str(r.get("status", "")).upper() != "PASS"]
     if not failing:
         print("nothing to attribute")
         return 0
-    columns = "check_order int, contract_id string, check_id string, column_name string, check_type string, status string, severity string, actual_value string, expected string, records_failing long"
-    rows = spark.createDataFrame([(i, doc["contract_id"], r["check_id"], r["column_name"], r["check_type"], r["status"], r["severity"], r["actual_value"], r["expected"], r["records_failing"]) for i, r in enumerate(failing)], columns)
-    hit = registry.blast_radius(rows.select("contract_id", F.col("column_name").alias("field")).distinct(), readers.registry(spark, a.registry))
-    depths = spark.createDataFrame([], "depth int")
+    columns = ["check_id", "column_name", "check_type", "status", "severity", "actual_value", "expected", "message", "records_failing"]
+    ddl = "check_order int, contract_id string, " + ", ".join(f"{c} {'long' if c == 'records_failing' else 'string'}" for c in columns)
+    rows = spark.createDataFrame([(i, doc["contract_id"], *(r.get(c) for c in columns)) for i, r in enumerate(failing)], ddl)
+    subs = readers.registry(spark, a.registry).withColumn("place", F.monotonically_increasing_id())
+    hit = registry.blast_radius(rows.select("contract_id", F.col("column_name").alias("field")).distinct(), subs)
+    depths, labels, files = spark.createDataFrame([], "node_id string, depth int"), spark.createDataFrame([], "node_id string, label string"), []
     if a.lineage:
         nodes, edges = readers.latest_lineage(spark, a.lineage)
-        seeds = lineage.seeds_for(nodes, os.path.splitext(os.path.basename(doc.get("data_path", "")))[0])
-        depths = lineage.contamination(seeds, hit.select(F.col("subscriber_id").alias("node_id")).distinct(), edges)
-    entries = blame.violations(rows, hit, depths).withColumn("detected_at", F.lit(datetime.now(timezone.utc).isoformat()))
-    sinks.append_log(entries, a.log)
+        stem = os.path.splitext(os.path.basename(doc.get("data_path", "")))[0]
+        labels = nodes.select("node_id", "label")
+        depths = lineage.contamination(lineage.seeds_for(nodes, stem), hit.select(F.col("subscriber_id").alias("node_id")).distinct(), edges)
+        files = [(r.file_path, r.depth) for r in lineage.upstream_files(nodes, edges, stem).collect()]  # five at most
+    ranked, spare = _commits(spark, files if a.root else [], a.root), None
+    if a.root and not ranked.limit(1).count():
+        spare = _commits(spark, [(p, 1) for p in sorted(glob.glob(os.path.join(a.root, a.scripts)))[:3]], a.root)
+    chain, far = (blame.blame_chain(ranked, tier, bool(a.root), spare) for tier in (None, 3))
+    sinks.append_log(blame.violations(rows, hit, subs, depths, labels, chain, far, doc.get("data_path", "")), a.log)
     print(len(failing), "failing checks attributed")
     return 0
 
@@ -143,9 +165,8 @@ def cmd_ai(a) -> int:
     raw = readers.jsonl(spark, a.data)
     out: dict = {}
     if a.mode in ("all", "drift"):
-        rows = raw.withColumn("_n", F.monotonically_increasing_id())
-        middle = rows.agg(F.expr("percentile(_n, 0.5)")).scalar()
-        sides = [rows.where(F.col("_n") < middle), rows.where(F.col("_n") >= middle)]
+        rows = text.halves(raw)
+        sides = [rows.where("NOT second").drop("second"), rows.where("second").drop("second")]
         texts = [text.hashed_sample(flatten.texts(s, a.array) if a.array else s.select(F.col(a.text).alias("text")), "text") for s in sides]
         out["embedding_drift"] = text.text_drift(*(t.withColumn("id", F.monotonically_increasing_id()) for t in texts), "id", "text").first().asDict()
     if a.mode in ("all", "prompt"):
@@ -155,19 +176,38 @@ def cmd_ai(a) -> int:
             sinks.quarantine(checked, a.quarantine)
     if a.mode in ("all", "output_rate") and a.verdicts:
         out["output_rate"] = prompts.output_rate(readers.jsonl(spark, a.verdicts)).first().asDict()
+    if a.log and out:
+        outcomes = spark.createDataFrame([(k, v["status"], v.get("rate")) for k, v in out.items()], "check_name string, status string, rate double")
+        sinks.ai_breaches(outcomes, a.log)
     _dump(out, a.out)
     print(out)
     return 0
 
 
 def cmd_report(a) -> int:
+    """Health, totals, contracts, violations in plain words and recommendations of a folder of reports (and of diffs)."""
     spark = session()
-    ddl = "contract_id string, data_path string, total_checks int, passed int, critical int, high int"
-    reports = readers.json_documents(spark, a.reports, ddl).where("total_checks IS NOT NULL")
+    result = "array<struct<check_id: string, column_name: string, check_type: string, status: string, severity: string, actual_value: string, expected: string, records_failing: bigint>>"
+    ddl = f"contract_id string, data_path string, total_checks int, passed int, critical int, high int, results {result}"
+    reports = readers.json_documents(spark, a.reports, ddl).where("total_checks IS NOT NULL").cache()
+    change = "array<struct<field: string, change_type: string, classification: string>>"
+    told = readers.json_documents(spark, a.diffs, f"contract_id string, changes {change}, summary struct<verdict: string>") if a.diffs else spark.createDataFrame([], f"contract_id string, changes {change}, summary struct<verdict: string>")
+    told = told.where("contract_id IS NOT NULL").cache()
+    changes = told.select("contract_id", F.inline("changes"))
+    subs = readers.registry(spark, a.registry or "")
     ai = readers.json_or(a.ai, {}) if a.ai else {}
+    outcomes = spark.createDataFrame([(k, v.get("status"), v.get("trend")) for k, v in ai.items()], "check_name string, status string, trend string")
     row = report.health(reports, sum(v.get("status") == "FAIL" for v in ai.values())).first().asDict()
     row["narrative"] = hooks.narrate(row["score"], row["grade"], row)
-    row["contracts"] = [r.asDict() for r in report.last_reports(reports).collect()]
+    row["totals"] = report.totals(reports, changes).first().asDict()
+    last = report.last_reports(reports)
+    row["contracts"] = [r.asDict() for r in last.drop("results").collect()]
+    row["contract_table"] = [r.asDict() for r in report.contract_table(reports, told.select("contract_id", "summary.verdict"), subs).orderBy("contract_id").collect()]
+    failing = reports.select("contract_id", F.inline("results")).where("status <> 'PASS'")
+    hit = registry.blast_radius(failing.select("contract_id", F.col("column_name").alias("field")).distinct(), subs)
+    row["violations"] = [r.asDict() for r in report.violation_text(failing, hit).distinct().orderBy("contract_id", "column_name", "said").limit(a.most).collect()]  # a top-k report
+    row["diffs"] = [r.asDict() for r in changes.groupBy("contract_id", "classification").count().orderBy("contract_id", "classification").collect()]
+    row["recommendations"] = [r.action for r in report.recommendations(failing, changes, subs, outcomes).collect()]
     _dump(row, a.out)
     print(row["narrative"])
     return 0
@@ -188,9 +228,9 @@ def main(argv: list[str] | None = None) -> int:
     command(cmd_infer, "data", "id", "out", registry=None, snapshots=None, approximate=False)
     command(cmd_validate, "contract", "data", "out", mode="AUDIT", baselines=None, samples=5, report_id=None, fail_on_error=False)
     command(cmd_diff, "out", id=None, snapshots=None, old=None, new=None, since=None, registry=None)
-    command(cmd_attribute, "report", "registry", "log", lineage=None)
-    command(cmd_ai, "data", "out", mode="all", array=None, text="text", preview="content_preview", verdicts=None, quarantine=None)
-    command(cmd_report, "reports", "out", ai=None)
+    command(cmd_attribute, "report", "registry", "log", lineage=None, root=None, scripts="outputs/migrate/*.py")
+    command(cmd_ai, "data", "out", mode="all", array=None, text="text", preview="content_preview", verdicts=None, quarantine=None, log=None)
+    command(cmd_report, "reports", "out", ai=None, diffs=None, registry=None, most=20)
     a = p.parse_args(argv)
     return a.run(a)
 

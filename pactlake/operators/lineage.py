@@ -14,9 +14,11 @@ FOLLOWED = ("PRODUCES", "WRITES", "READS", "CONSUMES")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that all executors share, or a fresh one where none is set (local runs)."""
+    """spark.checkpoint.dir, the folder that all executors share; in local mode a fresh one where none is set."""
     sc = spark.sparkContext
     if not (path := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(path := "file://" + tempfile.mkdtemp(prefix="pactlake-"))
     return path.rstrip("/")
 
@@ -34,6 +36,7 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, max_depth: int | None = No
     """
     a, b = ("target", "source") if reverse else ("source", "target")
     step = edges.select(F.col(a).alias("node_id"), F.col(b).alias("next")).distinct()
+    step = _written(step.repartition("node_id"))  # made once, not again in each round
     seen = frontier = _written(seeds.select("node_id").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while max_depth is None or depth < max_depth:

@@ -70,6 +70,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
+def halves(df: DataFrame) -> DataFrame:
+    """df with `second`, false for its first half by position (the smaller one where the count is odd).
+
+    Positions are counted per partition; only these counts, a number a partition, are summed, so no row leaves its place.
+    """
+    rows = df.withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}
+    left, second = sum(counts.values()) // 2, F.lit(True)
+    for part in sorted(counts):
+        if left < counts[part]:
+            second = (F.col("_part") > part) | (F.col("_part") == part) & (F.col("_n") >= left)
+            break
+        left -= counts[part]
+    return rows.withColumn("second", second).drop("_part", "_n")
+
+
 def hashed_sample(df: DataFrame, key: str, n: int = 200, seed: int = 42) -> DataFrame:
     """A repeatable sample without replacement (a sampling operator, so its limit is the feature)."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)

@@ -1,6 +1,7 @@
 """The chain of commands over files."""
 
 import json
+import subprocess
 
 import yaml
 
@@ -22,13 +23,23 @@ def test_chain(spark, tmp_path):
     assert check("good.jsonl", "good.json") == 0 and check("bad.jsonl", "violated_bad.json") == 1
     found = {r["check_id"] for r in json.loads(tmp_path.joinpath("r", "violated_bad.json").read_text())["results"] if r["status"] == "HIGH"}
     assert found == {"docs.fact_confidence.range", "docs.fact_confidence.statistical_drift"}
+    code = tmp_path.joinpath("code", "outputs", "migrate")
+    code.mkdir(parents=True)
+    code.joinpath("m.py").write_text("x = 1")
+    for words in (["init", "-q"], ["add", "."], ["-c", "user.name=n", "-c", "user.email=e@x", "commit", "-qm", "change the scale"]):
+        subprocess.run(["git", *words], cwd=t("code"), check=True)
     assert check("none.jsonl", "violated_none.json") == 0 and json.loads(tmp_path.joinpath("r", "violated_none.json").read_text())["errored"] == 1
-    assert cli.main(["attribute", "--report", t("r", "violated_bad.json"), "--registry", t("registry.yaml"), "--log", t("log")]) == 0
+    assert cli.main(["attribute", "--report", t("r", "violated_bad.json"), "--registry", t("registry.yaml"), "--log", t("log"), "--root", t("code")]) == 0
     logged = spark.read.json(t("log")).collect()
-    assert {r.blast_radius.affected_pipelines[0] for r in logged} == {"s1"}
+    assert {r.blast_radius.affected_pipelines[0] for r in logged} == {"s1-pipeline"}
+    assert len({r.violation_id for r in logged}) == len(logged) and {r.blast_radius.affected_nodes[0].node_id for r in logged} == {"s1"}
+    assert {r.blame_chain[0].commit_message for r in logged} == {"change the scale"} and all(r.source_path.endswith("bad.jsonl") for r in logged)
     assert cli.main(["ai", "--data", t("good.jsonl"), "--out", t("ai.json"), "--mode", "drift", "--array", "extracted_facts"]) == 0
     assert json.loads(tmp_path.joinpath("ai.json").read_text())["embedding_drift"]["status"] == "PASS"
-    assert cli.main(["report", "--reports", t("r"), "--out", t("summary.json"), "--ai", t("ai.json")]) == 0
+    assert cli.main(["report", "--reports", t("r"), "--out", t("summary.json"), "--ai", t("ai.json"), "--registry", t("registry.yaml")]) == 0
+    summary = json.loads(tmp_path.joinpath("summary.json").read_text())
+    assert any("fact_confidence" in v["said"] and "s1" in v["said"] for v in summary["violations"]) and "change of scale" in summary["recommendations"][0]
+    assert [r["contract_id"] for r in summary["contract_table"]] == ["docs"] and summary["contract_table"][0]["enforcing"] == 1
     assert cli.main(["diff", "--id", "docs", "--out", t("d.json"), "--old", t("c", "docs.yaml"), "--new", t("c", "docs.yaml")]) == 0
     assert json.loads(tmp_path.joinpath("d.json").read_text())["changes"] == []
     assert cli.main(["infer", "--data", t("bad.jsonl"), "--id", "docs", "--out", t("c2")]) == 0

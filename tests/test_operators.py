@@ -184,7 +184,7 @@ def test_blame(spark):
     got = rows(blame.rank_commits(commits.withColumn("ts", F.col("ts").cast("date")), F.lit("2024-01-03").cast("date")).select("rank", "commit_hash", "hits", "confidence_score"))
     assert got == [(1, "h1", 2, 0.8), (2, "h2", 0, 0.0)]
     ranked = blame.rank_commits(commits.withColumn("ts", F.col("ts").cast("date")), F.lit("2024-01-03").cast("date"))
-    assert "tier 3" in blame.blame_chain(ranked, 3, True).first().message and "no node" in blame.blame_chain(ranked, 1, False).first().message
+    assert "tier 3" in blame.blame_chain(ranked, 3, True).first().note and "not at hand" in blame.blame_chain(ranked, 1, False).first().note
 
 
 def test_registry_normalisation(spark, tmp_path):
