@@ -23,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder: made once, safe when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/pactlake-lineage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -36,13 +37,13 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, max_depth: int | None = No
     """
     a, b = ("target", "source") if reverse else ("source", "target")
     step = edges.select(F.col(a).alias("node_id"), F.col(b).alias("next")).distinct()
-    step = _written(step.repartition("node_id"))  # made once, not again in each round
-    seen = frontier = _written(seeds.select("node_id").distinct().withColumn("depth", F.lit(0)))
+    step = written(step.repartition("node_id"))  # made once, not again in each round
+    seen = frontier = written(seeds.select("node_id").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
         reached = frontier.join(step, "node_id").select(F.col("next").alias("node_id")).distinct()
-        frontier = _written(reached.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = written(reached.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():
             break
         seen = seen.unionByName(frontier)

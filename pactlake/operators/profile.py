@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pactlake.contract import is_numeric
 from pactlake.functions.scalar import is_missing
+from pactlake.operators.lineage import written
 
 QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
@@ -40,15 +41,18 @@ def nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def numeric(df: DataFrame, columns: list[str] | None = None, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """column, mean, stddev (sample; 0 for one value), min, max and quantiles (linear interpolation).
 
-    One aggregate row over all columns, so values are reduced before any shuffle. exact=False takes approximate
-    quantiles, whose memory doesn't grow with the number of distinct values.
+    One aggregate row over all columns, so values are reduced before any shuffle. Exact quantiles come from ranks of
+    values counted and sorted by range; exact=False takes approximate ones within the same scan. Neither holds a column's values
+    in one task.
     """
     columns = columns or numeric_columns(df)
+    ranks = quantiles(df, columns) if exact else None
     parts = []
     for i, c in enumerate(columns):
         v = _present(df, c).cast("double")
-        q = F.percentile(v, F.array(*map(F.lit, QUANTILES.values()))) if exact else F.percentile_approx(v, list(QUANTILES.values()), accuracy)
-        parts += [F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"), F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}"), q.alias(f"q{i}")]
+        parts += [F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"), F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}")]
+        if not exact:
+            parts.append(F.percentile_approx(v, list(QUANTILES.values()), accuracy).alias(f"q{i}"))
     row = df.agg(*parts)
     cells = F.array(
         *(
@@ -58,12 +62,37 @@ def numeric(df: DataFrame, columns: list[str] | None = None, exact: bool = True,
                 F.when(F.col(f"a{i}").isNotNull(), F.coalesce(f"s{i}", F.lit(0.0))).alias("stddev"),
                 F.col(f"l{i}").alias("min"),
                 F.col(f"h{i}").alias("max"),
-                *(F.get(f"q{i}", F.lit(k)).alias(p) for k, p in enumerate(QUANTILES)),
+                *(F.get(f"q{i}", F.lit(k)).alias(p) for k, p in enumerate(QUANTILES) if not exact),
             )
             for i, c in enumerate(columns)
         )
     )
-    return row.select(F.explode(cells).alias("r")).select("r.*")
+    out = row.select(F.explode(cells).alias("r")).select("r.*")
+    return out.join(ranks, "column", "left") if exact else out
+
+
+def quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column and its exact quantiles, interpolated linearly, of the values that are present.
+
+    Values are counted first, so that a frequent one is a single row, then dealt and sorted by range; sums per column and part say
+    which part holds a rank, and a rank is picked inside its part.
+    """
+    cells = unpivot(df, columns, "double").where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    held = written(cells.repartitionByRange("column", "value").withColumn("part", F.spark_partition_id()))
+    by_column = Window.partitionBy("column")
+    sums = held.groupBy("column", "part").agg(F.sum("n").alias("m"))  # parts x columns rows
+    sums = sums.select("column", "part", "m", (F.sum("m").over(by_column.orderBy("part")) - F.col("m")).alias("before"), F.sum("m").over(by_column).alias("total"))
+    at = F.explode(F.array(*(F.struct(F.lit(p).alias("name"), (F.lit(q) * (F.col("total") - 1)).alias("pos")) for p, q in QUANTILES.items())))
+    wanted = sums.select("*", at.alias("q")).select("column", "part", "m", "before", "q.name", "q.pos", F.explode(F.array_distinct(F.array(F.floor("q.pos"), F.ceil("q.pos")))).alias("rank"))
+    wanted = wanted.where("rank >= before AND rank < before + m")
+    upto = F.sum("n").over(Window.partitionBy("column", "part").orderBy("value"))
+    placed = held.join(wanted.select("column", "part", "before").distinct(), ["column", "part"]).withColumn("upto", F.col("before") + upto)
+    picked = placed.drop("before").join(wanted.select("column", "part", "name", "pos", "rank"), ["column", "part"]).where("rank < upto AND rank >= upto - n")
+    low, high = F.min_by("value", "rank"), F.max_by("value", "rank")
+    pos, floor = F.first("pos"), F.floor(F.first("pos"))
+    value = F.when(pos == floor, low).otherwise((floor + 1 - pos) * low + (pos - floor) * high)
+    each = picked.groupBy("column", "name").agg(value.alias("value"))
+    return each.groupBy("column").agg(*(F.max(F.when(F.col("name") == p, F.col("value"))).alias(p) for p in QUANTILES))
 
 
 def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -86,8 +115,6 @@ def cardinality(df: DataFrame, columns: list[str] | None = None, exact: bool = T
 
 def samples(df: DataFrame, columns: list[str] | None = None, n: int = 5) -> DataFrame:
     """column, sample_values: the n smallest distinct values as strings, in order; memory is bounded by n a column."""
-    from pyspark.sql import Window
-
     pairs = distinct_values(df, columns or df.columns)
     ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("r") <= n)
     return ranked.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x.value).alias("sample_values"))

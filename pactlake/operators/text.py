@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.functions.scalar import tokens
@@ -25,14 +25,14 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, group: str | None = None)
     keys = [group] if group else []
     rows = docs.select(*keys, F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term"))
     counts = rows.groupBy(*keys, "doc", "term").agg(F.count("*").alias("n"))
-    totals = counts.groupBy(*keys, "doc").agg(F.sum("n").alias("total"))
     df = counts.groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "doc")))  # a document's terms, not the corpus's
     if keys:
         sizes = docs.groupBy(*keys).agg(F.count("*").alias("docs"))
-        joined = counts.join(df, [*keys, "term"]).join(totals, [*keys, "doc"]).join(sizes, keys)
+        joined = counts.join(df, [*keys, "term"]).join(sizes, keys)
         n = F.col("docs")
     else:
-        joined, n = counts.join(df, "term").join(totals, "doc"), docs.agg(F.count("*")).scalar()
+        joined, n = counts.join(df, "term"), docs.agg(F.count("*")).scalar()
     return joined.select(*keys, "doc", "term", (F.col("n") / F.col("total") * (F.log((n + 1) / (F.col("df") + 1)) + 1)).alias("w"))
 
 

@@ -480,7 +480,5 @@ def windowed_violations(spark, d):
 
 @query("WITH b AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS r, count(*) OVER () AS n FROM events) SELECT event_id, CASE WHEN r <= n // 2 THEN 'baseline' ELSE 'current' END AS half FROM b")
 def position_halves(spark, d):
-    """The first and the second half by position: the middle is an exact percentile of the ids, not a global window."""
-    rows = table(spark, d, "events")
-    middle = rows.agg(F.expr("percentile(event_id, 0.5)")).scalar()
-    return rows.select("event_id", F.when(F.col("event_id") < middle, "baseline").otherwise("current").alias("half"))
+    """The first and the second half by position in the table, from row counts per partition, not a global window."""
+    return text.halves(table(spark, d, "events")).select("event_id", F.when(F.col("second"), "current").otherwise("baseline").alias("half"))

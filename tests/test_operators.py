@@ -267,3 +267,19 @@ def test_stream_is_validated(spark, tmp_path):
     q = validate_stream(stream, Contract("s", {"k": Clause("string", True)}), lambda df, i: seen.extend(r.status for r in df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert "CRITICAL" in seen
+
+
+def test_quantiles_and_halves(spark):
+    import numpy as np
+    from pactlake.operators import profile, text
+
+    values = np.concatenate([np.full(500, 3.0), np.random.default_rng(1).normal(size=501)])
+    df = spark.createDataFrame([(float(v), i, None) for i, v in enumerate(values)] + [(float("nan"), None, None)], "x double, i long, none double").repartition(5)
+    got = {r["column"]: r for r in profile.quantiles(df, ["x", "i", "none"]).collect()}
+    assert set(got) == {"x", "i"}
+    for c, held in (("x", values), ("i", np.arange(len(values)))):
+        assert np.allclose([got[c][p] for p in profile.QUANTILES], np.percentile(held, [100 * q for q in profile.QUANTILES.values()]))
+    assert profile.quantiles(df.limit(0), ["x"]).count() == 0 and profile.numeric(df.limit(0), ["x"]).first().p50 is None
+    for n in (0, 1, 7, 100):
+        parts = text.halves(spark.range(0, n, 1, 3)).collect()
+        assert [r.second for r in sorted(parts)] == [i >= n // 2 for i in range(n)]
