@@ -57,6 +57,17 @@ def extractions(ledger: DataFrame, models: dict[str, str], tokens_per_block: dic
     )
 
 
+def with_criteria(dimensions: DataFrame, criteria: DataFrame) -> DataFrame:
+    """Rubric dimensions (run_id, dimension_id, ...) with the final_score and remediation (200 characters) of their criterion, if any."""
+    found = criteria.select("run_id", "dimension_id", "final_score", F.substring("remediation", 1, 200).alias("remediation"))
+    return dimensions.join(found, ["run_id", "dimension_id"], "left").withColumn("remediation", F.coalesce("remediation", F.lit("")))
+
+
+def remapped(before: Column, after: Column) -> Column:
+    """Aggregate: how many distinct keys a mapping changes."""
+    return F.count_distinct(F.when(before != after, before))
+
+
 def nodes(raw: DataFrame) -> DataFrame:
     """Raw nodes (id, label) -> node_id, type by the kind before the colon, label from label, file name or id."""
     kind = F.split_part("id", F.lit(":"), F.lit(1))

@@ -62,6 +62,12 @@ def verdict_of_score(score: Column) -> Column:
     return F.when(number >= 3, "PASS").when(number.isNotNull(), "FAIL")
 
 
+def trace_verdicts(runs: DataFrame) -> DataFrame:
+    """Runs (id, run_type, outputs: JSON) -> (run_id, overall_verdict) of the model runs whose outputs have a score, null or not."""
+    scored = runs.where((F.col("run_type") == "llm") & F.array_contains(F.json_object_keys("outputs"), "score"))
+    return scored.select(F.col("id").alias("run_id"), verdict_of_score(F.get_json_object("outputs", "$.score")).alias("overall_verdict"))
+
+
 def severity(status: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in SEVERITY.items() for x in p)), status), F.lit("LOW"))
 

@@ -482,3 +482,31 @@ def windowed_violations(spark, d):
 def position_halves(spark, d):
     """The first and the second half by position in the table, from row counts per partition, not a global window."""
     return text.halves(table(spark, d, "events")).select("event_id", F.when(F.col("second"), "current").otherwise("baseline").alias("half"))
+
+
+@query("""
+    SELECT event_id AS run_id, CASE WHEN user_id % 7 = 1 THEN NULL WHEN user_id % 7 >= 3 THEN 'PASS' ELSE 'FAIL' END AS overall_verdict
+    FROM events WHERE event_type = 'click' AND user_id % 7 > 0
+""")
+def trace_verdicts(spark, d):
+    """Model runs with a score; of seven users one has none and one's is no number."""
+    user = F.col("user_id") % 7
+    outputs = F.when(user == 0, "{}").when(user == 1, '{"score": "none"}').otherwise(F.format_string('{"score": %d}', user))
+    runs = table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "llm").otherwise("tool").alias("run_type"), outputs.alias("outputs"))
+    return prompts.trace_verdicts(runs)
+
+
+@query("""
+    SELECT n.n_regionkey AS run_id, n.n_nationkey AS dimension_id, c.final_score, coalesce(c.remediation, '') AS remediation
+    FROM nation n LEFT JOIN (SELECT s_nationkey, count(*) AS final_score, min(s_name) AS remediation FROM supplier GROUP BY 1) c ON c.s_nationkey = n.n_nationkey
+""")
+def rubric_criteria(spark, d):
+    nation = table(spark, d, "nation").select(F.col("n_regionkey").alias("run_id"), F.col("n_nationkey").alias("dimension_id"))
+    scores = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("dimension_id")).agg(F.count("*").alias("final_score"), F.min("s_name").alias("remediation"))
+    return etl.with_criteria(nation, scores.join(nation, "dimension_id"))
+
+
+@query("SELECT count(DISTINCT o_orderpriority) FILTER (o_orderpriority <> upper(o_orderpriority)) AS changed, count(DISTINCT o_custkey) FILTER (o_custkey % 3 > 0) AS moved FROM orders")
+def remapped_keys(spark, d):
+    moved = F.col("o_custkey") + F.col("o_custkey") % 3
+    return table(spark, d, "orders").agg(etl.remapped(F.col("o_orderpriority"), F.upper("o_orderpriority")).alias("changed"), etl.remapped(F.col("o_custkey"), moved).alias("moved"))
