@@ -16,7 +16,7 @@ id; no rows give no rows; further columns are ignored (decisions) or carried alo
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -34,7 +34,8 @@ from pactlake.llm.sketch import with_sketch
 
 #: Children of a node; (query, node) pairs that a task holds at once; fingerprints of a segment that one task searches.
 FANOUT, FRONT, SEGMENT = 8, 500_000, 2_000_000
-CHUNK = 1 << 16
+#: Rows that a task reads at once about; rows of a segment by rising key that a text is compared with first.
+CHUNK, CROWD = 1 << 16, 64
 #: Similar documents: words of the shingles of their fingerprints, bits between these at most; words of the shingles on which they
 #: are verified, similarity from which they are similar, and smallest shingle hashes by which long pairs that are clearly less are
 #: refused (estimates below CLEAR, six standard errors away); all others are decided on all their shingles.
@@ -258,48 +259,96 @@ def segment_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(a, b)], names=["a", "b"])
 
 
+def near_in_order(seg: np.ndarray, code: np.ndarray, th: np.ndarray, after: np.ndarray, index: np.ndarray, queries: np.ndarray, distance: int, count: int, fits: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(b, a) places of queries and of indexed rows of their segment with th[a] below th[b], beyond its cursor, near and fit, by rising th.
+
+    The index is searched in chunks by rank of th, each twice the one before, and a query ends with the chunk in which it has
+    found `count`. Ranks are as good as random, so a query meets O(count) rows more than it needs, however dense its segment is.
+    """
+    index = np.flatnonzero(index)
+    if not len(index):
+        return
+    segments = np.unique(seg)
+    sid, order = np.searchsorted(segments, seg), np.sort(th[index])
+    key = lambda who, values, side: sid[who] * (len(index) + 1) + np.searchsorted(order, values, side)
+    own = key(index, th[index], "left")
+    keys = np.sort(own)
+    begin = np.searchsorted(keys, np.arange(len(segments)) * (len(index) + 1))
+    rank = np.searchsorted(keys, own) - begin[sid[index]]
+    todo = np.flatnonzero(queries)
+    low, high = np.zeros(len(seg), np.int64), np.zeros(len(seg), np.int64)
+    low[todo] = np.searchsorted(keys, key(todo, after[todo], "right")) - begin[sid[todo]]
+    high[todo] = np.searchsorted(keys, key(todo, th[todo], "left")) - begin[sid[todo]]
+    found = np.zeros(len(seg), np.int64)
+    start, size, todo = 0, CROWD, todo[high[todo] > low[todo]]
+    while len(todo):
+        end = start + size
+        part = index[(rank >= start) & (rank < end)]
+        active = todo[(low[todo] < end) & (high[todo] > start)]
+        first, last = np.searchsorted(seg[part], seg[active], "left"), np.searchsorted(seg[part], seg[active], "right")
+        for q, place in GrayTree(code[part]).search(code[active], first, last, distance) if len(active) and len(part) else ():
+            b, a = active[q], part[place]
+            ok = (th[a] < th[b]) & (th[a] > after[b])
+            b, a = b[ok], a[ok]
+            ok = fits(b, a)
+            found += np.bincount(b[ok], minlength=len(found))
+            yield b[ok], a[ok]
+        todo = todo[(high[todo] > end) & (found[todo] < count)]
+        start, size = end, 2 * size
+
+
+#: What a row is in its segment: one of its own, not of a near one; one that looks for partners; one that may be found.
+OWN, ASKS, FOUND = 1, 2, 4
+
+
 def segment_partners(batches: Iterator[pa.RecordBatch], distance: int, count: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) among rows (segment, code, asks, th, earlier fingerprints...) and, where not all ask, (after, min-hashes...): of each
+    """(a, b) among rows (segment, code, role, th, earlier fingerprints...) and, where not all ask, (after, min-hashes...): of each
     text b the `count` smallest texts a < b beyond its cursor; pairs whose min-hashes are far apart are left out. A pair comes from
-    the first fingerprint in which it is near, there from the first near block, and by its greater text, so that it is returned once."""
-    for seg, code, asks, th, *more in whole_segments(batches):
+    the first fingerprint in which it is near, there from the first near block, so that it is returned once; where it is left to
+    another segment it counts as found, as one of the `count` smallest of all is among those of each segment that it is met in."""
+    for seg, code, role, th, *more in whole_segments(batches):
         earlier, more = [c.astype(np.int64).view(np.uint64) for c in more[: PRINTS - 1]], more[PRINTS - 1 :]
-        own = np.flatnonzero(~asks)
-        tree, at = GrayTree(code[own]), seg[own]
-        first, last = np.searchsorted(at, seg, "left"), np.searchsorted(at, seg, "right")
-        if not more:
-            first[own] = np.arange(len(own)) + 1  # a pair in a segment is met once
-        else:
+        own, asks, findable = (role & bit > 0 for bit in (OWN, ASKS, FOUND))
+        after, fits = np.full(len(seg), START), lambda b, a: np.ones(len(b), bool)
+        if more:
             after, low = more[0], np.stack(more[1:], axis=1).view(np.uint64)
-            last[after == DONE] = 0  # those that are done are only found
-        hi, lo, full = np.empty(0, np.int64), np.empty(0, np.int64), FRONT
-        for q, place in tree.search(code, first, last, distance):
-            y = own[place]
-            x, block, first_block = code[q] ^ code[y], seg[q] >> 16 & 3, np.ones(len(q), bool)
-            for i in range(3):
-                near = np.bitwise_count(x >> np.uint64(48 - 16 * i) & np.uint64(0xFFFF)) <= distance // 4
-                first_block &= ~near | (block <= i)
-            for k, prints in enumerate(earlier):
-                first_block &= (seg[q] >> 18 <= k) | (np.bitwise_count(prints[q] ^ prints[y]) > distance)
-            if more:  # a text that tests asks by itself
-                first_block &= th[q] > th[y]
-            q, y = q[first_block], y[first_block]
-            greater = th[q] > th[y]
-            b, a = np.where(greater, q, y), np.where(greater, y, q)
-            fresh = th[a] < th[b]
-            if more:
-                fresh &= th[a] > after[b]
-                a, b = a[fresh], b[fresh]
+
+            def fits(b: np.ndarray, a: np.ndarray) -> np.ndarray:
                 x = low[a] ^ low[b]
-                fresh = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64) <= FAR
-            hi, lo = np.concatenate([hi, th[b[fresh]]]), np.concatenate([lo, th[a[fresh]]])
-            if len(hi) > full:
-                hi, lo = least_partners(hi, lo, count)
-                full = max(FRONT, 2 * len(hi))
+                return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64) <= FAR
+
+        hi, lo, full = np.empty(0, np.int64), np.empty(0, np.int64), FRONT
+        for index, queries in ((own & findable, asks), (~own & findable, own & asks)):
+            for b, a in near_in_order(seg, code, th, after, index, queries, distance, count, fits):
+                x, block, here = code[b] ^ code[a], seg[b] >> 16 & 3, np.ones(len(b), bool)
+                for i in range(3):
+                    near = np.bitwise_count(x >> np.uint64(48 - 16 * i) & np.uint64(0xFFFF)) <= distance // 4
+                    here &= ~near | (block <= i)
+                for k, prints in enumerate(earlier):
+                    here &= (seg[b] >> 18 & 3 <= k) | (np.bitwise_count(prints[b] ^ prints[a]) > distance)
+                hi, lo = np.concatenate([hi, th[b[here]]]), np.concatenate([lo, th[a[here]]])
+                if len(hi) > full:
+                    hi, lo = least_partners(hi, lo, count)
+                    full = max(FRONT, 2 * len(hi))
         hi, lo = least_partners(hi, lo, count)
         yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
 
 
+def _grid(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (seg, role, th, ...) where segments with more than `most` rows are dealt to the cells of a grid, without loss: rows are
+    split into g groups by th; as one that asks a row goes to the g cells of its line, as one that is found to those of its column."""
+    sizes = settle(rows.groupBy("seg").count().where(F.col("count") > most).select("seg", F.ceil(2 * F.col("count") / most).cast("int").alias("g")), "large")
+    if not sizes.limit(1).count():
+        return rows
+    cell = lambda line, column: F.col("seg") + F.shiftleft(line.cast("long") * F.col("g") + column + 1, 20)
+    mine, every = F.pmod(F.xxhash64("th"), F.col("g")).cast("int"), F.sequence(F.lit(0), F.col("g") - 1)
+    copy = lambda bit, at: F.when(F.col("role").bitwiseAND(bit) > 0, F.transform(every, lambda i: F.struct(at(i).alias("seg"), F.col("role").bitwiseAND(F.lit(OWN | bit)).alias("role")))).otherwise(F.array().cast("array<struct<seg: long, role: int>>"))
+    dealt = F.concat(copy(ASKS, lambda i: cell(mine, i)), copy(FOUND, lambda i: cell(i, mine)))
+    cells = F.when(F.col("g").isNull(), F.array(F.struct("seg", "role"))).otherwise(dealt)
+    rest = [c for c in rows.columns if c not in ("seg", "role")]
+    return join_small(rows, sizes, "seg", "left").select(*rest, F.explode(cells).alias("p")).select(*rest, "p.*")
+
+
 def _segments(codes: DataFrame, distance: int, every: Column | None = None) -> DataFrame:
     """codes with (seg, asks): the segments of each code, and those that it asks.
 
@@ -350,18 +399,24 @@ def _by_segment(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.repartition(parts, "seg").sortWithinPartitions("seg", gray_rank(F.col("code"))).select(*columns)
 
 
-def partners(texts: DataFrame, distance: int, count: int, first: bool) -> DataFrame:
+def partners(texts: DataFrame, distance: int, count: int, first: bool, most: int = SEGMENT) -> DataFrame:
     """(th, fps, low, after) -> distinct (a, b, n): of each text b the `count` smallest texts a < b that have a fingerprint within the
     distance and are beyond b's cursor, numbered from one. With `first` all texts ask, from the start; later, when those that ask
-    stand in crowds, their min-hashes are compared too before a pair is returned."""
+    stand in crowds, their min-hashes are compared too before a pair is returned, and only segments that are asked are indexed."""
     more = [] if first else ["after", *(f"l{i}" for i in range(MINHASHES // 32))]
     known = texts if first else texts.select("*", *(F.get("low", F.lit(i)).alias(c) for i, c in enumerate(more[1:])))
     prints = known.select("th", "fps", *more, F.posexplode("fps").alias("print", "code"))
     earlier = [f"p{k}" for k in range(PRINTS - 1)]
     prints = prints.select("th", "print", "code", *(F.when(F.col("print") > k, F.get("fps", F.lit(k))).otherwise(0).alias(c) for k, c in enumerate(earlier)), *more)
     rows = _segments(prints, distance, None if first else F.col("after") < DONE)
-    rows = rows.withColumn("seg", F.shiftleft(F.col("print").cast("long"), 18) + F.col("seg"))
-    found = _by_segment(rows, "seg", "code", "asks", "th", *earlier, *more).mapInArrow(partial(segment_partners, distance=distance, count=count), "a long, b long")
+    asking = F.lit(True) if first else F.col("after") < DONE
+    role = F.when(F.col("asks"), ASKS | (FOUND if first else 0)).otherwise(F.when(asking, OWN | ASKS | FOUND).otherwise(OWN | FOUND))
+    rows = rows.withColumn("seg", F.shiftleft(F.col("print").cast("long"), 18) + F.col("seg")).withColumn("role", role)
+    if not first:  # segments that no text asks need no index
+        asked = settle(rows.where(F.col("role").bitwiseAND(ASKS) > 0).select("seg").distinct(), "asked")
+        rows = join_small(rows, asked, "seg", "left_semi")
+    rows = _grid(rows, most)
+    found = _by_segment(rows, "seg", "code", "role", "th", *earlier, *more).mapInArrow(partial(segment_partners, distance=distance, count=count), "a long, b long")
     ranked = found.distinct().withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("a")))
     return ranked.where(F.col("n") <= count)
 

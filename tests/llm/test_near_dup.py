@@ -267,3 +267,71 @@ def test_several_fingerprints_find_what_one_misses(spark):
     kept = nd.survivors(df).count()
     assert kept == 300 - int((far.min(axis=1) <= nd.SIMILAR_BITS).sum())
     assert (far[:, 0] <= nd.SIMILAR_BITS).sum() < 0.9 * (300 - kept)
+
+
+def _rows(seg, codes, role, th, more=()):
+    import pyarrow as pa
+
+    n = len(codes)
+    code = np.asarray(codes, np.int64)
+    rank = code.view(np.uint64).copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(shift)
+    order = np.lexsort((rank, seg))
+    columns = [np.asarray(seg, np.int64), code, np.asarray(role, np.int32), np.asarray(th, np.int64), *[np.zeros(n, np.int64)] * (nd.PRINTS - 1), *more]
+    return pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], names=[f"c{i}" for i in range(len(columns))])
+
+
+@pytest.mark.parametrize("spread", [0, 3, 60])
+def test_smallest_partners_of_each_text(monkeypatch, spread):
+    """Segments of equal, near and scattered fingerprints, with askers from elsewhere: partners equal brute force, in both directions."""
+    rng = np.random.default_rng(spread)
+    monkeypatch.setattr(nd, "CROWD", 4)
+    n = 300
+    codes = np.zeros(n, np.int64)
+    for _ in range(spread):
+        codes ^= np.int64(1) << rng.integers(0, 30, n)
+    seg, th = np.zeros(n, np.int64), rng.permutation(n)
+    role = np.where(rng.random(n) < 0.7, nd.OWN | nd.ASKS | nd.FOUND, nd.ASKS | nd.FOUND)
+    got = {(a, b) for out in nd.segment_partners(iter([_rows(seg, codes, role, th)]), 7, 5) for a, b in zip(*(c.to_pylist() for c in out.columns))}
+    near = np.bitwise_count(codes[:, None].view(np.uint64) ^ codes[None, :].view(np.uint64)) <= 7
+    own = role & nd.OWN > 0
+    want = set()
+    for b in range(n):
+        found = sorted(th[a] for a in range(n) if th[a] < th[b] and near[a, b] and (own[a] or own[b]))
+        want |= {(int(a), int(th[b])) for a in found[:5]}
+    # All pairs are equal in their first block and met by the first fingerprint, so all are reported here.
+    assert want == got
+
+
+def test_dense_segments_take_time_in_proportion():
+    """One segment of equal fingerprints: four times the texts, about four times the time."""
+    import time
+
+    took = []
+    for n in (8_000, 32_000, 128_000):
+        rng = np.random.default_rng(1)
+        batch = _rows(np.zeros(n, np.int64), np.full(n, 5), np.full(n, 7), rng.integers(-(2**62), 2**62, n))
+        began = time.process_time()
+        rows = sum(out.num_rows for out in nd.segment_partners(iter([batch]), 7, 4))
+        took.append(time.process_time() - began)
+        assert rows == 4 * n - 10
+    assert took[1] < 10 * max(took[0], 0.2) and took[2] < 10 * max(took[1], 0.2)
+
+
+def test_large_segments_are_dealt_to_a_grid(spark):
+    """Partners are the same whether a segment is one task's or a grid's, in the first round and in later ones."""
+    texts = crowds(6, 60, 60, 6, seed=12)
+    marked = nd.settle(nd.distinct_texts(spark.createDataFrame([(t,) for t in texts], "text string"))[0].withColumn("after", F.lit(nd.START)))
+    for first in (True, False):
+        get = lambda most: {(r.a, r.b, r.n) for r in nd.partners(marked, nd.SIMILAR_BITS, 3, first, most).collect()}  # noqa: E731, B023
+        assert get(10**6) == get(40) and get(40)
+
+
+def test_many_texts_of_one_crowd(spark):
+    """Near copies of one text by the thousand leave one, in a few rounds."""
+    rng = np.random.default_rng(4)
+    base = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(150)]
+    texts = {" ".join([*base[:i], f"x{k}", *base[i + 1 :]]) for k, i in enumerate(rng.integers(0, 150, 2500))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert similar_left([r.text for r in nd.survivors(df).collect()]) == []
