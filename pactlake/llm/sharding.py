@@ -12,8 +12,8 @@ that gain or lose rows are written again.
 The driver holds one number an old shard (a file), never rows or names. With equal costs any pairing of surplus and room is a
 cheapest flow, so the query's is solved in one pass over the shards; a cost makes it successive shortest paths.
 
-Law: `bytes`. Defined cases: null text has no bytes, and like every row costs OVERHEAD; rows repeated with one id and text
-move together; rows with null ids are told apart by their texts; with fewer rows than shards, or a row larger than a
+Law: `bytes`. Defined cases: null text has no bytes, and like every row costs OVERHEAD; repeated rows
+are told apart by their places (rows without given places are written once to number them), however many and whatever is null; with fewer rows than shards, or a row larger than a
 shard's share, sizes are as near as whole rows allow; no rows give no rows; further columns are carried into the files; where a
 column is named shard or slot, the new ones have a leading underscore.
 """
@@ -27,11 +27,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import join_small, new_path, settle, text_of, unused
+from pactlake.llm.common import BROADCAST_ROWS, join_small, new_path, settle, text_of, unused
 
 SHARDS, OVERHEAD = 40, 16
-#: Bits that one level of the selection tells apart, rows of a written piece about.
-LEVEL_BITS, PIECE_ROWS = 8, 20_000
+#: Bits that one level of the selection tells apart at least and at most, counts that it brings to the driver about; rows of a written piece about.
+LEVEL_BITS, MOST_BITS, COUNTS, PIECE_ROWS = 8, 16, 1 << 18, 20_000
 
 
 def flow(sizes: dict[int, int], capacity: dict[int, int], cost=None) -> list[tuple[int, int, int]]:
@@ -89,27 +89,31 @@ def flow(sizes: dict[int, int], capacity: dict[int, int], cost=None) -> list[tup
     return [(i, j, graph[("n", j)][("o", i)][0]) for i in sizes for j in capacity if graph[("n", j)][("o", i)][0]]
 
 
+def _listed(df: DataFrame, rows: list[tuple], schema: str, on: list[str], how: str) -> DataFrame:
+    """df joined with rows that the driver has counted: broadcast only up to BROADCAST_ROWS."""
+    table = df.sparkSession.createDataFrame(rows, schema)
+    return df.join(F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table, on, how)
+
+
 def select_keys(rows: DataFrame, cuts: dict[int, list[int]]) -> dict[int, list[int]]:
     """rows (grp, key, size), cuts: cumulative bytes by group -> the keys below which about so many bytes lie.
 
-    Every level reads only the rows near a cut, and brings 2**LEVEL_BITS counts a cut to the driver.
+    Every level reads only the rows near a cut, and brings about COUNTS counts to the driver, or 2**LEVEL_BITS a cut if they are many.
     """
     top = rows.agg(F.max("key")).first()[0]
     if top is None:
         return {g: [0] * len(c) for g, c in cuts.items()}
-    spark, bits = rows.sparkSession, max(1, int(top).bit_length())
+    bits = max(1, int(top).bit_length())
     open_cuts = [(g, n, target, 0, 0) for g, c in cuts.items() for n, target in enumerate(c)]  # group, which, target, prefix, bytes before it
     found: dict[tuple[int, int], int] = {}
     done = 0
     while open_cuts:
-        step = min(LEVEL_BITS, bits - done)
         near = sorted({(g, p) for g, _, _, p, _ in open_cuts})
-        part = rows
+        step = min(MOST_BITS, max(LEVEL_BITS, (COUNTS // len(near)).bit_length() - 1), bits - done)
         if done:
-            table = spark.createDataFrame(near, "grp int, prefix long")
-            part = join_small(rows.withColumn("prefix", F.shiftrightunsigned("key", bits - done)), table, ["grp", "prefix"], "inner")
+            part = _listed(rows.withColumn("prefix", F.shiftrightunsigned("key", bits - done)), near, "grp int, prefix long", ["grp", "prefix"], "inner")
         else:
-            part = join_small(rows, spark.createDataFrame([(g,) for g in cuts], "grp int"), "grp", "inner")
+            part = _listed(rows, [(g,) for g in cuts], "grp int", ["grp"], "inner")
         counts: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for g, child, size, n in part.groupBy("grp", F.shiftrightunsigned("key", bits - done - step).alias("child")).agg(F.sum("size"), F.count("*")).collect():
             counts.setdefault((g, child >> step), []).append((child, size, n))
@@ -142,8 +146,8 @@ class Moves:
 
     def apply(self, rows: DataFrame, shard: str, key: str) -> DataFrame:
         """rows with `shard` replaced by where the row's block goes; the table has one row a shard that loses rows."""
-        table = rows.sparkSession.createDataFrame([(g, b, self.dests[g]) for g, b in self.bounds.items()], f"{shard} int, _bounds array<long>, _dests array<int>")
-        joined = join_small(rows, table, shard, "left")
+        table = [(g, b, self.dests[g]) for g, b in self.bounds.items()]
+        joined = _listed(rows, table, f"{shard} int, _bounds array<long>, _dests array<int>", [shard], "left")
         block = F.size(F.filter("_bounds", lambda b: b <= F.col(key)))
         return joined.withColumn(shard, F.when(F.col("_bounds").isNull(), F.col(shard)).otherwise(F.get("_dests", block))).drop("_bounds", "_dests")
 
@@ -164,9 +168,10 @@ def moves_for(rows: DataFrame, arcs: list[tuple[int, int, int]], stay_first: boo
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs (_shard, ...) with _size, _hash (62 bits), _small, a key by which smaller rows come first, and _old, the shard it comes from."""
+    """docs (_shard, _place, ...) with _size, _hash (62 bits, of the row and its place, so that repeated rows differ), _small, a key by
+    which smaller rows come first, and _old, the shard it comes from."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD
-    mixed = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.crc32(text_of())), 2)
+    mixed = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.crc32(text_of()), F.col("_shard"), F.col("_place")), 2)
     out = docs.withColumn("_size", size).withColumn("_hash", mixed).withColumn("_old", F.col("_shard"))
     return out.withColumn("_small", F.shiftleft(F.least("_size", F.lit((1 << 30) - 1)), 31).bitwiseOR(F.shiftrightunsigned("_hash", 31)))
 
@@ -212,9 +217,11 @@ def reshard(docs: DataFrame, old: Column, folder: str, shards: int = SHARDS, cos
     """
     spark = docs.sparkSession
     shard, slot = unused(docs, "shard"), unused(docs, "slot")
-    given = F.lit(None).cast("long") if old_slot is None else old_slot.cast("long")
+    given = None if old_slot is None else old_slot.cast("long")
+    if old_slot is None:  # rows get numbers that stay the same however often they are read
+        given = F.monotonically_increasing_id()
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "doc_id", "text", old.cast("int").alias("_shard"), given.alias("_place"))
-    keyed = _keyed(packed)
+    keyed = _keyed(settle(packed, "placed") if old_slot is None else packed)
     slim = settle(keyed.select("_shard", "_old", "_hash", "_small", "_size"), "sizes")
     steps, sizes, affected = plan(slim, shards, cost)
 
@@ -236,8 +243,7 @@ def reshard(docs: DataFrame, old: Column, folder: str, shards: int = SHARDS, cos
         slotted = join_small(placed.withColumn("_at", F.row_number().over(order) - 1), offsets, ["_shard", "_piece"], "inner")
         return slotted.select("_doc.*", (F.col("_before") + F.col("_at")).cast("long").alias(slot), F.col("_shard").alias(shard))
 
-    listed = spark.createDataFrame([(s,) for s in sorted(affected)], "_shard int")
-    part = lambda rows, how: join_small(assigned(rows), listed, "_shard", how)
+    part = lambda rows, how: _listed(assigned(rows), [(s,) for s in sorted(affected)], "_shard int", ["_shard"], how)
     ready = numbered(part(keyed, "left_semi"), part(slim, "left_semi"))
     ready.write.partitionBy(shard).parquet(folder)
     back = spark.read.schema(ready.schema).parquet(folder)

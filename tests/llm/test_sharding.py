@@ -111,3 +111,20 @@ def test_select_keys(spark):
     rows = spark.createDataFrame([(g, k, 10) for g in (0, 1) for k in range(1000)], "grp int, key long, size long")
     got = sh.select_keys(rows, {0: [0, 2500, 9990, 20_000], 1: [5000]})
     assert got[0][:3] == [0, 250, 999] and got[0][3] >= 1000 and got[1] == [500]
+
+
+@pytest.mark.parametrize("placed", [True, False])
+@pytest.mark.parametrize("equal, other, null", [(2000, 0, False), (200, 1800, False), (2000, 0, True)])
+def test_many_repeated_rows_are_parted(spark, tmp_path, equal, other, null, placed):
+    """Rows equal in id and text, or null in both, fill forty shards to within one row's size."""
+    rows = [(None, None, 0) if null else (7, "same text", 0)] * equal + [(100 + i, "x" * (i % 50), i % 3) for i in range(other)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, old int, place long").repartition(7)
+    out, sizes = sh.reshard(df, F.col("old"), f"file://{tmp_path}/out", 40, old_slot=F.col("place") if placed else None)
+    got = out.collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(a), str(b)) for a, b, _ in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r)
+    total = {s: sum(len((r.text or "").encode()) + 16 for r in by.get(s, [])) for s in range(40)}
+    assert total == {s: n for s, n in sizes.collect() if n} and max(total.values()) - min(total.values()) <= max(len(t or "") + 16 for _, t, _ in rows)
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values()) or placed
