@@ -10,8 +10,8 @@ blanks, are linked by their joined digits. The field is fitted by pseudo-likelih
 by the patterns, and by agreement with what the patterns found.
 
 Defined cases: null text counts as empty and has no spans; offsets are code points; texts of any length are scanned whole, in
-linear time (only a fit takes a run of LONGEST tokens from a document that has more, at a place by its hash); messages of a document
-that don't settle in ROUNDS rounds stand as they are; equal texts and repeated rows have equal spans; without documents to fit on the field adds nothing; no rows give
+linear time (only a fit takes a run of LONGEST tokens from a document that has more, at a place by its hash); messages are damped the
+more the longer they take, and a document whose messages don't settle even so has the patterns' spans only; equal texts and repeated rows have equal spans; without documents to fit on the field adds nothing; no rows give
 no rows; further columns are ignored.
 """
 
@@ -21,7 +21,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,11 @@ from pactlake.llm.common import bounded_batches, text_of
 KINDS = ("email", "ip", "card", "phone")
 #: The fit: documents sampled at most (by hash of the id), tokens of a document and in all, hashed features, passes, rate, penalty.
 SAMPLE_DOCS, LONGEST, SAMPLE_TOKENS, FEATURES, PASSES, RATE, PENALTY = 4_000, 2_000, 200_000, 1 << 13, 150, 0.5, 1e-4
-#: Message passing: rounds at most, change below which a document has settled, share of an old message that is kept, belief from
-#: which a token becomes a span.
-ROUNDS, SETTLED, DAMPING, SURE = 200, 1e-4, 0.3, 0.9
-#: Numbers in several tokens: tokens at most, digits at least and at most.
-PIECES, LEAST_DIGITS, MOST_DIGITS = 8, 7, 15
+#: Message passing: rounds after which half as much of new messages is taken, and how often that is done; change below which a document
+#: has settled, share of an old message that is kept at first, belief from which a token becomes a span.
+ROUNDS, HALVINGS, SETTLED, DAMPING, SURE = 200, 5, 1e-4, 0.3, 0.9
+#: Numbers in several tokens: digits at least, and at most, those of the longest card number (so tokens at most, too).
+LEAST_DIGITS, MOST_DIGITS = 7, 19
 
 # Each is leftmost, with possessive runs and a look-behind that only skip places where no match can start.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -45,7 +45,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_TOKEN = re.compile(r"[^\s,;:!?\"'()\[\]{}<>|=]*[0-9@][^\s,;:!?\"'()\[\]{}<>|=]*")
+#: What tokens are parted by, besides white space.
+_PARTING = frozenset(",;:!?\"'()[]{}<>|=")
+_REST = re.compile(r"[^\s,;:!?\"'()\[\]{}<>|=]*")
 _ANY = re.compile("[0-9@]")
 
 
@@ -104,6 +106,8 @@ class Tokens:
     label: list[int]  # 0 for none, else 1 + the kind, as the patterns have it
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    #: Documents whose messages have not settled.
+    unsettled: list[int] = field(default_factory=list)
 
 
 def _slot(feature: str) -> int:
@@ -136,6 +140,17 @@ def _numbers(run: list[tuple[int, str]], node: int, digits: str) -> Iterator[tup
             yield joined, [n for n, _ in run[i:]]
 
 
+def _words(text: str) -> Iterator[tuple[int, str]]:
+    """(start, token) of the runs between parting signs that hold a digit or an @, found by these: a run is passed over once."""
+    last = 0
+    while m := _ANY.search(text, last):
+        start = m.start()
+        while start > last and not ((c := text[start - 1]) in _PARTING or c.isspace()):
+            start -= 1
+        last = _REST.match(text, m.start()).end()
+        yield start, text[start:last]
+
+
 def tokens_of(texts: list[str], spans: list[list[tuple[str, int, int]]]) -> Tokens:
     out = Tokens([], [], [], [], [], [])
     for d, (text, own) in enumerate(zip(texts, spans)):
@@ -143,11 +158,9 @@ def tokens_of(texts: list[str], spans: list[list[tuple[str, int, int]]]) -> Toke
         run: list[tuple[int, str]] = []
         numbers: dict[str, list[int]] = {}
         pairs: set[tuple[int, int]] = set()
-        for m in _TOKEN.finditer(text) if _ANY.search(text) else ():
-            token = m.group().rstrip(".-")
-            if not _ANY.search(token):
-                continue
-            start, end, node = m.start(), m.start() + len(token), len(out.doc)
+        for start, token in _words(text):
+            token = token.rstrip(".-")
+            end, node = start + len(token), len(out.doc)
             while at < len(own) and own[at][2] <= start:
                 at += 1
             label = next((1 + KINDS.index(k) for k, a, b in own[at : at + len(KINDS)] if a < end and start < b), 0)
@@ -166,7 +179,7 @@ def tokens_of(texts: list[str], spans: list[list[tuple[str, int, int]]]) -> Toke
                     pairs.add((hub, node))
             near = start - last_end <= 3 and not text[last_end:start].strip(" ().-+") if last >= 0 else False
             short = 0 < len(digits) < LEAST_DIGITS and not token.strip("0123456789+.-")
-            run = [*(run if near and short else []), (node, digits)][-PIECES:] if short else []
+            run = [*(run if near and short else []), (node, digits)][-MOST_DIGITS:] if short else []
             for key, nodes in _numbers(run, node, digits):
                 if key not in numbers:
                     numbers[key] = nodes
@@ -233,7 +246,7 @@ class Field:
         total = local.copy()
         doc = np.array(t.doc, dtype=np.int64)
         live = np.arange(e)
-        for _ in range(ROUNDS):
+        for turn in range(ROUNDS * (HALVINGS + 1)):
             if not len(live):
                 break
             at = np.concatenate([live, live + e])
@@ -241,12 +254,14 @@ class Field:
             top = sent.max(axis=1, keepdims=True)
             new = np.log(np.exp(sent - top).sum(axis=1)) + top[:, 0]
             new -= new.max(axis=1, keepdims=True)
-            step = (1 - DAMPING) * (new - message[at])
+            off = new - message[at]
+            step = (1 - DAMPING) / 2 ** (turn // ROUNDS) * off
             message[at] += step
             np.add.at(total, dst[at], step)
             moving = np.zeros(doc.max() + 1, bool)
-            moving[doc[src[at]][np.abs(step).max(axis=1) > SETTLED]] = True
+            moving[doc[src[at]][np.abs(off).max(axis=1) > SETTLED]] = True
             live = live[moving[doc[links[live, 0]]]]
+        t.unsettled = sorted({int(doc[links[i, 0]]) for i in live})
         total -= total.max(axis=1, keepdims=True)
         p = np.exp(total)
         return p / p.sum(axis=1, keepdims=True)
@@ -301,7 +316,8 @@ def added_spans(t: Tokens, field: Field, docs: int) -> list[list[tuple[str, int,
     linked = {x for pair in t.skip for x in pair}
     follows = dict(t.chain)
     best = p.argmax(axis=1)
-    taken = [i for i in range(len(t.doc)) if not t.label[i] and best[i] and p[i, best[i]] >= SURE and i in linked]
+    open_docs = set(t.unsettled)
+    taken = [i for i in range(len(t.doc)) if t.doc[i] not in open_docs and not t.label[i] and best[i] and p[i, best[i]] >= SURE and i in linked]
     run: list[int] = []
     for i in [*taken, -1]:
         if run and (i < 0 or follows.get(run[-1]) != i or best[i] != best[run[-1]]):
@@ -312,32 +328,39 @@ def added_spans(t: Tokens, field: Field, docs: int) -> list[list[tuple[str, int,
 
 
 def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """The field fitted on a bounded sample of documents that have a digit or an @ sign."""
+    """The field fitted on a bounded sample of documents that have a digit or an @ sign: the first by a hash of the row, however the
+    table is cut into files."""
     named = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    draw = F.xxhash64("doc_id", F.octet_length("text"))
-    likely = named.where(F.col("text").rlike("[0-9]") | F.contains("text", F.lit("@")))
-    last = likely.select(draw.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    likely = named.where(F.col("text").rlike("[0-9]") | F.contains("text", F.lit("@"))).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    last = likely.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
     if last is None:
         return fit_field([])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(0).to_pylist():
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = tokens_of([text], [base_spans(text)])
                 label = agreed(t)
                 if len(t.doc) > LONGEST:
                     start = zlib.crc32(text.encode("utf-8", "replace")) % (len(t.doc) - LONGEST + 1)
                     t, label = run_of(t, start, LONGEST), label[start : start + LONGEST]
                 links = lambda x: [v for pair in x for v in pair]
-                rows.append((len(t.doc), [f for fs in t.features for f in fs], label, links(t.chain), links(t.skip)))
-            kinds = [pa.int64(), *[pa.list_(pa.int32())] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["n", "features", "label", "chain", "skip"])
-
-    schema = "n long, features array<int>, label array<int>, chain array<int>, skip array<int>"
-    found = likely.where(draw <= last).select("text").mapInArrow(extract, schema).where("n > 0").limit(SAMPLE_DOCS).collect()
+                rows.append((h, len(t.doc), [f for fs in t.features for f in fs], label, links(t.chain), links(t.skip)))
+            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["h", "n", "features", "label", "chain", "skip"])
+
+    schema = "h long, n long, features array<int>, label array<int>, chain array<int>, skip array<int>"
+    drawn = likely.where(F.col("h") <= last).mapInArrow(extract, schema).where("n > 0")
+    # Whole documents in order of the hash, as long as they fit together.
+    sizes = sorted(map(tuple, drawn.select("h", "n").orderBy("h").limit(SAMPLE_DOCS).collect()))
+    total, end = 0, None
+    for h, n in sizes:
+        if (total := total + n) > SAMPLE_TOKENS:
+            break
+        end = h
     parts, total = [], 0
-    for r in found:
+    for r in sorted(drawn.where(F.col("h") <= end).orderBy("h").limit(SAMPLE_DOCS).collect(), key=lambda r: r.h) if end is not None else ():
         if (total := total + r.n) > SAMPLE_TOKENS:
             break
         each = len(r.features) // r.n

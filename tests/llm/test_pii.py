@@ -155,3 +155,50 @@ def test_long_documents_count_in_the_fit(spark, monkeypatch):
     monkeypatch.setattr(pii, "LONGEST", 3)
     field = pii.learned(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     assert abs(field.own).sum() > 0
+
+
+def test_tokens_are_found_in_linear_time():
+    """Texts without blanks, with a digit or an @ here and there, and a million letters with one digit."""
+    import time
+
+    for text in ("a" * 1_000_000 + "1", "1" + "a" * 1_000_000, "字" * 500_000 + "7" + "字" * 500_000, "a1" * 200_000, "a@" * 200_000):
+        began = time.process_time()
+        t = pii.tokens_of([text], [pii.base_spans(text)])
+        assert t.span == [(0, len(text))] and time.process_time() - began < 2
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text(alphabet="a1@.-,() \n\x85　=é", max_size=40))
+def test_tokens_are_the_runs_with_a_digit_or_an_at(text):
+    runs = [m for m in re.finditer(r"[^\s,;:!?\"'()\[\]{}<>|=]+", text) if re.search("[0-9@]", m.group())]
+    assert list(pii._words(text)) == [(m.start(), m.group()) for m in runs]
+
+
+def test_long_numbers_in_blocks_are_linked():
+    """A card in four blocks, and one of nineteen digits by single digits, are linked to the same digits in one token."""
+    text = "paid with 4111111111111111 today. Later 4111 1111 1111 1111 again"
+    t = pii.tokens_of([text], [pii.base_spans(text)])
+    assert {text[slice(*t.span[i])] for pair in t.skip for i in pair} >= {"4111111111111111", "4111", "1111"}
+    long = "1234567890123456789"
+    t = pii.tokens_of([f"{long} and {' '.join(long)} end"], [[]])
+    assert {i for pair in t.skip for i in pair} == set(range(20))
+
+
+def test_field_does_not_depend_on_files(spark, monkeypatch):
+    """Also where the sample's tokens overflow: documents are taken by hash, not by place."""
+    rows = [(i, f"call +1 (415) 555-{2000 + i} or lot {i * 7} or 10.0.{i}.7 and 555-{2000 + i}") for i in range(120)]
+    monkeypatch.setattr(pii, "SAMPLE_TOKENS", 200)
+    one = pii.learned(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    many = pii.learned(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7))
+    assert abs(one.own).sum() > 0 and np.array_equal(one.own, many.own) and np.array_equal(one.skip, many.skip)
+
+
+def test_messages_that_do_not_settle_add_nothing(monkeypatch):
+    """Two labels that repel each other around an odd ring: with few rounds the document is named and has the patterns' spans only."""
+    k = 5
+    field = pii.Field(np.zeros((pii.FEATURES, k)), np.array([0, 9.0, 9, 0, 0]), np.zeros((k, k)), -8.0 * np.eye(k))
+    ring = pii.Tokens([0] * 3, [(i, i + 1) for i in range(3)], [[0]] * 3, [0] * 3, [], [(0, 1), (1, 2), (2, 0)])
+    monkeypatch.setattr(pii, "ROUNDS", 1)
+    monkeypatch.setattr(pii, "HALVINGS", 0)
+    monkeypatch.setattr(pii, "SURE", 0.0)
+    assert pii.added_spans(ring, field, 1) == [[]] and ring.unsettled == [0]
