@@ -102,7 +102,11 @@ def fit_moves(rows: DataFrame, names: list[str], targets: dict[str, float], anch
 
     start, moments, squares = state({})
     live = [i for i, d in enumerate(names) if start[i] > 0 and d in targets]
-    if len(live) < 2 or anchor not in [names[i] for i in live]:
+    if anchor not in [names[i] for i in live] and len(live) > 1:
+        instead = names[max(live, key=lambda i: start[i])]
+        warnings.warn(f"no tokens are expected of {anchor!r}, the domain that keeps its own; {instead!r} keeps its own instead", stacklevel=2)
+        anchor = instead
+    if len(live) < 2:
         return {}, {}
     goal = (start[names.index(anchor)] / targets[anchor] * np.array([targets.get(d, 0.0) for d in names]))[live]
     reached, start = start[live], start[live]

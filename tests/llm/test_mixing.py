@@ -82,3 +82,12 @@ def test_copies_average_to_the_rate(spark):
 def test_no_python_in_the_plan(spark):
     plan = mx.op10_mixing(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_without_its_anchor_the_largest_domain_keeps_its_tokens(spark):
+    rows = mx.settle(spark.createDataFrame([(10, [1.0, 0.0]), (30, [0.0, 1.0]), (20, [0.0, 1.0])], "tokens long, p array<double>"))
+    with pytest.warns(UserWarning, match="'clean'"):
+        moves, outcome = mx.fit_moves(rows, ["junk", "toxic"], {"clean": 0.96, "junk": 0.02, "toxic": 0.02}, "clean")
+    assert outcome["toxic"][0] == pytest.approx(50) and outcome["junk"][0] == pytest.approx(50) and moves
+    assert mx.fit_moves(rows, ["clean"], {"clean": 1.0}, "clean") == ({}, {})
+    assert mx.fit_moves(rows.limit(0), ["junk", "toxic"], {"junk": 0.5, "toxic": 0.5}, "clean") == ({}, {})
