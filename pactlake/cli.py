@@ -37,6 +37,13 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return flatten.drop_empty_columns(flatten.flatten(raw))
 
 
+def load_kept(spark: SparkSession, path: str, keep: bool) -> tuple[DataFrame, str | None]:
+    """A flat frame, with the column of unreadable lines if these are kept."""
+    raw = spark.read.parquet(path) if ".parquet" in path else readers.jsonl_kept(spark, path) if keep else readers.jsonl(spark, path)
+    corrupt = readers.CORRUPT if readers.CORRUPT in raw.columns else None
+    return flatten.flatten(raw, keep=(corrupt,) if corrupt else ()), corrupt
+
+
 def _dump(doc, path: str) -> None:
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
@@ -69,19 +76,18 @@ def cmd_validate(a) -> int:
     stored = readers.json_or(a.baselines, {}) if a.baselines else {}
     prefix = f"{contract.id}."
     base = {k.removeprefix(prefix): v for k, v in stored.items() if k.startswith(prefix)}
-    try:
-        rows = load(spark, a.data)
-        rows.agg(F.count("*")).collect()  # a file that can't be read fails here, an error in a check below
+    try:  # what can't be read fails here, an error in a check below
+        rows, corrupt = load_kept(spark, a.data, a.keep_bad_lines)
+        seen = profile.moments(rows)
     except PySparkException as e:
-        rows, results = None, checks.load_failure(spark, contract.id, str(e))
-    if rows is None:
-        doc = sinks.report(results, header, a.out)
+        doc = sinks.report(checks.load_failure(spark, contract.id, str(e)), header, a.out)
     else:
-        results = checks.validate(rows, contract, base, samples=a.samples)
-        doc = sinks.report(results, header, a.out)
+        rows = rows.select(*(F.col(f"`{c}`") for c, m in seen.items() if m["count"] or c == corrupt))
+        doc = sinks.report(checks.validate(rows, contract, base, samples=a.samples, corrupt=corrupt), header, a.out)
+        if corrupt and a.quarantine:
+            rows.where(F.col(corrupt).isNotNull()).select(F.col(corrupt).alias("line")).write.mode("append").json(a.quarantine)
         if a.baselines:
-            fresh = {prefix + r.column: r.asDict() for r in profile.numeric(rows).collect()}
-            sinks.merge_baselines(a.baselines, fresh)
+            sinks.merge_baselines(a.baselines, {prefix + c: {k: m[k] for k in ("mean", "stddev")} for c, m in seen.items() if "mean" in m and m["count"] > 1})
     stop = {"AUDIT": False, "WARN": doc["critical"] > 0, "ENFORCE": doc["critical"] + doc["high"] > 0}[a.mode] or (a.fail_on_error and doc["errored"] > 0)
     print({k: doc[k] for k in ("total_checks", "passed", "warned", "high", "critical", "errored")}, "blocked" if stop else "passes")
     return int(stop)
@@ -149,7 +155,7 @@ def cmd_attribute(a) -> int:
         nodes, edges = readers.latest_lineage(spark, a.lineage)
         stem = os.path.splitext(os.path.basename(doc.get("data_path", "")))[0]
         labels = nodes.select("node_id", "label")
-        depths = lineage.contamination(lineage.seeds_for(nodes, stem), hit.select(F.col("subscriber_id").alias("node_id")).distinct(), edges)
+        depths = lineage.contamination(hit.select("contract_id", F.col("subscriber_id").alias("node_id")).distinct(), nodes, edges).drop("contract_id")
         files = [(r.file_path, r.depth) for r in lineage.upstream_files(nodes, edges, stem).collect()]  # five at most
     ranked, spare = _commits(spark, files if a.root else [], a.root), None
     if a.root and not ranked.limit(1).count():
@@ -174,8 +180,12 @@ def cmd_ai(a) -> int:
         out["prompt_schema"] = prompts.prompt_status(checked).first().asDict()
         if a.quarantine:
             sinks.quarantine(checked, a.quarantine)
-    if a.mode in ("all", "output_rate") and a.verdicts:
-        out["output_rate"] = prompts.output_rate(readers.jsonl(spark, a.verdicts)).first().asDict()
+    if a.mode in ("all", "output_rate") and (a.verdicts or a.traces):
+        verdicts = readers.jsonl(spark, a.verdicts) if a.verdicts else None
+        if a.traces and (verdicts is None or not verdicts.limit(1).count()):  # verdicts are made from traces where there are none
+            runs = readers.jsonl(spark, a.traces, "id string, run_type string, outputs string")
+            verdicts = prompts.trace_verdicts(runs)
+        out["output_rate"] = prompts.output_rate(verdicts).first().asDict()
     if a.log and out:
         outcomes = spark.createDataFrame([(k, v["status"], v.get("rate")) for k, v in out.items()], "check_name string, status string, rate double")
         sinks.ai_breaches(outcomes, a.log)
@@ -226,10 +236,10 @@ def main(argv: list[str] | None = None) -> int:
         s.set_defaults(run=f)
 
     command(cmd_infer, "data", "id", "out", registry=None, snapshots=None, approximate=False)
-    command(cmd_validate, "contract", "data", "out", mode="AUDIT", baselines=None, samples=5, report_id=None, fail_on_error=False)
+    command(cmd_validate, "contract", "data", "out", mode="AUDIT", baselines=None, samples=5, report_id=None, fail_on_error=False, keep_bad_lines=False, quarantine=None)
     command(cmd_diff, "out", id=None, snapshots=None, old=None, new=None, since=None, registry=None)
     command(cmd_attribute, "report", "registry", "log", lineage=None, root=None, scripts="outputs/migrate/*.py")
-    command(cmd_ai, "data", "out", mode="all", array=None, text="text", preview="content_preview", verdicts=None, quarantine=None, log=None)
+    command(cmd_ai, "data", "out", mode="all", array=None, text="text", preview="content_preview", verdicts=None, traces=None, quarantine=None, log=None)
     command(cmd_report, "reports", "out", ai=None, diffs=None, registry=None, most=20)
     a = p.parse_args(argv)
     return a.run(a)

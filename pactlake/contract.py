@@ -9,17 +9,6 @@ from pyspark.sql import types as T
 
 UUID_PATTERN = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 STATISTICS = ("mean", "stddev", "min", "max", "p25", "p50", "p75", "p95", "p99")
-#: Severities by rank.
-SEVERITY_RANK = {"CRITICAL": 5, "HIGH": 4, "MEDIUM": 3, "WARNING": 2, "LOW": 1, "PASS": 0}
-
-RESULT_DDL = (
-    "check_id STRING, column_name STRING, check_type STRING, status STRING, actual_value STRING, expected STRING, "
-    "severity STRING, records_failing BIGINT, sample_failing ARRAY<STRING>, message STRING"
-)
-CLAUSE_DDL = (
-    "column STRING, type STRING, required BOOLEAN, format STRING, pattern STRING, minimum DOUBLE, maximum DOUBLE, enum ARRAY<STRING>, "
-    "description STRING, baseline_statistics STRUCT<" + ", ".join(f"{s}: DOUBLE" for s in STATISTICS) + ">"
-)
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pactlake.functions.scalar import node_path
+from pactlake.functions.scalar import node_path, normalized
+from pactlake.operators.substrings import contains_join
 
 FOLLOWED = ("PRODUCES", "WRITES", "READS", "CONSUMES")
 
@@ -30,20 +31,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def breadth_first(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
-    """Seeds (node_id) over edges (source, target) -> (node_id, depth), the least number of hops; cycles end by the visited set.
+def breadth_first(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, reverse: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Seeds (keys..., node_id) over edges (source, target) -> (keys..., node_id, depth), the least number of hops; cycles end by the visited set.
 
-    Each round joins only the frontier and writes what it adds, so lineage stays short on deep graphs.
+    With keys, as many searches as there are different ones advance together: the frontier holds (keys, node), so rounds are as many as
+    the deepest search has, whatever the number of searches. Each round joins only the frontier and writes what it adds, so lineage
+    stays short on deep graphs.
     """
     a, b = ("target", "source") if reverse else ("source", "target")
+    own = [*keys, "node_id"]
     step = edges.select(F.col(a).alias("node_id"), F.col(b).alias("next")).distinct()
     step = written(step.repartition("node_id"))  # made once, not again in each round
-    seen = frontier = written(seeds.select("node_id").distinct().withColumn("depth", F.lit(0)))
+    seen = frontier = written(seeds.select(*own).distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        reached = frontier.join(step, "node_id").select(F.col("next").alias("node_id")).distinct()
-        frontier = written(reached.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth)))
+        reached = frontier.join(step, "node_id").select(*keys, F.col("next").alias("node_id")).distinct()
+        frontier = written(reached.join(seen, own, "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():
             break
         seen = seen.unionByName(frontier)
@@ -51,11 +55,9 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, max_depth: int | None = No
 
 
 def seeds_for(nodes: DataFrame, stem: str, fallback: int = 10) -> DataFrame:
-    """Nodes whose id or label contains a file's stem, loosely; else the first transformations by id."""
-    from pactlake.functions.scalar import normalized
-
-    wanted = F.lit(stem.lower().replace("-", "").replace("_", ""))
-    named = nodes.where(F.contains(normalized(F.col("node_id")), wanted) | F.contains(normalized(F.coalesce("label", F.lit(""))), wanted))
+    """Nodes whose id or label contains a file's stem, whatever the case; else the first transformations by id."""
+    wanted = F.lit(stem.lower())
+    named = nodes.where(F.contains(F.lower("node_id"), wanted) | F.contains(F.lower(F.coalesce("label", F.lit(""))), wanted))
     other = nodes.where(F.col("node_id").startswith("transformation:")).orderBy("node_id").limit(fallback)
     return named.select("node_id") if named.limit(1).count() else other.select("node_id")
 
@@ -72,10 +74,26 @@ def upstream_files(nodes: DataFrame, edges: DataFrame, stem: str, max_depth: int
     return producers(breadth_first(seeds_for(nodes, stem), followed, max_depth, reverse=True), nodes, most)
 
 
-def contamination(seeds: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Targets (node_id) -> depth, hops downstream from the seeds; at least 1, and 1 where there is no way."""
-    reached = breadth_first(seeds, edges)
-    return targets.join(reached, "node_id", "left").select("node_id", F.greatest(F.lit(1), F.coalesce("depth", F.lit(1))).alias("depth"))
+def _names(nodes: DataFrame) -> DataFrame:
+    """(node_id, name): what a node can be found by, its id and its label, in lower case without - and _."""
+    return nodes.select("node_id", F.explode(F.array_distinct(F.array(normalized(F.col("node_id")), normalized(F.coalesce("label", F.lit("")))))).alias("name"))
+
+
+def contamination(targets: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Targets (contract_id, node_id: a subscriber) -> depth: hops downstream from the nodes that the contract's id names, at least 1.
+
+    Only edges along which data flows are followed. A subscriber that is not reached itself has the least depth of the reached nodes
+    whose id or label contains its id, else 1; so have all where no node is named like the contract. All contracts are searched at
+    once, and names are matched by q-grams.
+    """
+    contracts = targets.select("contract_id").distinct().withColumn("wanted", normalized(F.col("contract_id")))
+    seeds = contains_join(contracts, _names(nodes), "wanted", "name").select("contract_id", "node_id")
+    reached = written(breadth_first(seeds, edges.where(F.col("relationship").isin(*FOLLOWED)), keys=("contract_id",)))
+    exact = written(targets.select("contract_id", "node_id").distinct().join(reached, ["contract_id", "node_id"], "left"))
+    asked = exact.where("depth IS NULL").select("contract_id", F.col("node_id").alias("subscriber"), normalized(F.col("node_id")).alias("wanted"))
+    known = reached.join(_names(nodes), "node_id", "left").select("contract_id", "depth", F.coalesce("name", normalized(F.col("node_id"))).alias("name"))
+    partly = contains_join(asked, known, "wanted", "name", ("contract_id",)).groupBy("contract_id", F.col("subscriber").alias("node_id")).agg(F.min("depth").alias("near"))
+    return exact.join(partly, ["contract_id", "node_id"], "left").select("contract_id", "node_id", F.greatest(F.lit(1), F.coalesce("depth", "near", F.lit(1))).alias("depth"))
 
 
 def with_labels(rows: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -41,19 +41,20 @@ def quarantine(checked: DataFrame) -> DataFrame:
 
 
 def prompt_status(checked: DataFrame) -> DataFrame:
-    """One row: records, violations, rate, status (PASS without any, WARN below a tenth, else FAIL)."""
+    """One row: records, violations, rate, status (SKIP without records, PASS without violations, WARN below a tenth, else FAIL)."""
     out = checked.agg(F.count("*").alias("records"), F.count_if(F.size("issues") > 0).alias("violations"))
     rate = F.coalesce(F.try_divide("violations", "records"), F.lit(0.0))
-    return out.withColumn("rate", F.round(rate, 4)).withColumn("status", F.when(F.col("violations") == 0, "PASS").when(rate < 0.1, "WARN").otherwise("FAIL"))
+    return out.withColumn("rate", F.round(rate, 4)).withColumn("status", F.when(F.col("records") == 0, "SKIP").when(F.col("violations") == 0, "PASS").when(rate < 0.1, "WARN").otherwise("FAIL"))
 
 
 def output_rate(verdicts: DataFrame, column: str = "overall_verdict", baseline: float | None = None) -> DataFrame:
-    """One row: outputs, violations (null counts as one), rate, status, trend."""
+    """One row: outputs, violations (null counts as one), rate, status (SKIP without outputs), trend."""
     bad = F.col(column).isNull() | ~F.col(column).isin(*VERDICTS)
     out = verdicts.agg(F.count("*").alias("outputs"), F.count_if(bad).alias("violations"))
     rate = F.coalesce(F.try_divide("violations", "outputs"), F.lit(0.0))
     trend = F.lit("unknown") if baseline is None else F.when(rate > RISING * baseline, "rising").otherwise("stable")
-    return out.withColumn("rate", F.round(rate, 4)).withColumn("status", F.when(rate > WARN_RATE, "WARN").otherwise("PASS")).withColumn("trend", trend)
+    none = F.col("outputs") == 0
+    return out.withColumn("rate", F.round(rate, 4)).withColumn("status", F.when(none, "SKIP").when(rate > WARN_RATE, "WARN").otherwise("PASS")).withColumn("trend", F.when(none, "unknown").otherwise(trend))
 
 
 def verdict_of_score(score: Column) -> Column:

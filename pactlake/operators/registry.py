@@ -1,7 +1,7 @@
 """Consumers of contracts: subscriptions joined with changed or failing fields.
 
-A registry is small beside data, and is broadcast by Spark itself when it is; every join has an equality on the contract
-or is a nested loop over these small tables only.
+A registry is small beside data, and is broadcast by Spark itself when it is; every join has an equality on the contract, and
+names that contain others are found by q-grams.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactlake.operators.substrings import contains_join
+
 #: Fixed value: the text of a risk that a subscriber hasn't declared.
 UNVERIFIED = "Field '%s' is consumed but not declared in breaking_fields — unverified risk."
 PREFIX = r"^(fact|node|edge|event|item)_"
@@ -50,8 +52,11 @@ def bare(field: Column) -> Column:
 
 
 def blast_radius(failing: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Failing fields (contract_id, field) -> subscribers with a breaking field that contains the name, bare or not."""
+    """Failing fields (contract_id, field) -> subscribers with a breaking field that contains the name, bare or not.
+
+    What contains the whole name contains the bare one, so that alone is looked up, by its q-grams.
+    """
     rows = breaking_rows(subscriptions)
-    hit = failing.join(rows, "contract_id").where(F.contains("breaking_field", bare(F.col("field"))) | F.contains("breaking_field", F.col("field")))
+    hit = contains_join(failing.withColumn("_bare", bare(F.col("field"))), rows, "_bare", "breaking_field", ("contract_id",))
     first = hit.withColumn("r", F.row_number().over(Window.partitionBy("contract_id", "field", "subscriber_id").orderBy("position"))).where("r = 1")
     return first.select("contract_id", "field", "subscriber_id", "tier", "breaking_field")

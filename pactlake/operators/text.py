@@ -21,7 +21,10 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, id_col: str, text_col: str, group: str | None = None) -> DataFrame:
-    """(doc, term, w), w = n / total x (ln((N + 1) / (df + 1)) + 1), fitted on the documents given (per group, if any)."""
+    """(doc, term, w), w = n / total x (ln((N + 1) / (df + 1)) + 1), fitted on the documents given (per group, if any).
+
+    The vocabulary is joined: once its size is known, adaptive execution broadcasts a small one and splits frequent terms otherwise.
+    """
     keys = [group] if group else []
     rows = docs.select(*keys, F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term"))
     counts = rows.groupBy(*keys, "doc", "term").agg(F.count("*").alias("n"))
@@ -49,11 +52,23 @@ def sparse_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.try_divide(dot, nx * ny), F.lit(0.0)).alias("similarity"))
 
 
+def term_weights(docs: DataFrame, id_col: str, text_col: str, size: Column) -> DataFrame:
+    """(term, w): the sum of the documents' TF-IDF weights; a mean's length doesn't matter to a cosine.
+
+    As the idf depends on the term alone, shares and documents are summed up by term and weighed afterwards, without a join: one row a
+    term and task is shuffled. Ids must tell documents apart.
+    """
+    found = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(tokens(F.col(text_col)))).alias("found"))  # in a generator, so that it is made once
+    rows = found.select("doc", F.size("found").alias("total"), F.explode("found").alias("term"))
+    counts = rows.groupBy("doc", "term").agg(F.count("*").alias("n"), F.first("total").alias("total"))
+    sums = counts.groupBy("term").agg(F.sum(F.col("n") / F.col("total")).alias("s"), F.count("*").alias("df"))
+    return sums.select("term", (F.col("s") * (F.log((size + 1) / (F.col("df") + 1)) + 1)).alias("w"))
+
+
 def text_drift(base: DataFrame, current: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row: similarity of the centroids, drift, status (PASS, WARN; SKIP where a side is empty)."""
-    side = lambda d: tfidf(d, id_col, text_col).groupBy("term").agg(F.sum("w").alias("w"))  # noqa: E731 the mean's length doesn't matter to a cosine
     sizes = base.agg(F.count("*").alias("n")).scalar(), current.agg(F.count("*").alias("m")).scalar()
-    out = sparse_cosine(side(base), side(current))
+    out = sparse_cosine(*(term_weights(d, id_col, text_col, n) for d, n in zip((base, current), sizes)))
     empty = (sizes[0] == 0) | (sizes[1] == 0)
     sim = F.round("similarity", 4)
     return out.select(sim.alias("similarity"), F.round(1 - F.col("similarity"), 4).alias("drift"), F.when(empty, "SKIP").when(sim >= TFIDF_SIMILARITY, "PASS").otherwise("WARN").alias("status"))

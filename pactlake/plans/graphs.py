@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from pactlake.contract import Clause, Contract
 from pactlake.functions import scalar
-from pactlake.operators import blame, etl, evolution, flatten, lineage, prompts, registry, report, text
+from pactlake.operators import blame, checks, etl, evolution, flatten, infer, lineage, profile, prompts, registry, report, text
+from pactlake.operators.substrings import contains_join
 from pactlake.plans.profiling import query, rounded, table
 from pactlake.streaming.validation import windowed_rate
 
 
-def values(spark, rows: list[tuple], names: str):
-    """The rows as an inline table."""
-    return spark.sql(f"SELECT * FROM VALUES {literal(rows)} AS t({names})")
-
-
-def literal(rows: list[tuple]) -> str:
-    one = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else f"{v}"
-    return ", ".join(f"({', '.join(map(one, r))})" for r in rows)
-
-
-def cte(name: str, rows: list[tuple], names: str) -> str:
-    return f"{name}({names}) AS (VALUES {literal(rows)})"
+SQL_OF_DRIFT = """
+    WITH c AS (SELECT label % 2 AS side, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT side, pos, avg(x) AS m FROM c GROUP BY 1, 2),
+    r AS (SELECT sum(a.m * b.m) / (sqrt(sum(a.m * a.m)) * sqrt(sum(b.m * b.m))) AS sim FROM m a JOIN m b ON a.pos = b.pos AND a.side = 0 AND b.side = 1)
+    SELECT round(sim, 4) AS similarity, round(1 - sim, 4) AS drift, CASE WHEN round(1 - sim, 4) <= 0.15 THEN 'PASS' ELSE 'WARN' END AS status FROM r
+"""
+SQL_OF_RATE = """
+    WITH v AS (SELECT CASE WHEN quality IS NULL THEN NULL WHEN quality * 3 >= 3 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT count(*) AS outputs, count(*) FILTER (verdict IS NULL) AS violations, round(count(*) FILTER (verdict IS NULL) / count(*)::DOUBLE, 4) AS rate,
+           CASE WHEN count(*) FILTER (verdict IS NULL) / count(*)::DOUBLE > 0.02 THEN 'WARN' ELSE 'PASS' END AS status,
+           CASE WHEN count(*) FILTER (verdict IS NULL) / count(*)::DOUBLE > 1.5 * 0.1 THEN 'rising' ELSE 'stable' END AS trend FROM v
+"""
 
 
 @query("""
@@ -35,6 +38,22 @@ def flatten_explode(spark, d):
     return flatten.flatten(rows.unionByName(empty))
 
 
+@query("""
+    SELECT event_id, event_type AS item_type, user_id::VARCHAR AS item_n, NULL AS item_value FROM events WHERE event_id % 4 = 0
+    UNION ALL SELECT event_id, NULL, NULL, user_id::VARCHAR FROM events WHERE event_id % 4 = 0
+    UNION ALL SELECT event_id, NULL, NULL, event_type FROM events WHERE event_id % 4 = 1
+    UNION ALL SELECT event_id, NULL, NULL, NULL FROM events WHERE event_id % 4 = 2
+    UNION ALL SELECT event_id, NULL, CASE k WHEN 1 THEN event_type END, NULL FROM events, (SELECT unnest([1, 2, 3]) AS k) WHERE event_id % 4 = 3
+""")
+def flatten_mixed(spark, d):
+    """Lines of JSON whose arrays hold objects, scalars, arrays and nulls side by side."""
+    event, user = F.col("event_type"), F.col("user_id").cast("string")
+    items = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('[{"type":"'), event, F.lit('","n":'), user, F.lit("},"), user, F.lit("]")))
+    items = items.when(F.col("event_id") % 4 == 1, F.concat(F.lit('["'), event, F.lit('"]'))).when(F.col("event_id") % 4 == 2, "[]").otherwise(F.concat(F.lit('[{"n":"'), event, F.lit('"},[1],null]')))
+    lines = table(spark, d, "events").select(F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"items":'), items, F.lit("}")).alias("line"))
+    return flatten.flatten_variant(lines.select(F.parse_json("line").alias("v")), "v")
+
+
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def json_scalar(spark, d):
     return table(spark, d, "events").select("event_id", flatten.scalar_or_null(F.parse_json(F.get_json_object("props", "$.k")), "bigint").alias("k"))
@@ -46,17 +65,52 @@ def drop_all_null(spark, d):
     return flatten.drop_empty_columns(rows)
 
 
-OLD = [("a", "number", True, 0.0, 1.0, None, None), ("b", "string", True, None, None, None, "x,y"), ("c", "string", False, None, None, "uuid", None), ("d", "integer", True, 0.0, None, None, None), ("e", "string", True, None, None, None, None), ("f", "string", True, None, None, None, "p"), ("g", "number", False, 1.0, 9.0, None, None), ("h", "number", True, 0.0, 1.0, None, None), ("k", "string", True, None, None, None, None)]
-NEW = [("a", "number", True, 0.0, 100.0, None, None), ("b", "string", False, None, None, None, "y,z"), ("c", "string", True, None, None, "date-time", None), ("d", "number", True, 2.0, 5.0, None, None), ("e", "string", True, None, None, "uuid", "m,n"), ("f", "string", True, None, None, None, None), ("g", "number", False, 2.0, None, None, None), ("h", "integer", True, 0.0, None, None, None), ("i", "string", True, None, None, None, None), ("j", "string", False, None, None, None, None)]
-FIELDS = "field, type, required, minimum, maximum, format, enum"
+#: Fields of two versions of a contract on lineitem, the first three lines of an order and the others: name, and on either side
+#: (expression, type, format) or None; the expressions are SQL of both engines.
+FIELDS = [
+    ("confidence", ("l_discount", "number", None), ("CAST(l_discount * 100 AS INT)", "integer", None)),
+    ("amount", ("l_extendedprice - 10000000", "number", None), ("l_extendedprice", "number", None)),
+    ("depth", ("l_quantity", "number", None), ("l_quantity - 1000", "number", None)),
+    ("line", ("l_linenumber", "integer", None), ("CAST(l_linenumber AS DOUBLE)", "number", None)),
+    ("flag", ("l_returnflag", "string", None), ("CASE l_returnflag WHEN 'R' THEN 'X' ELSE l_returnflag END", "string", None)),
+    ("state", ("l_linestatus", "string", None), ("CONCAT(l_linestatus, CAST(l_orderkey AS STRING))", "string", None)),
+    ("code", ("CONCAT(l_linestatus, CAST(l_orderkey AS STRING))", "string", None), ("l_linestatus", "string", None)),
+    ("note", ("CAST(l_partkey AS STRING)", "string", None), ("CASE WHEN l_partkey % 2 = 0 THEN CAST(l_partkey AS STRING) END", "string", None)),
+    ("memo", ("CASE WHEN l_suppkey % 2 = 0 THEN CAST(l_partkey AS STRING) END", "string", None), ("CAST(l_partkey AS STRING)", "string", None)),
+    ("shipped", ("CAST(l_shipdate AS STRING)", "string", None), ("l_shipdate", "string", "date-time")),
+    ("billed", ("l_shipdate", "string", "date-time"), ("CAST(l_shipdate AS STRING)", "string", None)),
+    ("order_id", ("CAST(l_orderkey AS STRING)", "string", "uuid"), ("CAST(l_orderkey AS STRING)", "string", "uuid")),
+    ("dropped", ("l_tax", "number", None), None),
+    ("extra", None, ("CASE WHEN l_partkey % 3 = 0 THEN l_returnflag END", "string", None)),
+    ("needed", None, ("l_linestatus", "string", None)),
+]
+SIDES = ("l_linenumber <= 3", "l_linenumber > 3")
+
+
+def _version(spark, d, side: int):
+    """The columns of one version of the contract's data."""
+    return table(spark, d, "lineitem").where(SIDES[side]).selectExpr(*(f"{f[1 + side][0]} AS {f[0]}" for f in FIELDS if f[1 + side]))
 
 
-def _schema(spark, rows):
-    return values(spark, rows, FIELDS).select("field", "type", "required", F.col("minimum").cast("double").alias("minimum"), F.col("maximum").cast("double").alias("maximum"), F.col("format").cast("string").alias("format"), F.split(F.col("enum").cast("string"), ",").alias("enum"))
+def _clauses(spark, d, side: int):
+    """The clauses that are inferred from it, a settled contract."""
+    return lineage.written(infer.clause_rows(profile.profile(_version(spark, d, side), exact=False)).withColumnRenamed("column", "field"))
 
 
-def _changes(spark):
-    return evolution.changes(_schema(spark, OLD), _schema(spark, NEW))
+def _clause_sql(side: int) -> str:
+    """field, type, required, minimum, maximum, format, enum of one version."""
+
+    def one(name: str, expr: str, kind: str, fmt: str | None) -> str:
+        number, confident = kind != "string", "confidence" in name and kind == "number"
+        low = "0.0::DOUBLE" if confident else "CASE WHEN min(v) >= 0 THEN 0.0::DOUBLE END" if number else "NULL::DOUBLE"
+        enum = "CASE WHEN count(DISTINCT v) BETWEEN 1 AND 5 THEN list_sort(list(DISTINCT v) FILTER (v IS NOT NULL)) END" if kind == "string" and not fmt else "NULL::VARCHAR[]"
+        return f"SELECT '{name}' AS field, '{kind}' AS type, count(*) = count(v) AS required, {low} AS minimum, {'1.0::DOUBLE' if confident else 'NULL::DOUBLE'} AS maximum, {f"'{fmt}'" if fmt else 'NULL'}::VARCHAR AS format, {enum} AS enum FROM (SELECT {expr} AS v FROM lineitem WHERE {SIDES[side]})"
+
+    return " UNION ALL ".join(one(f[0], *f[1 + side]) for f in FIELDS if f[1 + side])
+
+
+def _changes(spark, d):
+    return evolution.changes(_clauses(spark, d, 0), _clauses(spark, d, 1))
 
 
 def _bound_sql(b: str) -> str:
@@ -68,9 +122,9 @@ def _bound_sql(b: str) -> str:
 
 
 CHANGES_SQL = f"""
-    WITH {cte("o", OLD, FIELDS)}, {cte("n", NEW, FIELDS)},
+    WITH o AS ({_clause_sql(0)}), n AS ({_clause_sql(1)}),
     every AS (SELECT o.field, o.type AS o_type, n.type AS n_type, o.required AS o_required, n.required AS n_required, o.minimum AS o_minimum, n.minimum AS n_minimum, o.maximum AS o_maximum, n.maximum AS n_maximum,
-                  o.format AS o_format, n.format AS n_format, string_split(o.enum, ',') AS o_enum, string_split(n.enum, ',') AS n_enum,
+                  o.format AS o_format, n.format AS n_format, o.enum AS o_enum, n.enum AS n_enum,
                   coalesce(o.maximum <= 1, false) AND ((o.type = 'number' AND n.type = 'integer') OR coalesce(n.maximum > 1, false) OR coalesce(o.minimum = 0 AND n.minimum >= 10, false)) AS scale
               FROM o JOIN n USING (field)),
     j AS (SELECT * FROM every WHERE NOT scale)
@@ -90,19 +144,31 @@ CHANGES_SQL = f"""
 
 @query(CHANGES_SQL)
 def schema_changes(spark, d):
-    return _changes(spark).select("field", "change_type", "classification")
+    return _changes(spark, d).select("field", "change_type", "classification")
 
 
 @query(f"SELECT field, change_type FROM ({CHANGES_SQL}) WHERE change_type IN ('field_added', 'field_removed')")
 def field_set_diff(spark, d):
-    return _changes(spark).where("change_type IN ('field_added', 'field_removed')").select("field", "change_type")
+    return _changes(spark, d).where("change_type IN ('field_added', 'field_removed')").select("field", "change_type")
 
 
-@query(f"""WITH {cte("e", [("x,y", "y,z")], "o, n")} SELECT 'removed' AS side, unnest(list_filter(string_split(o, ','), lambda x: NOT list_contains(string_split(n, ','), x))) AS value FROM e
-           UNION ALL SELECT 'added', unnest(list_filter(string_split(n, ','), lambda x: NOT list_contains(string_split(o, ','), x))) FROM e""")
+@query(f"""
+    WITH o AS ({_clause_sql(0)}), n AS ({_clause_sql(1)}), e AS (SELECT field, o.enum AS o, n.enum AS n FROM o JOIN n USING (field) WHERE o.enum IS NOT NULL AND n.enum IS NOT NULL)
+    SELECT field, 'removed' AS side, unnest(list_filter(o, lambda x: NOT list_contains(n, x))) AS value FROM e UNION ALL SELECT field, 'added', unnest(list_filter(n, lambda x: NOT list_contains(o, x))) FROM e
+""")
 def enum_diff(spark, d):
-    rows = _changes(spark).where("field = 'b' AND change_type LIKE 'enum_values_%'")
-    return rows.select(F.regexp_extract("change_type", "_([a-z]+)$", 1).alias("side"), F.explode(F.split(F.coalesce("old_value", "new_value"), ",")).alias("value"))
+    rows = _changes(spark, d).where("change_type LIKE 'enum_values_%'")
+    return rows.select("field", F.regexp_extract("change_type", "_([a-z]+)$", 1).alias("side"), F.explode(F.split(F.coalesce("old_value", "new_value"), ",")).alias("value"))
+
+
+@query(f"WITH t AS ({_clause_sql(0)}) SELECT field AS \"column\", 'not_null' AS test FROM t WHERE required UNION ALL SELECT field, 'accepted_values' FROM t WHERE enum IS NOT NULL UNION ALL SELECT field, 'unique' FROM t WHERE format = 'uuid'")
+def dbt_tests(spark, d):
+    return infer.dbt_tests(_clauses(spark, d, 0).withColumnRenamed("field", "column"))
+
+
+@query(f"WITH t AS ({_clause_sql(1)}) SELECT field AS \"column\", 'missing_count(' || field || ') = 0' AS \"check\" FROM t WHERE required UNION ALL SELECT field, 'duplicate_count(' || field || ') = 0' FROM t WHERE format = 'uuid' AND required")
+def soda_checks(spark, d):
+    return infer.soda_checks(_clauses(spark, d, 1).withColumnRenamed("field", "column"))
 
 
 @query(f"""
@@ -111,46 +177,69 @@ def enum_diff(spark, d):
            count(*) FILTER (classification <> 'COMPATIBLE') > 0 AS requires_version_bump FROM ({CHANGES_SQL})
 """)
 def verdict_rollup(spark, d):
-    return evolution.verdict(_changes(spark))
+    return evolution.verdict(_changes(spark, d))
 
 
-SUBS = [("docs", "s1", "ENFORCE", 1, "facts.confidence,doc_id,facts", "doc_id,facts"), ("docs", "s2", "AUDIT", 2, "doc_id", "doc_id,model"), ("docs", "s3", "WARN", 3, "model.name", "facts"), ("graph", "s4", "ENFORCE", 1, "nodes", "nodes,edges")]
-SUB_NAMES = "contract_id, subscriber_id, validation_mode, tier, breaking, consumed"
+#: Subscriptions by supplier, changed and failing fields by part: SQL of both engines but for the name of the array function.
+SUBS_SQL = """
+    SELECT CONCAT('c', CAST(s_suppkey % 4 AS STRING)) AS contract_id, s_name AS subscriber_id, CASE s_suppkey % 3 WHEN 0 THEN 'ENFORCE' WHEN 1 THEN 'WARN' ELSE 'AUDIT' END AS validation_mode, CAST(1 + s_suppkey % 3 AS INT) AS tier,
+           {array}(CONCAT('f', CAST(s_suppkey % 7 AS STRING)), CONCAT('f', CAST(s_nationkey % 7 AS STRING), '.g', CAST(s_suppkey % 5 AS STRING)), CONCAT('f', CAST(s_nationkey % 5 AS STRING), '.g1.h')) AS breaking,
+           {array}(CONCAT('f', CAST((s_suppkey + 1) % 7 AS STRING)), CONCAT('f', CAST(s_suppkey % 5 AS STRING), '.g2')) AS consumed
+    FROM {supplier}
+"""
+CHANGED_SQL = "SELECT DISTINCT CONCAT('c', CAST(p_partkey % 3 AS STRING)) AS contract_id, CONCAT('f', CAST(p_size % 7 AS STRING), CASE WHEN p_partkey % 2 = 0 THEN CONCAT('.g', CAST(p_partkey % 4 AS STRING)) ELSE '' END) AS field FROM {part}"
+FAILING_SQL = "SELECT DISTINCT CONCAT('c', CAST(p_partkey % 3 AS STRING)) AS contract_id, CASE p_partkey % 5 WHEN 0 THEN CONCAT('fact_f', CAST(p_size % 7 AS STRING)) WHEN 1 THEN CONCAT('node_g', CAST(p_size % 4 AS STRING)) WHEN 2 THEN 'item_' WHEN 3 THEN CONCAT('f', CAST(p_size % 7 AS STRING), '.g1') ELSE 'event_none' END AS field FROM {part}"
+
+
+def _of(spark, d, sql: str):
+    """A query text over the tables that it names in braces."""
+    return spark.sql(sql.replace("{array}", "array"), **{t: table(spark, d, t) for t in re.findall(r"{(\w+)}", sql) if t != "array"})
+
+
+def _duck(sql: str) -> str:
+    return re.sub(r"{(\w+)}", r"\1", sql.replace("{array}", "list_value"))
 
 
-def _subs(spark):
-    rows = values(spark, SUBS, SUB_NAMES)
-    return rows.select("contract_id", "subscriber_id", "validation_mode", "tier", F.transform(F.split("breaking", ","), lambda b: F.struct(b.alias("field"), F.concat(F.lit("breaks on "), b).alias("reason"))).alias("breaking_fields"), F.split("consumed", ",").alias("fields_consumed"))
+def _subs(spark, d):
+    rows = _of(spark, d, SUBS_SQL)
+    return rows.select("contract_id", "subscriber_id", "validation_mode", "tier", F.transform("breaking", lambda b: F.struct(b.alias("field"), F.concat(F.lit("breaks on "), b).alias("reason"))).alias("breaking_fields"), F.col("consumed").alias("fields_consumed"))
 
 
-CHANGED = [("docs", "facts"), ("docs", "facts.confidence.value"), ("docs", "model"), ("docs", "doc_id"), ("graph", "nodes.id"), ("graph", "edges")]
+SUB_CTE = f"s AS ({_duck(SUBS_SQL)}), b AS (SELECT s.*, unnest(breaking) AS bf, generate_subscripts(breaking, 1) AS pos FROM s)"
 
 
 @query(f"""
-    WITH {cte("s", SUBS, SUB_NAMES)}, {cte("ch", CHANGED, "contract_id, field")},
-    b AS (SELECT s.*, unnest(string_split(breaking, ',')) AS bf, generate_subscripts(string_split(breaking, ','), 1) AS pos FROM s),
+    WITH {SUB_CTE}, ch AS ({_duck(CHANGED_SQL)}),
     hit AS (SELECT ch.contract_id, field, subscriber_id, validation_mode, tier, arg_min(bf, pos) AS breaking_field FROM ch JOIN b USING (contract_id)
             WHERE field = bf OR starts_with(field, bf || '.') OR starts_with(bf, field || '.') GROUP BY ALL)
     SELECT contract_id, field, subscriber_id, validation_mode, tier, breaking_field, 'declared' AS risk, 'breaks on ' || breaking_field AS failure_mechanism, validation_mode = 'ENFORCE' AS will_block_pipeline FROM hit
     UNION ALL SELECT ch.contract_id, ch.field, s.subscriber_id, s.validation_mode, s.tier, NULL, 'unverified', 'Field ''' || ch.field || ''' is consumed but not declared in breaking_fields — unverified risk.', FALSE FROM ch JOIN s USING (contract_id)
-    WHERE list_contains(string_split(consumed, ','), ch.field) AND (ch.contract_id, ch.field, s.subscriber_id) NOT IN (SELECT (contract_id, field, subscriber_id) FROM hit)
+    WHERE list_contains(consumed, ch.field) AND (ch.contract_id, ch.field, s.subscriber_id) NOT IN (SELECT (contract_id, field, subscriber_id) FROM hit)
 """)
 def consumer_impact(spark, d):
-    return registry.consumer_impact(values(spark, CHANGED, "contract_id, field"), _subs(spark))
+    return registry.consumer_impact(_of(spark, d, CHANGED_SQL), _subs(spark, d))
 
 
-FAILING = [("docs", "fact_confidence"), ("docs", "doc_id"), ("docs", "fact_"), ("graph", "node_x"), ("graph", "nodes")]
-BLAST_SQL = f"""
-    WITH {cte("s", SUBS, SUB_NAMES)}, {cte("f", FAILING, "contract_id, field")},
-    b AS (SELECT s.*, unnest(string_split(breaking, ',')) AS bf, generate_subscripts(string_split(breaking, ','), 1) AS pos FROM s)
+BLAST_SQL = """
     SELECT f.contract_id, f.field, subscriber_id, tier, arg_min(bf, pos) AS breaking_field FROM f JOIN b USING (contract_id)
     WHERE contains(bf, regexp_replace(f.field, '^(fact|node|edge|event|item)_', '')) OR contains(bf, f.field) GROUP BY ALL
 """
 
 
-@query(BLAST_SQL)
+@query(f"WITH {SUB_CTE}, f AS ({_duck(FAILING_SQL)}) {BLAST_SQL}")
 def blast_radius(spark, d):
-    return registry.blast_radius(values(spark, FAILING, "contract_id, field"), _subs(spark))
+    """Names found by q-grams; 'item_' leaves an empty name, which every field contains."""
+    return registry.blast_radius(_of(spark, d, FAILING_SQL), _subs(spark, d))
+
+
+@query("SELECT p.p_partkey, s.s_suppkey FROM part p JOIN supplier s ON contains(s_name || '.' || s_nationkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN '#' || lpad(p_partkey::VARCHAR, 9, '0') ELSE p_size || '.' END)")
+def contains_pairs(spark, d):
+    """Parts whose text, long or short, stands in a supplier's name: no nested loop."""
+    key = F.col("p_partkey").cast("string")
+    said = F.when(F.col("p_partkey") % 3 == 0, key).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("#"), F.lpad(key, 9, "0"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".")))
+    parts = table(spark, d, "part").select("p_partkey", said.alias("needle"))
+    names = table(spark, d, "supplier").select("s_suppkey", F.concat_ws(".", "s_name", F.col("s_nationkey").cast("string")).alias("name"))
+    return contains_join(parts, names, "needle", "name").select("p_partkey", "s_suppkey")
 
 
 EDGE_SQL = """
@@ -177,38 +266,69 @@ def bfs_upstream(spark, d):
     return lineage.breadth_first(seeds, _edges(spark, d), 4, reverse=True)
 
 
+#: Typed edges and named nodes; what is imported isn't followed.
+FLOW_SQL = """
+    SELECT CONCAT('r:', CAST(n_regionkey AS STRING)) AS source, CONCAT('n:', CAST(n_nationkey AS STRING)) AS target, 'PRODUCES' AS relationship FROM {nation}
+    UNION ALL SELECT CONCAT('n:', CAST(n_nationkey AS STRING)), CONCAT('r:', CAST(n_regionkey AS STRING)), 'CONSUMES' FROM {nation}
+    UNION ALL SELECT CONCAT('n:', CAST(c_nationkey AS STRING)), CONCAT('c:', CAST(c_custkey AS STRING)), 'WRITES' FROM {customer}
+    UNION ALL SELECT CONCAT('n:', CAST((c_nationkey + 1) % 25 AS STRING)), CONCAT('c:', CAST(c_custkey AS STRING)), 'IMPORTS' FROM {customer}
+    UNION ALL SELECT CONCAT('c:', CAST(o_custkey AS STRING)), CONCAT('o:', CAST(o_orderkey AS STRING)), 'READS' FROM {orders}
+"""
+NODE_SQL = """
+    SELECT CONCAT('r:', CAST(n_regionkey AS STRING)) AS node_id, CONCAT('region ', CAST(n_regionkey AS STRING)) AS label FROM {nation} GROUP BY n_regionkey
+    UNION ALL SELECT CONCAT('n:', CAST(n_nationkey AS STRING)), n_name FROM {nation}
+    UNION ALL SELECT CONCAT('c:', CAST(c_custkey AS STRING)), c_name FROM {customer}
+    UNION ALL SELECT CONCAT('o:', CAST(o_orderkey AS STRING)), NULL FROM {orders}
+"""
+#: Contracts named like nodes, one like none, and their subscribers: named in full, in part, and not at all.
+TARGET_SQL = """
+    SELECT k.contract_id, t.node_id FROM (SELECT CONCAT('Nation-', CAST(n_nationkey AS STRING)) AS contract_id FROM {nation} UNION ALL SELECT DISTINCT 'no such node' FROM {nation}) k,
+         (SELECT CONCAT('c:', CAST(c_custkey AS STRING)) AS node_id FROM {customer} UNION ALL SELECT CONCAT('CUSTOMER#00000000', CAST(n_nationkey AS STRING)) FROM {nation}
+          UNION ALL SELECT CONCAT('C-:', CAST(n_nationkey AS STRING)) FROM {nation} UNION ALL SELECT DISTINCT 'nobody' FROM {nation}) t
+"""
+
+
 @query(f"""
-    WITH RECURSIVE e AS ({EDGE_SQL} UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey FROM nation),
-    w(node_id, depth) AS (SELECT 'n:7', 0 UNION SELECT e.target, depth + 1 FROM w JOIN e ON e.source = w.node_id WHERE depth < 8), m AS (SELECT node_id, min(depth) AS depth FROM w GROUP BY node_id)
-    SELECT 'c:' || c_custkey AS node_id, greatest(1, coalesce(depth, 1))::INT AS depth FROM customer LEFT JOIN m ON m.node_id = 'c:' || c_custkey
+    WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT source, target FROM ({_duck(FLOW_SQL)}) WHERE relationship IN ('PRODUCES', 'WRITES', 'READS', 'CONSUMES')), n AS MATERIALIZED (SELECT node_id, replace(replace(lower(node_id), '-', ''), '_', '') AS i, replace(replace(lower(coalesce(label, '')), '-', ''), '_', '') AS l FROM ({_duck(NODE_SQL)})),
+    t AS MATERIALIZED ({_duck(TARGET_SQL)}), k AS (SELECT DISTINCT contract_id, replace(replace(lower(contract_id), '-', ''), '_', '') AS stem FROM t),
+    w(contract_id, node_id, depth) AS (SELECT contract_id, node_id, 0 FROM k JOIN n ON contains(i, stem) OR contains(l, stem) UNION SELECT contract_id, e.target, depth + 1 FROM w JOIN e ON e.source = w.node_id WHERE depth < 8),
+    m AS MATERIALIZED (SELECT contract_id, node_id, min(depth) AS depth FROM w GROUP BY 1, 2), x AS (SELECT t.contract_id, t.node_id, m.depth FROM t LEFT JOIN m ON t.contract_id = m.contract_id AND t.node_id = m.node_id),
+    part AS (SELECT x.contract_id, x.node_id, min(m.depth) AS near FROM x JOIN m ON x.contract_id = m.contract_id JOIN n ON n.node_id = m.node_id
+             WHERE x.depth IS NULL AND (contains(i, replace(replace(lower(x.node_id), '-', ''), '_', '')) OR contains(l, replace(replace(lower(x.node_id), '-', ''), '_', ''))) GROUP BY 1, 2)
+    SELECT x.contract_id, x.node_id, greatest(1, coalesce(x.depth, near, 1))::INT AS depth FROM x LEFT JOIN part ON x.contract_id = part.contract_id AND x.node_id = part.node_id
 """)
 def contamination_depth(spark, d):
-    targets = table(spark, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("node_id"))
-    return lineage.contamination(values(spark, [("n:7",)], "node_id"), targets, _edges(spark, d, cycle=True))
+    """A contract a nation, and one that names no node, searched at once."""
+    return lineage.contamination(_of(spark, d, TARGET_SQL), _of(spark, d, NODE_SQL), _of(spark, d, FLOW_SQL))
 
 
-NODES = [("transformation:/repo/a_b.py:10", "MODEL", "a_b"), ("transformation:/repo/load.py:3", "MODEL", "load"), ("dataset:orders", "TABLE", "orders"), ("file:/repo/x.sql", "FILE", "x"), ("transformation:/repo/load.py:9", "MODEL", "load2"), ("service:api", "SERVICE", "api"), ("pipeline:/repo/p.yaml:1", "PIPELINE", "p")]
-LINKS = [("transformation:/repo/load.py:3", "dataset:orders", "PRODUCES"), ("dataset:orders", "transformation:/repo/a_b.py:10", "CONSUMES"), ("transformation:/repo/load.py:9", "dataset:orders", "WRITES"), ("file:/repo/x.sql", "transformation:/repo/load.py:3", "READS"), ("pipeline:/repo/p.yaml:1", "file:/repo/x.sql", "IMPORTS"), ("pipeline:/repo/p.yaml:1", "transformation:/repo/load.py:9", "WRITES")]
+#: Code files by part, each fed by two others.
+FILE_SQL = "SELECT CONCAT('transformation:/repo/', lower(p_type), '/k', CAST(p_partkey AS STRING), '_load.py:', CAST(p_size AS STRING)) AS node_id, CASE p_partkey % 4 WHEN 0 THEN 'MODEL' WHEN 1 THEN 'FILE' WHEN 2 THEN 'TABLE' ELSE 'PIPELINE' END AS type, p_brand AS label FROM {part}"
+LINK_SQL = """
+    SELECT CONCAT('transformation:/repo/', lower(s.p_type), '/k', CAST(s.p_partkey AS STRING), '_load.py:', CAST(s.p_size AS STRING)) AS source, CONCAT('transformation:/repo/', lower(t.p_type), '/k', CAST(t.p_partkey AS STRING), '_load.py:', CAST(t.p_size AS STRING)) AS target,
+           CASE s.p_partkey % 5 WHEN 0 THEN 'PRODUCES' WHEN 1 THEN 'WRITES' WHEN 2 THEN 'READS' WHEN 3 THEN 'CONSUMES' ELSE 'IMPORTS' END AS relationship
+    FROM {part} AS t JOIN {part} AS s ON s.p_partkey IN (t.p_partkey + 1, t.p_partkey + 7)
+"""
 PATH_SQL = "regexp_extract({c}, '^[^:]*:(/[^:]*)(?::[^:]*)?$', 1)"
 
 
 @query(f"""
-    WITH RECURSIVE {cte("n", NODES, "node_id, type, label")}, {cte("l", LINKS, "source, target, relationship")},
-    w(node_id, depth) AS (SELECT 'transformation:/repo/a_b.py:10', 0 UNION SELECT l.source, depth + 1 FROM w JOIN l ON l.target = w.node_id WHERE depth < 4 AND relationship IN ('PRODUCES', 'WRITES', 'READS', 'CONSUMES')),
+    WITH RECURSIVE n AS MATERIALIZED ({_duck(FILE_SQL)}), l AS MATERIALIZED ({_duck(LINK_SQL)}),
+    w(node_id, depth) AS (SELECT node_id, 0 FROM n WHERE contains(lower(node_id), 'k17_load') OR contains(lower(label), 'k17_load') UNION SELECT l.source, depth + 1 FROM w JOIN l ON l.target = w.node_id WHERE depth < 4 AND relationship IN ('PRODUCES', 'WRITES', 'READS', 'CONSUMES')),
     m AS (SELECT node_id, min(depth) AS depth FROM w GROUP BY node_id),
     p AS (SELECT {PATH_SQL.format(c="node_id")} AS file_path, node_id, depth FROM m JOIN n USING (node_id) WHERE type IN ('MODEL', 'FILE', 'PIPELINE', 'SERVICE') AND {PATH_SQL.format(c="node_id")} LIKE '%.%')
     SELECT file_path, node_id, depth::INT AS depth FROM p QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY depth, node_id) = 1 ORDER BY depth, node_id LIMIT 5
 """)
 def producers_topk(spark, d):
-    return lineage.upstream_files(values(spark, NODES, "node_id, type, label"), values(spark, LINKS, "source, target, relationship"), "a-b")
+    return lineage.upstream_files(_of(spark, d, FILE_SQL), _of(spark, d, LINK_SQL), "K17_Load")
 
 
-PATHS = [("transformation:/abs/f.py:181", "/abs/f.py"), ("file:/x/y.sql", "/x/y.sql"), ("dataset:orders", None), ("file:rel/y.sql", None), ("file:/no/suffix", None), ("model:/a.b/c.d.py:1", "/a.b/c.d.py")]
+NODE_ID_SQL = "CASE page_id % 6 WHEN 0 THEN CONCAT('transformation:/abs/f', CAST(page_id AS STRING), '.py:181') WHEN 1 THEN CONCAT('file:/x.y/q', CAST(page_id AS STRING)) WHEN 2 THEN CONCAT('dataset:d', CAST(page_id AS STRING)) WHEN 3 THEN CONCAT('file:rel/', CAST(page_id AS STRING), '.sql') WHEN 4 THEN CONCAT('file:/x/y', CAST(page_id AS STRING), '.sql') ELSE CONCAT('model:/a.b/c.', CAST(page_id AS STRING), '.py:1') END"
 
 
-@query(f"WITH {cte('t', PATHS, 'node_id, path')} SELECT node_id, path FROM t")
+@query(f"SELECT page_id, CASE page_id % 6 WHEN 0 THEN '/abs/f' || page_id || '.py' WHEN 4 THEN '/x/y' || page_id || '.sql' WHEN 5 THEN '/a.b/c.' || page_id || '.py' END AS path FROM pages")
 def node_path(spark, d):
-    return values(spark, PATHS, "node_id, expected").select("node_id", scalar.node_path(F.col("node_id")).alias("path"))
+    return table(spark, d, "pages").select("page_id", scalar.node_path(F.expr(NODE_ID_SQL)).alias("path"))
 
 
 HITS = " + ".join(f"(CASE WHEN contains(m, '{k}') THEN 1 ELSE 0 END)" for k in blame.KEYWORDS)
@@ -226,72 +346,131 @@ def blame_rank(spark, d):
     return blame.rank_commits(commits, F.lit("2024-01-31").cast("date")).select("rank", "commit_hash", "hits", "confidence_score")
 
 
-SNAPS = [("a", "2024-01-01"), ("a", "2024-01-05"), ("a", "2024-01-09"), ("b", "2024-01-02"), ("c", "2024-01-06"), ("c", "2024-01-07")]
-
-
-@query(f"""
-    WITH {cte("s", SNAPS, "contract_id, ts")}, p AS (SELECT contract_id, max(ts) FILTER (ts <= '2024-01-05') AS b, max(ts) FILTER (ts > '2024-01-05') AS a, min(ts) AS lo, max(ts) AS hi FROM s GROUP BY 1),
-    c AS (SELECT contract_id, max(ts) AS new_ts, list_sort(list(ts))[-2] AS old_ts FROM s GROUP BY 1)
+@query("""
+    WITH s AS (SELECT DISTINCT 'c' || (o_custkey % 97) AS contract_id, o_orderdate AS ts FROM orders), c AS (SELECT TIMESTAMP '1998-01-01' AS since),
+    p AS (SELECT contract_id, max(ts) FILTER (ts <= since) AS b, max(ts) FILTER (ts > since) AS a, min(ts) AS lo, max(ts) AS hi FROM s, c GROUP BY 1),
+    l AS (SELECT contract_id, max(ts) AS new_ts, list_sort(list(ts))[-2] AS old_ts FROM s GROUP BY 1)
     SELECT 'since' AS kind, contract_id, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN b ELSE lo END AS old_ts, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a ELSE hi END AS new_ts FROM p
-    UNION ALL SELECT 'latest', contract_id, old_ts, new_ts FROM c
+    UNION ALL SELECT 'latest', contract_id, old_ts, new_ts FROM l
 """)
 def latest_snapshot(spark, d):
-    s = values(spark, SNAPS, "contract_id, ts")
+    s = table(spark, d, "orders").select(F.concat(F.lit("c"), (F.col("o_custkey") % 97).cast("string")).alias("contract_id"), F.col("o_orderdate").alias("ts")).distinct()
     pick = lambda df, kind: df.select(F.lit(kind).alias("kind"), "contract_id", "old_ts", "new_ts")
-    return pick(evolution.snapshot_pairs(s, F.lit("2024-01-05")), "since").unionByName(pick(evolution.snapshot_pairs(s), "latest"))
+    return pick(evolution.snapshot_pairs(s, F.expr("TIMESTAMP '1998-01-01'")), "since").unionByName(pick(evolution.snapshot_pairs(s), "latest"))
+
+
+LINE_AGREED = {"l_quantity": Clause("number", True, minimum=0.0, maximum=45.0), "l_returnflag": Clause("string", True, enum=("A", "N", "R")), "l_discount": Clause("number", True, minimum=0.0, maximum=1.0)}
+ORDER_AGREED = {"o_orderstatus": Clause("string", True, enum=("F", "O")), "o_totalprice": Clause("number", True, minimum=0.0), "o_seller": Clause("string", True)}
+#: Files of reports: name, contract, data path, table, rows, clauses. The last is written by no check.
+FILES = [
+    ("a.json", "lineitem", "data/line_1.jsonl", "lineitem", "l_linenumber = 1", LINE_AGREED),
+    ("b.json", "lineitem", "data/line_2.jsonl", "lineitem", "l_linenumber = 2", LINE_AGREED),
+    ("c.json", "orders", "data/orders.jsonl", "orders", "TRUE", ORDER_AGREED),
+    ("d.json", "lineitem", "data/line_3_violated.jsonl", "lineitem", "l_linenumber = 3", LINE_AGREED),
+    ("e.json", "archive", "violated_line_4.jsonl", "lineitem", "l_linenumber = 4", LINE_AGREED),
+]
+
 
+def _results(spark, d):
+    """Result rows of all files, with file_name, contract_id and data_path."""
+    out = None
+    for name, cid, path, t, where, clauses in FILES:
+        rows = checks.validate(table(spark, d, t).where(where), Contract(cid, clauses))
+        rows = rows.select(F.lit(name).alias("file_name"), F.lit(cid).alias("contract_id"), F.lit(path).alias("data_path"), "column_name", "check_type", "status", "severity", "records_failing")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-REPORTS = [("a.json", "docs", "data/docs.jsonl", 29, 29, 0, 0), ("b.json", "docs", "data/docs.jsonl", 29, 27, 1, 1), ("c.json", "graph", "data/graph.jsonl", 20, 20, 0, None), ("d.json", "docs", "data/docs_violated.jsonl", 29, 20, 5, 4), ("e.json", "events", "violated_x.jsonl", 26, 20, 6, 0), ("f.json", "graph", "data/graph.jsonl", None, None, None, None)]
-REPORT_NAMES = "file_name, contract_id, data_path, total_checks, passed, critical, high"
 
+def _reports(spark, d):
+    return checks.counters(_results(spark, d), "file_name", "contract_id", "data_path")
 
-@query(f"WITH {cte('r', REPORTS, REPORT_NAMES)} SELECT contract_id, file_name, total_checks FROM r QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY file_name DESC) = 1")
+
+def _result_sql(name, cid, path, t, where, clauses) -> str:
+    def row(column: str, kind: str, level: str, bad: str) -> str:
+        return f"SELECT '{name}' AS file_name, '{cid}' AS contract_id, '{path}' AS data_path, '{column}' AS column_name, '{kind}' AS check_type, CASE WHEN bad > 0 THEN '{level}' ELSE 'PASS' END AS status, '{level}' AS severity, bad AS records_failing FROM (SELECT {bad} AS bad FROM {t} WHERE {where})"
+
+    rows = []
+    for column, c in clauses.items():
+        if column == "o_seller":
+            rows.append(row(column, "required", "CRITICAL", "count(*)"))
+            continue
+        rows += [row(column, "required", "CRITICAL", f"count(*) - count({column})"), row(column, "type", "CRITICAL", "count(*) - count(*)")]
+        if c.enum:
+            rows.append(row(column, "enum", "CRITICAL", f"count(*) FILTER ({column} NOT IN {c.enum})"))
+        if c.minimum is not None or c.maximum is not None:
+            rows.append(row(column, "range", "HIGH", f"count(*) FILTER ({column} < {c.minimum})" + (f" + count(*) FILTER ({column} > {c.maximum})" if c.maximum is not None else "")))
+    return " UNION ALL ".join(rows)
+
+
+RESULT_SQL = " UNION ALL ".join(_result_sql(*f) for f in FILES)
+REPORT_CTE = f"""res AS MATERIALIZED ({RESULT_SQL}), r AS (SELECT file_name, contract_id, data_path, count(*) AS total_checks, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'CRITICAL') AS critical, count(*) FILTER (status = 'HIGH') AS high FROM res GROUP BY ALL)"""
+
+
+@query(f"WITH {REPORT_CTE} SELECT contract_id, file_name, total_checks, passed FROM r QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY file_name DESC) = 1")
 def last_report_wins(spark, d):
-    return report.last_reports(values(spark, REPORTS, REPORT_NAMES)).select("contract_id", "file_name", "total_checks")
+    return report.last_reports(_reports(spark, d)).select("contract_id", "file_name", "total_checks", "passed")
 
 
 @query(f"""
-    WITH {cte("r", REPORTS, REPORT_NAMES)}, s AS (SELECT sum(total_checks)::BIGINT AS total, sum(passed)::BIGINT AS passed, sum(critical)::BIGINT AS critical, sum(coalesce(high, 0))::BIGINT AS high FROM r
-        WHERE total_checks IS NOT NULL AND NOT starts_with(split_part(data_path, '/', -1), 'violated') AND NOT ends_with(data_path, '_violated.jsonl')),
+    WITH {REPORT_CTE}, s AS (SELECT sum(total_checks)::BIGINT AS total, sum(passed)::BIGINT AS passed, sum(critical)::BIGINT AS critical, sum(high)::BIGINT AS high FROM r
+        WHERE NOT starts_with(split_part(data_path, '/', -1), 'violated') AND NOT ends_with(data_path, '_violated.jsonl')),
     h AS (SELECT *, trunc(greatest(0, 100.0 * passed / total - 20 * critical - 10 * high - 5 * 1))::INT AS score FROM s)
     SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM h
 """)
 def health_score(spark, d):
-    return report.health(values(spark, REPORTS, REPORT_NAMES), ai_fails=1)
+    return report.health(_reports(spark, d), ai_fails=1)
 
 
 @query(f"""
-    WITH {cte("r", REPORTS, REPORT_NAMES)} SELECT count(DISTINCT contract_id) AS contracts, sum(total_checks)::BIGINT AS total_checks, sum(passed)::BIGINT AS passed, sum(critical)::BIGINT AS critical, sum(coalesce(high, 0))::BIGINT AS high,
+    WITH {REPORT_CTE} SELECT count(DISTINCT contract_id) AS contracts, sum(total_checks)::BIGINT AS total_checks, sum(passed)::BIGINT AS passed, sum(critical)::BIGINT AS critical, sum(high)::BIGINT AS high,
         (SELECT count(*) FILTER (classification <> 'COMPATIBLE') FROM ({CHANGES_SQL})) AS breaking
-    FROM r WHERE total_checks IS NOT NULL AND NOT starts_with(split_part(data_path, '/', -1), 'violated')
+    FROM r WHERE NOT starts_with(split_part(data_path, '/', -1), 'violated')
 """)
 def summary_totals(spark, d):
-    return report.totals(values(spark, REPORTS, REPORT_NAMES), _changes(spark))
+    return report.totals(_reports(spark, d), _changes(spark, d))
 
 
 @query("""
-    SELECT * FROM (VALUES ('drift', 'PASS', 'drift holds.'), ('prompt', 'WARN', 'prompt needs a look (5.00%).'), ('rate', 'FAIL', 'rate fails (12.50%).'), ('text', 'SKIP', 'text was skipped.')) t("check", status, said)
+    WITH g AS (SELECT lang || '/' || source AS "check", count(*) FILTER (n_chars > 8000) / count(*)::DOUBLE AS rate FROM documents GROUP BY 1),
+    t AS (SELECT "check", CASE WHEN rate = 0 THEN 'PASS' WHEN rate < 0.1 THEN 'WARN' ELSE 'FAIL' END AS status, rate FROM g)
+    SELECT "check", status, "check" || ' ' || CASE status WHEN 'PASS' THEN 'holds' WHEN 'WARN' THEN 'needs a look' ELSE 'fails' END || printf(' (%.2f%%)', rate * 100) || '.' AS said FROM t
+    UNION ALL SELECT 'empty', 'SKIP', 'empty was skipped.'
 """)
 def status_lines(spark, d):
-    rows = values(spark, [("drift", "PASS", None), ("prompt", "WARN", 0.05), ("rate", "FAIL", 0.125), ("text", "SKIP", None)], "check, status, rate")
-    return rows.select("check", "status", prompts.status_line(F.col("check"), F.col("status"), F.col("rate").cast("double")).alias("said"))
+    """Prompt checks of each language and source, and of none, in plain words."""
+    docs = table(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("check"), (F.col("n_chars") > 8000).cast("int").alias("bad"))
+    rows = docs.groupBy("check").agg(F.avg("bad").alias("rate")).withColumn("status", F.when(F.col("rate") == 0, "PASS").when(F.col("rate") < 0.1, "WARN").otherwise("FAIL"))
+    none = prompts.prompt_status(docs.where("bad > 1").select(F.array().cast("array<string>").alias("issues"))).select(F.lit("empty").alias("check"), F.lit(None).cast("double").alias("rate"), "status")
+    return rows.unionByName(none).select("check", "status", prompts.status_line(F.col("check"), F.col("status"), F.col("rate")).alias("said"))
+
+
+#: Subscribers of the checked tables, by supplier.
+READER_SQL = """
+    SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'lineitem' ELSE 'orders' END AS contract_id, s_name AS subscriber_id, CASE WHEN s_suppkey % 3 = 0 THEN 'ENFORCE' ELSE 'AUDIT' END AS validation_mode, CAST(1 + s_suppkey % 3 AS INT) AS tier,
+           {array}(CASE s_nationkey % 3 WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'o_orderstatus' ELSE 'l_tax' END) AS breaking, {array}('l_tax') AS consumed
+    FROM {supplier}
+"""
+
+
+def _readers(spark, d):
+    rows = _of(spark, d, READER_SQL)
+    return rows.select("contract_id", "subscriber_id", "validation_mode", "tier", F.transform("breaking", lambda b: F.struct(b.alias("field"), F.lit("").alias("reason"))).alias("breaking_fields"), F.col("consumed").alias("fields_consumed"))
 
 
 @query(f"""
-    WITH f AS ({BLAST_SQL}), w AS (SELECT field, array_to_string(list_sort(list(DISTINCT subscriber_id))[1:3], ', ') AS who FROM f WHERE contract_id = 'docs' GROUP BY field)
-    SELECT 'docs' AS contract_id, c AS column_name, format('The range check of ''{{}}'' failed for {{}} records (HIGH).{{}}', c, n, coalesce(' It reaches ' || who || '.', '')) AS said
-    FROM (VALUES ('fact_confidence', 7), ('other', 9)) t(c, n) LEFT JOIN w ON w.field = c
+    WITH {REPORT_CTE}, s AS ({_duck(READER_SQL)}), f AS (SELECT * FROM res WHERE status <> 'PASS' AND contract_id <> 'archive'),
+    w AS (SELECT f.contract_id, column_name, array_to_string(list_sort(list(DISTINCT subscriber_id))[1:3], ', ') AS who FROM f JOIN s ON s.contract_id = f.contract_id AND contains(breaking[1], column_name) GROUP BY ALL)
+    SELECT f.contract_id, f.column_name, format('The {{}} check of ''{{}}'' failed for {{}} records ({{}}).{{}}', check_type, f.column_name, records_failing, severity, coalesce(' It reaches ' || who || '.', '')) AS said
+    FROM f LEFT JOIN w ON w.contract_id = f.contract_id AND w.column_name = f.column_name
 """)
 def violation_texts(spark, d):
-    results = values(spark, [("docs", "fact_confidence", "range", "HIGH", "HIGH", 7), ("docs", "other", "range", "HIGH", "HIGH", 9), ("docs", "fine", "range", "PASS", "PASS", 0)], "contract_id, column_name, check_type, status, severity, records_failing")
-    return report.violation_text(results, registry.blast_radius(values(spark, FAILING, "contract_id, field"), _subs(spark)))
-
-
-DIFFS = [("docs", "BREAKING"), ("trace", "COMPATIBLE")]
+    results = _results(spark, d).where("contract_id <> 'archive'")
+    failing = results.where("status <> 'PASS'").select("contract_id", F.col("column_name").alias("field")).distinct()
+    return report.violation_text(results, registry.blast_radius(failing, _readers(spark, d)))
 
 
 @query(f"""
-    WITH {cte("r", REPORTS, REPORT_NAMES)}, {cte("df", DIFFS, "contract_id, verdict")}, {cte("s", SUBS, SUB_NAMES)},
+    WITH {REPORT_CTE}, s AS ({_duck(READER_SQL)}), df AS (SELECT 'lineitem' AS contract_id, CASE WHEN count(*) FILTER (classification = 'CRITICAL') > 0 THEN 'CRITICAL' ELSE 'BREAKING' END AS verdict FROM ({CHANGES_SQL}) UNION ALL SELECT 'trace', 'COMPATIBLE'),
     l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY file_name DESC) = 1),
     c AS (SELECT contract_id, count(*) FILTER (tier < 3) AS direct, count(*) FILTER (tier = 3) AS notified, count(*) FILTER (validation_mode = 'ENFORCE') AS enforcing FROM s GROUP BY 1)
     SELECT coalesce(l.contract_id, df.contract_id) AS contract_id, coalesce(total_checks::VARCHAR, '—') AS total_checks, coalesce(passed::VARCHAR, '—') AS passed, coalesce(critical::VARCHAR, '—') AS critical,
@@ -299,20 +478,30 @@ DIFFS = [("docs", "BREAKING"), ("trace", "COMPATIBLE")]
     FROM l FULL JOIN df ON l.contract_id = df.contract_id LEFT JOIN c ON c.contract_id = coalesce(l.contract_id, df.contract_id)
 """)
 def contract_table(spark, d):
-    return report.contract_table(values(spark, REPORTS, REPORT_NAMES), values(spark, DIFFS, "contract_id, verdict"), _subs(spark))
-
-
-RESULTS = [("docs", "conf", "range", "HIGH"), ("docs", "id", "required", "CRITICAL"), ("graph", "x", "range", "PASS")]
-BREAKS = [("docs", "a", "field_removed", "BREAKING"), ("docs", "b", "type_changed", "BREAKING"), ("graph", "c", "field_added", "COMPATIBLE")]
-AI = [("embedding_drift", "WARN", "unknown"), ("output_rate", "PASS", "rising")]
+    same = evolution.changes(_clauses(spark, d, 0), _clauses(spark, d, 0))  # a contract that didn't change has a verdict, too
+    diffs = evolution.verdict(_changes(spark, d)).select(F.lit("lineitem").alias("contract_id"), "verdict").unionByName(evolution.verdict(same).select(F.lit("trace").alias("contract_id"), "verdict"))
+    return report.contract_table(_reports(spark, d), diffs, _readers(spark, d))
 
 
-@query("""
-    SELECT * FROM (VALUES (1, '''docs'': values of ''conf'' left their range; look for a change of scale.'), (1, '''docs'': ''id'' breaks the contract; repair its producer first.'), (2, '''docs'': release a new version, as a, b changed incompatibly.')) t(priority, action)
+@query(f"""
+    WITH {REPORT_CTE}, s AS ({_duck(READER_SQL)}), b AS (SELECT string_agg(DISTINCT field, ', ' ORDER BY field) AS fields FROM ({CHANGES_SQL}) WHERE classification = 'BREAKING'),
+    every AS (
+        SELECT DISTINCT 1 AS priority, 'a:' || contract_id || ':' || column_name AS seq, format('''{{}}'': values of ''{{}}'' left their range; look for a change of scale.', contract_id, column_name) AS action FROM res WHERE status = 'HIGH' AND contract_id <> 'archive'
+        UNION ALL SELECT DISTINCT 1, 'b:' || contract_id || ':' || column_name, format('''{{}}'': ''{{}}'' breaks the contract; repair its producer first.', contract_id, column_name) FROM res WHERE status = 'CRITICAL'
+        UNION ALL SELECT 2, 'c:lineitem', format('''lineitem'': release a new version, as {{}} changed incompatibly.', fields) FROM b
+        UNION ALL SELECT 3, 'd', format('Gate production on these contracts: {{}}.', string_agg(DISTINCT contract_id, ', ' ORDER BY contract_id)) FROM s WHERE validation_mode = 'ENFORCE'
+        UNION ALL SELECT 3, 'e', 'Investigate text drift.' FROM ({SQL_OF_DRIFT}) WHERE status = 'WARN'
+        UNION ALL SELECT 2, 'f', 'Review recent prompt changes: output violations rise.' FROM ({SQL_OF_RATE}) WHERE status = 'WARN' OR trend = 'rising'
+    )
+    SELECT priority, action FROM every ORDER BY priority, seq LIMIT 6
 """)
 def recommendations(spark, d):
-    v = lambda rows, names: values(spark, rows, names)
-    return report.recommendations(v(RESULTS, "contract_id, column_name, check_type, status"), v(BREAKS, "contract_id, field, change_type, classification"), _subs(spark), v(AI, "check_name, status, trend"))
+    """The six most urgent actions over validated tables, a diff, subscribers, text drift and output rates."""
+    results = _results(spark, d).where("contract_id <> 'archive'").select("contract_id", "column_name", "check_type", "status").distinct()
+    diffs = _changes(spark, d).select(F.lit("lineitem").alias("contract_id"), "field", "change_type", "classification")
+    drift, rate = dense_drift(spark, d), verdict_rate(spark, d)
+    ai = drift.select(F.lit("embedding_drift").alias("check_name"), "status", F.lit("unknown").alias("trend")).unionByName(rate.select(F.lit("output_rate").alias("check_name"), "status", "trend"))
+    return report.recommendations(results, diffs, _readers(spark, d), ai, 6)
 
 
 @query("""
@@ -364,11 +553,7 @@ def tfidf_drift(spark, d):
     return text.text_drift(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "doc_id", "text")
 
 
-@query("""
-    WITH c AS (SELECT label % 2 AS side, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT side, pos, avg(x) AS m FROM c GROUP BY 1, 2),
-    r AS (SELECT sum(a.m * b.m) / (sqrt(sum(a.m * a.m)) * sqrt(sum(b.m * b.m))) AS sim FROM m a JOIN m b ON a.pos = b.pos AND a.side = 0 AND b.side = 1)
-    SELECT round(sim, 4) AS similarity, round(1 - sim, 4) AS drift, CASE WHEN round(1 - sim, 4) <= 0.15 THEN 'PASS' ELSE 'WARN' END AS status FROM r
-""")
+@query(SQL_OF_DRIFT)
 def dense_drift(spark, d):
     sides = text.dense_centroid(table(spark, d, "embeddings").withColumn("side", F.col("label") % 2), "embedding", "side")
     pick = lambda k: F.max(F.when(F.col("side") == k, F.col("centroid")))
@@ -391,12 +576,7 @@ def quarantine(spark, d):
     return prompts.quarantine(prompts.with_issues(docs, "uid", "source", "text")).select("doc_id", "_quarantine_reason")
 
 
-@query("""
-    WITH v AS (SELECT CASE WHEN quality IS NULL THEN NULL WHEN quality * 3 >= 3 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM documents LEFT JOIN labels USING (doc_id))
-    SELECT count(*) AS outputs, count(*) FILTER (verdict IS NULL) AS violations, round(count(*) FILTER (verdict IS NULL) / count(*)::DOUBLE, 4) AS rate,
-           CASE WHEN count(*) FILTER (verdict IS NULL) / count(*)::DOUBLE > 0.02 THEN 'WARN' ELSE 'PASS' END AS status,
-           CASE WHEN count(*) FILTER (verdict IS NULL) / count(*)::DOUBLE > 1.5 * 0.1 THEN 'rising' ELSE 'stable' END AS trend FROM v
-""")
+@query(SQL_OF_RATE)
 def verdict_rate(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     return prompts.output_rate(rows.select(prompts.verdict_of_score((F.col("quality") * 3).cast("string")).alias("overall_verdict")), baseline=0.1)
@@ -412,12 +592,12 @@ def iso_normalise(spark, d):
     return table(spark, d, "events").select("event_id", scalar.iso_from_postgres(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+00"))).alias("iso"))
 
 
-VERSIONS = [("1.0", "1.0.0"), ("2", "2.0.0"), ("1.2.3", "1.2.3"), ("1.2.3.4", "1.2.3"), ("", "1.0.0"), (None, "1.0.0")]
+VERSION_SQL = "CASE p_partkey % 6 WHEN 0 THEN CONCAT(CAST(p_size AS STRING), '.0') WHEN 1 THEN CAST(p_size AS STRING) WHEN 2 THEN CONCAT('1.', CAST(p_size AS STRING), '.3') WHEN 3 THEN CONCAT('1.2.', CAST(p_size AS STRING), '.4') WHEN 4 THEN '' END"
 
 
-@query(f"WITH {cte('t', VERSIONS, 'version, padded')} SELECT * FROM t")
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size || '.0.0' WHEN 1 THEN p_size || '.0.0' WHEN 2 THEN '1.' || p_size || '.3' WHEN 3 THEN '1.2.' || p_size ELSE '1.0.0' END AS padded FROM part")
 def semver_pad(spark, d):
-    return values(spark, VERSIONS, "version, expected").select("version", scalar.semver(F.col("version")).alias("padded"))
+    return table(spark, d, "part").select("p_partkey", scalar.semver(F.expr(VERSION_SQL)).alias("padded"))
 
 
 @query("""
@@ -441,12 +621,13 @@ def map_lookup(spark, d):
     return table(spark, d, "orders").select("o_orderkey", scalar.lookup({"1-URGENT": "HIGH", "2-HIGH": "HIGH"}, F.col("o_orderpriority"), "LOW").alias("level"))
 
 
-PREFIXED = [("/repo/src/a/x.py",), ("/repo/src/b.py",), ("/repo/src/a/y/z.py",)]
-
-
-@query("SELECT '/repo/src' AS codebase_root")
+@query("""
+    WITH m AS (SELECT string_split(min(p), '/') AS a, string_split(max(p), '/') AS b FROM (SELECT '/repo/src/' || p_type || '/' || p_name || '.py' AS p FROM part)),
+    k AS (SELECT a, (SELECT min(i) FROM (SELECT unnest(range(1, len(a) + 1)) AS i) WHERE a[i] IS DISTINCT FROM b[i]) AS k FROM m)
+    SELECT array_to_string(a[1:k - 1], '/') AS codebase_root FROM k
+""")
 def path_prefix(spark, d):
-    return etl.codebase_root(values(spark, PREFIXED, "path"), "path")
+    return etl.codebase_root(table(spark, d, "part").select(F.concat(F.lit("/repo/src/"), "p_type", F.lit("/"), "p_name", F.lit(".py")).alias("path")), "path")
 
 
 @query("""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pactlake.contract import Clause, Contract
 from pactlake.functions.scalar import is_iso_datetime, is_uuid, uuid5
 from pactlake.operators import checks, drift, infer, profile
+from pactlake.sources import readers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -128,26 +129,6 @@ def distribution_warnings(spark, d):
     return infer.warnings(rows)
 
 
-CLAUSES = "('order_id', true, CAST(NULL AS {s}), 'uuid'), ('status', true, 'F,O,P', CAST(NULL AS {s})), ('note', false, CAST(NULL AS {s}), CAST(NULL AS {s}))"
-
-
-def _clauses(spark):
-    return spark.sql(f"SELECT column, required, split(enum, ',') AS enum, format FROM VALUES {CLAUSES.format(s='STRING')} AS t(column, required, enum, format)")
-
-
-CLAUSE_CTE = f"""WITH t("column", required, enum, format) AS (VALUES {CLAUSES.format(s="VARCHAR")})"""
-
-
-@query(f"""{CLAUSE_CTE} SELECT "column", 'not_null' AS test FROM t WHERE required UNION ALL SELECT "column", 'accepted_values' FROM t WHERE enum IS NOT NULL UNION ALL SELECT "column", 'unique' FROM t WHERE format = 'uuid' AND required""")
-def dbt_tests(spark, d):
-    return infer.dbt_tests(_clauses(spark))
-
-
-@query(f"""{CLAUSE_CTE} SELECT "column", 'missing_count(' || "column" || ') = 0' AS "check" FROM t WHERE required UNION ALL SELECT "column", 'duplicate_count(' || "column" || ') = 0' FROM t WHERE format = 'uuid' AND required""")
-def soda_checks(spark, d):
-    return infer.soda_checks(_clauses(spark))
-
-
 @query("""
     SELECT 'doc_id' AS "column", (count(*) - count(doc_id))::BIGINT AS missing_count, (count(doc_id) - count(DISTINCT doc_id))::BIGINT AS duplicate_count FROM documents
     UNION ALL SELECT 'text', count(*) - count(text), count(text) - count(DISTINCT text) FROM documents
@@ -179,9 +160,9 @@ def _checked(df, contract, kinds=None, baselines=None):
 @query(f"""
     WITH t AS ({NULLED})
     SELECT 'orders.o_orderstatus.required.no_nulls' AS check_id, 'required' AS check_type, CASE WHEN n > 0 THEN 'CRITICAL' ELSE 'PASS' END AS status,
-           CASE WHEN n > 0 THEN printf('%d nulls (%.1f%%)', n, n * 100.0::DOUBLE / c) ELSE '0 nulls' END AS actual_value, CASE WHEN n > 0 THEN 'CRITICAL' ELSE 'PASS' END AS severity, n AS records_failing
+           CASE WHEN n > 0 THEN printf('%d nulls (%.1f%%)', n, n * 100.0::DOUBLE / c) ELSE '0 nulls' END AS actual_value, 'CRITICAL' AS severity, n AS records_failing
     FROM (SELECT count(*) - count(o_orderstatus) AS n, count(*) AS c FROM t)
-    UNION ALL SELECT 'orders.o_totalprice.required.no_nulls', 'required', 'PASS', '0 nulls', 'PASS', 0
+    UNION ALL SELECT 'orders.o_totalprice.required.no_nulls', 'required', 'PASS', '0 nulls', 'CRITICAL', 0
     UNION ALL SELECT 'orders.o_missing.required.present', 'required', 'CRITICAL', 'column missing entirely', 'CRITICAL', count(*) FROM t
 """)
 def check_required(spark, d):
@@ -203,7 +184,7 @@ ENUM = ("click", "view", "signup", "purchase")
 
 @query(f"""
     SELECT 'events.event_type.enum_conformance' AS check_id, 'enum' AS check_type, CASE WHEN n > 0 THEN 'CRITICAL' ELSE 'PASS' END AS status,
-           CASE WHEN n > 0 THEN printf('%d non-conforming values', n) ELSE 'all values conforming' END AS actual_value, CASE WHEN n > 0 THEN 'CRITICAL' ELSE 'PASS' END AS severity,
+           CASE WHEN n > 0 THEN printf('%d non-conforming values', n) ELSE 'all values conforming' END AS actual_value, 'CRITICAL' AS severity,
            n AS records_failing, s AS sample_failing
     FROM (SELECT count(*) FILTER (event_type NOT IN {ENUM}) AS n, array_to_string(list_sort(list(DISTINCT event_type) FILTER (event_type NOT IN {ENUM}))[1:5], '|') AS s FROM events)
 """)
@@ -244,13 +225,16 @@ def check_datetime(spark, d):
     return _checked(rows, Contract("events", {"ts": Clause(type="", format="date-time")})).select("check_id", "status", "records_failing")
 
 
-ISO_CASES = [("2024-01-01", True), ("20240101", True), ("2024-01-01T10", True), ("2024-01-01 10:20:30.5Z", True), ("2024-W01-1", True), ("2024-1-1", False), ("2024-01", False), ("2024-02-30", False), ("2024-01-01T24:00:00", False), ("2024-01-01T10:61", False), ("2024-01-01x10:20", True), ("hello", False)]
+#: Texts by event: a pattern of Spark's date_format and of strftime, what follows, and whether it is an ISO 8601 time.
+ISO_CASES = [("yyyy-MM-dd", "%Y-%m-%d", "", True), ("yyyyMMdd", "%Y%m%d", "", True), ("yyyy-MM-dd'T'HH", "%Y-%m-%dT%H", "", True), ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", ".5Z", True), ("yyyy", "%Y", "-W01-1", True), ("yyyy-MM", "%Y-%m", "", False), ("yyyy", "%Y", "-02-30", False), ("yyyy-MM-dd'T'", "%Y-%m-%dT", "24:00:00", False), ("yyyy-MM-dd'T'HH", "%Y-%m-%dT%H", ":61", False), ("yyyy-MM-dd", "%Y-%m-%d", "x10:20", True), ("EEEE", "%A", "", False)]
+_TEXT = lambda f, k: "CASE " + " ".join(f"WHEN event_id % {len(ISO_CASES)} = {i} THEN concat({f(c[k])}, '{c[2]}')" for i, c in enumerate(ISO_CASES)) + " END"
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f"('{t}', {str(v).lower()})" for t, v in ISO_CASES)}) t(value, ok)")
+@query(f"SELECT event_id, {_TEXT(lambda p: f'strftime(ts, {p!r})', 1)} AS value, event_id % {len(ISO_CASES)} IN ({', '.join(str(i) for i, c in enumerate(ISO_CASES) if c[3])}) AS ok FROM events")
 def iso_datetime(spark, d):
-    rows = spark.sql(f"SELECT * FROM VALUES {', '.join(f'({t!r})' for t, _ in ISO_CASES)} AS t(value)")
-    return rows.select("value", is_iso_datetime(F.col("value")).alias("ok"))
+    cases = F.create_map(*(x for i, c in enumerate(ISO_CASES) for x in (F.lit(i), F.concat(F.date_format("ts", c[0]), F.lit(c[2])))))
+    rows = table(spark, d, "events").select("event_id", F.element_at(cases, (F.col("event_id") % len(ISO_CASES)).cast("int")).alias("value"))
+    return rows.select("event_id", "value", is_iso_datetime(F.col("value")).alias("ok"))
 
 
 @query("""
@@ -289,18 +273,19 @@ LINE_CONTRACT = Contract(
 LINE_BASE = {"l_quantity": {"mean": 10.0, "stddev": 2.0}, "l_discount": {"mean": 0.05, "stddev": 0.03}}
 FUSED_SQL = """
     WITH m AS (SELECT count(*) AS n, count(*) FILTER (l_quantity > 40) AS q, count(*) FILTER (l_returnflag NOT IN ('A', 'N')) AS e FROM lineitem),
-    z(c, s, f) AS (SELECT 'l_quantity', CASE WHEN abs(avg(l_quantity) - 10.0) / 2.0 > 3 THEN 'HIGH' WHEN abs(avg(l_quantity) - 10.0) / 2.0 > 2 THEN 'MEDIUM' ELSE 'PASS' END, count(*) FROM lineitem
-        UNION ALL SELECT 'l_discount', CASE WHEN abs(avg(l_discount) - 0.05) / 0.03 > 3 THEN 'HIGH' WHEN abs(avg(l_discount) - 0.05) / 0.03 > 2 THEN 'MEDIUM' ELSE 'PASS' END, count(*) FROM lineitem)
-    SELECT 'lineitem.' || c || '.required.no_nulls' AS check_id, 'PASS' AS status, 0::BIGINT AS records_failing FROM (VALUES ('l_orderkey'), ('l_quantity'), ('l_discount'), ('l_returnflag'), ('l_shipdate')) t(c)
-    UNION ALL SELECT 'lineitem.l_comment.required.present', 'CRITICAL', n FROM m
-    UNION ALL SELECT 'lineitem.' || c || '.type_match', 'PASS', 0 FROM (VALUES ('l_orderkey'), ('l_quantity'), ('l_discount'), ('l_returnflag'), ('l_shipdate')) t(c)
-    UNION ALL SELECT 'lineitem.l_returnflag.enum_conformance', CASE WHEN e > 0 THEN 'CRITICAL' ELSE 'PASS' END, e FROM m
-    UNION ALL SELECT 'lineitem.l_shipdate.datetime_format', 'PASS', 0
-    UNION ALL SELECT 'lineitem.l_orderkey.range', 'PASS', 0
-    UNION ALL SELECT 'lineitem.l_quantity.range', CASE WHEN q > 0 THEN 'HIGH' ELSE 'PASS' END, q FROM m
-    UNION ALL SELECT 'lineitem.l_discount.range', 'PASS', 0
-    UNION ALL SELECT 'lineitem.' || c || '.statistical_drift', 'PASS', 0 FROM (VALUES ('l_orderkey'), ('l_partkey'), ('l_suppkey'), ('l_linenumber'), ('l_extendedprice'), ('l_tax')) t(c)
-    UNION ALL SELECT 'lineitem.' || c || '.statistical_drift', s, CASE WHEN s = 'PASS' THEN 0 ELSE f END FROM z
+    z(c, z, b) AS (SELECT 'l_quantity', abs(avg(l_quantity) - 10.0) / 2.0, 'z_score <= 2 (baseline mean=10.0000)' FROM lineitem UNION ALL SELECT 'l_discount', abs(avg(l_discount) - 0.05) / 0.03, 'z_score <= 2 (baseline mean=0.0500)' FROM lineitem),
+    d AS (SELECT c, b, CASE WHEN z > 3 THEN 'HIGH' WHEN z > 2 THEN 'MEDIUM' ELSE 'PASS' END AS s FROM z),
+    t(c, t) AS (VALUES ('l_orderkey', 'integer'), ('l_quantity', 'number'), ('l_discount', 'number'), ('l_returnflag', 'string'), ('l_shipdate', 'string'))
+    SELECT 'lineitem.' || c || '.required.no_nulls' AS check_id, 'required' AS check_type, 'PASS' AS status, 'CRITICAL' AS severity, 'null_count = 0' AS expected, 0::BIGINT AS records_failing FROM t
+    UNION ALL SELECT 'lineitem.l_comment.required.present', 'required', 'CRITICAL', 'CRITICAL', 'column present with 0 nulls', n FROM m
+    UNION ALL SELECT 'lineitem.' || c || '.type_match', 'type', 'PASS', 'CRITICAL', 'type=' || t, 0 FROM t
+    UNION ALL SELECT 'lineitem.l_returnflag.enum_conformance', 'enum', CASE WHEN e > 0 THEN 'CRITICAL' ELSE 'PASS' END, 'CRITICAL', 'all values in [''A'', ''N'']', e FROM m
+    UNION ALL SELECT 'lineitem.l_shipdate.datetime_format', 'datetime_format', 'PASS', 'CRITICAL', 'ISO 8601 date-time', 0
+    UNION ALL SELECT 'lineitem.l_orderkey.range', 'range', 'PASS', 'HIGH', 'min>=0.0, max<=+inf', 0
+    UNION ALL SELECT 'lineitem.l_quantity.range', 'range', CASE WHEN q > 0 THEN 'HIGH' ELSE 'PASS' END, 'HIGH', 'min>=0.0, max<=40.0', q FROM m
+    UNION ALL SELECT 'lineitem.l_discount.range', 'range', 'PASS', 'HIGH', 'min>=0.0, max<=1.0', 0
+    UNION ALL SELECT 'lineitem.' || c || '.statistical_drift', 'statistical_drift', 'PASS', 'HIGH', 'baseline established (first run)', 0 FROM (VALUES ('l_orderkey'), ('l_partkey'), ('l_suppkey'), ('l_linenumber'), ('l_extendedprice'), ('l_tax')) t(c)
+    UNION ALL SELECT 'lineitem.' || c || '.statistical_drift', 'statistical_drift', s, s, b, 0 FROM d
 """
 
 
@@ -310,7 +295,7 @@ def _fused(spark, d):
 
 @query(FUSED_SQL)
 def validate_fused(spark, d):
-    return _fused(spark, d).select("check_id", "status", "records_failing")
+    return _fused(spark, d).select("check_id", "check_type", "status", "severity", "expected", "records_failing")
 
 
 COUNTERS_SQL = f"""SELECT count(*) AS total_checks, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status IN ('WARNING', 'MEDIUM')) AS warned,
@@ -331,6 +316,33 @@ def gate_modes(spark, d):
     return rows.select("mode", checks.blocks(F.col("mode"), F.col("critical"), F.col("high")).alias("blocked"))
 
 
+@query("""
+    WITH b AS (SELECT count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS n, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS s FROM orders)
+    SELECT 'orders.o_custkey.enum_conformance' AS check_id, CASE WHEN n > 0 THEN 'CRITICAL' ELSE 'PASS' END AS status, CASE WHEN n > 0 THEN printf('%d non-conforming values', n) ELSE 'all values conforming' END AS actual_value, n AS records_failing FROM b
+    UNION ALL SELECT 'orders.o_orderstatus.enum_conformance', CASE WHEN s > 0 THEN 'CRITICAL' ELSE 'PASS' END, CASE WHEN s > 0 THEN printf('%d non-conforming values', s) ELSE 'all values conforming' END, s FROM b
+""")
+def check_enum_table(spark, d):
+    """A column's agreed values are a column of another table; a short list stands in the contract."""
+    listed = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("value"))
+    contract = Contract("orders", {"o_custkey": Clause(type=""), "o_orderstatus": Clause(type="", enum=("F", "O"))})
+    return checks.validate(table(spark, d, "orders"), contract, lists={"o_custkey": listed}).select("check_id", "status", "actual_value", "records_failing")
+
+
+@query("""
+    WITH g AS (SELECT *, event_id % 10 = 3 AS bad FROM events)
+    SELECT 'events.__file__.load' AS check_id, 'ERROR' AS status, 'CRITICAL' AS severity, count(*) AS records_failing FROM g WHERE bad
+    UNION ALL SELECT 'events.event_type.enum_conformance', CASE WHEN count(*) FILTER (event_type NOT IN ('click', 'view', 'signup', 'purchase')) > 0 THEN 'CRITICAL' ELSE 'PASS' END, 'CRITICAL', count(*) FILTER (event_type NOT IN ('click', 'view', 'signup', 'purchase')) FROM g WHERE NOT bad
+    UNION ALL SELECT 'events.event_id.required.no_nulls', 'PASS', 'CRITICAL', 0
+""")
+def check_kept_lines(spark, d):
+    """Events as lines of JSON, of which every tenth is cut off: bad lines are counted, good ones are checked, in one aggregation."""
+    text = F.to_json(F.struct("event_id", "event_type"))
+    lines = table(spark, d, "events").select(F.when(F.col("event_id") % 10 == 3, F.substring(text, 1, 12)).otherwise(text).alias("value"))
+    rows = readers.parsed(lines, "event_id long, event_type string")
+    contract = Contract("events", {"event_id": Clause(type="", required=True), "event_type": Clause(type="", enum=("click", "view", "signup", "purchase"))})
+    return checks.validate(rows, contract, corrupt=readers.CORRUPT).select("check_id", "status", "severity", "records_failing")
+
+
 @query()
 def infer_then_validate(spark, d):
     """The flagship: infer a contract from a table, then hold the table against it."""

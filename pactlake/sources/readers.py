@@ -20,6 +20,25 @@ def jsonl(spark: SparkSession, path: str, schema: str | None = None, strict: boo
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+#: The column of lines that can't be parsed.
+CORRUPT = "_corrupt_record"
+
+
+def jsonl_kept(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Records of a JSON Lines file or folder, where a line that can't be parsed stays as text in CORRUPT, with nulls beside it.
+
+    Without a schema the column is there only if there are such lines.
+    """
+    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return (reader.schema(f"{schema}, {CORRUPT} string") if schema else reader).json(path)
+
+
+def parsed(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """Lines of JSON text -> their fields and CORRUPT, in the pass that reads the lines; blank lines are skipped."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return lines.where(F.trim(column) != "").select(F.from_json(column, f"{schema}, {CORRUPT} string", options).alias("r")).select("r.*")
+
+
 def jsonl_variant(spark: SparkSession, path: str) -> DataFrame:
     """Records of unknown or mixed shape, one VARIANT `v` a line."""
     return spark.read.text(path).where(F.trim("value") != "").select(F.parse_json("value").alias("v"))

@@ -1,5 +1,6 @@
 """Rules of single operators on literal rows."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from pactlake.contract import Clause, Contract, inferred_dtype
 from pactlake.functions import scalar
 from pactlake.operators import blame, checks, drift, etl, evolution, flatten, infer, lineage, profile, prompts, registry, report, text
+from pactlake.operators.substrings import contains_join
 from pactlake.sources import readers, sinks
 from pactlake.streaming.validation import validate_stream
 
@@ -283,3 +285,96 @@ def test_quantiles_and_halves(spark):
     for n in (0, 1, 7, 100):
         parts = text.halves(spark.range(0, n, 1, 3)).collect()
         assert [r.second for r in sorted(parts)] == [i >= n // 2 for i in range(n)]
+
+
+def test_severities_are_the_levels_of_checks(spark):
+    """A passing row has its check's level, drift that of its status; drift counts no failing records."""
+    rows = spark.createDataFrame([(i, float(i), "a") for i in range(10)], "id long, x double, kind string")
+    agreed = Contract("t", {"id": Clause("integer", True), "x": Clause("number", True, minimum=0.0, maximum=5.0), "kind": Clause("string", True, enum=("a",)), "gone": Clause("string", True)})
+    got = {r.check_id.split("t.", 1)[1]: (r.check_type, r.status, r.severity, r.records_failing) for r in checks.validate(rows, agreed, {"x": {"mean": 0.0, "stddev": 0.1}}).collect()}
+    assert got["id.required.no_nulls"] == ("required", "PASS", "CRITICAL", 0) and got["id.type_match"] == ("type", "PASS", "CRITICAL", 0)
+    assert got["kind.enum_conformance"] == ("enum", "PASS", "CRITICAL", 0) and got["x.range"] == ("range", "HIGH", "HIGH", 4)
+    assert got["gone.required.present"] == ("required", "CRITICAL", "CRITICAL", 10)
+    assert got["x.statistical_drift"] == ("statistical_drift", "HIGH", "HIGH", 0) and got["id.statistical_drift"] == ("statistical_drift", "PASS", "HIGH", 0)
+
+
+def test_wide_contracts_drift_in_batches(spark):
+    """Each batch has the drift of its own columns; columns that no clause names come last; each check is there once."""
+    rows = spark.createDataFrame([tuple(float(i + c) for c in range(9)) for i in range(5)], ", ".join(f"c{c} double" for c in range(9)))
+    agreed = Contract("t", {f"c{c}": Clause("number", True) for c in range(5)})
+    one, many = (sorted((r.check_id, r.status) for r in checks.validate(rows, agreed, {}, batch=b).collect()) for b in (40, 2))
+    assert one == many and len({c for c, _ in one}) == len(one) == 19
+
+
+@pytest.mark.parametrize("most", [10**6, 2])
+def test_lists_of_agreed_values(spark, monkeypatch, most):
+    """A list in a table, broadcast or not, with nulls and repeats, beside samples of what fails."""
+    monkeypatch.setattr(checks, "LISTED_ROWS", most)
+    rows = spark.createDataFrame([("a",), ("b",), (None,), ("z",), ("z",), ("y",)], "k string")
+    listed = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("c",)], "value string")
+    r = checks.validate(rows, Contract("t", {"k": Clause(type="")}), lists={"k": listed}, samples=5).first()
+    assert (r.status, r.records_failing, r.sample_failing) == ("CRITICAL", 3, ["y", "z"])
+    assert checks.validate(rows.limit(0), Contract("t", {"k": Clause(type="")}), lists={"k": listed}).first().status == "PASS"
+
+
+def test_bad_lines_are_kept_and_counted(spark, tmp_path):
+    path = tmp_path / "d.jsonl"
+    path.write_text('{"id": 1, "k": "a"}\n\n{"id": 2, "k"\n{"id": 3, "k": "b"}\nnonsense\n')
+    agreed = Contract("t", {"id": Clause("integer", True), "k": Clause("string", True, enum=("a", "b"))})
+    for rows in (readers.jsonl_kept(spark, str(path)), readers.jsonl_kept(spark, str(path), "id long, k string"), readers.parsed(spark.read.text(str(path)), "id long, k string")):
+        got = {r.check_id: (r.status, r.severity, r.records_failing) for r in checks.validate(rows, agreed, corrupt=readers.CORRUPT).collect()}
+        assert got["t.__file__.load"] == ("ERROR", "CRITICAL", 2) and got["t.id.required.no_nulls"][0] == got["t.k.enum_conformance"][0] == "PASS"
+    kept = readers.parsed(spark.read.text(str(path)), "id long, k string").where(f"{readers.CORRUPT} IS NOT NULL")
+    assert sorted(r[0] for r in kept.select(readers.CORRUPT).collect()) == ["nonsense", '{"id": 2, "k"']
+
+
+def test_contains_join_equals_the_nested_loop(spark):
+    needles = [("", 1), ("a", 1), ("ab", 1), ("abc", 2), ("bcda", 1), (None, 1), ("zzz", 1), ("é🙂", 2), ("abcabcabc", 1), ("abc", 2)]
+    texts = [("abcd", 1), ("bcdabc", 1), ("", 1), (None, 2), ("xé🙂y", 2), ("abcabcabcabc", 1), ("a", 2), ("abc", 2)]
+    n, t = spark.createDataFrame(needles, "needle string, k int"), spark.createDataFrame(texts, "text string, k int")
+    want = sorted((a, x, i) for a, i in needles for x, j in texts if i == j and a is not None and x is not None and a in x)
+    assert sorted((r.needle, r.text, r.k) for r in contains_join(n, t, "needle", "text", ("k",)).collect()) == want
+    every = sorted((a, x) for a, _ in needles for x, _ in texts if a is not None and x is not None and a in x)
+    assert sorted((r.needle, r.text) for r in contains_join(n.drop("k"), t.drop("k"), "needle", "text").collect()) == every
+    assert contains_join(n.limit(0), t, "needle", "text", ("k",)).count() == 0 == contains_join(n, t.limit(0), "needle", "text", ("k",)).count()
+
+
+def test_contamination_follows_the_flow_of_each_contract(spark):
+    """Imports aren't followed; a subscriber named in part has the least depth of what is named so; else depth is 1."""
+    nodes = spark.createDataFrame([("svc:week3-docs", None), ("m:a", "model a"), ("m:b", "sink_one"), ("m:c", None), ("x", None)], "node_id string, label string")
+    edges = spark.createDataFrame([("svc:week3-docs", "m:b", "IMPORTS"), ("svc:week3-docs", "m:a", "PRODUCES"), ("m:a", "m:b", "WRITES"), ("m:b", "m:c", "READS"), ("m:c", "svc:week3-docs", "CONSUMES"), ("x", "m:c", "PRODUCES")], "source string, target string, relationship string")
+    asked = [("week3_docs", s) for s in ("m:b", "sink-one", "m:c", "nobody", "svc:week3-docs")] + [("X", "m:c"), ("X", "sink-one"), ("none", "m:b")]
+    got = {(r.contract_id, r.node_id): r.depth for r in lineage.contamination(spark.createDataFrame(asked, "contract_id string, node_id string"), nodes, edges).collect()}
+    assert got == {("week3_docs", "m:b"): 2, ("week3_docs", "sink-one"): 2, ("week3_docs", "m:c"): 3, ("week3_docs", "nobody"): 1, ("week3_docs", "svc:week3-docs"): 1, ("X", "m:c"): 1, ("X", "sink-one"): 4, ("none", "m:b"): 1}
+
+
+def test_mixed_records_become_one_frame(spark):
+    docs = [{"id": 1, "name": "a", "items": [{"k": 1, "t": "x"}, 5, "text", None, [1], {"k": "two", "in": {"a": 1}}]}, {"id": 2, "items": []}, {"id": "three", "extra": 1.5}, {"id": 4, "items": {"not": "an array"}}]
+    v = spark.createDataFrame([(json.dumps(x),) for x in docs], "j string").select(F.parse_json("j").alias("v"))
+    rows = flatten.flatten_variant(v, "v")
+    assert set(rows.columns) == {"id", "name", "extra", "item_k", "item_t", "item_value"}
+    got = [(r.id, r.item_k, r.item_t, r.item_value) for r in rows.collect()]
+    assert sorted(got, key=str) == sorted([("1", "1", "x", None), ("1", None, None, "5"), ("1", None, None, "text"), ("1", None, None, None), ("1", None, None, None), ("1", "two", None, None), ("2", None, None, None), ("three", None, None, None), ("4", None, None, None)], key=str)
+    assert flatten.flatten_variant(v.limit(0), "v").count() == 0
+    plain = flatten.flatten_variant(spark.createDataFrame([('{"a": 1, "b": [1]}',)], "j string").select(F.parse_json("j").alias("v")), "v")
+    assert plain.columns == ["a"] and plain.first().a == 1
+
+
+@pytest.mark.parametrize("values", [[1.0], [0.0, -0.0, 5e-324, -5e-324], [1e300, -1e300, 1e-300, 3.0], [7.0] * 50 + [8.0], [float(2**53 + i) for i in range(0, 40, 2)], [1 + i * 2**-52 for i in range(30)], [float("inf"), 1.0, float("-inf")]])
+def test_quantiles_tell_any_doubles_apart(spark, values):
+    import numpy as np
+
+    rows = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    got = profile.quantiles(rows, ["x"]).first()
+    for name, q in profile.QUANTILES.items():
+        at = q * (len(values) - 1)
+        low, high = sorted(values)[int(np.floor(at))], sorted(values)[int(np.ceil(at))]
+        want = low if at == np.floor(at) else (np.floor(at) + 1 - at) * low + (at - np.floor(at)) * high
+        assert got[name] == want or (got[name] != got[name] and want != want)
+
+
+def test_without_records_the_checks_of_inputs_and_outputs_are_skipped(spark):
+    none = spark.createDataFrame([], "doc_id string, source_path string, p string, overall_verdict string")
+    assert prompts.prompt_status(prompts.with_issues(none, "doc_id", "source_path", "p")).first().status == "SKIP"
+    r = prompts.output_rate(none, baseline=0.1).first()
+    assert (r.status, r.trend, r.outputs) == ("SKIP", "unknown", 0)
