@@ -58,6 +58,9 @@ def cmd_infer(a) -> int:
         subs = readers.registry(spark, a.registry).where(F.col("contract_id") == a.id)
         down = [{"id": r.subscriber_id, "fields_consumed": list(r.fields_consumed or [])} for r in subs.collect()]
         contract = Contract(**{**contract.__dict__, "lineage": {"downstream": down}})
+    for r in infer.mixed_types(rows, [f.name for f in rows.schema.fields if f.dataType.typeName() == "string"]).collect():
+        print(f"{r['column']}: {r.numeric} of the first {r.seen} values look like numbers, the others don't", file=sys.stderr)
+    contract = infer.with_header(contract, a.data, readers.head_hash(spark, a.data))
     contract = hooks.annotate(contract, None)
     if len(contract.schema) < FEW_CLAUSES:
         print(f"only {len(contract.schema)} clauses were inferred", file=sys.stderr)
@@ -93,40 +96,50 @@ def cmd_validate(a) -> int:
     return int(stop)
 
 
-def _clause_frame(spark: SparkSession, snapshot: dict) -> DataFrame:
-    rows = [(f, c.get("type"), bool(c.get("required")), *(float(c[b]) if c.get(b) is not None else None for b in ("minimum", "maximum")), c.get("format"), [str(v) for v in c["enum"]] if c.get("enum") is not None else None) for f, c in (snapshot.get("schema") or {}).items()]
-    return spark.createDataFrame(rows, "field string, type string, required boolean, minimum double, maximum double, format string, enum array<string>")
+def _clause_frame(spark: SparkSession, snapshots: dict[str, dict]) -> DataFrame:
+    """Clause rows of snapshots by contract."""
+    bound = lambda c, b: float(c[b]) if c.get(b) is not None else None
+    rows = [(cid, f, c.get("type"), bool(c.get("required")), bound(c, "minimum"), bound(c, "maximum"), c.get("format"), [str(v) for v in c["enum"]] if c.get("enum") is not None else None) for cid, doc in snapshots.items() for f, c in (doc.get("schema") or {}).items()]
+    return spark.createDataFrame(rows, "contract_id string, field string, type string, required boolean, minimum double, maximum double, format string, enum array<string>")
 
 
 def cmd_diff(a) -> int:
-    """One contract, or every contract that has snapshots, each into its own file of the folder --out."""
-    if a.id is None:
-        for name in sorted(d for d in os.listdir(a.snapshots) if len(readers.snapshot_paths(a.snapshots, d)) > 1):
-            cmd_diff(argparse.Namespace(**{**vars(a), "id": name, "out": os.path.join(a.out, f"schema_evolution_{name}.json")}))
-        return 0
+    """One contract, or every contract that has two snapshots, each into its own file of the folder --out; all are compared in one job."""
     spark = session()
-    old, new = (a.old, a.new) if a.old else _pair(a)
-    rows = evolution.changes(_clause_frame(spark, readers.snapshot(old)), _clause_frame(spark, readers.snapshot(new))).cache()
-    doc = {"contract_id": a.id, "old": old, "new": new, "changes": [r.asDict() for r in rows.orderBy("field", "change_type").collect()], "summary": evolution.verdict(rows).first().asDict()}
-    doc["migration_checklist"] = [r.step for r in evolution.checklist(rows).collect()]
-    doc["rollback_plan"] = [r.step for r in evolution.rollback(rows).collect()]
-    if a.registry:
-        named = rows.select(F.lit(a.id).alias("contract_id"), "field").distinct()
-        doc["consumer_impact"] = [r.asDict() for r in registry.consumer_impact(named, readers.registry(spark, a.registry)).collect()]
-    _dump(doc, a.out)
-    print(doc["summary"])
+    if a.old:
+        pairs = {a.id or "": (a.old, a.new)}
+    else:
+        pairs = {cid: _pair(a, cid) for cid in ([a.id] if a.id else readers.snapshot_contracts(a.snapshots))}
+    if a.id and pairs[a.id] is None:
+        sys.exit(f"{a.id} has fewer than two snapshots")
+    pairs = {cid: p for cid, p in pairs.items() if p}
+    old, new = (_clause_frame(spark, {cid: readers.snapshot(p[side]) for cid, p in pairs.items()}) for side in (0, 1))
+    rows = evolution.changes(old, new, ("contract_id",)).cache()
+    by = lambda df, *order: functools.reduce(lambda out, r: out.setdefault(r["contract_id"], []).append(r.asDict()) or out, df.orderBy("contract_id", *order).collect(), {})
+    found, verdicts = by(rows, "field", "change_type"), by(evolution.verdict(rows, "contract_id"))
+    steps, back = ({cid: [r["step"] for r in found_rows] for cid, found_rows in by(f(rows), "field", "step").items()} for f in (evolution.checklist, evolution.rollback))
+    impact = by(registry.consumer_impact(rows.select("contract_id", "field").distinct(), readers.registry(spark, a.registry)), "field", "subscriber_id") if a.registry else {}
+    none = {"total": 0, "critical": 0, "breaking": 0, "compatible": 0, "verdict": "COMPATIBLE", "requires_version_bump": False}
+    for cid, (was, now) in pairs.items():
+        summary = {k: v for k, v in verdicts.get(cid, [none])[0].items() if k != "contract_id"}
+        own = [{k: v for k, v in r.items() if k != "contract_id"} for r in found.get(cid, [])]
+        doc = {"contract_id": cid or None, "old": was, "new": now, "changes": own, "summary": summary, "migration_checklist": steps.get(cid, []), "rollback_plan": back.get(cid, [])}
+        _dump(doc | ({"consumer_impact": impact.get(cid, [])} if a.registry else {}), os.path.join(a.out, f"schema_evolution_{cid}.json") if a.id is None and not a.old else a.out)
+        print(cid, summary)
     return 0
 
 
-def _pair(a) -> tuple[str, str]:
-    paths = readers.snapshot_paths(a.snapshots, a.id)
+def _pair(a, cid: str) -> tuple[str, str] | None:
+    """The two snapshots to compare, by the times that they tell; None if there are fewer."""
+    paths = readers.snapshot_paths(a.snapshots, cid)
     if len(paths) < 2:
-        sys.exit(f"{a.id} has fewer than two snapshots")
+        return None
+    times = {p: readers.snapshot_time(p) for p in paths}
+    paths.sort(key=lambda p: (times[p], p))
     if not a.since:
         return paths[-2], paths[-1]
-    cut = evolution.parse_since(a.since, datetime.now(timezone.utc)).strftime("%Y%m%dT%H%M%SZ")
-    name = lambda p: os.path.splitext(os.path.basename(p))[0]
-    before, after = [p for p in paths if name(p) <= cut], [p for p in paths if name(p) > cut]
+    cut = evolution.parse_since(a.since, datetime.now(timezone.utc))
+    before, after = [p for p in paths if times[p] <= cut], [p for p in paths if times[p] > cut]
     return (before[-1], after[-1]) if before and after else (paths[0], paths[-1])
 
 

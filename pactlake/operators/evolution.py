@@ -19,14 +19,14 @@ def _change(when: Column, kind: str | Column, classification: str | Column, reas
     return F.when(when, F.struct(lit(kind).alias("change_type"), lit(classification).alias("classification"), lit(reason).alias("reason"), text(old).alias("old_value"), text(new).alias("new_value")))
 
 
-def changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Clause rows (field, type, required, minimum, maximum, format, enum) of two versions -> one row per change.
+def changes(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Clause rows (keys..., field, type, required, minimum, maximum, format, enum) of two versions -> one row per change.
 
-    A change of scale is critical and hides all others of its field.
+    A change of scale is critical and hides all others of its field. With keys, say contract_id, many contracts are compared at once.
     """
-    o = old.select("field", F.struct("type", "required", "minimum", "maximum", "format", "enum").alias("o"))
-    n = new.select("field", F.struct("type", "required", "minimum", "maximum", "format", "enum").alias("n"))
-    both = o.join(n, "field", "full")
+    o = old.select(*keys, "field", F.struct("type", "required", "minimum", "maximum", "format", "enum").alias("o"))
+    n = new.select(*keys, "field", F.struct("type", "required", "minimum", "maximum", "format", "enum").alias("n"))
+    both = o.join(n, [*keys, "field"], "full")
     c = F.col
     narrowed = F.concat_ws(">", "o.type", "n.type").isin([">".join(p) for p in NARROWED])
     fraction = F.coalesce(c("o.maximum") <= 1, F.lit(False))
@@ -58,7 +58,16 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     ]
     critical = F.array(_change(F.lit(True), "scale_mutation", "CRITICAL", "Values change scale without an error.", c("o.maximum"), c("n.maximum")))
     found = F.when(here & scale, critical).when(here, F.array_compact(F.array(*rules))).otherwise(F.array_compact(F.array(*alone)))
-    return both.select("field", F.explode(found).alias("ch")).select("field", "ch.*")
+    return both.select(*keys, "field", F.explode(found).alias("ch")).select(*keys, "field", "ch.*")
+
+
+def history(snapshots: DataFrame) -> DataFrame:
+    """Snapshots (contract_id, ts, field, type, ...) of all contracts -> the changes between consecutive ones of each: contract_id, old_ts,
+    new_ts, field, change_type, .... Jobs don't depend on the number of contracts or snapshots."""
+    times = snapshots.select("contract_id", F.col("ts").alias("new_ts")).distinct()
+    pairs = times.withColumn("old_ts", F.lag("new_ts").over(Window.partitionBy("contract_id").orderBy("new_ts"))).where("old_ts IS NOT NULL")
+    side = lambda ts: snapshots.withColumnRenamed("ts", ts).join(pairs, ["contract_id", ts])
+    return changes(side("old_ts"), side("new_ts"), ("contract_id", "old_ts", "new_ts"))
 
 
 def verdict(rows: DataFrame, *keys: str) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.contract import CONTRACT_TYPE, STATISTICS, UUID_PATTERN, Clause, Contract
@@ -72,15 +74,37 @@ def soda_checks(clauses: DataFrame) -> DataFrame:
     return clauses.select("column", F.explode(said).alias("check"))
 
 
-def mixed_types(df: DataFrame, columns: list[str], first: int = 20) -> DataFrame:
-    """column, numeric, seen: string columns of whose first values by order some, but not all, look like numbers."""
-    from pactlake.operators.profile import samples
+#: Fixed value: what looks like a number once a point and leading minus signs are left out.
+LOOKS_NUMERIC = r"^(?:-*\d+\.?\d*|-*\.\d+|\.-+\d+)$"
+
 
-    values = samples(df, columns, first).select("column", F.explode("sample_values").alias("v"))
-    counts = values.groupBy("column").agg(F.count_if(F.col("v").rlike(r"^-?\d*\.?\d+$")).alias("numeric"), F.count("*").alias("seen"))
+def mixed_types(df: DataFrame, columns: list[str], first: int = 20) -> DataFrame:
+    """column, numeric, seen: string columns of whose first values in the data's order some, but not all, look like numbers.
+
+    Each task hands on its first values of a column only.
+    """
+    from pactlake.operators.profile import unpivot
+
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, numeric long, seen long")
+    placed = df.withColumn("_at", F.monotonically_increasing_id())
+    values = unpivot(placed.select("_at", *(F.col(f"`{c}`") for c in columns)), columns, "string", "_at").where("value IS NOT NULL")
+    firsts = values.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("_at"))).where(F.col("r") <= first)
+    counts = firsts.groupBy("column").agg(F.count_if(F.col("value").rlike(LOOKS_NUMERIC)).alias("numeric"), F.count("*").alias("seen"))
     return counts.where((F.col("numeric") > 0) & (F.col("numeric") < F.col("seen")))
 
 
+#: The terms of every contract.
+TERMS = {"usage": "Internal inter-system data contract. Do not publish.", "limitations": "All confidence fields must remain in 0.0–1.0 float range. All _id fields must be valid UUID v4."}
+
+
+def with_header(contract: Contract, source: str, snapshot_hash: str | None) -> Contract:
+    """The contract with its server, its terms, and in its description the hash of the data it was inferred from."""
+    kind = "parquet" if ".parquet" in source else "jsonl"
+    info = contract.info | {"description": f"Source snapshot: {snapshot_hash or 'unknown'}. Generated at: {datetime.now(timezone.utc).isoformat()}."}
+    return replace(contract, info=info, servers={"local": {"type": "local", "path": source, "format": kind}}, terms=dict(TERMS))
+
+
 def to_contract(contract_id: str, clauses: DataFrame, warned: DataFrame | None = None, downstream: list[dict] | None = None) -> Contract:
     """The clause rows, one per column, as a contract on the driver."""
     notes: dict[str, list[dict[str, str]]] = {}

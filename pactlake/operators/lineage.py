@@ -25,9 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table of the shared folder: made once, safe when executors are lost."""
+    """df as a table of the shared folder: made once, safe when executors are lost; it goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/pactlake-lineage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

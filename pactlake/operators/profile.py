@@ -24,10 +24,10 @@ def _present(df: DataFrame, c: str) -> Column:
     return F.when(~F.isnan(col), col) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else col
 
 
-def unpivot(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    """(column, value) of each row and column, as one narrow pass."""
+def unpivot(df: DataFrame, columns: list[str], kind: str, *keep: str) -> DataFrame:
+    """(column, value) of each row and column, beside columns to keep, as one narrow pass."""
     cells = F.array(*(F.struct(F.lit(c).alias("column"), _present(df, c).cast(kind).alias("value")) for c in columns))
-    return df.select(F.explode(cells).alias("cell")).select("cell.*")
+    return df.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.*")
 
 
 def moments(df: DataFrame) -> dict[str, dict[str, float | int | None]]:

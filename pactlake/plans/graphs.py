@@ -11,6 +11,7 @@ from pactlake.functions import scalar
 from pactlake.operators import blame, checks, etl, evolution, flatten, infer, lineage, profile, prompts, registry, report, text
 from pactlake.operators.substrings import contains_join
 from pactlake.plans.profiling import query, rounded, table
+from pactlake.streaming.sequences import drained, sequence_breaks
 from pactlake.streaming.validation import windowed_rate
 
 
@@ -180,6 +181,46 @@ def verdict_rollup(spark, d):
     return evolution.verdict(_changes(spark, d))
 
 
+def _of(spark, d, sql: str):
+    """A query text over the tables that it names in braces."""
+    return spark.sql(sql.replace("{array}", "array"), **{t: table(spark, d, t) for t in re.findall(r"{(\w+)}", sql) if t != "array"})
+
+
+def _duck(sql: str) -> str:
+    return re.sub(r"{(\w+)}", r"\1", sql.replace("{array}", "list_value"))
+
+
+#: Snapshots of three contracts, one a year of shipping: SQL of both engines but for the arrays.
+SNAPSHOT_SQL = """
+    SELECT l_returnflag AS contract_id, year(l_shipdate) AS ts, 'quantity' AS field, 'number' AS type, TRUE AS required, min(l_quantity) AS minimum, max(l_quantity) AS maximum, CAST(NULL AS STRING) AS format, {none} AS enum FROM {lineitem} GROUP BY l_returnflag, year(l_shipdate)
+    UNION ALL SELECT l_returnflag, year(l_shipdate), 'price', 'number', count(*) % 3 > 0, min(l_extendedprice), CASE WHEN count(*) % 2 = 0 THEN max(l_extendedprice) END, CASE WHEN count(*) % 5 = 0 THEN 'money' END, {none} FROM {lineitem} GROUP BY l_returnflag, year(l_shipdate)
+    UNION ALL SELECT l_returnflag, year(l_shipdate), 'tax', CASE WHEN count(*) % 4 = 0 THEN 'integer' ELSE 'number' END, FALSE, 0.0, CAST(NULL AS DOUBLE), CAST(NULL AS STRING), {set} FROM {lineitem} GROUP BY l_returnflag, year(l_shipdate) HAVING count(*) % 3 <> 1
+"""
+
+
+@query(f"""
+    WITH s AS ({_duck(SNAPSHOT_SQL.replace("{none}", "NULL::VARCHAR[]").replace("{set}", "list_sort(list(DISTINCT CAST(CAST(l_suppkey % (year(l_shipdate) % 4 + 1) AS INT) AS VARCHAR)))"))}),
+    p AS (SELECT contract_id, ts AS n_ts, lag(ts) OVER (PARTITION BY contract_id ORDER BY ts) AS o_ts FROM (SELECT DISTINCT contract_id, ts FROM s) QUALIFY o_ts IS NOT NULL),
+    o AS (SELECT p.contract_id, o_ts, n_ts, s.* EXCLUDE (contract_id, ts) FROM p JOIN s ON s.contract_id = p.contract_id AND s.ts = o_ts), n AS (SELECT p.contract_id, o_ts, n_ts, s.* EXCLUDE (contract_id, ts) FROM p JOIN s ON s.contract_id = p.contract_id AND s.ts = n_ts),
+    j AS (SELECT contract_id, o_ts, n_ts, field, o.type AS o_type, n.type AS n_type, o.required AS o_required, n.required AS n_required, o.minimum AS o_minimum, n.minimum AS n_minimum, o.maximum AS o_maximum, n.maximum AS n_maximum, o.format AS o_format, n.format AS n_format, o.enum AS o_enum, n.enum AS n_enum FROM o JOIN n USING (contract_id, o_ts, n_ts, field)),
+    c AS (
+        SELECT contract_id, o_ts, n_ts, field, 'type_changed' AS change_type, 'BREAKING' AS classification FROM j WHERE o_type <> n_type
+        UNION ALL SELECT contract_id, o_ts, n_ts, field, 'required_changed', CASE WHEN n_required THEN 'BREAKING' ELSE 'COMPATIBLE' END FROM j WHERE o_required <> n_required
+        UNION ALL SELECT contract_id, o_ts, n_ts, field, 'enum_values_removed', 'BREAKING' FROM j WHERE len(list_filter(o_enum, lambda x: NOT list_contains(n_enum, x))) > 0
+        UNION ALL SELECT contract_id, o_ts, n_ts, field, 'enum_values_added', 'COMPATIBLE' FROM j WHERE len(list_filter(n_enum, lambda x: NOT list_contains(o_enum, x))) > 0
+        UNION ALL SELECT contract_id, o_ts, n_ts, field, 'format_changed', CASE WHEN o_format IS NULL THEN 'BREAKING' ELSE 'COMPATIBLE' END FROM j WHERE o_format IS DISTINCT FROM n_format
+        {_bound_sql("minimum").replace("SELECT field", "SELECT contract_id, o_ts, n_ts, field")} {_bound_sql("maximum").replace("SELECT field", "SELECT contract_id, o_ts, n_ts, field")}
+        UNION ALL SELECT contract_id, o_ts, n_ts, field, 'field_removed', 'BREAKING' FROM o ANTI JOIN n USING (contract_id, n_ts, field)
+        UNION ALL SELECT contract_id, o_ts, n_ts, field, 'field_added', CASE WHEN required THEN 'BREAKING' ELSE 'COMPATIBLE' END FROM n ANTI JOIN o USING (contract_id, n_ts, field)
+    )
+    SELECT contract_id, o_ts::INT AS old_ts, n_ts::INT AS new_ts, field, change_type, classification FROM c
+""")
+def schema_history(spark, d):
+    """All changes between consecutive snapshots of all contracts, in one plan."""
+    sql = SNAPSHOT_SQL.replace("{none}", "CAST(NULL AS ARRAY<STRING>)").replace("{set}", "array_sort(collect_set(CAST(CAST(l_suppkey % (year(l_shipdate) % 4 + 1) AS INT) AS STRING)))")
+    return evolution.history(_of(spark, d, sql)).select("contract_id", "old_ts", "new_ts", "field", "change_type", "classification")
+
+
 #: Subscriptions by supplier, changed and failing fields by part: SQL of both engines but for the name of the array function.
 SUBS_SQL = """
     SELECT CONCAT('c', CAST(s_suppkey % 4 AS STRING)) AS contract_id, s_name AS subscriber_id, CASE s_suppkey % 3 WHEN 0 THEN 'ENFORCE' WHEN 1 THEN 'WARN' ELSE 'AUDIT' END AS validation_mode, CAST(1 + s_suppkey % 3 AS INT) AS tier,
@@ -191,15 +232,6 @@ CHANGED_SQL = "SELECT DISTINCT CONCAT('c', CAST(p_partkey % 3 AS STRING)) AS con
 FAILING_SQL = "SELECT DISTINCT CONCAT('c', CAST(p_partkey % 3 AS STRING)) AS contract_id, CASE p_partkey % 5 WHEN 0 THEN CONCAT('fact_f', CAST(p_size % 7 AS STRING)) WHEN 1 THEN CONCAT('node_g', CAST(p_size % 4 AS STRING)) WHEN 2 THEN 'item_' WHEN 3 THEN CONCAT('f', CAST(p_size % 7 AS STRING), '.g1') ELSE 'event_none' END AS field FROM {part}"
 
 
-def _of(spark, d, sql: str):
-    """A query text over the tables that it names in braces."""
-    return spark.sql(sql.replace("{array}", "array"), **{t: table(spark, d, t) for t in re.findall(r"{(\w+)}", sql) if t != "array"})
-
-
-def _duck(sql: str) -> str:
-    return re.sub(r"{(\w+)}", r"\1", sql.replace("{array}", "list_value"))
-
-
 def _subs(spark, d):
     rows = _of(spark, d, SUBS_SQL)
     return rows.select("contract_id", "subscriber_id", "validation_mode", "tier", F.transform("breaking", lambda b: F.struct(b.alias("field"), F.concat(F.lit("breaks on "), b).alias("reason"))).alias("breaking_fields"), F.col("consumed").alias("fields_consumed"))
@@ -514,6 +546,15 @@ def seq_gaps(spark, d):
     return table(spark, d, "orders").select("o_custkey", "o_orderkey", step.alias("step")).where("step <> 1")
 
 
+@query("""
+    SELECT user_id AS "key", 'gap' AS kind, event_id AS seq, step FROM (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events) WHERE step <> 1
+""")
+def stream_gaps(spark, d):
+    """The events as a stream: gaps in each user's numbers, found with state, equal those of the batch."""
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
+    return drained(sequence_breaks(events, "user_id", "event_id", "ts"), "gaps").where("kind = 'gap'")
+
+
 @query("SELECT o_custkey, o_orderkey, round(coalesce(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS starts_at FROM orders")
 def running_cursor(spark, d):
     rows = etl.running_starts(table(spark, d, "orders"), "o_orderkey", "o_totalprice", "o_custkey")

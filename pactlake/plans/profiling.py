@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pactlake.contract import Clause, Contract
 from pactlake.functions.scalar import is_iso_datetime, is_uuid, uuid5
-from pactlake.operators import checks, drift, infer, profile
+from pactlake.operators import checks, drift, infer, profile, sketches
 from pactlake.sources import readers
 
 QUERIES: dict = {}
@@ -343,6 +343,24 @@ def check_kept_lines(spark, d):
     return checks.validate(rows, contract, corrupt=readers.CORRUPT).select("check_id", "status", "severity", "records_failing")
 
 
+@query(f"""
+    WITH v AS ({stacked("lineitem", LINE)})
+    SELECT "column", count(v) AS n, 0::BIGINT AS missing, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stddev, min(v) AS min, max(v) AS max, true AS quantiles_hold, true AS distinct_holds FROM v GROUP BY 1
+""")
+def merged_baselines(spark, d):
+    """States of seven parts of a table, merged: exact where they say so, and sketches within their stated errors of the whole."""
+    line = table(spark, d, "lineitem")
+    found = sketches.merged(*(sketches.state(line.where(f"l_linenumber = {k}"), "lineitem", LINE) for k in range(1, 8)))
+    out = sketches.profile_of(found).join(found.select("contract_id", "column", "missing"), ["contract_id", "column"])
+    told = {r["column"]: r for r in out.collect()}  # a row a column
+    at = lambda c, p: told[c][p]
+    ranks = line.agg(*(F.struct(F.avg((F.col(c) < at(c, p)).cast("double")).alias("below"), F.avg((F.col(c) <= at(c, p)).cast("double")).alias("upto")).alias(f"{c}:{p}") for c in LINE for p in profile.QUANTILES), *(F.count_distinct(c).alias(c) for c in LINE)).first()
+    holds = lambda c: all(ranks[f"{c}:{p}"].below - sketches.RANK_ERROR <= q <= ranks[f"{c}:{p}"].upto + sketches.RANK_ERROR for p, q in profile.QUANTILES.items())
+    near = lambda c: abs(told[c].cardinality - ranks[c]) <= sketches.DISTINCT_ERROR * ranks[c]
+    judged = F.create_map(*(x for c in LINE for x in (F.lit(c), F.struct(F.lit(holds(c)).alias("q"), F.lit(near(c)).alias("d")))))
+    return rounded(out, "mean", "stddev").select("column", "n", "missing", "mean", "stddev", "min", "max", F.element_at(judged, F.col("column"))["q"].alias("quantiles_hold"), F.element_at(judged, F.col("column"))["d"].alias("distinct_holds"))
+
+
 @query()
 def infer_then_validate(spark, d):
     """The flagship: infer a contract from a table, then hold the table against it."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import json
 import os
 import subprocess
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,21 @@ def jsonl_variant(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.parse_json("value").alias("v"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files -> file_path, line (from 1, blank lines count), value, as reading each file in order would number them.
+
+    Lines are counted by split, a number a split is added up, and each line adds its place in its split: no row leaves its place, and
+    files may be cut into splits anywhere.
+    """
+    from pyspark.sql import Window
+
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    splits = raw.groupBy("file_path", "_at").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("file_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file_path", "_at", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return raw.join(offsets, ["file_path", "_at"]).select("file_path", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
+
+
 def json_documents(spark: SparkSession, path: str, schema: str | None = None, pattern: str | None = None) -> DataFrame:
     """Whole-file JSON documents of a folder, with file_name; arrays become rows; unreadable ones are skipped."""
     reader = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED")
@@ -103,6 +120,22 @@ def snapshot_paths(root: str, contract_id: str) -> list[str]:
     return found or [p for v in ("v1", "v2") if os.path.exists(p := os.path.join(root, v, f"{contract_id}.json"))]
 
 
+def snapshot_contracts(root: str) -> list[str]:
+    """Contracts with a folder of snapshots, and those with legacy files only."""
+    own = {d for d in os.listdir(root) if os.path.isdir(os.path.join(root, d)) and d not in ("v1", "v2", "diffs")}
+    return sorted(own | {os.path.splitext(os.path.basename(p))[0] for p in glob.glob(os.path.join(root, "v1", "*.json"))})
+
+
+def snapshot_time(path: str) -> datetime:
+    """When a snapshot was taken, as it says, else when its file was written; times without a zone are UTC."""
+    doc = snapshot(path) or {}
+    try:
+        when = datetime.fromisoformat(str(doc.get("captured_at") or doc.get("snapshot_version") or ""))
+    except ValueError:
+        return datetime.fromtimestamp(os.stat(path).st_mtime, tz=timezone.utc)
+    return when if when.tzinfo else when.replace(tzinfo=timezone.utc)
+
+
 def snapshot(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         if path.endswith((".yaml", ".yml")):
@@ -132,9 +165,28 @@ def head_commit(root: str) -> str | None:
         return None
 
 
+def head_hash(spark: SparkSession, path: str, first: int = 65_536) -> str | None:
+    """SHA-256 of the first bytes of a file, or of the first file of a folder by name; only these bytes are read. None if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    files = sorted(str(s.getPath()) for s in fs.listStatus(where) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
+    if not files:
+        return None
+    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(files[0]))
+    try:
+        return hashlib.sha256(bytes(stream.readNBytes(first))).hexdigest()
+    finally:
+        stream.close()
+
+
 def file_fingerprint(spark: SparkSession, path: str, first: int = 65_536) -> DataFrame:
-    """(path, sha) of each file's first bytes, and its modification time."""
-    return spark.read.format("binaryFile").load(path).select("path", "modificationTime", F.sha2(F.substring("content", 1, first), 256).alias("sha"))
+    """(path, modificationTime, sha) of a file's first bytes, of which no others are read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    rows = [(str(status.getPath()), datetime.fromtimestamp(status.getModificationTime() / 1000, tz=timezone.utc), head_hash(spark, path, first))]
+    return spark.createDataFrame(rows, "path string, modificationTime timestamp, sha string")
 
 
 def record_fingerprint(df: DataFrame, order: str, first: int = 10) -> DataFrame:

@@ -378,3 +378,90 @@ def test_without_records_the_checks_of_inputs_and_outputs_are_skipped(spark):
     assert prompts.prompt_status(prompts.with_issues(none, "doc_id", "source_path", "p")).first().status == "SKIP"
     r = prompts.output_rate(none, baseline=0.1).first()
     assert (r.status, r.trend, r.outputs) == ("SKIP", "unknown", 0)
+
+
+def test_sequences_are_followed_across_batches(spark, tmp_path):
+    """State outlives a micro-batch; late numbers are out of order, idle keys are closed; files come one by one."""
+    from pactlake.streaming.sequences import drained, sequence_breaks
+
+    files = [
+        [("a", 1, "2024-01-01 00:00:00"), ("a", 2, "2024-01-01 00:00:10"), ("b", 5, "2024-01-01 00:00:00"), (None, 1, "2024-01-01 00:00:00")],
+        [("a", 5, "2024-01-01 00:01:00"), ("a", 3, "2024-01-01 00:01:00"), ("a", 2, "2024-01-01 00:01:00"), ("a", 6, "2024-01-01 00:01:30")],
+        [("a", 7, "2024-01-01 09:00:00"), ("a", 7, "2024-01-01 09:00:00")],
+        [("a", 9, "2024-01-01 09:30:00")],
+    ]
+    for i, rows in enumerate(files):
+        part = tmp_path / "in" / f"{i}.json"
+        part.parent.mkdir(exist_ok=True)
+        part.write_text("".join(json.dumps(dict(zip(("k", "n", "at"), r))) + "\n" for r in rows))
+        import os
+
+        os.utime(part, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema("k string, n long, at timestamp").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+    got = sorted((r.key, r.kind, r.seq, r.step) for r in drained(sequence_breaks(stream, "k", "n", "at"), "breaks").collect())
+    assert [r for r in got if r[1] == "gap"] == [("a", "gap", 5, 2), ("a", "gap", 7, 0), ("a", "gap", 9, 2)]
+    assert [r for r in got if r[1] == "order"] == [("a", "order", 2, 0)]
+    assert ("b", "closed", 5, 1) in got
+
+
+def test_lines_are_numbered_as_files_are_read(spark, tmp_path):
+    import os
+
+    want = []
+    for name, n in (("b.txt", 3000), ("a.txt", 1), ("c.txt", 700), ("empty.txt", 0)):
+        lines = ["" if i % 7 == 3 else f"{name} {i}" for i in range(n)]
+        (tmp_path / name).write_text("".join(x + "\n" for x in lines))
+        want += [(name, i + 1, x) for i, x in enumerate(lines)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = readers.numbered_lines(spark, f"file://{tmp_path}")
+        assert got.rdd.getNumPartitions() > 1 and sorted((os.path.basename(r.file_path), r.line, r.value) for r in got.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_states_merge_and_columns_without_values_count_nothing(spark):
+    from pactlake.operators import sketches
+
+    rows = spark.createDataFrame([(float(i), i % 5, None) for i in range(1000)] + [(float("nan"), None, None)], "x double, k int, none double")
+    parts = [sketches.state(rows.where(w), "c") for w in ("x < 300", "x >= 300 AND NOT isnan(x)", "isnan(x)", "false")]
+    got = {r["column"]: r for r in sketches.profile_of(sketches.merged(*parts)).collect()}
+    assert (got["x"].n, got["x"].mean, got["x"].min, got["x"].max) == (1000, pytest.approx(499.5), 0.0, 999.0) and got["x"].stddev == pytest.approx(288.8194, abs=1e-3)
+    assert abs(got["x"].p50 - 499.5) < 15 and abs(got["x"].cardinality - 1000) < 30 and got["k"].cardinality == 5
+    assert got["none"].n == 0 and got["none"].mean is None and got["none"].p50 is None and got["none"].cardinality == 0 and got["none"].null_fraction == 1.0
+
+
+def test_first_values_of_mixed_columns(spark):
+    rows = spark.createDataFrame([(str(i), "-1.5", "x") for i in range(20)] + [("late", "1", "y")], "a string, b string, c string").coalesce(1)
+    odd = spark.createDataFrame([("1",), ("two",), ("3.",), ("-.5",), (None,)], "d string")
+    assert infer.mixed_types(rows, ["a", "b", "c"]).collect() == []  # the odd value is the twenty-first
+    r = infer.mixed_types(odd, ["d"]).first()
+    assert (r["column"], r.numeric, r.seen) == ("d", 3, 4) and infer.mixed_types(odd, []).collect() == []
+
+
+def test_contract_header(spark, tmp_path):
+    import hashlib
+
+    data = b"x" * 70_000 + b"y"
+    (tmp_path / "d.jsonl").write_bytes(data)
+    sha = readers.head_hash(spark, f"file://{tmp_path}/d.jsonl")
+    assert sha == hashlib.sha256(data[:65_536]).hexdigest() and readers.head_hash(spark, f"file://{tmp_path}/none") is None
+    assert readers.file_fingerprint(spark, f"file://{tmp_path}/d.jsonl").first().sha == sha
+    c = infer.with_header(Contract("t"), "d.jsonl", sha)
+    assert c.servers["local"] == {"type": "local", "path": "d.jsonl", "format": "jsonl"} and sha in c.info["description"] and c.terms["usage"]
+
+
+def test_snapshots_by_the_time_that_they_tell(tmp_path):
+    import argparse
+
+    from pactlake.cli import _pair
+
+    for name, at in (("1.yaml", "2024-03-01T00:00:00"), ("2.yaml", "2024-01-01T00:00:00+00:00"), ("3.yaml", "2024-02-01T00:00:00")):
+        (tmp_path / "c").mkdir(exist_ok=True)
+        (tmp_path / "c" / name).write_text(f"captured_at: '{at}'\nschema: {{}}\n")
+    for v in ("v1", "v2"):
+        (tmp_path / v).mkdir()
+        (tmp_path / v / "old.json").write_text("{}")
+    pair = lambda cid, since=None: [p.rsplit("/", 1)[1] for p in _pair(argparse.Namespace(snapshots=str(tmp_path), since=since), cid)]
+    assert pair("c") == ["3.yaml", "1.yaml"] and readers.snapshot_contracts(str(tmp_path)) == ["c", "old"] and pair("old") == ["old.json", "old.json"]

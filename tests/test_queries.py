@@ -31,7 +31,7 @@ def test_fused_validation_scans_once(spark):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_no_python_in_plans(spark, name):
-    plan = plan_of(QUERIES[name](spark, SF))
+    plan = plan_of(QUERIES[name](spark, SF))  # of what is left to do where jobs run while it is built
     assert not any(x in plan for x in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "CartesianProduct"))
 
 
