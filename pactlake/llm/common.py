@@ -31,10 +31,14 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 def settle(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write df into the shared folder and read it again: computed once, lineage cut, sizes known, safe when executors are lost."""
+    """Write df into the shared folder and read it again: computed once, lineage cut, sizes known, safe when executors are lost.
+
+    The folder goes when the driver ends, or with `release`."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     _SETTLED.append(path)
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,9 +5,10 @@ listed ones that pass the second by a third; and so on, until a level passes not
 universe of keys the cascade then answers membership exactly, and each row is judged by bit tests alone, without a join.
 
 The first level is sized so that its false positives are about as many as the listed keys, so all levels together follow
-the listed keys that occur in the corpus and the logarithm of the universe. A level is an array of 64-bit words that is read as a
-scalar subquery. Its size is bounded and checked: a list that needs more than MAX_BITS in a level (128 MB; 40 million keys that
-occur, or more) is joined with the keys instead, with the same result.
+the listed keys that occur in the corpus and the logarithm of the universe. A level is held in slices, arrays of 64-bit words
+that are made each by a task of its own and read as scalar subqueries. Its size is bounded and checked: a list that needs more than MAX_BITS
+in a level (1 GB, which executors must hold; some 300 million keys that occur, or more) is joined with the keys instead, with the same
+result.
 
 Rules (host, path) are listed as host + path and fit a host, all its subdomains and every path that starts with theirs; the
 longest wins. Hosts without a rule are judged by a second list, of blocked hosts, which takes in their subdomains. A page's keys are the
@@ -34,8 +35,8 @@ HASHES, LATER_BITS, LEVELS = 4, 6, 64
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Blocked hosts of the query where no list is given.
 BLOCKED = tuple(f"{name}.example.{top}" for name in ("adult-x", "casino-win", "cheap-pills", "free-bets") for top in ("com", "net", "org"))
-#: Bits of a level at most.
-MAX_BITS = 1 << 30
+#: Words of a slice of a level (16 MB), and bits of a level at most (1 GB).
+SLICE, MAX_BITS = 1 << 21, 1 << 33
 
 
 def _bits(key: Column, level: int, size: int) -> Column:
@@ -44,18 +45,26 @@ def _bits(key: Column, level: int, size: int) -> Column:
     return F.array(*hashes)
 
 
-def _level(keys: DataFrame, level: int, size: int) -> DataFrame:
-    """One row: the filter of the keys as an array of 64-bit words."""
+def _level(keys: DataFrame, level: int, size: int) -> list[DataFrame]:
+    """The filter of the keys in slices of SLICE words, each one row with an array: a task gathers one slice at most."""
     words = keys.select(F.explode(_bits(F.col("key"), level, size)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    dense = keys.sparkSession.range(size // 64).select(F.col("id").alias("word")).join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return settle(dense.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.transform("w", lambda x: x.bits).alias("words")), "level")
+    total = size // 64
+    if total > SLICE:
+        words = settle(words, "words")
+
+    def one(start: int) -> DataFrame:
+        own = keys.sparkSession.range(start, min(total, start + SLICE)).select(F.col("id").alias("word"))
+        dense = own.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+        return settle(dense.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.transform("w", lambda x: x.bits).alias("words")), "level")
+
+    return [one(start) for start in range(0, total, SLICE)]
 
 
 class Cascade:
     """Exact membership of the listed keys over a universe of keys (both: one column `key`, distinct, settled)."""
 
     def __init__(self, listed: DataFrame, universe: DataFrame, most: int = MAX_BITS) -> None:
-        self.levels: list[tuple[DataFrame, int]] = []
+        self.levels: list[tuple[list[DataFrame], int]] = []
         self.joined: DataFrame | None = None
         # Listed keys that never occur need no bits.
         keys = settle(universe.join(listed.withColumn("_in", F.lit(True)), "key", "left").select("key", F.col("_in").isNotNull().alias("inside")), "keys")
@@ -75,12 +84,18 @@ class Cascade:
             raise ValueError("the cascade did not end")
 
     def _passes(self, level: int, key: Column) -> Column:
-        words, size = self.levels[level]
-        held = words.scalar()
+        slices, size = self.levels[level]
+        held = [words.scalar() for words in slices]
         test = None
         for i in range(HASHES):
             bit = F.pmod(F.xxhash64(F.lit(level * HASHES + i), key), F.lit(size))
-            hit = F.get(held, F.shiftright(bit, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))) != 0
+            word = F.shiftright(bit, 6)
+            own = held[0]
+            if len(held) > 1:
+                own = F.when(word < SLICE, held[0])
+                for k in range(1, len(held)):
+                    own = own.when(word < (k + 1) * SLICE, held[k])
+            hit = F.get(own, (word % SLICE).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))) != 0
             test = hit if test is None else test & hit
         return test
 

@@ -70,3 +70,18 @@ def test_long_urls(spark):
 def test_empty(spark):
     assert judge(spark, [], [("net", "/", "block")]) == []
     assert judge(spark, ["http://a.net/"] * 2, []) == [("a.net", "/", None, "allow")] * 2
+
+
+def test_levels_in_slices(spark, monkeypatch):
+    """Whether a level is one array or many, membership is exact; no join stands in the plan of the rows."""
+    keys = [f"k{i}" for i in range(4000)]
+    listed = set(keys[::3])
+    universe = uf.settle(spark.createDataFrame([(k,) for k in keys], "key string"))
+    own = uf.settle(spark.createDataFrame([(k,) for k in sorted(listed)] + [("never",)], "key string"))
+    for words in (1 << 21, 7):
+        monkeypatch.setattr(uf, "SLICE", words)
+        cascade = uf.Cascade(own, universe)
+        assert max(len(s) for s, _ in cascade.levels) == (1 if words > 7 else -(-max(n for _, n in cascade.levels) // 64 // 7))
+        got = cascade.marked(universe, "hit")
+        assert {r.key for r in got.collect() if r.hit} == listed
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("Subquery")[0]
