@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A side of a join is broadcast up to so many rows of a few fixed-width columns (about 64 MB); beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
@@ -62,6 +65,13 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str, limit: int = BROAD
     return df.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Rows that the driver has, as a table that the JVM holds: made from Arrow, so that no Python worker reads it."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Python workers get at most so many rows at a time, so that long texts fit in their memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import BROADCAST_ROWS, join_small, new_path, settle, text_of, unused
+from pactlake.llm.common import BROADCAST_ROWS, join_small, local_table, new_path, settle, text_of, unused
 
 SHARDS, OVERHEAD = 40, 16
 #: Bits that one level of the selection tells apart at least and at most, counts that it brings to the driver about; rows of a written piece about.
@@ -91,7 +91,7 @@ def flow(sizes: dict[int, int], capacity: dict[int, int], cost=None) -> list[tup
 
 def _listed(df: DataFrame, rows: list[tuple], schema: str, on: list[str], how: str) -> DataFrame:
     """df joined with rows that the driver has counted: broadcast only up to BROADCAST_ROWS."""
-    table = df.sparkSession.createDataFrame(rows, schema)
+    table = local_table(df.sparkSession, rows, schema)
     return df.join(F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table, on, how)
 
 
@@ -251,7 +251,7 @@ def reshard(docs: DataFrame, old: Column, folder: str, shards: int = SHARDS, cos
         stay = part(keyed, "left_anti")
         stay = numbered(stay, part(slim, "left_anti")) if old_slot is None else stay.select("_doc.*", F.col("_place").alias(slot), F.col("_shard").alias(shard))
         back = back.unionByName(stay)
-    return back, spark.createDataFrame(sorted(sizes.items()), "shard int, bytes long")
+    return back, local_table(spark, sorted(sizes.items()), "shard int, bytes long")
 
 
 def file_shards(docs: DataFrame) -> DataFrame:
