@@ -54,3 +54,41 @@ def test_rules_are_few_and_conjunctive(spark):
     rules = ql.learned(docs, labels)
     assert 0 < len(rules.rules) < 60 and all(1 <= len(r) <= ql.DEPTH for r in rules.rules) and all(rules.weights)
     assert ql.statistics(docs, F.col("text"), "q")[0].columns == [*docs.columns, "q_stats"]
+
+
+def plain_statistics(text):
+    """The ten statistics of a text, in Python."""
+    import math
+    import unicodedata
+
+    words = [w for w in text.replace("\n", " ").replace("\t", " ").split(" ") if w]
+    lines, n, chars = text.split("\n"), max(1, len(words)), max(1, len(text))
+    share = lambda ok: sum(map(ok, text)) / chars
+    return [
+        math.log1p(len(words)),
+        len(text) / n,
+        len(set(words)) / n,
+        sum(len(w) <= 3 for w in words) / n,
+        sum(a == b for a, b in zip(words, words[1:])) / n,
+        1 - len(set(lines)) / len(lines),
+        share(lambda c: c in "#$%&*|{}<>=_~^@\\/+"),
+        share(lambda c: c in "!?"),
+        share(lambda c: c in "0123456789"),
+        share(lambda c: unicodedata.category(c) == "Lu"),
+    ]
+
+
+def test_query_equals_brute_force(spark):
+    """Every score from statistics and rules in plain Python, whole texts and odd ones included."""
+    import math
+
+    documents, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rules = ql.learned(documents, labels)
+    odd = [(-1, ""), (-2, None), (-3, "a" * 400_000), (-4, "Ä é ß\t\n\n x x x"), (-5, "word " * 60_000 + "\nword"), (-6, "!?!? 123 #$%")]
+    rows = documents.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in ql.decisions(rows, rules).collect()}
+    for r in rows.collect():
+        stats = plain_statistics(r.text or "")
+        fires = [all(stats[i] <= at if below else stats[i] > at for i, below, at in rule) for rule in rules.rules]
+        want = 1 / (1 + math.exp(-(rules.bias + sum(w for w, f in zip(rules.weights, fires) if f))))
+        assert abs(got[r.doc_id] - want) < 1e-9
