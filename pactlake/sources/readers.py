@@ -107,8 +107,18 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, REGISTRY_DDL)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+NODE_DDL, EDGE_DDL = "node_id string, type string, label string", "source string, target string, relationship string, confidence double"
+
+
 def latest_lineage(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the latest snapshot by capture time."""
+    """Nodes and edges of the latest snapshot by capture time; none where the file is missing."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], NODE_DDL), spark.createDataFrame([], EDGE_DDL)
     snapshots = jsonl(spark, path, schema, strict=False)
     last = snapshots.orderBy(F.col("captured_at").desc()).limit(1)
     return last.select(F.inline("nodes")), last.select(F.inline("edges"))

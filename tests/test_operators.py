@@ -465,3 +465,13 @@ def test_snapshots_by_the_time_that_they_tell(tmp_path):
         (tmp_path / v / "old.json").write_text("{}")
     pair = lambda cid, since=None: [p.rsplit("/", 1)[1] for p in _pair(argparse.Namespace(snapshots=str(tmp_path), since=since), cid)]
     assert pair("c") == ["3.yaml", "1.yaml"] and readers.snapshot_contracts(str(tmp_path)) == ["c", "old"] and pair("old") == ["old.json", "old.json"]
+
+
+def test_missing_lineage_has_no_nodes(spark, tmp_path):
+    nodes, edges = readers.latest_lineage(spark, f"file://{tmp_path}/none.jsonl")
+    assert nodes.count() == edges.count() == 0
+    asked = spark.createDataFrame([("c", "s")], "contract_id string, node_id string")
+    assert [tuple(r) for r in lineage.contamination(asked, nodes, edges).collect()] == [("c", "s", 1)]
+    assert lineage.upstream_files(nodes, edges, "c").count() == 0
+    (tmp_path / "g.jsonl").write_text('{"captured_at": "2024-01-01", "nodes": [{"node_id": "a", "type": "FILE", "label": "x"}], "edges": []}\n')
+    assert readers.latest_lineage(spark, f"file://{tmp_path}/g.jsonl", f"captured_at string, nodes array<struct<node_id: string, type: string, label: string>>, edges array<struct<source: string, target: string, relationship: string>>")[0].first().node_id == "a"
