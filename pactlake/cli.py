@@ -1,4 +1,4 @@
-"""Command line: infer, validate, diff, attribute, ai and report, each over files, in a chain.
+"""Command line: infer, validate, diff, history, attribute, ai and report, each over files, in a chain.
 
 python -m pactlake.cli infer --data d.jsonl --id orders --out contracts
 python -m pactlake.cli validate --contract contracts/orders.yaml --data d.jsonl --mode ENFORCE --out reports/orders.json
@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import functools
 import glob
+import importlib
 import json
 import os
 import sys
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pactlake.contract import Contract
 from pactlake.operators import blame, checks, evolution, flatten, hooks, infer, lineage, profile, prompts, registry, report, text
 from pactlake.sources import readers, sinks
+from pactlake.sources.gitlog import PUSHDOWN
 
 
 #: Fewer clauses than this make a contract suspicious.
@@ -28,7 +30,7 @@ FEW_CLAUSES = 6
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("pactlake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return SparkSession.builder.appName("pactlake").config(PUSHDOWN, "true").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -60,11 +62,13 @@ def cmd_infer(a) -> int:
         contract = Contract(**{**contract.__dict__, "lineage": {"downstream": down}})
     for r in infer.mixed_types(rows, [f.name for f in rows.schema.fields if f.dataType.typeName() == "string"]).collect():
         print(f"{r['column']}: {r.numeric} of the first {r.seen} values look like numbers, the others don't", file=sys.stderr)
-    contract = infer.with_header(contract, a.data, readers.head_hash(spark, a.data))
+    contract = infer.with_header(contract, a.data, readers.head_hash(spark, a.data) if ".parquet" in a.data else readers.records_hash(spark, a.data))
     contract = hooks.annotate(contract, None)
     if len(contract.schema) < FEW_CLAUSES:
         print(f"only {len(contract.schema)} clauses were inferred", file=sys.stderr)
     print(sinks.contract_yaml(contract, a.out), sinks.dbt_schema(contract, a.out))
+    if a.table:
+        sinks.snapshot_table(_clause_frame(spark, {a.id: contract.as_dict()}), datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%fZ"), a.table)
     if a.snapshots:
         sinks.schema_snapshot(contract, a.snapshots)
         stats = {f"{a.id}.{r.column}": r.asDict() for r in profile.numeric(rows).collect()}
@@ -96,11 +100,14 @@ def cmd_validate(a) -> int:
     return int(stop)
 
 
+CLAUSE_FRAME = "contract_id string, field string, type string, required boolean, minimum double, maximum double, format string, enum array<string>"
+
+
 def _clause_frame(spark: SparkSession, snapshots: dict[str, dict]) -> DataFrame:
     """Clause rows of snapshots by contract."""
     bound = lambda c, b: float(c[b]) if c.get(b) is not None else None
     rows = [(cid, f, c.get("type"), bool(c.get("required")), bound(c, "minimum"), bound(c, "maximum"), c.get("format"), [str(v) for v in c["enum"]] if c.get("enum") is not None else None) for cid, doc in snapshots.items() for f, c in (doc.get("schema") or {}).items()]
-    return spark.createDataFrame(rows, "contract_id string, field string, type string, required boolean, minimum double, maximum double, format string, enum array<string>")
+    return spark.createDataFrame(rows, CLAUSE_FRAME)
 
 
 def cmd_diff(a) -> int:
@@ -129,6 +136,15 @@ def cmd_diff(a) -> int:
     return 0
 
 
+def cmd_history(a) -> int:
+    """The changes between consecutive versions of every contract of a snapshot table, and the verdict of each step, in jobs that don't depend on how many there are."""
+    spark = session()
+    found = evolution.history(spark.read.schema(f"ts string, {CLAUSE_FRAME}").parquet(a.table))
+    sinks.records(found, os.path.join(a.out, "changes"))
+    sinks.records(evolution.verdict(found, "contract_id", "old_ts", "new_ts"), os.path.join(a.out, "verdicts"))
+    return 0
+
+
 def _pair(a, cid: str) -> tuple[str, str] | None:
     """The two snapshots to compare, by the times that they tell; None if there are fewer."""
     paths = readers.snapshot_paths(a.snapshots, cid)
@@ -145,9 +161,10 @@ def _pair(a, cid: str) -> tuple[str, str] | None:
 
 def _commits(spark: SparkSession, files: list[tuple[str, int]], root: str) -> DataFrame:
     """Commits of a few files (path, depth), newest first within each."""
-    found = [readers.commits(spark, path, root).withColumns({"seq": F.col("seq") + i * 1_000_000, "file_path": F.lit(path), "depth": F.lit(depth)}) for i, (path, depth) in enumerate(files)]
-    none = spark.createDataFrame([], readers.COMMIT_DDL + ", file_path string, depth int")
-    return blame.rank_commits(functools.reduce(DataFrame.unionByName, found, none), F.current_date())
+    depths = F.array(*(F.lit(depth) for _, depth in files)).cast("array<int>")
+    found = readers.commits(spark, [path for path, _ in files], root)
+    found = found.withColumns({"seq": F.col("place") * 1_000_000 + F.col("seq"), "depth": F.get(depths, F.col("place"))})
+    return blame.rank_commits(found, F.current_date()).cache()  # five at most; git is asked once
 
 
 def cmd_attribute(a) -> int:
@@ -179,6 +196,14 @@ def cmd_attribute(a) -> int:
     return 0
 
 
+def _callable(name: str | None):
+    """What 'module:function' names; None without a name."""
+    if not name:
+        return None
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def cmd_ai(a) -> int:
     spark = session()
     raw = readers.jsonl(spark, a.data)
@@ -187,7 +212,11 @@ def cmd_ai(a) -> int:
         rows = text.halves(raw)
         sides = [rows.where("NOT second").drop("second"), rows.where("second").drop("second")]
         texts = [text.hashed_sample(flatten.texts(s, a.array) if a.array else s.select(F.col(a.text).alias("text")), "text") for s in sides]
-        out["embedding_drift"] = text.text_drift(*(t.withColumn("id", F.monotonically_increasing_id()) for t in texts), "id", "text").first().asDict()
+        keep = (lambda c: sinks.centroid_cache(c, a.centroid)) if a.centroid else None
+        drift = text.embedding_drift(*texts, "text", _callable(a.provider), keep) if a.provider else None
+        if drift is None:
+            drift = text.text_drift(*(t.withColumn("id", F.monotonically_increasing_id()) for t in texts), "id", "text")
+        out["embedding_drift"] = drift.first().asDict()
     if a.mode in ("all", "prompt"):
         checked = prompts.with_issues(raw, "doc_id", "source_path", a.preview)
         out["prompt_schema"] = prompts.prompt_status(checked).first().asDict()
@@ -221,7 +250,8 @@ def cmd_report(a) -> int:
     ai = readers.json_or(a.ai, {}) if a.ai else {}
     outcomes = spark.createDataFrame([(k, v.get("status"), v.get("trend")) for k, v in ai.items()], "check_name string, status string, trend string")
     row = report.health(reports, sum(v.get("status") == "FAIL" for v in ai.values())).first().asDict()
-    row["narrative"] = hooks.narrate(row["score"], row["grade"], row)
+    narrator = _callable(a.narrator)
+    row["narrative"] = hooks.narrate(row["score"], row["grade"], row, narrator)
     row["totals"] = report.totals(reports, changes).first().asDict()
     last = report.last_reports(reports)
     row["contracts"] = [r.asDict() for r in last.drop("results").collect()]
@@ -229,8 +259,11 @@ def cmd_report(a) -> int:
     failing = reports.select("contract_id", F.inline("results")).where("status <> 'PASS'")
     hit = registry.blast_radius(failing.select("contract_id", F.col("column_name").alias("field")).distinct(), subs)
     row["violations"] = [r.asDict() for r in report.violation_text(failing, hit).distinct().orderBy("contract_id", "column_name", "said").limit(a.most).collect()]  # a top-k report
+    row["violations"] = [v | {"said": hooks.narrate_violation(v["said"], narrator)} for v in row["violations"]]
     row["diffs"] = [r.asDict() for r in changes.groupBy("contract_id", "classification").count().orderBy("contract_id", "classification").collect()]
-    row["recommendations"] = [r.action for r in report.recommendations(failing, changes, subs, outcomes).collect()]
+    actions = [r.action for r in report.recommendations(failing, changes, subs, outcomes).collect()]
+    known = [r.said for r in report.issues(failing, changes, outcomes).orderBy("seq").collect()] if narrator else []
+    row["recommendations"] = hooks.advise(actions, known, narrator)
     _dump(row, a.out)
     print(row["narrative"])
     return 0
@@ -248,12 +281,13 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--" + o.replace("_", "-"), **({"action": "store_true"} if default is False else {"default": default, **({"type": int} if isinstance(default, int) else {})}))
         s.set_defaults(run=f)
 
-    command(cmd_infer, "data", "id", "out", registry=None, snapshots=None, approximate=False)
+    command(cmd_infer, "data", "id", "out", registry=None, snapshots=None, table=None, approximate=False)
     command(cmd_validate, "contract", "data", "out", mode="AUDIT", baselines=None, samples=5, report_id=None, fail_on_error=False, keep_bad_lines=False, quarantine=None)
     command(cmd_diff, "out", id=None, snapshots=None, old=None, new=None, since=None, registry=None)
+    command(cmd_history, "table", "out")
     command(cmd_attribute, "report", "registry", "log", lineage=None, root=None, scripts="outputs/migrate/*.py")
-    command(cmd_ai, "data", "out", mode="all", array=None, text="text", preview="content_preview", verdicts=None, traces=None, quarantine=None, log=None)
-    command(cmd_report, "reports", "out", ai=None, diffs=None, registry=None, most=20)
+    command(cmd_ai, "data", "out", mode="all", array=None, text="text", preview="content_preview", verdicts=None, traces=None, quarantine=None, log=None, provider=None, centroid=None)
+    command(cmd_report, "reports", "out", ai=None, diffs=None, registry=None, most=20, narrator=None)
     a = p.parse_args(argv)
     return a.run(a)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
 from pactlake.contract import Clause, Contract
 
+Narrator = Callable[[str], str | None]
 Annotator = Callable[[str, Clause, list[str]], dict[str, str] | None]
 
 
@@ -31,12 +33,27 @@ def annotate(contract: Contract, annotator: Annotator | None, limit: int | None
     return replace(contract, schema=schema)
 
 
-def narrate(score: int, grade: str, totals: dict[str, int], narrator: Callable[[str], str] | None = None) -> str:
+def asked(narrator: Narrator | None, request: str) -> str:
+    """What the narrator says; nothing without one, or where it fails."""
+    try:
+        return (narrator(request) if narrator else None) or ""
+    except Exception:  # as above
+        return ""
+
+
+def narrate(score: int, grade: str, totals: dict[str, int], narrator: Narrator | None = None) -> str:
     """A sentence on the health score, by the narrator or, without one, by rule."""
     plain = f"Health {score} of 100 ({grade}): {totals.get('passed', 0)} of {totals.get('total', 0)} checks passed, {totals.get('critical', 0)} critical and {totals.get('high', 0)} high."
-    if narrator:
-        try:
-            return narrator(plain) or plain
-        except Exception:  # as above
-            return plain
-    return plain
+    return asked(narrator, plain) or plain
+
+
+def narrate_violation(said: str, narrator: Narrator | None = None) -> str:
+    """A failing check in a sentence for readers outside the field; the rule's text without a narrator."""
+    return asked(narrator, f"Say in one sentence what broke, which system it touches and what that costs: {said}").strip() or said
+
+
+def advise(actions: list[str], issues: list[str], narrator: Narrator | None = None, most: int = 3) -> list[str]:
+    """Recommendations: as many lines of the narrator's answer as are asked for, without their numbers; else the rules' actions."""
+    request = "\n".join([f"Give {most} actions, one a line, the most urgent first. Known issues:", *(issues or ["none"]), "Actions so far:", *actions])
+    lines = (re.sub(r"^\s*\d+[.)]\s*", "", line).strip() for line in asked(narrator, request).splitlines())
+    return [line for line in lines if line][:most] or actions

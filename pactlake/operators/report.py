@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,9 +74,28 @@ def recommendations(results: DataFrame, diffs: DataFrame, subscriptions: DataFra
     return every.orderBy("priority", "seq").limit(most).select("priority", "action")
 
 
+def issues(results: DataFrame, diffs: DataFrame, ai: DataFrame, most: int = 2) -> DataFrame:
+    """What a narrator should know (seq, said): the first few critical and high results and incompatible contracts (a top-k report), and warnings of drift and rates.
+
+    results, diffs and ai are as in recommendations; results have records_failing, too.
+    """
+    say = F.format_string
+    failing = lambda level: results.where(F.col("status") == level).select("contract_id", "column_name", "check_type", "records_failing").distinct().orderBy("contract_id", "column_name", "check_type", "records_failing").limit(most)
+    told = lambda level: failing(level).select(F.concat_ws(":", F.lit("a" if level == "CRITICAL" else "b"), "contract_id", "column_name", "check_type").alias("seq"), say(f"{level}: %s of %s.%s fails for %d records", "check_type", "contract_id", "column_name", "records_failing").alias("said"))
+    broken = diffs.where("classification = 'BREAKING'").groupBy("contract_id").agg(F.count("*").alias("n")).orderBy("contract_id").limit(most)
+    parts = [told("CRITICAL"), told("HIGH"), broken.select(F.concat(F.lit("c:"), "contract_id").alias("seq"), say("BREAKING: %d changes of %s", "n", "contract_id").alias("said"))]
+    for seq, check, text in (("d", "embedding_drift", "WARN: texts drift"), ("e", "output_rate", "WARN: too many outputs violate their schema")):
+        parts.append(ai.where((F.col("check_name") == check) & (F.col("status") == "WARN")).select(F.lit(seq).alias("seq"), F.lit(text).alias("said")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def violation_text(results: DataFrame, blast: DataFrame) -> DataFrame:
-    """Failing results in plain words, with the first three subscribers that they reach."""
+    """Failing results in plain words, with the first three subscribers that they reach, and their pipelines.
+
+    What is gathered is bounded by the registry.
+    """
     who = blast.groupBy("contract_id", F.col("field").alias("column_name")).agg(F.slice(F.array_sort(F.collect_set("subscriber_id")), 1, 3).alias("who"))
     joined = results.where("status NOT IN ('PASS')").join(who, ["contract_id", "column_name"], "left")
-    reach = F.when(F.size("who") > 0, F.concat(F.lit(" It reaches "), F.array_join("who", ", "), F.lit("."))).otherwise("")
+    lines = F.array_join(F.transform("who", lambda w: F.concat(w, F.lit("-pipeline"))), ", ")
+    reach = F.when(F.size("who") > 0, F.concat(F.lit(" It reaches "), F.array_join("who", ", "), F.lit(" by way of "), lines, F.lit("."))).otherwise(" No registered subscriber is affected.")
     return joined.select("contract_id", "column_name", F.concat(F.format_string("The %s check of '%s' failed for %d records (%s).", "check_type", "column_name", "records_failing", "severity"), reach).alias("said"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +75,25 @@ def text_drift(base: DataFrame, current: DataFrame, id_col: str, text_col: str)
     return out.select(sim.alias("similarity"), F.round(1 - F.col("similarity"), 4).alias("drift"), F.when(empty, "SKIP").when(sim >= TFIDF_SIMILARITY, "PASS").otherwise("WARN").alias("status"))
 
 
+def embedding_drift(base: DataFrame, current: DataFrame, text_col: str, provider, keep=None) -> DataFrame | None:
+    """As text_drift, by the centroids of a provider's vectors (see embed); None where a side is empty or the provider fails.
+
+    keep, if given, is called with the first side's centroid, as one row.
+    """
+    try:
+        first, second = (dense_centroid(embed(d, text_col, provider), "embedding").first()["centroid"] for d in (base, current))
+    except PySparkException:  # a provider's failure leaves the terms to tell
+        return None
+    if not first or not second:
+        return None
+    both = base.sparkSession.createDataFrame([(first, second)], "centroid array<double>, other array<double>")
+    if keep:
+        keep(both.select("centroid"))
+    sim = F.round(cosine(F.col("centroid"), F.col("other")), 4)
+    drift = F.round(1 - sim, 4)
+    return both.select(sim.alias("similarity"), drift.alias("drift"), F.when(drift <= DENSE_DRIFT, "PASS").otherwise("WARN").alias("status"))
+
+
 def dense_centroid(df: DataFrame, vector: str, *keys: str) -> DataFrame:
     """(keys, centroid): element-wise mean; values are averaged per position before anything is gathered."""
     cells = df.select(*keys, F.posexplode(vector).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg("x").alias("m"))

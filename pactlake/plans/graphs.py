@@ -494,8 +494,8 @@ def _readers(spark, d):
 
 @query(f"""
     WITH {REPORT_CTE}, s AS ({_duck(READER_SQL)}), f AS (SELECT * FROM res WHERE status <> 'PASS' AND contract_id <> 'archive'),
-    w AS (SELECT f.contract_id, column_name, array_to_string(list_sort(list(DISTINCT subscriber_id))[1:3], ', ') AS who FROM f JOIN s ON s.contract_id = f.contract_id AND contains(breaking[1], column_name) GROUP BY ALL)
-    SELECT f.contract_id, f.column_name, format('The {{}} check of ''{{}}'' failed for {{}} records ({{}}).{{}}', check_type, f.column_name, records_failing, severity, coalesce(' It reaches ' || who || '.', '')) AS said
+    w AS (SELECT f.contract_id, column_name, list_sort(list(DISTINCT subscriber_id))[1:3] AS who FROM f JOIN s ON s.contract_id = f.contract_id AND contains(breaking[1], column_name) GROUP BY ALL)
+    SELECT f.contract_id, f.column_name, format('The {{}} check of ''{{}}'' failed for {{}} records ({{}}).{{}}', check_type, f.column_name, records_failing, severity, coalesce(' It reaches ' || array_to_string(who, ', ') || ' by way of ' || array_to_string(list_transform(who, lambda x: x || '-pipeline'), ', ') || '.', ' No registered subscriber is affected.')) AS said
     FROM f LEFT JOIN w ON w.contract_id = f.contract_id AND w.column_name = f.column_name
 """)
 def violation_texts(spark, d):
@@ -533,10 +533,29 @@ def contract_table(spark, d):
 def recommendations(spark, d):
     """The six most urgent actions over validated tables, a diff, subscribers, text drift and output rates."""
     results = _results(spark, d).where("contract_id <> 'archive'").select("contract_id", "column_name", "check_type", "status").distinct()
-    diffs = _changes(spark, d).select(F.lit("lineitem").alias("contract_id"), "field", "change_type", "classification")
+    return report.recommendations(results, _diffs(spark, d), _readers(spark, d), _ai(spark, d), 6)
+
+
+def _diffs(spark, d):
+    return _changes(spark, d).select(F.lit("lineitem").alias("contract_id"), "field", "change_type", "classification")
+
+
+def _ai(spark, d):
     drift, rate = dense_drift(spark, d), verdict_rate(spark, d)
-    ai = drift.select(F.lit("embedding_drift").alias("check_name"), "status", F.lit("unknown").alias("trend")).unionByName(rate.select(F.lit("output_rate").alias("check_name"), "status", "trend"))
-    return report.recommendations(results, diffs, _readers(spark, d), ai, 6)
+    return drift.select(F.lit("embedding_drift").alias("check_name"), "status", F.lit("unknown").alias("trend")).unionByName(rate.select(F.lit("output_rate").alias("check_name"), "status", "trend"))
+
+
+@query(f"""
+    WITH {REPORT_CTE}, w AS (SELECT DISTINCT contract_id, column_name, check_type, records_failing, status FROM res WHERE status IN ('CRITICAL', 'HIGH') AND contract_id <> 'archive'),
+    k AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY status ORDER BY contract_id, column_name, check_type, records_failing) <= 2)
+    SELECT CASE status WHEN 'CRITICAL' THEN 'a' ELSE 'b' END || ':' || contract_id || ':' || column_name || ':' || check_type AS seq, format('{{}}: {{}} of {{}}.{{}} fails for {{}} records', status, check_type, contract_id, column_name, records_failing) AS said FROM k
+    UNION ALL SELECT 'c:lineitem', format('BREAKING: {{}} changes of lineitem', count(*)) FROM ({CHANGES_SQL}) WHERE classification = 'BREAKING'
+    UNION ALL SELECT 'd', 'WARN: texts drift' FROM ({SQL_OF_DRIFT}) WHERE status = 'WARN'
+    UNION ALL SELECT 'e', 'WARN: too many outputs violate their schema' FROM ({SQL_OF_RATE}) WHERE status = 'WARN'
+""")
+def narrated_issues(spark, d):
+    """What a narrator is told of validated tables, a diff, text drift and output rates."""
+    return report.issues(_results(spark, d).where("contract_id <> 'archive'"), _diffs(spark, d), _ai(spark, d))
 
 
 @query("""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlake.contract import Contract
+from pactlake.sources.gitlog import PUSHDOWN, GitLog
 
 
 def jsonl(spark: SparkSession, path: str, schema: str | None = None, strict: bool = True) -> DataFrame:
@@ -155,17 +156,14 @@ def snapshot(path: str) -> dict:
         return json.load(f)
 
 
-COMMIT_DDL = "commit_hash string, author string, email string, ts string, message string, seq int"
+def commits(spark: SparkSession, files: list[str], root: str, days: int = 14, timeout: int = 10) -> DataFrame:
+    """Commits of files of a clone within some days, a partition a file, newest first within each (place, seq); none where git fails or takes too long.
 
-
-def commits(spark: SparkSession, file: str, root: str, days: int = 14, timeout: int = 10) -> DataFrame:
-    """git log of a file, newest first; no rows where git fails or takes too long."""
-    try:
-        said = subprocess.run(["git", "log", "--follow", f"--since={days} days ago", "--format=%H|%an|%ae|%ai|%s", "--", file], cwd=root, capture_output=True, text=True, timeout=timeout, check=True).stdout
-    except (OSError, subprocess.SubprocessError):
-        said = ""
-    rows = [(*line.split("|", 4), i) for i, line in enumerate(said.splitlines()) if line.count("|") >= 4]
-    return spark.createDataFrame(rows, COMMIT_DDL)
+    git drops older commits itself where PUSHDOWN is set in the session, else Spark does.
+    """
+    spark.dataSource.register(GitLog)
+    options = {"root": root, "files": json.dumps(files), "timeout": str(timeout), "push": spark.conf.get(PUSHDOWN, "false")}
+    return spark.read.format(GitLog.name()).options(**options).load().where(F.col("committed") >= F.expr(f"current_timestamp() - INTERVAL {days} DAYS"))
 
 
 def head_commit(root: str) -> str | None:
@@ -199,8 +197,22 @@ def file_fingerprint(spark: SparkSession, path: str, first: int = 65_536) -> Dat
     return spark.createDataFrame(rows, "path string, modificationTime timestamp, sha string")
 
 
-def record_fingerprint(df: DataFrame, order: str, first: int = 10) -> DataFrame:
-    """One row, sha: 16 hex digits over the first records by an explicit order, their fields sorted by name."""
-    cols = sorted(df.columns)
-    rows = df.orderBy(order).limit(first).select(F.col(order).alias("_o"), F.to_json(F.struct(*cols)).alias("_j"))
-    return rows.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_j"))), lambda x: x["_j"]), "\n"), 256), 1, 16).alias("sha"))
+def records_hash(spark: SparkSession, path: str, first: int = 10) -> str | None:
+    """16 hex digits of the SHA-256 of the first records of a JSON Lines file, or of a folder's files by name, as one JSON list with sorted
+    keys; no more lines than these are read. None if there is no file or a line isn't JSON."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    records: list = []
+    for name in sorted(str(s.getPath()) for s in fs.listStatus(where) if s.isFile() and not s.getPath().getName().startswith(("_", "."))):
+        lines = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(spark._jvm.org.apache.hadoop.fs.Path(name)), "UTF-8"))
+        try:
+            while len(records) < first and (line := lines.readLine()) is not None:
+                if line.strip():
+                    records.append(json.loads(line))
+        except ValueError:
+            return None
+        finally:
+            lines.close()
+    return hashlib.sha256(json.dumps(records, sort_keys=True).encode()).hexdigest()[:16] if records else None

@@ -86,9 +86,9 @@ def ai_breaches(outcomes: DataFrame, path: str) -> None:
     outcomes.where(F.col("status").isin("WARN", "FAIL")).withColumn("severity", severity(F.col("status"))).write.mode("append").json(path)
 
 
-def snapshot_table(clauses: DataFrame, contract_id: str, ts: str, path: str) -> None:
-    """Clause rows of a version, appended to a table partitioned by contract."""
-    clauses.withColumns({"contract_id": F.lit(contract_id), "snapshot_ts": F.lit(ts)}).write.mode("append").partitionBy("contract_id").parquet(path)
+def snapshot_table(clauses: DataFrame, ts: str, path: str) -> None:
+    """Clause rows (contract_id, field, ...) of versions taken at a time, appended to a table partitioned by contract."""
+    clauses.withColumn("ts", F.lit(ts)).write.mode("append").partitionBy("contract_id").parquet(path)
 
 
 def records(df: DataFrame, path: str) -> None:

@@ -248,7 +248,7 @@ def test_files(spark, tmp_path):
     assert sinks.report(results, {"report_id": "r"}, str(tmp_path / "r.json"))["critical"] == 1
     back = readers.json_documents(spark, str(tmp_path), pattern="r.json").first()
     assert back.file_name == "r.json" and back.total_checks == 3
-    assert readers.commits(spark, "x", str(tmp_path)).count() == 0 and readers.json_or(str(tmp_path / "no"), []) == []
+    assert readers.commits(spark, ["x"], str(tmp_path)).count() == 0 and readers.commits(spark, [], str(tmp_path)).count() == 0 and readers.json_or(str(tmp_path / "no"), []) == []
     assert checks.load_failure(spark, "c", "boom").first().status == "ERROR"
     sinks.append_log(results, str(tmp_path / "log"))
     sinks.append_log(results, str(tmp_path / "log"))
@@ -475,3 +475,30 @@ def test_missing_lineage_has_no_nodes(spark, tmp_path):
     assert lineage.upstream_files(nodes, edges, "c").count() == 0
     (tmp_path / "g.jsonl").write_text('{"captured_at": "2024-01-01", "nodes": [{"node_id": "a", "type": "FILE", "label": "x"}], "edges": []}\n')
     assert readers.latest_lineage(spark, f"file://{tmp_path}/g.jsonl", f"captured_at string, nodes array<struct<node_id: string, type: string, label: string>>, edges array<struct<source: string, target: string, relationship: string>>")[0].first().node_id == "a"
+
+
+def test_hash_of_the_first_records(spark, tmp_path):
+    import hashlib
+    import json
+
+    records = [{"b": i, "a": "\u00e9"} for i in range(12)]
+    want = hashlib.sha256(json.dumps(records[:10], sort_keys=True).encode()).hexdigest()[:16]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.jsonl").write_text("\n\n".join(json.dumps(r, ensure_ascii=False) for r in records[:7]), encoding="utf-8")
+    (tmp_path / "one" / "b.jsonl").write_text("\n".join(map(json.dumps, records[7:])) + "\nnot JSON")
+    assert readers.records_hash(spark, f"file://{tmp_path}/one") == want
+    assert readers.records_hash(spark, f"file://{tmp_path}/none") is None and readers.records_hash(spark, f"file://{tmp_path}/one", 20) is None
+
+
+def test_embedding_drift(spark):
+    a, b = (spark.createDataFrame(rows, "t string") for rows in ([("aa",), ("b",)], [("cccc",)]))
+    vectors = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    kept = []
+    got = text.embedding_drift(a, b, "t", vectors, lambda c: kept.append(c.first().centroid)).first()
+    assert kept == [[1.5, 1.0]] and (got.similarity, got.status) == (round(7 / (3.25**0.5 * 17**0.5), 4), "PASS")
+    assert text.embedding_drift(a, b.limit(0), "t", vectors) is None
+
+    def failing(texts):
+        raise RuntimeError
+
+    assert text.embedding_drift(a, b, "t", failing) is None
