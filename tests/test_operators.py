@@ -502,3 +502,17 @@ def test_embedding_drift(spark):
         raise RuntimeError
 
     assert text.embedding_drift(a, b, "t", failing) is None
+
+
+def test_copies_of_a_needle_are_dealt_over_tasks(spark):
+    needles = spark.range(5000).select(F.col("id").alias("n"), F.lit("7.").alias("needle")).unionByName(spark.createDataFrame([(-1, "text number 1"), (-2, "number 1x")], "n long, needle string"))
+    texts = spark.range(40).select(F.col("id").alias("t"), F.concat(F.lit("text number "), F.col("id").cast("string"), F.lit(".")).alias("text"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = contains_join(needles, texts, "needle", "text").select("n", "t", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [(n, t) for n in range(5000) for t in (7, 17, 27, 37)] + [(-1, t) for t in (1, *range(10, 20))]
+    assert sorted((r.n, r.t) for r in got) == sorted(want)
+    assert len({r.task for r in got if r.n >= 0}) > 1
