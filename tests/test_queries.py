@@ -40,6 +40,14 @@ def test_names_are_joined_without_nested_loops(spark, name):
     assert "NestedLoop" not in plan_of(QUERIES[name](spark, SF))
 
 
+def test_links_of_files_are_joined_by_an_equality(spark):
+    from pactlake.plans import graphs
+
+    links = graphs._of(spark, SF, graphs.LINK_JOIN)
+    assert "NestedLoop" not in plan_of(links) and "Join" in plan_of(links)
+    assert canonical(links.columns, links.collect()) == canonical(links.columns, graphs._of(spark, SF, graphs.LINK_SQL).collect())
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
