@@ -87,6 +87,25 @@ def token_cost(prompt: Column, completion: Column, per_prompt: float = 0.003, pe
     return F.round(prompt / 1000 * per_prompt + completion / 1000 * per_completion, 6)
 
 
+def two_digits(c: Column) -> Column:
+    """A number with two decimals as C and Python print it: the exact binary value is rounded, a tie to the even digit.
+
+    format_string rounds the shortest decimal text of a double, half up, so that 0.125 and 1.005 differ by a digit.
+    """
+    x = F.abs(c.cast("double"))
+    whole = F.floor(x)
+    part, unit = x - whole, float(1 << 60)  # exact; below 2^-8 a fraction may lose bits, where it rounds as any small one
+    cents = (part * unit).cast("long").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
+    rest = cents % F.lit(1 << 60).cast("decimal(20,0)")
+    down = ((cents - rest) / F.lit(1 << 60).cast("decimal(20,0)")).cast("long")
+    half = F.lit(1 << 59).cast("decimal(20,0)")
+    up = (rest > half) | (rest == half) & (down % 2 == 1)
+    total = whole * 100 + down + up.cast("long")
+    sign = F.when(c.cast("string").startswith("-"), "-").otherwise("")
+    said = F.concat(sign, F.floor(total / 100).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
+    return F.when(x < 1e12, said).otherwise(F.format_string("%.2f", c))
+
+
 def node_path(node_id: Column) -> Column:
     """The absolute path in a node id such as kind:/a/b.py:12; null unless it is absolute with a suffix."""
     path = F.regexp_extract(node_id, r"^[^:]*:(/[^:]*)(?::[^:]*)?$", 1)

@@ -516,3 +516,15 @@ def test_copies_of_a_needle_are_dealt_over_tasks(spark):
     want = [(n, t) for n in range(5000) for t in (7, 17, 27, 37)] + [(-1, t) for t in (1, *range(10, 20))]
     assert sorted((r.n, r.t) for r in got) == sorted(want)
     assert len({r.task for r in got if r.n >= 0}) > 1
+
+
+def test_rates_are_printed_as_c_prints_them(spark):
+    import random
+
+    draw = random.Random(3)
+    said = [0.0, -0.0, 0.125, 0.375, 0.625, 0.005, 0.015, 1.005, 2.675, 12.345, 33.335, 99.995, 99.999, 100.0, 1e-300, 0.004999999999999999, -1.125, -0.001, 123456789.125]
+    said += [draw.randrange(0, 80001) / 800 for _ in range(300)] + [100 * (a / b) for b in range(1, 400, 7) for a in range(0, b, 3)]
+    got = dict(rows(spark.createDataFrame(list(enumerate(said)), "k int, x double").select("k", scalar.two_digits(F.col("x")))))
+    assert got == {k: "%.2f" % x for k, x in enumerate(said)}
+    line = spark.createDataFrame([("a", "WARN", 0.00125), ("b", "SKIP", None)], "c string, s string, r double").select(prompts.status_line(F.col("c"), F.col("s"), F.col("r")))
+    assert [r[0] for r in line.collect()] == ["a needs a look (0.12%).", "b was skipped."]
