@@ -23,18 +23,31 @@ NODE_TYPES = {
 RELATIONSHIPS = {r: r for r in ("CONSUMES", "PRODUCES", "IMPORTS", "CALLS", "READS", "WRITES")}
 
 
+def _fact(key: Column, n: Column, i: Column, confidence: Column) -> dict[str, Column]:
+    """Fields of the i-th of n facts; a single one has no page."""
+    return {
+        "fact_id": uuid5(F.concat_ws(":", key.cast("string"), i.cast("string"))),
+        "text": F.format_string("Fact %d of %s", i, key.cast("string")),
+        "confidence": clamp01(confidence),
+        "page_ref": F.when(n > 1, (i + 1).cast("long")),
+    }
+
+
+def _facts_of(blocks: Column) -> Column:
+    return F.greatest(F.coalesce(blocks, F.lit(1)), F.lit(1)).cast("int")
+
+
 def facts(key: Column, blocks: Column, confidence: Column) -> Column:
-    """max(blocks, 1) facts as an array of structs; a single one has no page."""
-    n = F.greatest(F.coalesce(blocks, F.lit(1)), F.lit(1)).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            uuid5(F.concat_ws(":", key.cast("string"), i.cast("string"))).alias("fact_id"),
-            F.format_string("Fact %d of %s", i, key.cast("string")).alias("text"),
-            clamp01(confidence).alias("confidence"),
-            F.when(n > 1, (i + 1).cast("long")).alias("page_ref"),
-        ),
-    )
+    """max(blocks, 1) facts as an array of structs."""
+    n = _facts_of(blocks)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(*(c.alias(k) for k, c in _fact(key, n, i, confidence).items())))
+
+
+def fact_rows(df: DataFrame, key: Column, blocks: Column, confidence: Column, *keep: str) -> DataFrame:
+    """Columns to keep and the fields of facts, a row a fact. Fields that aren't read are not made, as in an array of structs they are."""
+    told = df.select(*keep, key.alias("_key"), _facts_of(blocks).alias("_n"), confidence.alias("_confidence"))
+    each = told.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
+    return each.select(*keep, *(c.alias(k) for k, c in _fact(F.col("_key"), F.col("_n"), F.col("_i"), F.col("_confidence")).items()))
 
 
 def extractions(ledger: DataFrame, models: dict[str, str], tokens_per_block: dict[str, int], base_time: str = "2026-04-01 00:00:00") -> DataFrame:

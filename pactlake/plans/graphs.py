@@ -669,7 +669,7 @@ def semver_pad(spark, d):
     SELECT p_partkey, CASE WHEN p_size > 1 THEN g::BIGINT END AS page_ref, round(greatest(0.0, least(1.0, p_retailprice / 1500)), 6)::DOUBLE AS confidence FROM part, LATERAL (SELECT unnest(generate_series(1, greatest(p_size, 1))) AS g)
 """)
 def row_generation(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", F.inline(etl.facts(F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice") / 1500)))
+    rows = etl.fact_rows(table(spark, d, "part"), F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice") / 1500, "p_partkey")
     return rows.select("p_partkey", "page_ref", F.round("confidence", 6).alias("confidence"))
 
 

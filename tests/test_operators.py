@@ -528,3 +528,12 @@ def test_rates_are_printed_as_c_prints_them(spark):
     assert got == {k: "%.2f" % x for k, x in enumerate(said)}
     line = spark.createDataFrame([("a", "WARN", 0.00125), ("b", "SKIP", None)], "c string, s string, r double").select(prompts.status_line(F.col("c"), F.col("s"), F.col("r")))
     assert [r[0] for r in line.collect()] == ["a needs a look (0.12%).", "b was skipped."]
+
+
+def test_fact_rows_equal_facts_and_make_what_is_read(spark):
+    df = spark.createDataFrame([(1, 3, 0.5), (2, None, None), (3, 0, 7.0), (4, -2, -1.0), (None, 2, 0.25)], "k long, n int, c double")
+    args = F.col("k"), F.col("n"), F.col("c")
+    every = etl.fact_rows(df, *args, "k")
+    assert sorted(map(str, every.collect())) == sorted(map(str, df.select("k", F.inline(etl.facts(*args))).collect()))
+    plan = every.select("k", "page_ref")._jdf.queryExecution().executedPlan().toString()
+    assert "sha1" not in plan and "format_string" not in plan
