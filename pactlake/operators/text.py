@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pactlake.functions.scalar import tokens
 
 TFIDF_SIMILARITY, DENSE_DRIFT = 0.25, 0.15
+#: Characters of documents whose terms a task counts.
+TASK_CHARS = 4_000_000
 
 
 def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -17,6 +19,15 @@ def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("n"))
 
 
+def by_document(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
+    """(keep, doc, text), dealt by document: a text is moved once, its terms, which take far more room, are then counted where it lies.
+
+    Tasks get about TASK_CHARS each, however large files and table are, so that what one holds doesn't grow with them.
+    """
+    chars = docs.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
+    return docs.select(*keep, F.col(id_col).alias("doc"), F.col(text_col).alias("text")).repartition(1 + chars // TASK_CHARS, "doc")
+
+
 def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -27,7 +38,7 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, group: str | None = None)
     The vocabulary is joined: once its size is known, adaptive execution broadcasts a small one and splits frequent terms otherwise.
     """
     keys = [group] if group else []
-    rows = docs.select(*keys, F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term"))
+    rows = by_document(docs, id_col, text_col, *keys).select(*keys, "doc", F.explode(tokens(F.col("text"))).alias("term"))
     counts = rows.groupBy(*keys, "doc", "term").agg(F.count("*").alias("n"))
     df = counts.groupBy(*keys, "term").agg(F.count("*").alias("df"))
     counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "doc")))  # a document's terms, not the corpus's

@@ -537,3 +537,26 @@ def test_fact_rows_equal_facts_and_make_what_is_read(spark):
     assert sorted(map(str, every.collect())) == sorted(map(str, df.select("k", F.inline(etl.facts(*args))).collect()))
     plan = every.select("k", "page_ref")._jdf.queryExecution().executedPlan().toString()
     assert "sha1" not in plan and "format_string" not in plan
+
+
+def _tfidf_of(docs):
+    import math
+    import re
+    from collections import Counter
+
+    found: dict = {}
+    for doc, said in docs:
+        found.setdefault(doc, []).extend(re.findall("[a-z]+", (said or "").lower()))
+    df = Counter(t for f in found.values() for t in set(f))
+    return {(d, t): n / len(f) * (math.log((len(docs) + 1) / (df[t] + 1)) + 1) for d, f in found.items() for t, n in Counter(f).items()}
+
+
+def test_tfidf_equals_brute_force_and_moves_texts_once(spark):
+    import re
+
+    for docs in ([(1, "a b a c"), (2, "A, b!"), (3, None), (4, ""), (5, "b zz 7")], [(1, "a b a c"), (1, "c d"), (2, "a")]):
+        df = text.tfidf(spark.createDataFrame(docs, "i long, t string"), "i", "t")
+        got, want = df.collect(), _tfidf_of(docs)
+        assert len(got) == len(want) and {(r.doc, r.term): pytest.approx(r.w) for r in got} == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(doc#\w+, term#", plan)
