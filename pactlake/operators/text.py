@@ -15,8 +15,8 @@ TASK_CHARS = 4_000_000
 
 
 def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, term, n): counts are made inside each text first, so one row a document and term is shuffled at most."""
-    return docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("n"))
+    """(doc, term, n): counts are made where a document's text has been dealt to."""
+    return by_document(docs, id_col, text_col).select("doc", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("n"))
 
 
 def by_document(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
@@ -70,7 +70,7 @@ def term_weights(docs: DataFrame, id_col: str, text_col: str, size: Column) -> D
     As the idf depends on the term alone, shares and documents are summed up by term and weighed afterwards, without a join: one row a
     term and task is shuffled. Ids must tell documents apart.
     """
-    found = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(tokens(F.col(text_col)))).alias("found"))  # in a generator, so that it is made once
+    found = by_document(docs, id_col, text_col).select("doc", F.explode(F.array(tokens(F.col("text")))).alias("found"))  # in a generator, so that it is made once
     rows = found.select("doc", F.size("found").alias("total"), F.explode("found").alias("term"))
     counts = rows.groupBy("doc", "term").agg(F.count("*").alias("n"), F.first("total").alias("total"))
     sums = counts.groupBy("term").agg(F.sum(F.col("n") / F.col("total")).alias("s"), F.count("*").alias("df"))

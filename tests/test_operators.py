@@ -560,3 +560,12 @@ def test_tfidf_equals_brute_force_and_moves_texts_once(spark):
         assert len(got) == len(want) and {(r.doc, r.term): pytest.approx(r.w) for r in got} == want
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(doc#\w+, term#", plan)
+
+
+def test_tasks_count_terms_of_bounded_shares(spark, monkeypatch):
+    monkeypatch.setattr(text, "TASK_CHARS", 100)
+    docs = spark.createDataFrame([(i, "ab cd " * 10) for i in range(50)], "i long, t string").coalesce(1)
+    assert text.by_document(docs, "i", "t").rdd.getNumPartitions() == 31
+    assert rows(text.document_frequency(text.terms(docs, "i", "t")).orderBy("term")) == [("ab", 50), ("cd", 50)]
+    got = {k: pytest.approx(w) for k, w in rows(text.term_weights(docs, "i", "t", F.lit(50)))}
+    assert got == {"ab": 25.0, "cd": 25.0}
