@@ -89,12 +89,23 @@ def contamination(targets: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     once, and names are matched by q-grams.
     """
     contracts = targets.select("contract_id").distinct().withColumn("wanted", normalized(F.col("contract_id")))
-    seeds = contains_join(contracts, _names(nodes), "wanted", "name").select("contract_id", "node_id")
-    reached = written(breadth_first(seeds, edges.where(F.col("relationship").isin(*FOLLOWED)), keys=("contract_id",)))
+    seeds = written(contains_join(contracts, _names(nodes), "wanted", "name").select("contract_id", "node_id").distinct())
+    # An end that isn't a target itself, and from which nothing goes on, is on no way to another: most of a graph's nodes.
+    flow = edges.where(F.col("relationship").isin(*FOLLOWED)).select("source", "target")
+    inner = written(flow.select(F.col("source").alias("target")).distinct().unionByName(targets.select(F.col("node_id").alias("target"))).distinct())
+    reached = written(breadth_first(seeds, flow.join(inner, "target", "left_semi"), keys=("contract_id",)))
     exact = written(targets.select("contract_id", "node_id").distinct().join(reached, ["contract_id", "node_id"], "left"))
-    asked = exact.where("depth IS NULL").select("contract_id", F.col("node_id").alias("subscriber"), normalized(F.col("node_id")).alias("wanted"))
-    known = reached.join(_names(nodes), "node_id", "left").select("contract_id", "depth", F.coalesce("name", normalized(F.col("node_id"))).alias("name"))
-    partly = contains_join(asked, known, "wanted", "name", ("contract_id",)).groupBy("contract_id", F.col("subscriber").alias("node_id")).agg(F.min("depth").alias("near"))
+    searched = seeds.select("contract_id").distinct()  # without seeds nothing is reached
+    asked = exact.where("depth IS NULL").join(searched, "contract_id", "left_semi").select("contract_id", F.col("node_id").alias("subscriber"), normalized(F.col("node_id")).alias("wanted"))
+    # Names are matched once, not once a contract; a matched end that was left out is as far as the nearest node before it, and one.
+    unnamed = flow.select(F.col("target").alias("node_id")).distinct().join(nodes, "node_id", "left_anti").withColumn("name", normalized(F.col("node_id")))
+    matched = written(contains_join(asked.select("wanted").distinct(), _names(nodes).unionByName(unnamed), "wanted", "name").select("wanted", "node_id").distinct())
+    ends = matched.select("node_id").distinct().join(inner.withColumnRenamed("target", "node_id"), "node_id", "left_anti")
+    before = flow.join(ends.withColumnRenamed("node_id", "target"), "target").distinct()
+    outer = before.join(reached.withColumnRenamed("node_id", "source"), "source").groupBy("contract_id", F.col("target").alias("node_id")).agg((F.min("depth") + 1).alias("depth"))
+    known = reached.join(matched.select("node_id").distinct(), "node_id", "left_semi").select("contract_id", "node_id", "depth").unionByName(outer)
+    nearest = matched.join(known, "node_id").groupBy("contract_id", "wanted").agg(F.min("depth").alias("near"))
+    partly = asked.join(nearest, ["contract_id", "wanted"]).select("contract_id", F.col("subscriber").alias("node_id"), "near")
     return exact.join(partly, ["contract_id", "node_id"], "left").select("contract_id", "node_id", F.greatest(F.lit(1), F.coalesce("depth", "near", F.lit(1))).alias("depth"))
 
 

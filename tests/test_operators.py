@@ -569,3 +569,14 @@ def test_tasks_count_terms_of_bounded_shares(spark, monkeypatch):
     assert rows(text.document_frequency(text.terms(docs, "i", "t")).orderBy("term")) == [("ab", 50), ("cd", 50)]
     got = {k: pytest.approx(w) for k, w in rows(text.term_weights(docs, "i", "t", F.lit(50)))}
     assert got == {"ab": 25.0, "cd": 25.0}
+
+
+def test_ends_that_no_target_is_are_left_out_of_the_search(spark, monkeypatch):
+    nodes = spark.createDataFrame([("src", None), ("mid", None), ("end-one", None), ("end-two", "far sink")], "node_id string, label string")
+    edges = spark.createDataFrame([(a, b, "READS") for a, b in (("src", "mid"), ("mid", "end-one"), ("src", "end-two"), ("mid", "lost-end"))], "source string, target string, relationship string")
+    asked = spark.createDataFrame([("src", s) for s in ("mid", "end_one", "far sink", "lost", "nobody")], "contract_id string, node_id string")
+    held, search = [], lineage.breadth_first
+    monkeypatch.setattr(lineage, "breadth_first", lambda seeds, edges, *a, **k: held.append(edges) or search(seeds, edges, *a, **k))
+    got = {r.node_id: r.depth for r in lineage.contamination(asked, nodes, edges).collect()}
+    assert got == {"mid": 1, "end_one": 2, "far sink": 1, "lost": 2, "nobody": 1}
+    assert [r.target for r in held[0].select("target").collect()] == ["mid"]
